@@ -89,3 +89,9 @@ def lookup_join(
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), list(keys), "left")
     return salted_left_join(left, right, keys, spread, hot_rows)
+
+
+def salted_anti_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
+    """Rows of ``left`` whose key is not in ``right``; hot keys are spread like in the left join."""
+    present = right.select(*keys).distinct().withColumn("_present", F.lit(True))
+    return salted_left_join(left, present, keys, spread).where(F.col("_present").isNull()).select(*left.columns)
