@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyforge.functions.text import nullish, strip
@@ -77,19 +77,22 @@ def status_list(loan: Column, repayment: Column, lr: Column) -> Column:
     return F.when(F.size(main) > 0, main).otherwise(F.array_compact(F.array(nullish(lr))))
 
 
-def last_status_of(statuses: Column, words: list[str]) -> Column:
-    """Last value of the list that is one of ``words``, in lower case; '' when there is none."""
-    found = F.filter(statuses, lambda s: s.isin(words))
-    return F.lower(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")))
+def last_status(loan: Column, repayment: Column, lr: Column, words: list[str]) -> Column:
+    """The last value of the status list that is one of ``words``, in lower case; '' when there is none.
 
+    Takes cleaned values (NULL for missing) and needs no list: the repayment value
+    comes after the loan value, and the lr value counts only without both.
+    """
+    only_lr = loan.isNull() & repayment.isNull()
+    found = F.when(repayment.isin(words), repayment).when(loan.isin(words), loan).when(only_lr & lr.isin(words), lr)
+    return F.lower(F.coalesce(found, F.lit("")))
 
-def status_key(im: Column, statuses: Column) -> Column:
-    """The status key of a ticket from its product value and status list."""
-    loan = last_status_of(statuses, LOAN_STATUSES)
-    repayment = last_status_of(statuses, REPAYMENT_STATUSES)
+
+def status_key(im: Column, loan: Column, repayment: Column, no_status: Column) -> Column:
+    """The status key of a ticket from its product value and its two status words."""
     plain_product = im.isin("IM", "IM+")
     word = (
-        F.when(F.size(statuses) == 0, "nostatus")
+        F.when(no_status, "nostatus")
         .when(loan == "", F.when(plain_product, "nostatus").otherwise("_nostatus"))
         .when(plain_product & (loan == "under_review"), "underreview")
         .when(plain_product & (loan != "disbursed"), loan)
@@ -98,6 +101,30 @@ def status_key(im: Column, statuses: Column) -> Column:
     return F.concat(F.lower(F.replace(im, F.lit("+"), F.lit("_"))), word)
 
 
+def with_status_words(tickets: DataFrame) -> DataFrame:
+    """``tickets`` with ``im``, ``loan``, ``repayment`` and ``no_status``.
+
+    In two steps, so that each cleaned value is computed once and not in every branch
+    that reads it.
+    """
+    cleaned = tickets.withColumns(
+        {
+            "im": nullish(F.col("data_from")),
+            "_ls": nullish(F.col("loan_status")),
+            "_rs": nullish(F.col("repayment_status")),
+            "_lr": nullish(F.col("lr_status")),
+        }
+    )
+    values = [F.col(c) for c in ("_ls", "_rs", "_lr")]
+    return cleaned.withColumns(
+        {
+            "loan": last_status(*values, LOAN_STATUSES),
+            "repayment": last_status(*values, REPAYMENT_STATUSES),
+            "no_status": F.coalesce(*values).isNull(),
+        }
+    ).drop("_ls", "_rs", "_lr")
+
+
 def strip_number(status: Column) -> Column:
     """Without a trailing ``_<digits>``."""
     return F.regexp_replace(status, "_[0-9]+$", "")
@@ -108,10 +135,12 @@ def direct_status(lr: Column, compat: bool = True) -> Column:
     return F.coalesce(strip(lr), F.lit("nan" if compat else NOT_FOUND))
 
 
-def ticket_status(data_from: Column, loan: Column, repayment: Column, lr: Column, compat: bool = True) -> Column:
-    im = nullish(data_from)
-    keyed = status_key(im, status_list(loan, repayment, lr))
-    return strip_number(F.when(im.isNotNull(), keyed).otherwise(direct_status(lr, compat)))
+def with_status(tickets: DataFrame, compat: bool = True) -> DataFrame:
+    """``tickets`` with ``status``."""
+    words = with_status_words(tickets)
+    keyed = status_key(F.col("im"), F.col("loan"), F.col("repayment"), F.col("no_status"))
+    chosen = F.when(F.col("im").isNotNull(), keyed).otherwise(direct_status(F.col("lr_status"), compat))
+    return words.withColumn("status", strip_number(chosen)).drop("im", "loan", "repayment", "no_status")
 
 
 def lower_category(raw: Column, compat: bool = True) -> Column:

@@ -28,7 +28,7 @@ def is_blank(c: Column) -> Column:
 def nullish(c: Column) -> Column:
     """Stripped text; NULL when it is missing, blank or the word ``nan`` in any case."""
     s = strip(c)
-    return F.when((s != "") & (F.lower(s) != "nan"), s)
+    return F.when(~F.lower(s).isin("", "nan"), s)
 
 
 def sanitize_name(c: Column) -> Column:

@@ -202,6 +202,16 @@ def resolve_field(wanted: Column, fields: Column) -> Column:
     return F.when(wanted != "", found)
 
 
+def named_cell(field: Column, cells: Column, subject: Column, body: Column, kb_id: Column) -> Column:
+    """Value of the column named by ``field``: a status cell or one of the columns every sheet has."""
+    return (
+        F.when(field == "subject", subject)
+        .when(field == "email_body", body)
+        .when(field == "id", kb_id.cast("string"))
+        .otherwise(F.try_element_at(cells, field))
+    )
+
+
 def blank_hit_message(subject: Column, body: Column) -> Column:
     """Fixed text when the best hit has neither subject nor body."""
     return F.when(is_blank(subject) & is_blank(body), "Subject and email body are empty for this result.")

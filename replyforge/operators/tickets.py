@@ -29,11 +29,15 @@ def first_per_ticket(tickets: DataFrame, fields: list[str] | None = None) -> Dat
 
 def ticket_index(tickets: DataFrame, fields: list[str]) -> DataFrame:
     """One row per id a ticket can be asked by; the main id wins over the alternative one."""
-    main = tickets.select("ticket", F.lit(0).alias("_kind"), "src_order", *fields)
-    alternative = tickets.select(F.col("alt_ticket").alias("ticket"), F.lit(1).alias("_kind"), "src_order", *fields)
+    ids = F.array(
+        F.struct(F.col("ticket").alias("id"), F.lit(0).alias("kind")),
+        F.struct(F.col("alt_ticket").alias("id"), F.lit(1).alias("kind")),
+    )
+    # Exploded from one scan, so that nothing before it is computed twice.
     return (
-        main.unionByName(alternative)
-        .where(F.col("ticket").isNotNull())
+        tickets.select(F.explode(ids).alias("_key"), "src_order", *fields)
+        .where(F.col("_key.id").isNotNull())
+        .select(F.col("_key.id").alias("ticket"), F.col("_key.kind").alias("_kind"), "src_order", *fields)
         .groupBy("ticket")
         .agg(F.min_by(F.struct("_kind", *fields), F.struct("_kind", "src_order")).alias("r"))
         .select("ticket", F.when(F.col("r._kind") == 0, "direct").otherwise("alternative").alias("matched_by"), *[f"r.{f}" for f in fields])
@@ -52,10 +56,7 @@ def look_up(emails: DataFrame, tickets: DataFrame, fields: list[str], spread: li
 
 def classify(tickets: DataFrame, category_map: DataFrame | None = None, compat: bool = True) -> DataFrame:
     """Tickets with ``status`` and ``category``; row-local unless a map table is too big to broadcast."""
-    named = tickets.withColumn(
-        "status",
-        st.ticket_status(F.col("data_from"), F.col("loan_status"), F.col("repayment_status"), F.col("lr_status"), compat),
-    ).withColumn("category", st.lower_category(F.col("category_raw"), compat))
+    named = st.with_status(tickets, compat).withColumn("category", st.lower_category(F.col("category_raw"), compat))
     return map_categories(named, "category", category_map)
 
 

@@ -110,13 +110,13 @@ def write_replies(answered: DataFrame, generator: Callable | None = None, **gene
         .otherwise(replies.GENERIC_REPLY)
     )
     if generator is not None:
-        result = F.struct(
-            F.lit("").alias("status"),
-            F.map_from_arrays(
-                F.array(F.lit("subject"), F.lit("email_body"), F.col("status")),
-                F.array(F.coalesce("hit_subject", F.lit("")), F.coalesce("hit_body", F.lit("")), F.coalesce("response", F.lit(""))),
-            ).alias("fields"),
+        base = {"subject": F.col("hit_subject"), "email_body": F.col("hit_body")}
+        shown = F.map_from_arrays(
+            F.array(*map(F.lit, base)), F.array(*[F.coalesce(c, F.lit("")) for c in base.values()])
         )
+        own = F.map_from_arrays(F.array("status"), F.array(F.coalesce("response", F.lit(""))))
+        fields = F.when(F.col("status").isin(*base), shown).otherwise(F.map_concat(shown, own))
+        result = F.struct(F.lit("").alias("status"), fields.alias("fields"))
         metadata = F.struct(collection, F.lit(None).cast("string").alias("status_field"), F.lit(1).alias("results_count"))
         prompt = F.when(
             outcome == "search", replies.search_prompt(replies.knowledge_context(metadata, F.array(result)))
@@ -167,7 +167,12 @@ def reply_to_batch(
     missed = F.col("outcome").isNull() & F.col("kb_id").isNull()
     answered = joined.withColumn(
         "error", F.when(missed, search.no_match_error(F.col("collection"), F.col("status"))).otherwise(F.col("error"))
-    ).withColumn("response", F.try_element_at("responses", F.col("status")))
+    ).withColumn(
+        "response",
+        search.named_cell(
+            F.col("status"), F.col("responses"), F.col("hit_subject"), F.col("hit_body"), F.col("kb_id")
+        ),
+    )
     # A missing field names its collection and gets that template; every other failure is generic.
     template_due = replies.collection_from_error(F.col("error")).isNotNull() & (F.col("outcome") == "fallback")
     with_html = replies.attach_templates(answered, knowledge.templates, template_due, ["src_order"])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from replyforge.session import spread_small
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -119,6 +121,11 @@ class Fixtures:
     def kb(self) -> DataFrame:
         return self._sql("fx_kb")
 
+    @property
+    def kb_spread(self) -> DataFrame:
+        """For work that is long per row, such as embedding."""
+        return spread_small(self.kb.select("collection", "kb_id", "subject", "email_body"), "kb_id")
+
     @property
     def templates(self) -> DataFrame:
         """First page per name as an aggregate, so a name with very many pages cannot fill a task."""

@@ -29,7 +29,7 @@ from replyforge.plans.registry import (
     sql_hits,
     sql_query_text,
 )
-from replyforge.session import scratch_path
+from replyforge.session import scratch_path, spread_small
 from replyforge.sources import readers, writers
 from replyforge.operators.search import missing_collection_error, missing_field_error
 
@@ -146,7 +146,7 @@ RESULT_SQL = ", ".join(batch.RESULT_COLUMNS)
 
 
 def knowledge(fx) -> batch.Knowledge:
-    return batch.Knowledge(fx.kb_rows, fx.fields, fx.templates, fx.category_map)
+    return batch.Knowledge(spread_small(fx.kb_rows, "kb_id"), fx.fields, fx.templates, fx.category_map)
 
 
 @query("p1_batch_replies", batch_sql() + f"SELECT {RESULT_SQL} FROM replied")

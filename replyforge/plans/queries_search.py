@@ -22,7 +22,7 @@ from replyforge.plans.registry import (
     sql_query_text,
     sql_strip,
 )
-from replyforge.session import scratch_path
+from replyforge.session import materialise, scratch_path
 from replyforge.sources import writers
 
 C = F.col
@@ -81,8 +81,9 @@ def _named(fx):
 def _text_hits(fx, text, k: int):
     """Best rows for ``text`` of every email: collection, query_id (src_order), kb_id, score, rank."""
     asked = _named(fx).select("collection", C("src_order").alias("query_id"), text.alias("text"))
-    queries = vec.embed_hashed(asked, "text", "vector").drop("text")
-    return search.exact_topk(queries, embed_rows(fx.kb), k)
+    # Written once: the search counts the queries before it places them.
+    queries = materialise(vec.embed_hashed(asked, "text", "vector").drop("text"), "queries")
+    return search.exact_topk(queries, embed_rows(fx.kb_spread), k)
 
 
 BOTH_TEXTS = sql_query_text("subject", "email_body")
@@ -208,11 +209,11 @@ def k9(fx):
 
 
 def _envelopes(fx, k: int):
-    hits = _projected(fx, k)
-    own = F.map_filter("fields", lambda name, _: name == C("status"))
+    # A column of its own: beside an alias "status" a lambda would read the alias.
+    hits = _projected(fx, k).withColumn("own", F.map_filter("fields", lambda name, _: name == C("status")))
     shown = F.map_concat(
         F.create_map(F.lit("subject"), F.coalesce("subject", F.lit("")), F.lit("email_body"), F.coalesce("email_body", F.lit(""))),
-        own,
+        "own",
     )
     return search.envelopes(
         hits.select(

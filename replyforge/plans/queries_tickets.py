@@ -176,10 +176,6 @@ def t3(fx):
     return tickets.first_per_ticket(repeated, ["data_from", "loan_status"])
 
 
-def _statuses():
-    return st.status_list(C("loan_status"), C("repayment_status"), C("lr_status"))
-
-
 @query(
     "t4_status_list",
     over("fx_tickets", CLASSIFIED[0])
@@ -187,7 +183,8 @@ def _statuses():
                 ELSE coalesce(lr, '') END AS statuses FROM cleaned""",
 )
 def t4(fx):
-    return fx.tickets.select("src_order", F.array_join(_statuses(), "|").alias("statuses"))
+    statuses = st.status_list(C("loan_status"), C("repayment_status"), C("lr_status"))
+    return fx.tickets.select("src_order", F.array_join(statuses, "|").alias("statuses"))
 
 
 @query(
@@ -196,17 +193,13 @@ def t4(fx):
     + f"SELECT src_order, {sql_words('loan')} AS loan, {sql_words('repay')} AS repayment FROM cleaned",
 )
 def t5(fx):
-    return fx.tickets.select(
-        "src_order",
-        st.last_status_of(_statuses(), st.LOAN_STATUSES).alias("loan"),
-        st.last_status_of(_statuses(), st.REPAYMENT_STATUSES).alias("repayment"),
-    )
+    return st.with_status_words(fx.tickets).select("src_order", "loan", "repayment")
 
 
 @query("t6_status_key", over("fx_tickets", *CLASSIFIED[:3]) + "SELECT src_order, status_key FROM keyed")
 def t6(fx):
-    key = st.status_key(tx.nullish(C("data_from")), _statuses())
-    return fx.tickets.select("src_order", key.alias("status_key"))
+    key = st.status_key(C("im"), C("loan"), C("repayment"), C("no_status"))
+    return st.with_status_words(fx.tickets).select("src_order", key.alias("status_key"))
 
 
 @query(
@@ -217,16 +210,9 @@ def t7(fx):
     return fx.tickets.select("src_order", st.direct_status(C("lr_status")).alias("status"))
 
 
-def _with_status(fx):
-    return fx.tickets.select(
-        "src_order",
-        st.ticket_status(C("data_from"), C("loan_status"), C("repayment_status"), C("lr_status")).alias("status"),
-    )
-
-
 @query("t8_strip_number", over("fx_tickets fx_category_map", *CLASSIFIED) + "SELECT src_order, status FROM classified")
 def t8(fx):
-    return _with_status(fx)
+    return st.with_status(fx.tickets).select("src_order", "status")
 
 
 @query("t9_map_category", over("fx_tickets fx_category_map", *CLASSIFIED) + "SELECT src_order, category FROM classified")
@@ -267,10 +253,9 @@ def t10(fx):
            coalesce(category_raw, '') AS category FROM classified""",
 )
 def t11(fx):
-    status = st.ticket_status(C("data_from"), C("loan_status"), C("repayment_status"), C("lr_status"))
-    return fx.tickets.select(
+    return st.with_status(fx.tickets).select(
         "src_order",
-        st.remap_status(status).alias("status"),
+        st.remap_status(C("status")).alias("status"),
         st.remap_category(F.coalesce("category_raw", F.lit(""))).alias("category"),
     )
 
@@ -315,8 +300,9 @@ def v3(fx):
     over("fx_kb", *KB_EMBEDDED) + "SELECT kb_id, CAST(bucket AS INT) AS bucket, round(w, 6) AS weight FROM kb_vec",
 )
 def v4(fx):
-    texts = fx.kb.select("kb_id", tx.kb_text(C("subject"), C("email_body")).alias("text"))
-    entries = vec.embed_hashed(texts, "text", "vector").select("kb_id", F.posexplode("vector").alias("bucket", "w"))
+    texts = fx.kb_spread.select("kb_id", tx.kb_text(C("subject"), C("email_body")).alias("text"))
+    # Outer, since for a plain explode Spark adds a size filter that computes every vector twice.
+    entries = vec.embed_hashed(texts, "text", "vector").select("kb_id", F.posexplode_outer("vector").alias("bucket", "w"))
     return entries.where(C("w") != 0).select("kb_id", "bucket", F.round(C("w").cast("double"), 6).alias("weight"))
 
 
@@ -333,7 +319,7 @@ def v5(fx):
     # A seventh of the vectors becomes all zeros.
     factor = C("vec_id") % 7
     scaled = F.transform("embedding", lambda x: x.cast("double") * factor)
-    entries = fx.table("embeddings").select("vec_id", F.posexplode(vec.l2_normalise(scaled)).alias("pos", "x"))
+    entries = fx.table("embeddings").select("vec_id", F.posexplode_outer(vec.l2_normalise(scaled)).alias("pos", "x"))
     return entries.select("vec_id", "pos", F.round("x", 6).alias("x"))
 
 

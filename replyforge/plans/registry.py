@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from replyforge.functions.text import WHITESPACE
 from replyforge.plans.fixtures import Fixtures, oracle_views
+from replyforge.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,7 +18,11 @@ def query(name: str, sql: str | None = None):
     """Register a query over the fixtures, with its checking SQL where there is one."""
 
     def register(build: Callable[[Fixtures], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(Fixtures(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return build(Fixtures(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return build
