@@ -14,7 +14,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,3 +169,19 @@ def cell_topk(
     )
     second = block_candidates(rest, index.rows, k, keys, block_rows)
     return rank_hits(first.drop("rank").unionByName(second.drop("cell")), k)
+
+
+def save_index(index: CellIndex, path: str) -> None:
+    """Index as tables under ``path``: rows by collection, cells, centres."""
+    index.rows.hint("rebalance", "collection", "cell").write.mode("overwrite").partitionBy("collection").parquet(f"{path}/rows")
+    index.cells.write.mode("overwrite").parquet(f"{path}/cells")
+    spark = index.rows.sparkSession
+    centres = [(i, c.tolist()) for i, c in enumerate(index.centres)]
+    spark.createDataFrame(centres, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def load_index(spark: SparkSession, path: str) -> CellIndex:
+    rows = spark.read.schema("cell int, kb_id bigint, vector array<float>, collection string").parquet(f"{path}/rows")
+    # As many rows as the index has cells.
+    centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    return CellIndex(np.array([c["centre"] for c in centres]), rows, spark.read.parquet(f"{path}/cells"))

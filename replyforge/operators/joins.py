@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
-HOT_KEYS = 512
-TRACKED_KEYS = 8192
-SALTS = 64
+HOT_KEYS = 4096
+TRACKED_KEYS = 32_768
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Read at most ``max_rows + 1`` rows of ``df`` and tell whether it is small."""
+    """Count the rows and characters of ``df`` in one pass that moves no rows, and tell whether it is small."""
     width = F.length(F.to_json(F.struct("*")))
-    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 
@@ -30,49 +29,46 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the keys that hold at least ``hot_rows`` rows; never more than ``HOT_KEYS`` rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hashes of the keys with more than ``hot_rows`` rows and how many parts each is cut into.
 
-    A mergeable sketch finds them in one pass without a shuffle by key. It only
-    decides what gets salted, so its error cannot change a result.
+    Never more than ``HOT_KEYS`` rows: a mergeable sketch finds them in one pass
+    without a shuffle by key. It only decides what gets salted, so its error cannot
+    change a result.
     """
     top = df.select(key_hash(keys).alias("_hash")).agg(
         F.expr(f"approx_top_k(_hash, {HOT_KEYS}, {TRACKED_KEYS})").alias("top")
     )
     return (
         top.select(F.explode("top").alias("t"))
-        .where(F.col("t.count") >= hot_rows)
-        .select(F.col("t.item").alias("_hash"), F.lit(True).alias("_hot"))
+        .where(F.col("t.count") > hot_rows)
+        .select(F.col("t.item").alias("_hash"), F.ceil(F.col("t.count") / hot_rows).cast("bigint").alias("_parts"))
     )
 
 
 def salted_left_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Shuffled left join; rows of a hot key go to ``salts`` partitions.
+    """Shuffled left join to one row per key; a hot key is cut into parts of about ``hot_rows`` rows.
 
     ``spread`` names columns that tell the rows of one key apart. The salt is their
     hash and not a random number, so a retried task puts every row where it was.
+    The right row of a hot key is copied once per part: at most one copy for every
+    ``hot_rows`` rows of the left side.
     """
-    hot = F.broadcast(hot_hashes(left, keys, hot_rows))
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts))
+    hot = F.broadcast(hot_keys(left, keys, hot_rows))
+    zero = F.lit(0).cast("bigint")
     big = (
         left.withColumn("_hash", key_hash(keys))
         .join(hot, "_hash", "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0).cast("bigint")))
-        .drop("_hash", "_hot")
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), zero))
+        .drop("_hash", "_parts")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     small = (
         right.withColumn("_hash", key_hash(keys))
         .join(hot, "_hash", "left")
-        .withColumn("_salt", F.explode(F.coalesce(copies, F.array(F.lit(0).cast("bigint")))))
-        .drop("_hash", "_hot")
+        .withColumn("_salt", F.explode(F.sequence(zero, F.coalesce("_parts", F.lit(1)) - 1)))
+        .drop("_hash", "_parts")
     )
     return big.join(small, [*keys, "_salt"], "left").drop("_salt")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from replyforge.functions.text import body_or_subject, escape_text, kb_text, query_text
 from replyforge.functions.vectors import Embedder, embed_hashed
 from replyforge.operators import replies, search, tickets
+from replyforge.operators.cells import NPROBE, CellIndex, cell_topk
 from replyforge.operators.joins import salted_anti_join, salted_left_join
 from replyforge.session import materialise
 
@@ -24,12 +25,28 @@ class Knowledge:
     ``rows``: collection, kb_id, subject, email_body, fields (map), and ``vector`` when it is stored.
     ``fields``: collection, field, ordinal. ``templates``: collection, html.
     ``category_map``: raw, collection; None for the fixed map.
+    ``index``: cell index over the rows; without it the search is a full one. With
+    ``nprobe`` cells alone the answer is approximate, unless ``exact_cells`` is set.
     """
 
     rows: DataFrame
     fields: DataFrame
     templates: DataFrame
     category_map: DataFrame | None = None
+    index: CellIndex | None = None
+    nprobe: int = NPROBE
+    exact_cells: bool = True
+
+
+def best_rows(queries: DataFrame, knowledge: Knowledge, embed: Embedder = embed_hashed, k: int = 1) -> DataFrame:
+    """Top ``k`` rows of each query (collection, query_id, vector) by the index or by a full search."""
+    if knowledge.index is not None:
+        return cell_topk(queries, knowledge.index, k, knowledge.nprobe, knowledge.exact_cells)
+    if "vector" in knowledge.rows.columns:
+        vectors = search.searchable(knowledge.rows).select("collection", "kb_id", "vector")
+    else:
+        vectors = embed_rows(knowledge.rows, embed)
+    return search.exact_topk(queries, vectors, k)
 
 
 def embed_rows(rows: DataFrame, embed: Embedder = embed_hashed) -> DataFrame:
@@ -81,12 +98,12 @@ def find_answers(asked: DataFrame, knowledge: Knowledge, embed: Embedder = embed
         "texts",
     )
     queries = embed(texts.select("collection", F.col("text_id").alias("query_id"), "query_text"), "query_text", "vector")
-    if "vector" in knowledge.rows.columns:
-        vectors = search.searchable(knowledge.rows).select("collection", "kb_id", "vector")
-    else:
-        vectors = embed_rows(knowledge.rows, embed)
-    hits = search.exact_topk(queries.drop("query_text"), vectors, 1).select(
-        "collection", F.col("query_id").alias("text_id"), "kb_id", "score"
+    # The search is the dearest step: written, so that nothing after it can run it again.
+    hits = materialise(
+        best_rows(queries.drop("query_text"), knowledge, embed).select(
+            "collection", F.col("query_id").alias("text_id"), "kb_id", "score"
+        ),
+        "hits",
     )
     wanted = hits.join(texts.select("collection", "text_id", "statuses"), ["collection", "text_id"])
     cells = knowledge.rows.select(

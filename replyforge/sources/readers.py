@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from replyforge.functions.text import as_text, names_of, sanitize_name, similar_names
 from replyforge.operators.joins import lookup_join
+from replyforge.session import materialise
 from replyforge.sources.schemas import BATCH_COLUMNS, ENVELOPE, MISSING_WORDS, RESULTS, SHEET_COLUMNS, TICKET_COLUMNS
 
 # Delivered header -> column name.
@@ -47,6 +48,11 @@ def known(c: Column) -> Column:
     return F.when(~c.isin(MISSING_WORDS), c)
 
 
+def decoded(path: Column) -> Column:
+    """A file path or name without its URL escapes."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def _order(df: DataFrame, order: str | None) -> Column:
     """The order column, else the read position: ascending within a file, which one task reads as a whole."""
     return F.col(f"`{order}`").cast("bigint") if order else F.monotonically_increasing_id()
@@ -82,18 +88,19 @@ def read_envelopes(spark: SparkSession, path: str | Sequence[str], multi_line: b
 def read_templates(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per template file; its name in collection form is the key."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    name = sanitize_name(F.regexp_replace("file", r"\.html?$", ""))
+    name = sanitize_name(F.regexp_replace(decoded(F.col("file")), r"\.html?$", ""))
     return files.select(name.alias("collection"), F.col("value").alias("html"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
+def read_results(spark: SparkSession, path: str, partitions: str | None = None) -> DataFrame:
     """Earlier result rows, or none when there is no such table yet."""
+    schema = RESULTS if partitions is None else f"{RESULTS}, {partitions}"
     try:
-        return spark.read.schema(RESULTS).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], RESULTS)
+        return spark.createDataFrame([], schema)
 
 
 @dataclass
@@ -116,11 +123,17 @@ def read_sheets(
     """
     places = [f"_c{i}" for i in range(max_columns + 1)]
     raw = spark.read.schema(", ".join(f"{p} string" for p in places)).csv(path, header=False, enforceSchema=True, **CSV_OPTIONS)
-    lines = raw.select(
-        sanitize_name(F.regexp_extract("_metadata.file_path", name_pattern, 1)).alias("collection"),
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("position"),
-        F.array(*places).alias("cells"),
+    path_text = decoded(F.col("_metadata.file_path"))
+    used = F.array_max(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1)))
+    # Written once: the checks, the header and the rows all read it, and the positions stay as they are.
+    lines = materialise(
+        raw.select(
+            sanitize_name(F.regexp_extract(path_text, name_pattern, 1)).alias("collection"),
+            path_text.alias("file"),
+            F.monotonically_increasing_id().alias("position"),
+            F.array(*places).alias("cells"),
+        ).withColumn("cells", F.slice("cells", 1, F.coalesce(used, F.lit(0)))),
+        "sheets",
     )
     # A file is read by one task, so its positions are consecutive from its first line on.
     starts = lines.groupBy("file").agg(F.min("position").alias("start"))
