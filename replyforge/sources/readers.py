@@ -142,8 +142,14 @@ def read_sheets(
         F.filter(F.transform("cells", lambda c, i: F.struct(c.alias("name"), i.alias("at"))), lambda x: x["name"].isNotNull()),
         lambda x: F.struct(sanitize_name(x["name"]).alias("name"), x["at"].alias("at")),
     )
-    headers = numbered.where(F.col("line") == 1).select("file", "collection", names.alias("header"))
-    titles = F.transform("header", lambda h: h["name"])
+    # One row per file; written, so that the checks read names and do not derive them again.
+    headers = materialise(
+        numbered.where(F.col("line") == 1)
+        .select("file", "collection", names.alias("header"))
+        .withColumn("titles", F.transform("header", lambda h: h["name"])),
+        "headers",
+    )
+    titles = F.col("titles")
     absent = F.array_except(names_of(SHEET_COLUMNS), titles)
     problem = (
         F.when(F.get(F.transform("header", lambda h: h["at"]), F.size("header") - 1) >= max_columns, "too many columns")
@@ -152,7 +158,7 @@ def read_sheets(
     )
     hints = F.array_join(F.flatten(F.transform(absent, lambda w: similar_names(w, titles))), ", ")
     # Two files of one collection: the later file name replaces the earlier, as a later ingest would.
-    checked = headers.select("file", "collection", "header", titles.alias("titles"), problem.alias("problem"), hints.alias("similar"))
+    checked = headers.select("file", "collection", "header", "titles", problem.alias("problem"), hints.alias("similar"))
     winner = checked.where(F.col("problem").isNull()).groupBy("collection").agg(F.max("file").alias("file"))
     state = checked.join(winner.withColumn("kept", F.lit(True)), ["collection", "file"], "left").withColumn(
         "problem", F.coalesce("problem", F.when(F.col("kept").isNull(), "replaced by a later file"))
