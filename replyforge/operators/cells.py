@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from replyforge.functions.vectors import norm
 from replyforge.operators.joins import lookup_join
-from replyforge.operators.search import BLOCK_ROWS, SCORE_DIGITS, _matrix, _unit_rows, block_candidates, rank_hits
+from replyforge.operators.search import BLOCK_ROWS, SCORE_DIGITS, _matrix, _unit_rows, candidates, rank_hits
 from replyforge.session import materialise
 
 if TYPE_CHECKING:
@@ -150,7 +150,7 @@ def cell_topk(
     planned = materialise(_plan_probes(queries, index, nprobe), "probes")
     entries = planned.select("collection", "query_id", "vector", F.explode("probes").alias("p"))
     first_cells = entries.where("p.probed").select("collection", F.col("p.cell").alias("cell"), "query_id", "vector")
-    first = rank_hits(block_candidates(first_cells, index.rows, k, keys, block_rows), k)
+    first = rank_hits(candidates(first_cells, index.rows, k, keys, block_rows), k)
     if not exact:
         return first
     first = materialise(first, "first")
@@ -167,7 +167,7 @@ def cell_topk(
         .select("collection", "query_id", "vector", F.explode(open_cells).alias("p"))
         .select("collection", F.col("p.cell").alias("cell"), "query_id", "vector")
     )
-    second = block_candidates(rest, index.rows, k, keys, block_rows)
+    second = candidates(rest, index.rows, k, keys, block_rows)
     return rank_hits(first.drop("rank").unionByName(second.drop("cell")), k)
 
 

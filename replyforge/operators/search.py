@@ -7,7 +7,7 @@ the id to decide.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -25,6 +25,7 @@ if TYPE_CHECKING:
 SCORE_DIGITS = 6
 BLOCK_ROWS = 32_768
 SCORES_AT_ONCE = 4 << 20
+SPREAD_ROWS = 1_000_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -39,103 +40,193 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
+def _best_rows(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and scores of the ``k`` best rows of each query; on equal scores the first row wins.
+
+    Both sides are unit rows. Scores are whole numbers of the last kept digit. The
+    product is made in strips, so that no strip has more than ``SCORES_AT_ONCE`` entries.
+    """
+    n, m = len(queries), len(rows)
+    take, step = min(k, m), max(1, SCORES_AT_ONCE // m)
+    best, scores = np.empty((n, take), dtype=np.int64), np.empty((n, take), dtype=np.int64)
+    for start in range(0, n, step):
+        strip = slice(start, start + step)
+        units = np.rint(queries[strip] @ rows.T * 10**SCORE_DIGITS).astype(np.int64)
+        # One integer per pair orders by score, then by position: no ties left.
+        at = np.argpartition(np.arange(m) - units * m, take - 1, axis=1)[:, :take]
+        best[strip], scores[strip] = at, np.take_along_axis(units, at, axis=1)
+    return best, scores
+
+
+def _pairs(group: dict, query_ids: pa.Array, kb_ids: np.ndarray, scores: np.ndarray) -> dict:
+    """Result columns for all queries of one group; ``kb_ids`` and ``scores`` have one row per query."""
+    import pyarrow as pa
+
+    n, taken = kb_ids.shape
+    return {
+        **{key: pa.repeat(value, n * taken) for key, value in group.items()},
+        "query_id": query_ids.take(pa.array(np.repeat(np.arange(n), taken))),
+        "kb_id": pa.array(kb_ids.ravel()),
+        "score": pa.array(scores.ravel() / 10**SCORE_DIGITS),
+    }
+
+
+class _Groups:
+    """A table cut by its keys: per group its ids and unit vectors, rows in id order."""
+
+    def __init__(self, table: pa.Table, keys: Sequence[str], row_id: str):
+        import pyarrow as pa
+
+        table = table.combine_chunks()
+        code = table.select(list(keys)).to_pandas().groupby(list(keys), dropna=False).ngroup().to_numpy()
+        ids = table[row_id].to_numpy() if row_id == "kb_id" else np.arange(table.num_rows)
+        order = np.lexsort((ids, code))
+        # Ordered and normalised once; a group is a slice.
+        table, code = table.take(pa.array(order)), code[order]
+        vectors, row_ids = _unit_rows(_matrix(table["vector"])), table[row_id].combine_chunks()
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        self.members = {}
+        for start, end in zip(starts, np.append(starts[1:], len(code)), strict=True):
+            group = {key: table[key][int(start)] for key in keys}
+            name = tuple(value.as_py() for value in group.values())
+            self.members[name] = group, row_ids.slice(start, end - start), vectors[start:end]
+
+
 def _best_of_block(keys: Sequence[str], k: int):
     """For one block of queries and one block of rows: the ``k`` best rows of each query."""
 
     def best(queries: pa.Table, rows: pa.Table) -> pa.Table:
         import pyarrow as pa
 
-        n, m = queries.num_rows, rows.num_rows
-        if n == 0 or m == 0:
-            return pa.table(
-                {
-                    **{key: queries[key].slice(0, 0) for key in keys},
-                    "query_id": queries["query_id"].slice(0, 0),
-                    "kb_id": rows["kb_id"].slice(0, 0),
-                    "score": pa.array([], pa.float64()),
-                }
-            )
-        # Rows by ascending id, so that a smaller position wins a tie.
+        names = [*keys, "query_id", "kb_id", "score"]
+        if queries.num_rows == 0 or rows.num_rows == 0:
+            kinds = [*[queries.schema.field(c).type for c in (*keys, "query_id")], rows.schema.field("kb_id").type, pa.float64()]
+            return pa.table([pa.array([], kind) for kind in kinds], names=names)
         rows = rows.sort_by("kb_id")
-        right = _unit_rows(_matrix(rows["vector"])).T
-        left = _unit_rows(_matrix(queries["vector"]))
-        take, scale = min(k, m), 10**SCORE_DIGITS
-        picked, scores = [], []
-        step = max(1, SCORES_AT_ONCE // m)
-        for start in range(0, n, step):
-            units = np.rint(left[start : start + step] @ right * scale).astype(np.int64)
-            # One integer per pair orders by score, then by position: no ties left.
-            order = units * m - np.arange(m)
-            best_at = np.argpartition(-order, take - 1, axis=1)[:, :take]
-            picked.append(best_at.ravel())
-            scores.append(np.take_along_axis(units, best_at, axis=1).ravel() / scale)
-        asked = np.repeat(np.arange(n), take)
-        return pa.table(
-            {
-                **{key: queries[key].take(asked) for key in keys},
-                "query_id": queries["query_id"].take(asked),
-                "kb_id": rows["kb_id"].take(np.concatenate(picked)),
-                "score": pa.array(np.concatenate(scores)),
-            }
-        )
+        at, scores = _best_rows(_unit_rows(_matrix(queries["vector"])), _unit_rows(_matrix(rows["vector"])), k)
+        group = {key: queries[key][0] for key in keys}
+        ids = rows["kb_id"].to_numpy()
+        return pa.table(_pairs(group, queries["query_id"].combine_chunks(), ids[at], scores)).select(names)
 
     return best
 
 
-def block_candidates(
+def _search_small_rows(small, keys: Sequence[str], k: int):
+    """Over partitions of queries: all rows are at hand, so each query gets its final rows."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        rows = _Groups(small.value, keys, "kb_id").members
+        for batch in batches:
+            asked = _Groups(pa.Table.from_batches([batch]), keys, "query_id").members
+            for name, (group, query_ids, vectors) in asked.items():
+                if name in rows:
+                    _, kb_ids, stored = rows[name]
+                    at, scores = _best_rows(vectors, stored, k)
+                    yield pa.RecordBatch.from_pydict(_pairs(group, query_ids, kb_ids.to_numpy()[at], scores))
+
+    return search
+
+
+def _search_small_queries(small, keys: Sequence[str], k: int):
+    """Over partitions of rows: all queries are at hand and keep their best rows of the partition."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        asked = _Groups(small.value, keys, "query_id").members
+        kept: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for name, (_, kb_ids, stored) in _Groups(pa.Table.from_batches([batch]), keys, "kb_id").members.items():
+                if name not in asked:
+                    continue
+                at, scores = _best_rows(asked[name][2], stored, k)
+                ids = kb_ids.to_numpy()[at]
+                if name in kept:
+                    ids, scores = np.hstack([kept[name][0], ids]), np.hstack([kept[name][1], scores])
+                    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+                    ids, scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+                kept[name] = ids, scores
+        for name, (ids, scores) in kept.items():
+            yield pa.RecordBatch.from_pydict(_pairs(asked[name][0], asked[name][1], ids, scores))
+
+    return search
+
+
+def candidates(
     queries: DataFrame, kb: DataFrame, k: int, keys: Sequence[str] = ("collection",), block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """The ``k`` best rows of each query in every block of its group (``keys``).
+    """Rows among which are the ``k`` best of every query within its group (``keys``).
 
     ``queries``: keys, query_id, vector. ``kb``: keys, kb_id, vector.
-    Each side of a group is cut by id hash into blocks of about ``block_rows``
-    rows and every query block meets every row block in one task as a matrix
-    product. A task holds two blocks however large the group is, pairs are never
-    written as rows, and a task returns only ``k`` rows per query.
+
+    A side that has no more than ``block_rows`` rows is sent to the tasks and the other
+    side is scanned where it lies, without a shuffle. Otherwise each side of a group is
+    cut by id hash into blocks of about ``block_rows`` rows, and every query block meets
+    every row block in one task. Either way a task multiplies matrices of at most a
+    block, however large the group is; pairs are never written as rows.
     """
     keys = list(keys)
-
-    def blocks(rows: str) -> Column:
-        return F.ceil(F.col(rows) / block_rows).cast("int")
-
+    spark = queries.sparkSession
     # One row per group that has both queries and rows; counting combines map-side.
     asked = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_queries"))
     stored = kb.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    grid = materialise(
-        asked.join(stored, keys).select(
-            *keys, blocks("_queries").alias("_query_blocks"), blocks("_rows").alias("_row_blocks")
-        ),
-        "grid",
-    )
+    grid = materialise(asked.join(stored, keys), "grid")
+    query_count, row_count = grid.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("_queries", "_rows")]).first()
 
-    def place(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
-        """Own block by id hash, once for each block of the other side."""
-        gridded = lookup_join(df, grid, keys, [row_id]).where(F.col("_query_blocks").isNotNull())
-        # Aliases give both sides their own attributes when they stem from one table.
+    def in_grid(df: DataFrame, row_id: str) -> DataFrame:
+        """Rows whose group is in the grid. Aliases give both sides their own attributes when they stem from one table."""
+        gridded = lookup_join(df, grid, keys, [row_id]).where(F.col("_rows").isNotNull())
         return gridded.select(
-            *[F.col(c).alias(c) for c in keys],
-            F.col(row_id).alias(row_id),
-            F.col("vector").cast("array<float>").alias("vector"),
-            F.pmod(F.xxhash64(row_id), F.col(f"{own}s")).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other),
-        )
+            *[F.col(c).alias(c) for c in (*keys, row_id)],
+            F.col("vector").cast("array<float>").alias("vector"), "_queries", "_rows",
+        )
 
-    block_keys = [*keys, "_query_block", "_row_block"]
-    left = place(queries, "query_id", "_query_block", "_row_block")
-    right = place(kb, "kb_id", "_row_block", "_query_block")
+    left, right = in_grid(queries, "query_id"), in_grid(kb, "kb_id")
     schema = T.StructType(
-        [left.schema[c] for c in keys]
-        + [left.schema["query_id"], right.schema["kb_id"], T.StructField("score", T.DoubleType())]
-    )
-    return (
-        left.groupBy(*block_keys).cogroup(right.groupBy(*block_keys)).applyInArrow(_best_of_block(keys, k), schema)
+        [left.schema[c] for c in (*keys, "query_id")] + [right.schema["kb_id"], T.StructField("score", T.DoubleType())]
     )
+    asked_side, stored_side = [*keys, "query_id", "vector"], [*keys, "kb_id", "vector"]
+
+    def dealt(df: DataFrame, count: int, row_id: str) -> DataFrame:
+        """Rows few enough to lie in one file, and so in one task, are dealt out to all cores."""
+        return df.repartition(spark.sparkContext.defaultParallelism, row_id) if count < SPREAD_ROWS else df
+
+    if row_count <= block_rows:
+        small = spark.sparkContext.broadcast(right.select(*stored_side).toArrow())
+        scanned = dealt(left.select(*asked_side), query_count, "query_id")
+        return scanned.mapInArrow(_search_small_rows(small, keys, k), schema)
+    if query_count <= block_rows:
+        small = spark.sparkContext.broadcast(left.select(*asked_side).toArrow())
+        scanned = dealt(right.select(*stored_side), row_count, "kb_id")
+        return scanned.mapInArrow(_search_small_queries(small, keys, k), schema)
+
+    def place(df: DataFrame, row_id: str, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+        """Own block by id hash, once for each block of the other side."""
+
+        def blocks(count: str) -> Column:
+            return F.ceil(F.col(count) / block_rows).cast("int")
+
+        return df.select(
+            *keys,
+            row_id,
+            "vector",
+            F.pmod(F.xxhash64(row_id), blocks(own[0])).cast("int").alias(own[1]),
+            F.explode(F.sequence(F.lit(0), blocks(other[0]) - 1)).alias(other[1]),
+        )
+
+    by_query, by_row = ("_queries", "_query_block"), ("_rows", "_row_block")
+    block_keys = [*keys, by_query[1], by_row[1]]
+    asked_blocks = place(left, "query_id", by_query, by_row).groupBy(*block_keys)
+    row_blocks = place(right, "kb_id", by_row, by_query).groupBy(*block_keys)
+    return asked_blocks.cogroup(row_blocks).applyInArrow(_best_of_block(keys, k), schema)
 
 
-def rank_hits(candidates: DataFrame, k: int) -> DataFrame:
+def rank_hits(found: DataFrame, k: int) -> DataFrame:
     """``rank`` 1..k per query; the window limit runs before the shuffle as well."""
     order = Window.partitionBy("collection", "query_id").orderBy(F.desc("score"), F.asc("kb_id"))
-    ranked = candidates.select("collection", "query_id", "kb_id", "score", F.row_number().over(order).alias("rank"))
+    ranked = found.select("collection", "query_id", "kb_id", "score", F.row_number().over(order).alias("rank"))
     return ranked.where(F.col("rank") <= k)
 
 
@@ -145,7 +236,7 @@ def exact_topk(queries: DataFrame, kb: DataFrame, k: int = 1, block_rows: int =
     ``queries``: collection, query_id, vector. ``kb``: collection, kb_id, vector.
     Returns collection, query_id, kb_id, score, rank.
     """
-    return rank_hits(block_candidates(queries, kb, k, ("collection",), block_rows), k)
+    return rank_hits(candidates(queries, kb, k, ("collection",), block_rows), k)
 
 
 def searchable(kb: DataFrame) -> DataFrame:

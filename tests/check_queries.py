@@ -23,7 +23,7 @@ def duck(sf_dir: str):
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(value + 0.0)
+        return "nan" if math.isnan(value) else repr(value)
     if isinstance(value, bool) or value is None:
         return repr(value)
     if isinstance(value, int):

@@ -46,7 +46,7 @@ def sides(spark):
     return rows, queries, spark.createDataFrame(rows, ROWS), spark.createDataFrame(queries, QUERIES)
 
 
-@pytest.mark.parametrize(("k", "block_rows"), [(1, 32768), (5, 50), (10, 16), (1000, 100)])
+@pytest.mark.parametrize(("k", "block_rows"), [(1, 32768), (5, 100), (5, 50), (10, 16), (1000, 100), (1000, 32768)])
 def test_exact_topk_is_brute_force(sides, k, block_rows):
     rows, queries, kb, asked = sides
     assert collected(search.exact_topk(asked, kb, k, block_rows)) == brute_force(rows, queries, k)
@@ -69,7 +69,7 @@ def test_hot_collection_is_cut_into_blocks(spark, sides, monkeypatch):
 
     original = search._best_of_block
     monkeypatch.setattr(search, "_best_of_block", watched)
-    assert search.block_candidates(asked, kb, 1, block_rows=50).count() > 0
+    assert search.candidates(asked, kb, 1, block_rows=50).count() > 0
     assert seen.value == 0
 
 
