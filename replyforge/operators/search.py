@@ -193,7 +193,8 @@ def candidates(
         """Rows few enough to lie in one file, and so in one task, are dealt out to all cores."""
         return df.repartition(spark.sparkContext.defaultParallelism, row_id) if count < SPREAD_ROWS else df
 
-    if row_count <= block_rows:
+    # Of two small sides the smaller one is sent.
+    if row_count <= min(block_rows, query_count):
         small = spark.sparkContext.broadcast(right.select(*stored_side).toArrow())
         scanned = dealt(left.select(*asked_side), query_count, "query_id")
         return scanned.mapInArrow(_search_small_rows(small, keys, k), schema)

@@ -130,6 +130,13 @@ def test_resume_adds_nothing(world):
     assert batch.append_results(first, first.drop("error")).count() == 2 * emails.count()
 
 
+def test_batches_without_emails_or_searches(world):
+    emails, tickets, knowledge = world
+    assert batch.reply_to_batch(emails.where("src_order < 0"), tickets, knowledge).count() == 0
+    unsearched = batch.reply_to_batch(emails.where("ticket in ('3', '5', '99')"), tickets, knowledge)
+    assert outcomes(unsearched) == {k: WANTED[k] for k in (5, 7, 10)}
+
+
 def test_single_ticket_uses_subject_for_a_blank_body(spark, world):
     _, tickets, knowledge = world
     row = batch.reply_to_ticket(spark, "1", "other words", " ", tickets, knowledge).first()

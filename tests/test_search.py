@@ -52,6 +52,20 @@ def test_exact_topk_is_brute_force(sides, k, block_rows):
     assert collected(search.exact_topk(asked, kb, k, block_rows)) == brute_force(rows, queries, k)
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_more_queries_than_rows(spark, sides, k):
+    rows, queries, _, asked = sides
+    few = [r for r in rows if r[0] != "hot" or r[1] % 20 == 0]
+    assert len(few) < len(queries)
+    assert collected(search.exact_topk(asked, spark.createDataFrame(few, ROWS), k)) == brute_force(few, queries, k)
+
+
+def test_nothing_to_search(sides):
+    _, _, kb, asked = sides
+    assert search.exact_topk(asked.where("collection = 'missing'"), kb, 3).count() == 0
+    assert search.exact_topk(asked, kb.where("kb_id < 0"), 3).count() == 0
+
+
 def test_hot_collection_is_cut_into_blocks(spark, sides, monkeypatch):
     """No task gets more than a block of either side."""
     _, _, kb, asked = sides
