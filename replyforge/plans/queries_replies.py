@@ -380,8 +380,7 @@ def s6(fx):
     path = scratch_path(fx.spark, "templates")
     pages = fx.table("pages").select("html", F.concat(F.lit("Page "), C("page_id").cast("string")).alias("name"))
     pages.write.partitionBy("name").text(path)
-    files = fx.spark.read.text(path, wholetext=True)
-    return files.select(tx.sanitize_name(C("name")).alias("collection"), C("value").alias("html"))
+    return readers.read_templates(fx.spark, path, name_pattern="name=([^/]+)/").select("collection", "html")
 
 
 @query(
@@ -427,6 +426,29 @@ def s11(fx):
     )
 
 
+@query(
+    "s5_envelope_scan",
+    FAILED + "SELECT error, coalesce(error, status) AS said, count(*) AS envelopes FROM failed GROUP BY ALL",
+)
+def s5(fx):
+    """Error envelopes beside envelopes with results, of which the schema fits both."""
+    path = scratch_path(fx.spark, "envelopes")
+    result = F.struct(F.lit(1).alias("rank"), C("src_order").cast("string").alias("id"), C("status"))
+    results = F.when(C("error").isNull(), F.array(result))
+    writers.write_envelopes(_failed(fx).select("error", results.alias("results")), path)
+    read = readers.read_envelopes(fx.spark, path, multi_line=False)
+    said = F.coalesce("error", F.get("results", F.lit(0))["status"])
+    return read.groupBy("error", said.alias("said")).agg(F.count(F.lit(1)).alias("envelopes"))
+
+
+@query("s12_prior_results", over("fx_emails") + "SELECT ticket, src_order, 0 AS earlier FROM fx_emails")
+def s12(fx):
+    """A first run: no result table yet, so every email is open."""
+    earlier = readers.read_results(fx.spark, scratch_path(fx.spark, "absent"))
+    opened = batch.not_done(fx.emails.select("ticket", "src_order"), earlier)
+    return opened.withColumn("earlier", F.lit(0))
+
+
 @query(
     "s13_reply_texts",
     over("fx_emails") + "SELECT CAST(count(*) AS BIGINT) AS replies FROM fx_emails",

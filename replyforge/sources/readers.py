@@ -85,10 +85,10 @@ def read_envelopes(spark: SparkSession, path: str | Sequence[str], multi_line: b
     return spark.read.schema(ENVELOPE).json(path, multiLine=multi_line)
 
 
-def read_templates(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_templates(spark: SparkSession, path: str | Sequence[str], name_pattern: str = r"([^/]+)\.html?$") -> DataFrame:
     """One row per template file; its name in collection form is the key."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    name = sanitize_name(F.regexp_replace(decoded(F.col("file")), r"\.html?$", ""))
+    files = spark.read.text(path, wholetext=True).select("value", decoded(F.col("_metadata.file_path")).alias("file"))
+    name = sanitize_name(F.regexp_extract("file", name_pattern, 1))
     return files.select(name.alias("collection"), F.col("value").alias("html"))
 
 

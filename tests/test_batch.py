@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from test_status import SCHEMA as TICKETS
 from test_status import ticket
 
-from replyforge.operators import cells, replies
+from replyforge.operators import cells, joins, replies
 from replyforge.plans import batch
 
 EMAILS = "ticket string, src_order long, subject string, email_body string"
@@ -130,6 +130,19 @@ def test_resume_adds_nothing(world):
     assert batch.append_results(first, first.drop("error")).count() == 2 * emails.count()
 
 
+def test_no_broadcast_and_every_key_hot(spark, world, monkeypatch):
+    """The other way of every join: nothing is small, and each repeated key is cut into parts."""
+    emails, tickets, knowledge = world
+    original = joins.hot_keys
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(joins, "hot_keys", lambda df, keys, _: original(df, keys, 1))
+    copies = emails.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    many = copies.withColumn("src_order", F.col("src_order") + F.col("copy") * 100).drop("copy")
+    results = batch.reply_to_batch(many, tickets, knowledge)
+    got = results.groupBy(F.pmod("src_order", F.lit(100)).alias("n"), "outcome", "response_generated").count().collect()
+    assert {(r.n, r.outcome, r.response_generated, r["count"]) for r in got} == {(n, *w, 40) for n, w in WANTED.items()}
+
+
 def test_batches_without_emails_or_searches(world):
     emails, tickets, knowledge = world
     assert batch.reply_to_batch(emails.where("src_order < 0"), tickets, knowledge).count() == 0
