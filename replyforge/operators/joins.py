@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
-HOT_KEYS = 4096
-TRACKED_KEYS = 32_768
+SKETCHES = 64
+HOT_KEYS_PER_SKETCH = 64
+TRACKED_KEYS_PER_SKETCH = 512
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -32,12 +33,14 @@ def key_hash(keys: Sequence[str]) -> Column:
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Hashes of the keys with more than ``hot_rows`` rows and how many parts each is cut into.
 
-    Never more than ``HOT_KEYS`` rows: a mergeable sketch finds them in one pass
-    without a shuffle by key. It only decides what gets salted, so its error cannot
-    change a result.
+    Never more than ``SKETCHES * HOT_KEYS_PER_SKETCH`` rows. Mergeable sketches find them
+    in one pass without a shuffle by key; the keys are dealt to several sketches, so that
+    no single task merges those of all tasks. They only decide what gets salted, so
+    their error cannot change a result.
     """
-    top = df.select(key_hash(keys).alias("_hash")).agg(
-        F.expr(f"approx_top_k(_hash, {HOT_KEYS}, {TRACKED_KEYS})").alias("top")
+    hashed = df.select(key_hash(keys).alias("_hash"))
+    top = hashed.groupBy(F.pmod("_hash", F.lit(SKETCHES)).alias("_sketch")).agg(
+        F.expr(f"approx_top_k(_hash, {HOT_KEYS_PER_SKETCH}, {TRACKED_KEYS_PER_SKETCH})").alias("top")
     )
     return (
         top.select(F.explode("top").alias("t"))
@@ -47,9 +50,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
 
 
 def salted_left_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], hot_rows: int = HOT_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    how: str = "left",
 ) -> DataFrame:
-    """Shuffled left join to one row per key; a hot key is cut into parts of about ``hot_rows`` rows.
+    """Shuffled left (or inner) join to one row per key; a hot key is cut into parts of about ``hot_rows`` rows.
 
     ``spread`` names columns that tell the rows of one key apart. The salt is their
     hash and not a random number, so a retried task puts every row where it was.
@@ -70,7 +78,7 @@ def salted_left_join(
         .withColumn("_salt", F.explode(F.sequence(zero, F.coalesce("_parts", F.lit(1)) - 1)))
         .drop("_hash", "_parts")
     )
-    return big.join(small, [*keys, "_salt"], "left").drop("_salt")
+    return big.join(small, [*keys, "_salt"], how).drop("_salt")
 
 
 def lookup_join(
@@ -87,6 +95,25 @@ def lookup_join(
     return salted_left_join(left, right, keys, spread, hot_rows)
 
 
+def fetch_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
+    """Rows of ``left`` with the row of a big table they point to, which is there for each of them.
+
+    When ``left`` is small it is broadcast and the big table is scanned where it lies.
+    """
+    if fits_broadcast(left):
+        return right.join(F.broadcast(left), list(keys))
+    return salted_left_join(left, right, keys, spread, how="inner")
+
+
+def asked_for(right: DataFrame, left: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``right`` without the rows no key of ``left`` asks for, when those keys are few enough to broadcast.
+
+    Saves the shuffle of the rest before an aggregate or join; with many keys all rows are kept.
+    """
+    wanted = left.select(*keys).distinct()
+    return right.join(F.broadcast(wanted), list(keys), "left_semi") if fits_broadcast(wanted) else right
+
+
 def salted_anti_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
     """Rows of ``left`` whose key is not in ``right``; hot keys are spread like in the left join."""
     present = right.select(*keys).distinct().withColumn("_present", F.lit(True))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyforge.functions import status as st
 from replyforge.functions.text import sanitize_collection
-from replyforge.operators.joins import lookup_join, salted_left_join
+from replyforge.operators.joins import asked_for, lookup_join, salted_left_join
 
 TICKET_FIELDS = ["data_from", "loan_status", "repayment_status", "lr_status", "category_raw"]
 
@@ -27,30 +29,51 @@ def first_per_ticket(tickets: DataFrame, fields: list[str] | None = None) -> Dat
     )
 
 
-def ticket_index(tickets: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per id a ticket can be asked by; the main id wins over the alternative one."""
+def by_id(tickets: DataFrame) -> DataFrame:
+    """A row for each id a ticket can be asked by; ``_kind`` is 0 for the main id, 1 for the alternative one.
+
+    Exploded from one scan, so that nothing before it is computed twice.
+    """
     ids = F.array(
         F.struct(F.col("ticket").alias("id"), F.lit(0).alias("kind")),
         F.struct(F.col("alt_ticket").alias("id"), F.lit(1).alias("kind")),
     )
-    # Exploded from one scan, so that nothing before it is computed twice.
+    rest = [c for c in tickets.columns if c not in ("ticket", "alt_ticket")]
     return (
-        tickets.select(F.explode(ids).alias("_key"), "src_order", *fields)
+        tickets.select(F.explode(ids).alias("_key"), *rest)
         .where(F.col("_key.id").isNotNull())
-        .select(F.col("_key.id").alias("ticket"), F.col("_key.kind").alias("_kind"), "src_order", *fields)
-        .groupBy("ticket")
+        .select(F.col("_key.id").alias("ticket"), F.col("_key.kind").alias("_kind"), *rest)
+    )
+
+
+def ticket_index(keyed: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per id: the first row by main id, else the first by alternative id."""
+    return (
+        keyed.groupBy("ticket")
         .agg(F.min_by(F.struct("_kind", *fields), F.struct("_kind", "src_order")).alias("r"))
-        .select("ticket", F.when(F.col("r._kind") == 0, "direct").otherwise("alternative").alias("matched_by"), *[f"r.{f}" for f in fields])
+        .select(
+            "ticket",
+            F.when(F.col("r._kind") == 0, "direct").otherwise("alternative").alias("matched_by"),
+            *[f"r.{f}" for f in fields],
+        )
     )
 
 
-def look_up(emails: DataFrame, tickets: DataFrame, fields: list[str], spread: list[str] | None = None) -> DataFrame:
+def look_up(
+    emails: DataFrame,
+    tickets: DataFrame,
+    fields: list[str],
+    derive: Callable[[DataFrame], DataFrame] = lambda df: df,
+    spread: Sequence[str] = ("src_order",),
+) -> DataFrame:
     """Emails with the fields of their ticket; ``matched_by`` is ``none`` on a miss.
 
     Main and alternative id are one index, so there is one join and the emails are
-    shuffled once.
+    shuffled once. Only tickets that are asked for are put through ``derive`` and sorted
+    into the index, when the asked ids are few.
     """
-    joined = salted_left_join(emails, ticket_index(tickets, fields), ["ticket"], spread or ["src_order"])
+    keyed = derive(asked_for(by_id(tickets), emails, ["ticket"]))
+    joined = salted_left_join(emails, ticket_index(keyed, fields), ["ticket"], spread)
     return joined.withColumn("matched_by", F.coalesce("matched_by", F.lit("none")))
 
 
@@ -83,7 +106,7 @@ def resolve_tickets(
     emails: DataFrame, tickets: DataFrame, category_map: DataFrame | None = None, compat: bool = True
 ) -> DataFrame:
     """Emails with ``status``, ``category`` and ``matched_by``; ids without a ticket get ``not_found``."""
-    found = look_up(emails, classify(tickets, category_map, compat), ["status", "category"])
+    found = look_up(emails, tickets, ["status", "category"], lambda df: classify(df, category_map, compat))
     return found.withColumn("status", F.coalesce("status", F.lit(st.NOT_FOUND))).withColumn(
         "category", F.coalesce("category", F.lit(st.NOT_FOUND))
     )

@@ -12,7 +12,7 @@ from replyforge.functions.text import body_or_subject, escape_text, kb_text, que
 from replyforge.functions.vectors import Embedder, embed_hashed
 from replyforge.operators import replies, search, tickets
 from replyforge.operators.cells import NPROBE, CellIndex, cell_topk
-from replyforge.operators.joins import salted_anti_join, salted_left_join
+from replyforge.operators.joins import fetch_rows, salted_anti_join, salted_left_join
 from replyforge.session import materialise
 
 RESULT_COLUMNS = ["ticket", "src_order", "subject", "email_body", "response_generated", "template_referred", "outcome", "error"]
@@ -98,19 +98,16 @@ def find_answers(asked: DataFrame, knowledge: Knowledge, embed: Embedder = embed
         "texts",
     )
     queries = embed(texts.select("collection", F.col("text_id").alias("query_id"), "query_text"), "query_text", "vector")
-    # The search is the dearest step: written, so that nothing after it can run it again.
-    hits = materialise(
-        best_rows(queries.drop("query_text"), knowledge, embed).select(
-            "collection", F.col("query_id").alias("text_id"), "kb_id", "score"
-        ),
-        "hits",
+    hits = best_rows(queries.drop("query_text"), knowledge, embed).select(
+        "collection", F.col("query_id").alias("text_id"), "kb_id", "score"
     )
-    wanted = hits.join(texts.select("collection", "text_id", "statuses"), ["collection", "text_id"])
+    # The search is the dearest step: written, so that nothing after it can run it again.
+    wanted = materialise(hits.join(texts.select("collection", "text_id", "statuses"), ["collection", "text_id"]), "hits")
     cells = knowledge.rows.select(
         "collection", "kb_id", F.col("subject").alias("hit_subject"), F.col("email_body").alias("hit_body"), "fields"
     )
-    # Many texts may hit one row, so the popular rows are salted.
-    found = salted_left_join(wanted, cells, ["collection", "kb_id"], ["text_id"])
+    # Many texts may hit one row, so the popular rows are salted where this is a shuffle.
+    found = fetch_rows(wanted, cells, ["collection", "kb_id"], ["text_id"])
     responses = F.map_filter("fields", lambda name, _: F.array_contains("statuses", name))
     return found.withColumn("responses", responses).drop("fields", "statuses")
 

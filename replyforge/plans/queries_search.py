@@ -112,11 +112,12 @@ def k3(fx):
 
 def _projected(fx, k: int):
     """Hits with subject, body and the cell of the column the email's status names."""
-    hits = _text_hits(fx, tx.query_text(C("subject"), C("email_body")), k)
+    # Written, since the checks and joins after it would run the search again.
+    hits = materialise(_text_hits(fx, tx.query_text(C("subject"), C("email_body")), k), "hits")
     asked = _named(fx).select(
         C("src_order").alias("query_id"), "status", C("subject").alias("query_subject"), C("email_body").alias("query_body")
     )
-    found = joins.salted_left_join(hits, fx.kb_rows, ["collection", "kb_id"], ["query_id"])
+    found = joins.fetch_rows(hits, fx.kb_rows, ["collection", "kb_id"], ["query_id", "rank"])
     cell = F.try_element_at("fields", C("status"))
     return found.join(asked, "query_id").withColumn("response", cell)
 
