@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
+MOST_NAMES = 500
 SKETCHES = 64
 HOT_KEYS_PER_SKETCH = 64
 TRACKED_KEYS_PER_SKETCH = 512
@@ -114,7 +115,16 @@ def asked_for(right: DataFrame, left: DataFrame, keys: Sequence[str]) -> DataFra
     return right.join(F.broadcast(wanted), list(keys), "left_semi") if fits_broadcast(wanted) else right
 
 
+def in_named_partitions(big: DataFrame, small: DataFrame, column: str, most: int = MOST_NAMES) -> DataFrame:
+    """``big`` limited to the values of ``column`` that ``small`` has, as a filter the scan can prune partitions by.
+
+    Without effect when there are more than ``most`` values.
+    """
+    names = [r[0] for r in small.select(column).distinct().limit(most + 1).collect()]
+    return big.where(F.col(column).isin(names)) if len(names) <= most else big
+
+
 def salted_anti_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
     """Rows of ``left`` whose key is not in ``right``; hot keys are spread like in the left join."""
-    present = right.select(*keys).distinct().withColumn("_present", F.lit(True))
+    present = asked_for(right.select(*keys), left, keys).distinct().withColumn("_present", F.lit(True))
     return salted_left_join(left, present, keys, spread).where(F.col("_present").isNull()).select(*left.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replyforge.functions.text import is_blank, list_repr, similar_names
-from replyforge.operators.joins import lookup_join
+from replyforge.operators.joins import in_named_partitions, lookup_join
 from replyforge.session import materialise
 
 if TYPE_CHECKING:
@@ -170,7 +170,8 @@ def candidates(
     keys = list(keys)
     spark = queries.sparkSession
     # One row per group that has both queries and rows; counting combines map-side.
-    asked = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_queries"))
+    asked = materialise(queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_queries")), "asked")
+    kb = in_named_partitions(kb, asked, "collection")
     stored = kb.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     grid = materialise(asked.join(stored, keys), "grid")
     query_count, row_count = grid.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("_queries", "_rows")]).first()

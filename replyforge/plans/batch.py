@@ -12,7 +12,7 @@ from replyforge.functions.text import body_or_subject, escape_text, kb_text, que
 from replyforge.functions.vectors import Embedder, embed_hashed
 from replyforge.operators import replies, search, tickets
 from replyforge.operators.cells import NPROBE, CellIndex, cell_topk
-from replyforge.operators.joins import fetch_rows, salted_anti_join, salted_left_join
+from replyforge.operators.joins import fetch_rows, in_named_partitions, salted_anti_join, salted_left_join
 from replyforge.session import materialise
 
 RESULT_COLUMNS = ["ticket", "src_order", "subject", "email_body", "response_generated", "template_referred", "outcome", "error"]
@@ -107,7 +107,7 @@ def find_answers(asked: DataFrame, knowledge: Knowledge, embed: Embedder = embed
         "collection", "kb_id", F.col("subject").alias("hit_subject"), F.col("email_body").alias("hit_body"), "fields"
     )
     # Many texts may hit one row, so the popular rows are salted where this is a shuffle.
-    found = fetch_rows(wanted, cells, ["collection", "kb_id"], ["text_id"])
+    found = fetch_rows(wanted, in_named_partitions(cells, wanted, "collection"), ["collection", "kb_id"], ["text_id"])
     responses = F.map_filter("fields", lambda name, _: F.array_contains("statuses", name))
     return found.withColumn("responses", responses).drop("fields", "statuses")
 

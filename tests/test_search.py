@@ -1,9 +1,12 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from replyforge.functions import vectors as vec
-from replyforge.operators import cells, search
+from replyforge.operators import cells, joins, search
+from replyforge.sources import writers
 
 ROWS = "collection string, kb_id long, vector array<float>"
 QUERIES = "collection string, query_id string, vector array<float>"
@@ -60,6 +63,20 @@ def test_more_queries_than_rows(spark, sides, k):
     assert collected(search.exact_topk(asked, spark.createDataFrame(few, ROWS), k)) == brute_force(few, queries, k)
 
 
+def test_only_asked_collections_are_read(spark, sides, tmp_path, capsys):
+    """The full search over a stored knowledge base reads the partitions of the asked collections."""
+    rows, _, kb, asked = sides
+    writers.write_collections(kb, str(tmp_path / "kb"))
+    stored = spark.read.schema("kb_id long, vector array<float>, collection string").parquet(str(tmp_path / "kb"))
+    few = asked.where("collection = 'small'")
+    search.exact_topk(few, stored, 2).explain()
+    assert re.search(r"PartitionFilters: \[[^\]]*(= small|IN \(small)", capsys.readouterr().out)
+    pruned = joins.in_named_partitions(stored, few, "collection")
+    files = pruned.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+    assert files and all("/collection=small/" in r.f for r in files)
+    assert joins.in_named_partitions(stored, asked, "collection", most=1) is stored
+
+
 def test_nothing_to_search(sides):
     _, _, kb, asked = sides
     assert search.exact_topk(asked.where("collection = 'missing'"), kb, 3).count() == 0
