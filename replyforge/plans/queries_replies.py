@@ -373,13 +373,13 @@ def s4(fx):
 
 @query(
     "s6_template_scan",
-    "SELECT 'page_' || page_id AS collection, html || chr(10) AS html FROM pages",
+    over("fx_templates") + "SELECT 'page_' || collection AS collection, html || chr(10) AS html FROM fx_templates",
 )
 def s6(fx):
-    """Pages written as one folder per name and read back as whole files."""
+    """Templates written as one file per name and read back as whole files."""
     path = scratch_path(fx.spark, "templates")
-    pages = fx.table("pages").select("html", F.concat(F.lit("Page "), C("page_id").cast("string")).alias("name"))
-    pages.write.partitionBy("name").text(path)
+    named = fx.templates.select("html", F.concat(F.lit("Page "), C("collection")).alias("name"))
+    named.write.partitionBy("name").text(path)
     return readers.read_templates(fx.spark, path, name_pattern="name=([^/]+)/").select("collection", "html")
 
 
@@ -459,3 +459,31 @@ def s13(fx):
     writers.write_reply_texts(fx.emails.select(printed.alias("reply")), path)
     lines = fx.spark.read.text(path)
     return lines.where(C("value") == "=== END OF EMAIL ===").agg(F.count(F.lit(1)).alias("replies"))
+
+
+JSON_OUTCOMES = "['search', 'template_fallback', 'generic_fallback', 'error']"
+
+
+@query(
+    "s13_reply_json",
+    over("fx_emails")
+    + f""", told AS (SELECT *, list_extract({JSON_OUTCOMES}, CAST(src_order % 4 AS INT) + 1) AS outcome FROM fx_emails)
+       SELECT src_order, CASE WHEN outcome = 'error' THEN 'error' ELSE 'success' END AS status, email_body AS email_response,
+         CASE WHEN outcome = 'search' THEN 'm' END AS model, outcome LIKE '%fallback' AS fallback_template_used,
+         CASE outcome WHEN 'template_fallback' THEN 'FALL BACK TEMPLATE USED (LLM)' WHEN 'generic_fallback' THEN 'GENERIC FALLBACK USED' END AS flag
+       FROM told""",
+)
+def s13_json(fx):
+    """Replies written as JSON texts and read back."""
+    path = scratch_path(fx.spark, "replies")
+    outcome = F.get(F.array(*map(F.lit, ["search", "template_fallback", "generic_fallback", "error"])), C("src_order") % 4)
+    told = fx.emails.withColumn("outcome", outcome)
+    model = F.when(C("outcome") == "search", "m")
+    text = replies.reply_json(C("outcome"), C("email_body"), model, F.lit(None).cast("string"))
+    told.select("src_order", text.alias("reply")).write.json(path)
+    shape = "status string, email_response string, metadata struct<model string, fallback_template_used boolean, fallback_template_flag string>"
+    read = fx.spark.read.schema("src_order bigint, reply string").json(path).withColumn("reply", F.from_json("reply", shape))
+    return read.select(
+        "src_order", "reply.status", "reply.email_response", "reply.metadata.model",
+        "reply.metadata.fallback_template_used", C("reply.metadata.fallback_template_flag").alias("flag"),
+    )
