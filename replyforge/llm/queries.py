@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyforge.llm import exact_dedup, line_dedup, quality
+from replyforge.llm import exact_dedup, line_dedup, private_data, quality
 from replyforge.llm.common import documents
 from replyforge.session import ship_package
 
@@ -43,3 +43,8 @@ def op4_quality_rules(docs: DataFrame) -> DataFrame:
 @query("op6_exact_dedup", exact_dedup.SQL)
 def op6_exact_dedup(docs: DataFrame) -> DataFrame:
     return exact_dedup.exact_groups(docs)
+
+
+@query("op8_private_data")
+def op8_private_data(docs: DataFrame) -> DataFrame:
+    return private_data.digest(private_data.find(docs))
