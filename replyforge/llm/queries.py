@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyforge.llm import exact_dedup, line_dedup, private_data, quality
+from replyforge.llm import exact_dedup, language, line_dedup, packing, private_data, quality
 from replyforge.llm.common import documents
 from replyforge.session import ship_package
 
@@ -48,3 +48,13 @@ def op6_exact_dedup(docs: DataFrame) -> DataFrame:
 @query("op8_private_data")
 def op8_private_data(docs: DataFrame) -> DataFrame:
     return private_data.digest(private_data.find(docs))
+
+
+@query("op9_language_id")
+def op9_language_id(docs: DataFrame) -> DataFrame:
+    return language.identify(docs)
+
+
+@query("op7_packing")
+def op7_packing(docs: DataFrame) -> DataFrame:
+    return packing.pack(docs)
