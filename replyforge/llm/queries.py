@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyforge.llm import exact_dedup, language, line_dedup, packing, private_data, quality
+from replyforge.llm import exact_dedup, language, line_dedup, packing, pieces, private_data, quality
 from replyforge.llm.common import documents
 from replyforge.session import ship_package
 
@@ -58,3 +58,8 @@ def op9_language_id(docs: DataFrame) -> DataFrame:
 @query("op7_packing")
 def op7_packing(docs: DataFrame) -> DataFrame:
     return packing.pack(docs)
+
+
+@query("op2_sentence_pieces")
+def op2_sentence_pieces(docs: DataFrame) -> DataFrame:
+    return pieces.digest(pieces.decode(pieces.encode(docs)))
