@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyforge.llm import exact_dedup, language, line_dedup, packing, pieces, private_data, quality
+from replyforge.llm import exact_dedup, language, line_dedup, packing, pieces, private_data, quality, substring_dedup, suffix_dedup
 from replyforge.llm.common import documents
 from replyforge.session import ship_package
 
@@ -63,3 +63,13 @@ def op7_packing(docs: DataFrame) -> DataFrame:
 @query("op2_sentence_pieces")
 def op2_sentence_pieces(docs: DataFrame) -> DataFrame:
     return pieces.digest(pieces.decode(pieces.encode(docs)))
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(docs: DataFrame) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup_substrings(docs))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(docs: DataFrame) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup_suffixes(docs))
