@@ -110,6 +110,23 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = 2, id_
     )
 
 
+def remove_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the text that :func:`dedup_lines` leaves; other columns as they are.
+
+    A document that loses all its lines goes, since nothing of it is left; one that was empty before stays.
+    """
+    rows = chosen(docs, id_col=id_col, text_col=text_col)
+    gone = repeated_chunks(rows, divisor, min_lines).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("idxs").alias("_idxs"))
+    on = docs[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_fp"))
+    lines = _lines(docs[text_col])
+    chunks = F.filter(_chunks(lines, divisor, True), lambda c: ~F.array_contains("_idxs", c["idx"]))
+    left = let(chunks, lambda cs: F.when(F.size(cs) > 0, F.array_join(F.transform(cs, lambda c: c["body"]), "\n")))
+    changed = F.col("_idxs").isNotNull()
+    new = F.when(changed, left).otherwise(docs[text_col])
+    joined = docs.join(gone, on, "left").withColumn("_new", new).where(~changed | F.col("_new").isNotNull())
+    return joined.select(*[F.col("_new").alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
 def digest(deduped: DataFrame) -> DataFrame:
     return deduped.select(
         "doc_id", "n_lines", "n_chunks", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyforge.llm import exact_dedup, language, line_dedup, packing, pieces, private_data, quality, substring_dedup, suffix_dedup
+from replyforge.llm import exact_dedup, language, line_dedup, near_dedup, packing, pieces, private_data, quality, substring_dedup, suffix_dedup
 from replyforge.llm.common import documents
 from replyforge.session import ship_package
 
@@ -73,3 +73,8 @@ def op5_substring_dedup(docs: DataFrame) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(docs: DataFrame) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedup_suffixes(docs))
+
+
+@query("op3_near_dedup")
+def op3_near_dedup(docs: DataFrame) -> DataFrame:
+    return near_dedup.near_groups(docs, near_dedup.Likeness(words=2, percent=80)).drop("fp")
