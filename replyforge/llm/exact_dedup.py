@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyforge.llm.common import chosen, without_space
+from replyforge.session import materialise
 
 SALTS = 64
 HEAD_CHARACTERS = 32
@@ -51,6 +52,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.row_number().over(run.orderBy(*best_first)).alias("place"),
         F.count(F.lit(1)).over(run).alias("run_size"),
     )
+    # Written once, without the texts: the groups and the result are both made from it.
+    runs = materialise(runs, "exact-runs")
     group = Window.partitionBy("digest")
     merged = (
         runs.where("place = 1")
