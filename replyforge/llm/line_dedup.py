@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyforge.llm.common import chosen, let, with_per_document
+from replyforge.session import materialise
 
 # Fixed values of the boundary rule; the checking SQL has the same.
 MULTIPLIER = 1_000_003
@@ -69,7 +70,8 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = 2)
         .select("doc_id", "fp", F.col("chunk.idx").alias("idx"), F.xxhash64(body).alias("hash"), body.alias("body"))
     )
     twice = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    candidates = chunks.join(twice, "hash")
+    # Written, so that a join with a very common chunk can be split before the grouping.
+    candidates = materialise(chunks.join(twice, "hash"), "line-candidates")
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("fp").alias("c"), F.col("idx").alias("d"))
     # Grouping by the body itself is the comparison of bytes; a common chunk shrinks to one row in each task.
     groups = candidates.groupBy("hash", "body").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
