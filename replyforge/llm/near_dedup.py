@@ -25,6 +25,9 @@ OFFSET = 20
 MARGIN = 0.13
 # Sets that can only be linked with an equal set have no registers.
 SMALL = 3
+# Buckets up to this size are compared by a join; a row meets no more than these.
+MOST_PAIRED = 32
+BLOCK_MEMBERS = 2000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LOW_64 = (1 << 64) - 1
 
@@ -140,6 +143,13 @@ def likely(n_a: np.ndarray, regs_a: np.ndarray, n_b: np.ndarray, regs_b: np.ndar
     return j[np.arange(len(j)), fit.argmax(axis=1)]
 
 
+def least_same(j: float) -> float:
+    """Six standard deviations below the equal registers to expect of two sets with similarity ``j``."""
+    chance = -math.log(1 - (1 - j) / 2 * (REGISTER_BASE - 1) / REGISTER_BASE) / math.log(REGISTER_BASE)
+    same = 1 - 2 * chance
+    return REGISTERS * same - 6 * math.sqrt(REGISTERS * same * (1 - same))
+
+
 SKETCHED = "id bigint, fp bigint, n int, node binary, bands array<bigint>, regs binary"
 
 
@@ -209,26 +219,94 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likenes
 def _links(nodes: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
     """Links that join all nodes reachable from one another, from the bands that nodes share.
 
-    Every node of a bucket is compared with the bucket's first, which joins nearly all of a group.
-    Then, wherever a bucket still holds nodes of several components, its nodes are compared across
-    components, so no pair of a bucket is left out that could join two.
+    Every node of a bucket is compared with the bucket's first, which joins most of a group. Wherever a
+    bucket then still holds several components, its members are compared across components, so no
+    pair of a bucket that could join two is left out. Members of small buckets meet in a join, those of
+    large ones in blocks, where only links leave the task.
     """
     places = nodes.where(F.col("n") > SMALL).select("nid", F.explode("bands").alias("band"))
     firsts = places.groupBy("band").agg(F.min("nid").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialise(places.join(firsts, "band").select("band", "a", F.col("nid").alias("b")), "near-buckets")
-    pairs = shared.where("a <> b").select("a", "b").distinct()
+    buckets = materialise(places.join(firsts, "band").select("band", "nid", "a"), "near-buckets")
+    pairs = buckets.where("a <> nid").select("a", F.col("nid").alias("b")).distinct()
     links = _verified(pairs, nodes, rows, like)
-    components = materialise(connected_components(links), "near-first")
-    named = shared.join(components.withColumnRenamed("node", "b"), "b", "left").select(
-        "band", F.col("b").alias("nid"), "a", F.coalesce("component", "b").alias("component")
+    components = materialise(connected_components(links).withColumnRenamed("node", "nid"), "near-first")
+    named = buckets.join(components, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    mixed = named.groupBy("band").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
     )
-    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    # Two nodes of a bucket that were both far from its first one by size or registers may still be near.
-    open_ = materialise(named.where(F.col("nid") != F.col("a")).join(mixed.select("band"), "band"), "near-open")
-    one = open_.select("band", F.col("nid").alias("a"), F.col("component").alias("ca"))
-    other = open_.select("band", F.col("nid").alias("b"), F.col("component").alias("cb"))
+    mixed = mixed.where("low < high").select("band", "size")
+    # The first of a bucket is compared with all others already.
+    open_ = materialise(named.where("a <> nid").join(mixed, "band").select("band", "size", "nid", "component"), "near-open")
+    few = open_.where(F.col("size") <= MOST_PAIRED)
+    one = few.select("band", F.col("nid").alias("a"), F.col("component").alias("ca"))
+    other = few.select("band", F.col("nid").alias("b"), F.col("component").alias("cb"))
     across = one.join(other, "band").where("ca < cb").select("a", "b").distinct()
-    return links.unionByName(_verified(across, nodes, rows, like))
+    links = links.unionByName(_verified(across, nodes, rows, like))
+    return links.unionByName(_block_links(open_.where(F.col("size") > MOST_PAIRED), nodes, rows, like))
+
+
+MEMBER = "band bigint, low int, high int, block int, nid bigint, component bigint, n int, regs binary, shingles array<bigint>"
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) across components inside large buckets.
+
+    A bucket is cut into blocks of about ``BLOCK_MEMBERS``; each pair of blocks is one group, so a
+    bucket with a third of all rows is spread over many tasks and none holds more than two blocks.
+    """
+    asked = materialise(members.select("nid").distinct(), "near-asked")
+    texts = rows.select("id", "fp", "text").join(nodes.select("nid", "id", "fp").join(asked, "nid"), ["id", "fp"])
+    sets = texts.dropDuplicates(["nid"]).select("nid", "text").mapInPandas(_set_maker(like.words), "nid bigint, shingles array<bigint>")
+    full = nodes.select("nid", "n", "regs").join(sets, "nid")
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int")
+    dealt = (
+        members.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "nid", "component")
+    )
+    wide = dealt.join(full, "nid").select(*[c.split()[0] for c in MEMBER.split(", ")])
+    found = wide.groupBy("band", "low", "high").applyInPandas(_block_comparer(like.percent), "a bigint, b bigint")
+    return materialise(found.distinct(), "near-block-links")
+
+
+def _block_comparer(percent: int):
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        """Links that join components, each joining two that no earlier one has joined."""
+        k = len(frame)
+        n, block = frame["n"].to_numpy(np.int64), frame["block"].to_numpy()
+        between = frame["low"].iloc[0] != frame["high"].iloc[0]
+        regs = np.frombuffer(b"".join(frame["regs"]), np.uint8).reshape(k, REGISTERS)
+        # A bit for each shingle that two members have.
+        owner = np.repeat(np.arange(k), n)
+        values, column, counts = np.unique(np.concatenate(list(frame["shingles"])), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        number = np.cumsum(shared) - 1
+        used = shared[column]
+        width = -(-int(shared.sum()) // 64) * 8
+        bits = np.zeros((k, width), np.uint8)
+        at = number[column[used]]
+        np.bitwise_or.at(bits, (owner[used], at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+        bits = bits.view(np.uint64)
+        names, group = np.unique(frame["component"].to_numpy(), return_inverse=True)
+        nid = frame["nid"].to_numpy()
+        out = []
+        for i in range(k):
+            js = np.arange(i + 1, k)
+            fits = (group[js] != group[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))
+            js = js[fits & (block[js] != block[i])] if between else js[fits]
+            if len(js) == 0:
+                continue
+            # Far too few equal registers: no need to look at the sets.
+            js = js[(regs[js] == regs[i]).sum(axis=1) >= least_same(percent / 100)]
+            both = np.bitwise_count(bits[i] & bits[js]).sum(axis=1, dtype=np.int64)
+            for j in js[100 * both >= percent * (n[i] + n[js] - both)]:
+                if group[j] != group[i]:
+                    out.append((min(nid[i], nid[j]), max(nid[i], nid[j])))
+                    group[group == group[j]] = group[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return compare
 
 
 def near_groups(docs: DataFrame, like: Likeness | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,6 +31,8 @@ from replyforge.session import materialise
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(m, -1, 1 << 64) for m in MULTIPLIERS)
 LAST_ID = (1 << 63) - 1
+# Characters at once: each symbol takes about 100 bytes while blocks are found.
+SYMBOL_BATCH = 1_000_000
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -170,7 +172,7 @@ def _parts(once: np.ndarray, more: np.ndarray) -> pd.DataFrame:
 def _sketcher(scheme: Scheme):
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The sketch of one partition, which holds only the cells it met: counts above one are one number."""
-        found = [b.gram for part in portions(frames) if len((b := scheme.blocks([text_bytes(t) for t in part["text"]])).gram)]
+        found = [b.gram for part in portions(frames, most=SYMBOL_BATCH) if len((b := scheme.blocks([text_bytes(t) for t in part["text"]])).gram)]
         if found:
             met, counts = np.unique(np.concatenate(cells(np.concatenate(found))), return_counts=True)
             yield _parts(met[counts == 1], met[counts > 1])
@@ -232,7 +234,7 @@ BLOCK_ROWS = "id bigint, fp bigint, low int, n int, gram bigint, x1 bigint, x2 b
 
 def _finder(scheme: Scheme, sketch: Broadcast):
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in portions(frames):
+        for part in portions(frames, most=SYMBOL_BATCH):
             b = scheme.blocks([text_bytes(t) for t in part["text"]])
             keep = sketch.value.maybe_repeated(b.gram)
             yield pd.DataFrame(
@@ -297,7 +299,7 @@ WINDOW_ROWS = "id bigint, fp bigint, low int, h1 bigint, h2 bigint"
 
 def _windows(scheme: Scheme):
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in portions(frames):
+        for part in portions(frames, most=SYMBOL_BATCH):
             first, second, starts = scheme.symbols([text_bytes(t) for t in part["text"]])
             one, two = Rolling(first, 0), Rolling(second, 1)
             sizes = [len(r) for r in part["ranges"]]

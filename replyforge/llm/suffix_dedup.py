@@ -28,8 +28,8 @@ WINDOW_BYTES = 200
 ANCHOR_BYTES = 32
 FIRST_BYTES = 25
 # Anchors with more classes than this are ranked over all tasks, the others each in one.
-MOST_CLASSES = 10_000
-MOST_POSITIONS = 4_000_000
+MOST_CLASSES = 3_000
+MOST_POSITIONS = 1_000_000
 
 STRETCHES = "gram bigint, id bigint, fp bigint, low int, n int, bytes binary"
 KEPT = "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
