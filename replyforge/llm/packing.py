@@ -20,7 +20,9 @@ WINDOW = 2048
 BIN = 8
 DEPTH = 3
 END_ID = 1
-MOST_CACHED = 200_000
+MOST_CACHED = 300_000
+# Punctuation that may be cut from the end of a word: runs of it are split from letters in any case.
+TAIL = ".,!?;:#*$%&"
 
 PREPARED = (
     "doc_id string, tokens bigint, full_crcs array<bigint>, rest int, rest_crc bigint, rest_ids binary"
@@ -37,7 +39,8 @@ def default_tokenizer() -> str:
 class Encoder:
     """Token ids of whole texts, with each distinct white-space-separated word encoded once.
 
-    Valid for a vocabulary whose normaliser and splitter never join text across white space.
+    Valid for a vocabulary whose normaliser and splitter never join text across white space, and that
+    splits letters from what follows them and marks the ends of letter runs, as word_bpe_49k.json does.
     """
 
     def __init__(self, path: str):
@@ -45,15 +48,47 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        # Whether an id ends a run of letters.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _alone(self, words: list[str]) -> list[np.ndarray]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype=np.uint32) for e in encoded]
+
+    def _letters(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words that are letters only: encoded as one text, which costs half, and cut at the word ends."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        edges = np.flatnonzero(self.ends[ids]) + 1
+        if len(edges) != len(words) or edges[-1] != len(ids):
+            return self._alone(words)
+        return [ids[a:b] for a, b in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=True)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode new words: letters and the punctuation after them apart, each distinct one once."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        bodies = [t.rstrip(TAIL) for t in texts]
+        # Lower case can turn a letter into a letter and a mark, which is no letter.
+        split = [b.lower().isalpha() for b in bodies]
+        letters = list({b.lower() if b.isascii() else b for b, s in zip(bodies, split, strict=True) if s})
+        found = dict(zip(letters, self._letters(letters), strict=True))
+        rest = list({t[len(b) :] if s else t for t, b, s in zip(texts, bodies, split, strict=True)} - {""})
+        found |= dict(zip(rest, self._alone(rest), strict=True))
+        for w, t, b, s in zip(words, texts, bodies, split, strict=True):
+            if not s:
+                self.known[w] = found[t]
+            else:
+                own = found[b.lower() if b.isascii() else b]
+                self.known[w] = own if len(t) == len(b) else np.concatenate((own, found[t[len(b) :]]))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         table = WordTable(texts)
         if len(self.known) > MOST_CACHED:
             self.known.clear()
-        new = [w for w in table.words if w not in self.known]
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, e in zip(new, encoded, strict=True):
-            self.known[word] = np.array(e.ids, dtype=np.uint32)
+        self._learn([w for w in table.words if w not in self.known])
         ids = [self.known[w] for w in table.words]
         if not ids:
             return [np.array([END_ID], np.uint32) for _ in texts]
