@@ -29,18 +29,12 @@ if TYPE_CHECKING:
 # Index and search setting.
 NLIST = 128
 NPROBE = 10
-TRAINING_ROWS_PER_CELL = 256
 
 
 def train_centres(kb: DataFrame, nlist: int = NLIST, seed: int = 7) -> np.ndarray:
-    """Centres as unit rows: ``nlist`` x dimensions, a fixed size whatever the data.
-
-    Only the training uses a sample; every row is indexed and searched.
-    """
+    """Centres as unit rows: ``nlist`` x dimensions, a fixed size whatever the data. All rows train them."""
     usable = kb.where(norm(F.col("vector")) > 0)
-    share = min(1.0, nlist * TRAINING_ROWS_PER_CELL / max(usable.count(), 1))
-    sample = usable if share == 1.0 else usable.sample(share, seed)
-    features = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    features = usable.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", maxIter=10).fit(features)
     return _unit_rows(np.asarray(model.clusterCenters()))
 

@@ -29,9 +29,26 @@ SPREAD_ROWS = 1_000_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows; a missing one is a zero row, and a shorter one ends in zeros."""
     vectors = column.combine_chunks()
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(vectors), -1)
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    width = int(lengths.max(initial=0))
+    if (lengths == width).all():
+        return flat.reshape(len(vectors), width)
+    rows = np.zeros((len(vectors), width))
+    rows[np.arange(width) < lengths[:, None]] = flat
+    return rows
+
+
+def _fitted(queries: np.ndarray, width: int) -> np.ndarray:
+    """Unit query rows cut or filled with zeros to the width of the stored vectors."""
+    if queries.shape[1] == width:
+        return queries
+    fitted = np.zeros((len(queries), width))
+    common = min(width, queries.shape[1])
+    fitted[:, :common] = queries[:, :common]
+    return _unit_rows(fitted)
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -46,6 +63,7 @@ def _best_rows(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarra
     Both sides are unit rows. Scores are whole numbers of the last kept digit. The
     product is made in strips, so that no strip has more than ``SCORES_AT_ONCE`` entries.
     """
+    queries = _fitted(queries, rows.shape[1])
     n, m = len(queries), len(rows)
     take, step = min(k, m), max(1, SCORES_AT_ONCE // m)
     best, scores = np.empty((n, take), dtype=np.int64), np.empty((n, take), dtype=np.int64)

@@ -201,9 +201,13 @@ def reply_to_batch(
 
 
 def not_done(emails: DataFrame, earlier: DataFrame, retry_errors: bool = False) -> DataFrame:
-    """Emails whose ticket has no result row yet; with ``retry_errors`` failed ones count as open."""
+    """Emails whose ticket has no result row yet; with ``retry_errors`` failed ones count as open.
+
+    A missing ticket id is an id like any other: emails without one are done once a result without one is there.
+    """
     done = earlier.where(F.col("outcome") != "error") if retry_errors else earlier
-    return salted_anti_join(emails, done, ["ticket"], ["src_order"])
+    named = lambda df: df.withColumn("_ticket", F.coalesce(F.concat(F.lit("="), F.col("ticket").cast("string")), F.lit("")))
+    return salted_anti_join(named(emails), named(done), ["_ticket"], ["src_order"]).drop("_ticket")
 
 
 def append_results(earlier: DataFrame, new: DataFrame) -> DataFrame:

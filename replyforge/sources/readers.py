@@ -24,7 +24,6 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
-MAX_SHEET_COLUMNS = 256
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str] = RENAMES) -> DataFrame:
@@ -112,18 +111,43 @@ class Sheets:
     report: DataFrame
 
 
+def _leading_lines(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, int]:
+    """(file, skipped): whether the reader leaves out an empty first line; and the columns of the widest line."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    commas = F.char_length("value") - F.char_length(F.replace("value", F.lit(","), F.lit("")))
+    lines = spark.read.text(path).select(decoded(F.col("_metadata.file_path")).alias("file"), "value", place.alias("place"), commas.alias("commas"))
+    files = materialise(lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), F.max("commas").alias("commas")), "sheet-files")
+    widest = files.agg(F.max("commas")).first()[0] or 0
+    return files.select("file", (F.trim(F.replace("first", F.lit("\r"), F.lit(""))) == "").cast("int").alias("skipped")), widest + 1
+
+
+def _delivered_names(cells: Column, width: Column) -> Column:
+    """The header cells over the whole width; a column without one is named after its position."""
+    every = F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1)
+    return F.transform(every, lambda i: F.coalesce(F.nullif(F.trim(F.get(cells, i)), F.lit("")), F.concat(F.lit("Unnamed: "), i.cast("string"))))
+
+
+def _numbered_twin(names: Column, name: Column, i: Column) -> Column:
+    """``name``, with a number when it stands before in ``names`` too."""
+    before = F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == name))
+    return F.when(before > 0, F.concat(name, F.lit("."), before.cast("string"))).otherwise(name)
+
+
 def read_sheets(
-    spark: SparkSession, path: str | Sequence[str], max_columns: int = MAX_SHEET_COLUMNS, name_pattern: str = r"([^/]+)\.csv$"
+    spark: SparkSession, path: str | Sequence[str], name_pattern: str = r"([^/]+)\.csv$"
 ) -> Sheets:
     """A folder of sheets as CSV: line 1 a title, line 2 the header, one collection per file.
 
-    All files are one scan into ``max_columns`` text columns, whatever their headers.
-    A sheet is bad when a required column is missing, when two headers have the same
-    name in collection form, or when it is wider than the scan; it is reported and left out.
+    All files are one scan into as many text columns as the widest line of any file has. A column
+    without a header is named after its position, equal headers are numbered, and an empty first
+    line counts as the title. A sheet is bad when a required column is missing or when two different
+    headers have the same name in collection form; it is reported and left out.
     """
-    places = [f"_c{i}" for i in range(max_columns + 1)]
-    raw = spark.read.schema(", ".join(f"{p} string" for p in places)).csv(path, header=False, enforceSchema=True, **CSV_OPTIONS)
     path_text = decoded(F.col("_metadata.file_path"))
+    lead, width = _leading_lines(spark, path)
+    places = [f"_c{i}" for i in range(width)]
+    schema = ", ".join(f"{p} string" for p in places)
+    raw = spark.read.schema(schema).csv(path, header=False, enforceSchema=True, maxColumns=width + 1, **CSV_OPTIONS)
     used = F.array_max(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1)))
     # Written once: the checks, the header and the rows all read it, and the positions stay as they are.
     lines = materialise(
@@ -137,23 +161,24 @@ def read_sheets(
     )
     # A file is read by one task, so its positions are consecutive from its first line on.
     starts = lines.groupBy("file").agg(F.min("position").alias("start"))
+    starts = starts.join(lead, "file").withColumn("start", F.col("start") - F.col("skipped")).drop("skipped")
     numbered = lookup_join(lines, starts, ["file"], ["position"]).withColumn("line", F.col("position") - F.col("start"))
-    names = F.transform(
-        F.filter(F.transform("cells", lambda c, i: F.struct(c.alias("name"), i.alias("at"))), lambda x: x["name"].isNotNull()),
-        lambda x: F.struct(sanitize_name(x["name"]).alias("name"), x["at"].alias("at")),
-    )
+    widths = numbered.where(F.col("line") > 0).groupBy("file").agg(F.max(F.size("cells")).alias("width"))
     # One row per file; written, so that the checks read names and do not derive them again.
     headers = materialise(
         numbered.where(F.col("line") == 1)
-        .select("file", "collection", names.alias("header"))
+        .join(widths, "file")
+        .withColumn("delivered", _delivered_names(F.col("cells"), F.col("width")))
+        .withColumn("delivered", F.transform("delivered", lambda x, i: _numbered_twin(F.col("delivered"), x, i)))
+        .withColumn("header", F.transform("delivered", lambda x, i: F.struct(sanitize_name(x).alias("name"), i.alias("at"))))
+        .select("file", "collection", "header")
         .withColumn("titles", F.transform("header", lambda h: h["name"])),
         "headers",
     )
     titles = F.col("titles")
     absent = F.array_except(names_of(SHEET_COLUMNS), titles)
     problem = (
-        F.when(F.get(F.transform("header", lambda h: h["at"]), F.size("header") - 1) >= max_columns, "too many columns")
-        .when(F.size(F.array_distinct(titles)) < F.size(titles), "two columns have the same name")
+        F.when(F.size(F.array_distinct(titles)) < F.size(titles), "two columns have the same name")
         .when(F.size(absent) > 0, F.concat(F.lit("missing columns: "), F.array_join(absent, ", ")))
     )
     hints = F.array_join(F.flatten(F.transform(absent, lambda w: similar_names(w, titles))), ", ")

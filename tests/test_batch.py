@@ -123,10 +123,10 @@ def test_prompts_are_generated_once_and_retried(spark, tmp_path):
 def test_resume_adds_nothing(world):
     emails, tickets, knowledge = world
     first = batch.reply_to_batch(emails, tickets, knowledge)
-    named = emails.where(F.col("ticket").isNotNull())
-    assert batch.not_done(named, first).count() == 0
+    assert batch.not_done(emails, first).count() == 0
+    assert batch.not_done(emails, first.where("ticket is not null")).count() == emails.where("ticket is null").count()
     again = first.withColumn("outcome", F.when(F.col("ticket") == "2", "error").otherwise(F.col("outcome")))
-    assert [r.ticket for r in batch.not_done(named, again, retry_errors=True).collect()] == ["2"]
+    assert [r.ticket for r in batch.not_done(emails, again, retry_errors=True).collect()] == ["2"]
     assert batch.append_results(first, first.drop("error")).count() == 2 * emails.count()
 
 

@@ -182,3 +182,13 @@ def test_envelopes_are_ordered_by_rank(spark):
 def test_top_status_is_null_when_empty(spark):
     hits = spark.createDataFrame([(1, 1, ""), (2, 1, "s"), (2, 2, "t")], "query_id int, rank int, status string")
     assert sorted(tuple(r) for r in search.top_status(hits).collect()) == [(1, None), (2, "s")]
+
+
+def test_missing_and_narrow_vectors():
+    import pyarrow as pa
+
+    column = pa.chunked_array([pa.array([[1.0, 0.0, 0.0], None, [0.0, 2.0]], pa.list_(pa.float32()))])
+    rows = search._unit_rows(search._matrix(column))
+    assert rows.tolist() == [[1, 0, 0], [0, 0, 0], [0, 1, 0]]
+    at, scores = search._best_rows(search._unit_rows(np.array([[3.0, 4.0]])), rows, 2)
+    assert at.tolist() == [[2, 0]] and scores.tolist() == [[800000, 600000]]

@@ -110,25 +110,41 @@ def sheets(tmp_path_factory):
     return str(folder)
 
 
+def test_sheets_as_they_come(spark, tmp_path):
+    (tmp_path / "Blank Header.csv").write_text("t,,,\nSubject,Email Body,,Reply\na,b,KEEP,d\n")
+    (tmp_path / "Equal.csv").write_text("t,,,\nSubject,Email Body,Reply,Reply\na,b,c,d\n")
+    (tmp_path / "No Title.csv").write_text("\nSubject,Email Body,X\na,b,c\n")
+    names = [f"c{i}" for i in range(400)]
+    (tmp_path / "Broad.csv").write_text("t\nSubject,Email Body," + ",".join(names) + "\na,b," + ",".join(f"v{i}" for i in range(400)) + "\n")
+    read = readers.read_sheets(spark, str(tmp_path))
+    assert {r.state for r in read.report.collect()} == {"ok"}
+    rows = {r.collection: (r.subject, r.email_body, r.fields) for r in read.rows.collect()}
+    assert rows["blank_header"] == ("a", "b", {"unnamed_2": "KEEP", "reply": "d"})
+    assert rows["equal"] == ("a", "b", {"reply": "c", "reply_1": "d"})
+    assert rows["no_title"] == ("a", "b", {"x": "c"})
+    assert rows["broad"][2] == {f"c{i}": f"v{i}" for i in range(400)}
+
+
 def test_sheets_are_read_in_one_scan(spark, sheets):
-    read = readers.read_sheets(spark, sheets, max_columns=10)
+    read = readers.read_sheets(spark, sheets)
     rows = sorted((r.collection, r.kb_id, r.subject, r.email_body, tuple(sorted(r.fields.items()))) for r in read.rows.collect())
     assert rows == [
         ("loan_help", 1, "close it", "two\nlines", (("im_closed", ""), ("imclosed", "Closed."))),
         ("loan_help", 2, "empty cells", "", (("im_closed", ""), ("imclosed", ""))),
+        ("wide", 1, "x", "y", tuple(sorted((f"c{i}", "") for i in range(20)))),
     ]
     fields = sorted((r.ordinal, r.field) for r in read.fields.where("collection = 'loan_help'").collect())
     assert [f for _, f in fields] == ["id", "embedding", "subject", "email_body", "imclosed", "im_closed"]
     report = {r.collection: (r.state, r.similar, r.expected) for r in read.report.collect()}
     assert report["no_body"] == ("missing columns: email_body", "mail_body", 1)
-    assert report["wide"][0] == "too many columns"
+    assert report["wide"][0] == "ok"
     assert report["twins"][0] == "two columns have the same name"
     assert report["empty"] == ("ok", "", 0)
 
 
 def test_ingest(spark, sheets, tmp_path):
     target = str(tmp_path / "kb")
-    first = ingest.ingest_sheets(spark, sheets, target, max_columns=10)
+    first = ingest.ingest_sheets(spark, sheets, target)
     report = {r.collection: (r.state, r.expected, r.stored, r.complete) for r in first.report.collect()}
     assert report["empty"] == ("ok", 0, 0, True)
     assert report["no_body"][0].startswith("missing") and report["no_body"][3] is None
@@ -139,10 +155,10 @@ def test_ingest(spark, sheets, tmp_path):
     again = tmp_path / "again"
     again.mkdir()
     (again / "Empty.csv").write_text("t,,\nSubject,Email Body,IM Closed\nnow,filled,Closed.\n")
-    second = ingest.ingest_sheets(spark, str(again), target, max_columns=10)
+    second = ingest.ingest_sheets(spark, str(again), target)
     assert [(r.collection, r.stored) for r in second.report.collect()] == [("empty", 1)]
     counts = {r.collection: r["rows"] for r in catalog.collection_counts(second.rows).collect()}
-    assert counts == {"loan_help": 2, "empty": 1}
+    assert counts == {"loan_help": 2, "empty": 1, "wide": 1}
 
 
 def test_catalog_of_empty_collections(spark):
