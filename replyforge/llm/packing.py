@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
+from functools import lru_cache
+from itertools import chain, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,8 @@ DEPTH = 3
 END_ID = 1
 MOST_CACHED = 300_000
 # Punctuation that may be cut from the end of a word: runs of it are split from letters in any case.
-TAIL = ".,!?;:#*$%&"
+TAIL = b".,!?;:#*$%&"
+MIXED = -1
 
 PREPARED = (
     "doc_id string, tokens bigint, full_crcs array<bigint>, rest int, rest_crc bigint, rest_ids binary"
@@ -37,70 +40,122 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts, with each distinct white-space-separated word encoded once.
+    """Token ids of whole texts, with each distinct run of letters encoded once.
 
-    Valid for a vocabulary whose normaliser and splitter never join text across white space, and that
-    splits letters from what follows them and marks the ends of letter runs, as word_bpe_49k.json does.
+    Valid for a vocabulary whose normaliser composes and lower-cases, that never joins text across white
+    space, splits letters from what follows them and marks the ends of letter runs, as word_bpe_49k.json does.
+
+    Known parts of words lie in one array of ids; a part is a number, with its place there in ``begins`` and
+    ``lengths``. Part 0 is empty.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
         vocabulary = self.tokenizer.get_vocab()
+        # Texts of the tokens that are found before lower-casing.
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Whether an id ends a run of letters.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-
-    def _alone(self, words: list[str]) -> list[np.ndarray]:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype=np.uint32) for e in encoded]
-
-    def _letters(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words that are letters only: encoded as one text, which costs half, and cut at the word ends."""
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        # A body that is not letters only is MIXED: its words are parts of their own in ``wholes``.
+        self.bodies: dict[bytes, int] = {b"": 0}
+        self.tails: dict[bytes, int] = {b"": 0}
+        self.wholes: dict[bytes, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.lengths = np.zeros(1, np.int64)
+        self.begins = np.zeros(1, np.int64)
+
+    def _alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts one after the other, and how many each has."""
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths
+
+    def _letters(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts that are letters only: encoded as one text, which costs half, and cut at the word ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
         edges = np.flatnonzero(self.ends[ids]) + 1
-        if len(edges) != len(words) or edges[-1] != len(ids):
-            return self._alone(words)
-        return [ids[a:b] for a, b in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=True)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words: letters and the punctuation after them apart, each distinct one once."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        bodies = [t.rstrip(TAIL) for t in texts]
+        if len(edges) != len(parts) or edges[-1] != len(ids):
+            return self._alone(parts)
+        return ids, np.diff(edges, prepend=0)
+
+    def _learn(self, known: dict[bytes, int], parts: list[bytes], encode) -> None:
+        """Give the ``parts`` numbers and append their ids."""
+        if not parts:
+            return
+        ids, lengths = encode([p.decode("utf-8", "replace") for p in parts])
+        known.update(zip(parts, range(len(self.lengths), len(self.lengths) + len(parts)), strict=True))
+        self.begins = np.append(self.begins, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.ids = np.append(self.ids, ids)
+
+    def _parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the body and of the tail of each word; a word that is a part of its own has no tail."""
+        bodies = [w.rstrip(TAIL) for w in words]
+        unseen = list(set(bodies) - self.bodies.keys())
         # Lower case can turn a letter into a letter and a mark, which is no letter.
-        split = [b.lower().isalpha() for b in bodies]
-        letters = list({b.lower() if b.isascii() else b for b, s in zip(bodies, split, strict=True) if s})
-        found = dict(zip(letters, self._letters(letters), strict=True))
-        rest = list({t[len(b) :] if s else t for t, b, s in zip(texts, bodies, split, strict=True)} - {""})
-        found |= dict(zip(rest, self._alone(rest), strict=True))
-        for w, t, b, s in zip(words, texts, bodies, split, strict=True):
-            if not s:
-                self.known[w] = found[t]
-            else:
-                own = found[b.lower() if b.isascii() else b]
-                self.known[w] = own if len(t) == len(b) else np.concatenate((own, found[t[len(b) :]]))
+        letters = [b for b in unseen if b.decode("utf-8", "replace").lower().isalpha()]
+        self.bodies.update(dict.fromkeys(unseen, MIXED))
+        self._learn(self.bodies, letters, self._letters)
+        body = np.fromiter(map(self.bodies.__getitem__, bodies), np.int64, len(words))
+        tail = np.zeros(len(words), np.int64)
+
+        mixed = np.flatnonzero(body == MIXED).tolist()
+        whole = [words[i] for i in mixed]
+        self._learn(self.wholes, list(set(whole) - self.wholes.keys()), self._alone)
+        body[mixed] = [self.wholes[w] for w in whole]
+
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) - np.fromiter(map(len, bodies), np.int64, len(words))
+        sizes[mixed] = 0
+        tailed = np.flatnonzero(sizes).tolist()
+        ends = [words[i][len(bodies[i]) :] for i in tailed]
+        self._learn(self.tails, list(set(ends) - self.tails.keys()), self._alone)
+        tail[tailed] = [self.tails[e] for e in ends]
+        return body, tail
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        table = WordTable(texts)
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        self._learn([w for w in table.words if w not in self.known])
-        ids = [self.known[w] for w in table.words]
-        if not ids:
+        table = WordTable([lowered(t, self.marks) for t in texts])
+        words = list(table.words)
+        if not words:
             return [np.array([END_ID], np.uint32) for _ in texts]
-        # All words of the batch are laid out by one gather from the ids of the distinct ones.
-        flat = np.concatenate(ids)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        begins = np.cumsum(lengths) - lengths
-        own = lengths[table.codes]
-        ends = np.cumsum(own)
-        gathered = flat[np.repeat(begins[table.codes] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        if len(self.bodies) + len(self.wholes) + len(self.tails) > MOST_CACHED:
+            self._forget()
+        # Ids of the distinct words first; all words are then laid out by one gather from these.
+        body, tail = self._parts(words)
+        flat, ends = laid_out(self.ids, self.begins, self.lengths, np.column_stack((body, tail)).ravel())
+        lengths = self.lengths[body] + self.lengths[tail]
+        ids, ends = laid_out(flat, ends[1::2] - lengths, lengths, table.codes)
         edge = np.concatenate(([0], ends))[table.starts]
-        return [np.append(gathered[a:b], np.uint32(END_ID)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def lowered(text: bytes, marks: list[bytes]) -> bytes:
+    """``text`` with A-Z in lower case, unless the vocabulary would then compose it otherwise or find one of the ``marks``."""
+    low = text.lower()
+    if low == text or any(m in low for m in marks):
+        return text
+    if low.isascii():
+        return low
+    composed = all(unicodedata.is_normalized("NFC", t.decode("utf-8", "surrogatepass")) for t in (text, low))
+    return low if composed else text
+
+
+def laid_out(ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``ids`` that ``order`` numbers, one after the other, and where each ends."""
+    own = lengths[order]
+    ends = np.cumsum(own)
+    return ids[np.repeat(begins[order] - (ends - own), own) + np.arange(ends[-1])], ends
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker: its tasks share what it has learned, at most ``MOST_CACHED`` parts and those of a batch."""
+    return Encoder(path)
 
 
 def crc32(ids: np.ndarray) -> int:
@@ -109,10 +164,9 @@ def crc32(ids: np.ndarray) -> int:
 
 def _preparer(path: str, window: int):
     def prepare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
         for part in portions(frames):
             rows = []
-            for doc_id, ids in zip(part["doc_id"], encoder.encode([text_bytes(t) for t in part["text"]]), strict=True):
+            for doc_id, ids in zip(part["doc_id"], encoder(path).encode([text_bytes(t) for t in part["text"]]), strict=True):
                 cut = len(ids) // window * window
                 rest = ids[cut:]
                 full = [crc32(ids[i : i + window]) for i in range(0, cut, window)]
