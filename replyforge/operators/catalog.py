@@ -98,6 +98,21 @@ def verify_ingest(kb: DataFrame, sheets: DataFrame) -> DataFrame:
     )
 
 
+def record_structure(kb: DataFrame, limit: int = 100) -> DataFrame:
+    """Read-back of the first row of each collection: (collection, field, value) with long texts cut for display."""
+    named = [c for c, t in kb.dtypes if c not in ("collection", "fields")]
+    first = kb.groupBy("collection").agg(F.min_by(F.struct(*[c for c in kb.columns if c != "collection"]), "kb_id").alias("row"))
+    types = dict(kb.dtypes)
+    own = [
+        F.struct(F.lit(c).alias("field"), (shown_vector(F.col(f"row.{c}")) if types[c].startswith("array") else F.col(f"row.{c}").cast("string")).alias("value"))
+        for c in named
+    ]
+    cells = F.transform(F.map_entries("row.fields"), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value")))
+    entries = F.concat(F.array(*own), cells) if "fields" in types else F.array(*own)
+    rows = first.select("collection", F.explode(entries).alias("e")).select("collection", "e.field", "e.value")
+    return shown(rows, ["value"], limit, "...")
+
+
 def with_placeholders(kb: DataFrame, sheets: DataFrame, dim: int = DIM) -> DataFrame:
     """``kb`` plus one flagged row with a zero vector and empty texts for every sheet without rows."""
     filled = kb.select("collection").distinct()

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from replyforge.session import materialise
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
@@ -63,9 +65,13 @@ def salted_left_join(
     ``spread`` names columns that tell the rows of one key apart. The salt is their
     hash and not a random number, so a retried task puts every row where it was.
     The right row of a hot key is copied once per part: at most one copy for every
-    ``hot_rows`` rows of the left side.
+    ``hot_rows`` rows of the left side. The short list of hot keys is written, since both
+    sides read it; without any this is a plain join.
     """
-    hot = F.broadcast(hot_keys(left, keys, hot_rows))
+    hot = materialise(hot_keys(left, keys, hot_rows), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, list(keys), how)
+    hot = F.broadcast(hot)
     zero = F.lit(0).cast("bigint")
     big = (
         left.withColumn("_hash", key_hash(keys))

@@ -328,27 +328,42 @@ def blank_hit_message(subject: Column, body: Column) -> Column:
     return F.when(is_blank(subject) & is_blank(body), "Subject and email body are empty for this result.")
 
 
-def envelopes(hits: DataFrame) -> DataFrame:
-    """One nested result per query.
+def envelopes(asked: DataFrame, hits: DataFrame, timestamp: Column | None = None) -> DataFrame:
+    """One nested result per query, also where a check failed or nothing matched.
 
-    ``hits``: query_id, collection, query_subject, query_body, status_field, top_k,
-    rank, id, distance, status, fields. A list holds at most ``top_k`` results.
+    ``asked``: query_id, collection, query_subject, query_body, status_field, top_k and the ``error`` of a
+    failed check. ``hits``: query_id, rank, id, distance, status, fields; a list holds at most ``top_k``
+    results. A query with an error has no results; one without error and hits says so in ``error``.
     """
     result = F.struct("rank", "id", "distance", "status", "fields")
     # Maps cannot be compared, so the list is ordered by rank alone.
     ordered = F.array_sort(F.collect_list(result), lambda a, b: a["rank"] - b["rank"])
-    return hits.groupBy("query_id", "collection", "query_subject", "query_body", "status_field", "top_k").agg(
-        ordered.alias("results")
-    ).select(
+    joined = asked.join(hits.groupBy("query_id").agg(ordered.alias("found")), "query_id", "left")
+    error = F.coalesce("error", F.when(F.col("found").isNull(), no_match_error(F.col("collection"), F.col("status_field"))))
+    results = F.when(F.col("error").isNull(), F.col("found"))
+    stamp = F.lit(None).cast("string") if timestamp is None else timestamp
+    return joined.select(
         "query_id",
+        error.alias("error"),
         F.struct(
             "collection", "query_subject", "query_body", "status_field", "top_k",
-            F.size("results").alias("results_count"),
+            stamp.alias("timestamp"), F.coalesce(F.size(results), F.lit(0)).alias("results_count"),
         ).alias("metadata"),
-        "results",
+        results.alias("results"),
     )
 
 
+def degraded_status(failed: DataFrame, kb_rows: DataFrame) -> DataFrame:
+    """For searches that could not run (query_id, collection, status_field): that cell of the collection's first row.
+
+    Opt-in: the answer has nothing to do with the question. NULL where the collection has no such column.
+    """
+    first = kb_rows.groupBy("collection").agg(F.min_by(F.struct("kb_id", "subject", "email_body", "fields"), "kb_id").alias("row"))
+    row = lambda c: F.col(f"row.{c}")
+    cell = named_cell(F.col("status_field"), row("fields"), row("subject"), row("email_body"), row("kb_id"))
+    return lookup_join(failed, first, ["collection"], ["query_id"]).select("query_id", cell.alias("status"))
+
+
 def top_status(hits: DataFrame) -> DataFrame:
     """The status of the best hit of each query, NULL when it is empty."""
     return hits.where(F.col("rank") == 1).select("query_id", F.nullif(F.col("status"), F.lit("")).alias("status"))

@@ -9,7 +9,7 @@ from replyforge.plans import ingest
 from replyforge.plans.fixtures import STATUS_FIELDS
 from replyforge.plans.registry import over, query
 from replyforge.session import scratch_path
-from replyforge.sources import readers
+from replyforge.sources import readers, writers
 
 C = F.col
 
@@ -122,3 +122,38 @@ def q12(fx):
     target = scratch_path(fx.spark, "ingest")
     report = ingest.ingest_sheets(fx.spark, write_sheets(fx), target, name_pattern=SHEET_NAME).report
     return report.select("collection", (C("state") == "ok").alias("good"), "expected", "stored", "complete")
+
+
+def _stored(fx, dropped: list[str] | None):
+    """Knowledge base, fields and report of a whole ingest after a drop."""
+    store = scratch_path(fx.spark, "ingest")
+    ingest.ingest_sheets(fx.spark, write_sheets(fx), store, name_pattern=SHEET_NAME)
+    writers.drop_ingested(fx.spark, store, dropped)
+    fields = fx.spark.read.schema("field string, ordinal int, collection string").parquet(f"{store}/fields")
+    return ingest.read_knowledge(fx.spark, f"{store}/kb"), fields, fx.spark.read.parquet(f"{store}/report")
+
+
+@query(
+    "s8_drop_collection",
+    over("fx_kb", SHEETS_SQL)
+    + """SELECT sheet AS collection, count(*) AS "rows", CAST(10 AS BIGINT) AS fields, 'ok' AS state FROM sheets
+         WHERE collection NOT IN ('src18', 'src19') AND sheet NOT IN ('src3_sheet_0', 'src5_sheet_0') GROUP BY ALL""",
+)
+def s8(fx):
+    kb, fields, report = _stored(fx, ["src3_sheet_0", "src5_sheet_0", "not stored"])
+    rows = kb.groupBy("collection").agg(F.count(F.lit(1)).alias("rows"))
+    named = fields.groupBy("collection").agg(F.count(F.lit(1)).alias("fields"))
+    said = report.where(C("state") == "ok").select("collection", "state")
+    return rows.join(named, "collection", "full").join(said, "collection", "full")
+
+
+@query(
+    "s9_drop_all_collections",
+    "SELECT 'kb' AS stored, 0 AS \"rows\" UNION ALL SELECT 'fields', 0 UNION ALL SELECT 'report', 0",
+)
+def s9(fx):
+    counts = [
+        table.agg(F.count(F.lit(1)).cast("int").alias("rows")).select(F.lit(name).alias("stored"), "rows")
+        for name, table in zip(("kb", "fields", "report"), _stored(fx, None), strict=True)
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])

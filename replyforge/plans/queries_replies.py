@@ -10,13 +10,13 @@ from replyforge.operators import replies, tickets
 from replyforge.plans import batch
 from replyforge.plans.queries_search import (
     BOTH_TEXTS,
-    PROJECTED_SQL,
+    CHECKED_SQL,
+    ERRORS_SQL,
     RESOLVED_VIEWS,
     SCHEMAS_SQL,
     SKIP_LIST,
     _checked,
     _envelopes,
-    _projected,
     _text_hits_sql,
 )
 from replyforge.plans.queries_tickets import Q9_SQL, V3_BODY
@@ -42,12 +42,6 @@ def sql_text(value: str) -> str:
 
 # --- routing --------------------------------------------------------------------------
 
-ERRORS_SQL = """failed AS (SELECT n.src_order, n.collection, n.status, CASE
-       WHEN s.collection IS NULL THEN 'Collection ''' || n.collection || ''' not found.'
-       WHEN f.field IS NULL THEN 'Field ''' || n.status || ''' not found in collection ''' || n.collection ||
-            '''. Available fields: ' || s.fields END AS error, f.field IS NULL AND s.collection IS NOT NULL AS no_field
-     FROM named n LEFT JOIN schemas s ON s.collection = n.collection
-     LEFT JOIN fx_fields f ON f.collection = n.collection AND f.field = n.status)"""
 FAILED = over(RESOLVED_VIEWS, *RESOLVED, SCHEMAS_SQL, ERRORS_SQL)
 
 
@@ -190,16 +184,18 @@ def r13(fx):
 @query(
     "r7_knowledge_context",
     _text_hits_sql(BOTH_TEXTS, 4)
-    + f""", {PROJECTED_SQL}, parts AS (SELECT query_id, collection, status, rank, 'Result ' || rank || ':' || chr(10)
-             || CASE WHEN coalesce(response, '') <> '' THEN '- Status: ' || response || chr(10) ELSE '' END
+    + f""", {CHECKED_SQL}, parts AS (SELECT p.query_id, p.collection, p.status, p.rank, 'Result ' || p.rank || ':' || chr(10)
+             || CASE WHEN coalesce(p.response, '') <> '' THEN '- Status: ' || p.response || chr(10) ELSE '' END
              || coalesce('- email_body: ' || nullif(email_body, '') || chr(10), '')
-             || CASE WHEN coalesce(response, '') <> '' AND status < 'subject' THEN '- ' || status || ': ' || response || chr(10) ELSE '' END
-             || '- subject: ' || subject || chr(10) || chr(10) AS part FROM projected)
+             || CASE WHEN coalesce(p.response, '') <> '' AND status < 'subject' THEN '- ' || status || ': ' || p.response || chr(10) ELSE '' END
+             || '- subject: ' || subject || chr(10) || chr(10) AS part
+             FROM projected p JOIN checked c ON c.query_id = p.query_id AND c.rank = p.rank)
          SELECT query_id, 'Here are the relevant details from our system:' || chr(10) || chr(10) || 'Search Context:' || chr(10)
            || '- Collection: ' || collection || chr(10) || '- Status Field: ' || status || chr(10)
            || '- Found ' || count(*) || ' results' || chr(10) || chr(10)
            || string_agg(CASE WHEN rank <= 3 THEN part ELSE '' END, '' ORDER BY rank) AS context
-         FROM parts GROUP BY query_id, collection, status""",
+         FROM parts GROUP BY query_id, collection, status
+         UNION ALL SELECT query_id, 'No relevant information was found in our records.' FROM checked WHERE error IS NOT NULL""",
 )
 def r7(fx):
     context = replies.knowledge_context(C("metadata"), C("results"))
@@ -341,11 +337,16 @@ def p3(fx):
 
 @query(
     "p5_default_label",
-    over("fx_emails", EARLIER_SQL) + "SELECT ticket, outcome, 'unknown' AS template_referred FROM earlier",
+    over("fx_emails")
+    + """SELECT ticket, CASE WHEN src_order % 3 = 0 THEN 'error' ELSE 'search' END AS outcome,
+           CASE WHEN src_order % 3 = 0 THEN 'unknown' ELSE 'used search' END AS template_referred FROM fx_emails""",
 )
 def p5(fx):
-    unlabelled = _earlier(fx).select("ticket", "outcome", F.lit(None).cast("string").alias("template_referred"))
-    return batch.label_missing(unlabelled)
+    failed = C("src_order") % 3 == 0
+    told = fx.emails.select(
+        "ticket", F.when(failed, "error").otherwise("search").alias("outcome"), F.when(~failed, "used search").alias("template_referred")
+    )
+    return batch.label_missing(told)
 
 
 # --- files ----------------------------------------------------------------------------
@@ -364,6 +365,22 @@ def s3(fx):
     return readers.read_tickets(fx.spark, path, order="src_order")
 
 
+@query(
+    "s3_file_order",
+    """SELECT CAST(o_custkey AS VARCHAR) AS ticket, arg_min(o_orderpriority, o_orderkey) AS data_from,
+         arg_min(o_orderstatus, o_orderkey) AS loan_status FROM orders GROUP BY ALL""",
+)
+def s3_order(fx):
+    """First row per ticket over files of unequal size that have no order column."""
+    path = scratch_path(fx.spark, "tickets")
+    delivered = fx.table("orders").select(
+        C("o_custkey").alias("Ticket ID"), C("o_orderpriority").alias("data_from"), C("o_orderstatus").alias("Loan Status"), "o_orderkey",
+        F.lpad(F.floor(F.log2(C("o_orderkey") + 1)).cast("string"), 2, "0").alias("part"),
+    )
+    delivered.repartition("part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").csv(path, header=True)
+    return tickets.first_per_ticket(readers.read_tickets(fx.spark, path), ["data_from", "loan_status"])
+
+
 @query("s4_batch_scan", over("fx_emails") + "SELECT ticket, src_order, subject, email_body FROM fx_emails")
 def s4(fx):
     path = scratch_path(fx.spark, "emails")
@@ -399,12 +416,14 @@ def s7(fx):
 
 @query(
     "s10_result_table",
-    over("fx_emails", EARLIER_SQL)
-    + "SELECT ticket, src_order, outcome FROM earlier UNION ALL SELECT ticket, src_order, outcome FROM earlier WHERE outcome = 'error'",
+    over("fx_emails", "told AS (SELECT ticket, src_order, CASE WHEN src_order % 3 = 0 THEN 'error' ELSE 'search' END AS outcome FROM fx_emails)")
+    + "SELECT * FROM told UNION ALL SELECT * FROM told WHERE outcome = 'error'",
 )
 def s10(fx):
     path = scratch_path(fx.spark, "results")
-    full = _earlier(fx).withColumns({c: F.lit(None).cast("string") for c in ("template_referred", "error")})
+    outcome = F.when(C("src_order") % 3 == 0, "error").otherwise("search").alias("outcome")
+    rest = [F.lit(None).cast("string").alias(c) for c in ("response_generated", "template_referred", "error")]
+    full = fx.emails.select("ticket", "src_order", "subject", "email_body", outcome, *rest)
     writers.append_results(full, path)
     writers.append_results(full.where(C("outcome") == "error"), path)
     return readers.read_results(fx.spark, path).select("ticket", "src_order", "outcome")
@@ -413,16 +432,17 @@ def s10(fx):
 @query(
     "s11_envelope_files",
     _text_hits_sql(BOTH_TEXTS, 2)
-    + f""", {PROJECTED_SQL} SELECT collection, query_subject, query_body, CAST(rank AS INT) AS rank, CAST(kb_id AS VARCHAR) AS id,
-           score AS distance, response AS status FROM projected""",
+    + f""", {CHECKED_SQL} SELECT collection, query_subject, query_body, error, CAST(rank AS INT) AS rank, CAST(kb_id AS VARCHAR) AS id,
+           score AS distance, response AS status FROM checked""",
 )
 def s11(fx):
     """Envelopes written as JSON and read back by the envelope reader (S5)."""
     path = scratch_path(fx.spark, "envelopes")
     writers.write_envelopes(_envelopes(fx, 2).drop("query_id"), path)
     read = readers.read_envelopes(fx.spark, path, multi_line=False)
-    return read.select("metadata.collection", "metadata.query_subject", "metadata.query_body", F.explode("results").alias("r")).select(
-        "collection", "query_subject", "query_body", "r.rank", "r.id", "r.distance", "r.status"
+    told = read.select("metadata.collection", "metadata.query_subject", "metadata.query_body", "error", F.explode_outer("results").alias("r"))
+    return told.select(
+        "collection", "query_subject", "query_body", "error", "r.rank", "r.id", "r.distance", "r.status"
     )
 
 
@@ -441,24 +461,36 @@ def s5(fx):
     return read.groupBy("error", said.alias("said")).agg(F.count(F.lit(1)).alias("envelopes"))
 
 
-@query("s12_prior_results", over("fx_emails") + "SELECT ticket, src_order, 0 AS earlier FROM fx_emails")
+@query(
+    "s12_prior_results",
+    over("fx_emails", EARLIER_SQL)
+    + """SELECT ticket, src_order, 'none' AS earlier FROM fx_emails
+         UNION ALL SELECT ticket, src_order, 'some' FROM fx_emails WHERE ticket NOT IN (SELECT ticket FROM earlier)""",
+)
 def s12(fx):
-    """A first run: no result table yet, so every email is open."""
-    earlier = readers.read_results(fx.spark, scratch_path(fx.spark, "absent"))
-    opened = batch.not_done(fx.emails.select("ticket", "src_order"), earlier)
-    return opened.withColumn("earlier", F.lit(0))
+    """Open emails without a result table, and with the results of an earlier run."""
+    path = scratch_path(fx.spark, "results")
+    emails = fx.emails.select("ticket", "src_order")
+    first = batch.not_done(emails, readers.read_results(fx.spark, path)).withColumn("earlier", F.lit("none"))
+    writers.append_results(_earlier(fx).withColumns({c: F.lit(None).cast("string") for c in ("template_referred", "error")}), path)
+    later = batch.not_done(emails, readers.read_results(fx.spark, path)).withColumn("earlier", F.lit("some"))
+    return first.unionByName(later)
 
 
 @query(
     "s13_reply_texts",
-    over("fx_emails") + "SELECT CAST(count(*) AS BIGINT) AS replies FROM fx_emails",
+    over("fx_emails")
+    + """SELECT '=== GENERATED EMAIL ===' || chr(10) || chr(10) || 'Ticket ID: ' || ticket || chr(10) || 'Subject: ' || subject || chr(10)
+           || chr(10) || email_body || chr(10) || chr(10) AS reply FROM fx_emails""",
 )
 def s13(fx):
+    """Printed replies written one after the other and read back, cut at their last line."""
     path = scratch_path(fx.spark, "replies")
     printed = replies.printed_reply(C("ticket"), C("subject"), C("email_body"))
     writers.write_reply_texts(fx.emails.select(printed.alias("reply")), path)
-    lines = fx.spark.read.text(path)
-    return lines.where(C("value") == "=== END OF EMAIL ===").agg(F.count(F.lit(1)).alias("replies"))
+    read = fx.spark.read.text(path, lineSep="=== END OF EMAIL ===\n")
+    # The writer ends each text with a line break of its own.
+    return read.select(F.regexp_replace("value", "^\n", "").alias("reply")).where("reply <> ''")
 
 
 JSON_OUTCOMES = "['search', 'template_fallback', 'generic_fallback', 'error']"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from replyforge.functions import status as st
 from replyforge.functions import text as tx
 from replyforge.functions import vectors as vec
 from replyforge.operators import catalog, cells, filters, joins, search, tickets
@@ -78,14 +77,18 @@ def _named(fx):
     return tickets.name_collection(resolved, fx.category_map)
 
 
-def _text_hits(fx, text, k: int):
-    """Best rows for ``text`` of every email: collection, query_id (src_order), kb_id, score, rank."""
-    asked = _named(fx).select("collection", C("src_order").alias("query_id"), text.alias("text"))
+def _search(fx, asked, k: int):
+    """Best rows for every text of ``asked`` (collection, query_id, text)."""
     # Written once: the search counts the queries before it places them.
     queries = materialise(vec.embed_hashed(asked, "text", "vector").drop("text"), "queries")
     return search.exact_topk(queries, embed_rows(fx.kb_spread), k)
 
 
+def _text_hits(fx, text, k: int):
+    """Best rows for ``text`` of every email: collection, query_id (src_order), kb_id, score, rank."""
+    return _search(fx, _named(fx).select("collection", C("src_order").alias("query_id"), text.alias("text")), k)
+
+
 BOTH_TEXTS = sql_query_text("subject", "email_body")
 
 
@@ -110,16 +113,23 @@ def k3(fx):
     return _text_hits(fx, C("subject"), 3)
 
 
-def _projected(fx, k: int):
+def _asked(fx):
+    """Emails with status and collection, written: the search, its checks and its output all read them."""
+    named = _named(fx).select(
+        C("src_order").alias("query_id"), "collection", "status", C("subject").alias("query_subject"), C("email_body").alias("query_body")
+    )
+    return materialise(named, "named")
+
+
+def _projected(fx, k: int, asked=None):
     """Hits with subject, body and the cell of the column the email's status names."""
+    asked = _asked(fx) if asked is None else asked
+    text = tx.query_text(C("query_subject"), C("query_body"))
     # Written, since the checks and joins after it would run the search again.
-    hits = materialise(_text_hits(fx, tx.query_text(C("subject"), C("email_body")), k), "hits")
-    asked = _named(fx).select(
-        C("src_order").alias("query_id"), "status", C("subject").alias("query_subject"), C("email_body").alias("query_body")
-    )
+    hits = materialise(_search(fx, asked.select("collection", "query_id", text.alias("text")), k), "hits")
     found = joins.fetch_rows(hits, fx.kb_rows, ["collection", "kb_id"], ["query_id", "rank"])
     cell = F.try_element_at("fields", C("status"))
-    return found.join(asked, "query_id").withColumn("response", cell)
+    return found.join(asked.drop("collection"), "query_id").withColumn("response", cell)
 
 
 PROJECTED_SQL = f"""responses AS ({Q9_SQL}), projected AS (
@@ -145,6 +155,19 @@ def _checked(fx):
 SCHEMAS_SQL = """schemas AS (SELECT collection, '[' || string_agg('''' || field || '''', ', ' ORDER BY ordinal) || ']' AS fields
     FROM fx_fields GROUP BY ALL)"""
 RESOLVED_VIEWS = "fx_tickets fx_category_map fx_emails fx_fields"
+ERRORS_SQL = """failed AS (SELECT n.src_order, n.collection, n.status, CASE
+       WHEN s.collection IS NULL THEN 'Collection ''' || n.collection || ''' not found.'
+       WHEN f.field IS NULL THEN 'Field ''' || n.status || ''' not found in collection ''' || n.collection ||
+            '''. Available fields: ' || s.fields END AS error, f.field IS NULL AND s.collection IS NOT NULL AS no_field
+     FROM named n LEFT JOIN schemas s ON s.collection = n.collection
+     LEFT JOIN fx_fields f ON f.collection = n.collection AND f.field = n.status)"""
+# Every email with what its checks and its search say.
+CHECKED_SQL = f"""{SCHEMAS_SQL}, {ERRORS_SQL}, {PROJECTED_SQL}, checked AS (
+    SELECT a.src_order AS query_id, a.collection, a.status AS status_field, a.subject AS query_subject, a.email_body AS query_body,
+           p.rank, p.kb_id, p.score, p.response, coalesce(x.error, CASE WHEN p.rank IS NULL THEN
+             'No matching records found in collection ''' || a.collection || ''' for field ''' || a.status || '''.' END) AS error
+    FROM asked a JOIN failed x ON x.src_order = a.src_order
+    LEFT JOIN projected p ON p.query_id = a.src_order AND x.error IS NULL)"""
 
 
 @query(
@@ -209,36 +232,47 @@ def k9(fx):
     return with_fields.select("src_order", "wanted", search.resolve_field(C("wanted"), C("fields")).alias("field"))
 
 
+RUN_AT = "2025-01-31T12:00:00"
+
+
 def _envelopes(fx, k: int):
+    """An envelope for every email, with the error where a check fails or nothing matches."""
+    asked = _asked(fx)
+    error = F.coalesce(
+        search.missing_collection_error(C("collection"), C("fields")),
+        search.missing_field_error(C("collection"), C("status"), C("fields")),
+    )
+    checked = search.with_schema(asked, fx.fields, ["query_id"]).select(
+        "query_id", "collection", "query_subject", "query_body", C("status").alias("status_field"), F.lit(k).alias("top_k"), error.alias("error")
+    )
     # A column of its own: beside an alias "status" a lambda would read the alias.
-    hits = _projected(fx, k).withColumn("own", F.map_filter("fields", lambda name, _: name == C("status")))
+    hits = _projected(fx, k, asked).withColumn("own", F.map_filter("fields", lambda name, _: name == C("status")))
     shown = F.map_concat(
         F.create_map(F.lit("subject"), F.coalesce("subject", F.lit("")), F.lit("email_body"), F.coalesce("email_body", F.lit(""))),
         "own",
     )
-    return search.envelopes(
-        hits.select(
-            "query_id", "collection", "query_subject", "query_body", C("status").alias("status_field"),
-            F.lit(k).alias("top_k"), "rank", C("kb_id").cast("string").alias("id"), C("score").alias("distance"),
-            C("response").alias("status"), shown.alias("fields"),
-        )
+    found = hits.select(
+        "query_id", "rank", C("kb_id").cast("string").alias("id"), C("score").alias("distance"),
+        C("response").alias("status"), shown.alias("fields"),
     )
+    return search.envelopes(checked, found, F.lit(RUN_AT))
 
 
 @query(
     "k10_envelope",
     _text_hits_sql(BOTH_TEXTS, 3)
-    + f""", {PROJECTED_SQL} SELECT query_id, collection, status AS status_field, 3 AS top_k, CAST(count(*) AS INT) AS results_count,
-           string_agg(rank || ':' || kb_id || ':' || coalesce(response, '-'), ';' ORDER BY rank) AS results
-         FROM projected GROUP BY query_id, collection, status""",
+    + f""", {CHECKED_SQL} SELECT query_id, collection, status_field, 3 AS top_k, '2025-01-31T12:00:00' AS timestamp, error,
+           CAST(count(rank) AS INT) AS results_count,
+           coalesce(string_agg(rank || ':' || kb_id || ':' || coalesce(response, '-'), ';' ORDER BY rank), '') AS results
+         FROM checked GROUP BY query_id, collection, status_field, error""",
 )
 def k10(fx):
     line = F.transform(
         "results", lambda r: F.concat_ws(":", r["rank"].cast("string"), r["id"], F.coalesce(r["status"], F.lit("-")))
     )
     return _envelopes(fx, 3).select(
-        "query_id", "metadata.collection", "metadata.status_field", "metadata.top_k", "metadata.results_count",
-        F.array_join(line, ";").alias("results"),
+        "query_id", "metadata.collection", "metadata.status_field", "metadata.top_k", "metadata.timestamp", "error",
+        "metadata.results_count", F.coalesce(F.array_join(line, ";"), F.lit("")).alias("results"),
     )
 
 
@@ -264,12 +298,15 @@ def k12(fx):
 
 @query(
     "k13_degraded_sample",
-    over("fx_kb")
-    + """SELECT collection, kb_id, subject, im__closed AS status FROM (
-           SELECT *, row_number() OVER (PARTITION BY collection ORDER BY kb_id) AS rn FROM fx_kb) t WHERE rn <= 3""",
+    over("fx_kb " + RESOLVED_VIEWS, *RESOLVED, f"responses AS ({Q9_SQL})", "firsts AS (SELECT collection, min(kb_id) AS kb_id FROM fx_kb GROUP BY ALL)")
+    + """SELECT n.src_order AS query_id, r.response AS status FROM named n LEFT JOIN firsts k ON k.collection = n.collection
+         LEFT JOIN fx_fields f ON f.collection = n.collection AND f.field = n.status
+         LEFT JOIN responses r ON r.kb_id = k.kb_id AND r.field = f.field""",
 )
 def k13(fx):
-    return catalog.sample_rows(fx.kb.select("collection", "kb_id", "subject", C("im__closed").alias("status")), 3).drop("sample")
+    """What every email would get if its search failed."""
+    failed = _named(fx).select(C("src_order").alias("query_id"), "collection", C("status").alias("status_field"))
+    return search.degraded_status(failed, fx.kb_rows)
 
 
 # --- metadata filters -----------------------------------------------------------------
@@ -375,17 +412,30 @@ def f9(fx):
     return filters.ids_in(fx.kb.select("kb_id", "subject"), [1, 10])
 
 
-SKIP_LIST = ", ".join(f"'{c}'" for c in st.SKIPPED_CATEGORIES)
+# Fixed values, written out again to check the ones in use.
+SKIPPED = [
+    "post_loan_disbursal_query_payment_lndn_payment_",
+    "predisbursal_loan_query_rf/vf_query_general_information",
+    "escalations_rbi-cyber_cell_",
+    "escalations_singledebt_",
+    "post_loan_disbursal_query_payment_paytm_payment_not_updated",
+    "other_kyc_issues",
+    "predisbursal_loan_query_im+_instances_unable_to_place_withdrawal",
+]
+SKIP_LIST = ", ".join(f"'{c}'" for c in SKIPPED)
 
 
 @query(
     "f10_skip_list",
-    over("fx_tickets fx_category_map", *CLASSIFIED)
-    + f"SELECT ticket, category FROM classified WHERE category IN ({SKIP_LIST})",
+    over("fx_tickets")
+    + f"""SELECT src_order, list_extract([{SKIP_LIST}], CAST(src_order % 9 AS INT) + 1) AS category FROM fx_tickets
+          WHERE src_order % 9 < {len(SKIPPED)}""",
 )
 def f10(fx):
-    known = tickets.classify(fx.tickets, fx.category_map)
-    return known.where(filters.category_gate(C("category")) == "skipped").select("ticket", "category")
+    """Every skipped category, an ordinary one and a missing one."""
+    words = F.array(*map(F.lit, [*SKIPPED, "collection_query"]))
+    named = fx.tickets.select("src_order", F.get(words, C("src_order") % 9).alias("category"))
+    return named.where(filters.category_gate(C("category")) == "skipped")
 
 
 @query(
@@ -478,15 +528,36 @@ def c7(fx):
 @query(
     "c8_verify_ingest",
     over("fx_kb")
-    + "SELECT collection, count(*) AS expected, count(*) AS stored, TRUE AS complete FROM fx_kb GROUP BY ALL",
+    + """SELECT collection, count(*) AS expected, count(*) FILTER (WHERE kb_id % 10 <> 3) AS stored,
+           count(*) FILTER (WHERE kb_id % 10 = 3) = 0 AS complete FROM fx_kb GROUP BY ALL""",
 )
 def c8(fx):
     path = scratch_path(fx.spark, "kb")
-    writers.write_collections(fx.kb.select("kb_id", "subject", "email_body", "collection"), path)
+    arrived = fx.kb.where(C("kb_id") % 10 != 3)
+    writers.write_collections(arrived.select("kb_id", "subject", "email_body", "collection"), path)
     delivered = catalog.collection_counts(fx.kb).withColumnRenamed("rows", "expected")
     return catalog.verify_ingest(fx.spark.read.parquet(path), delivered)
 
 
+@query(
+    "c8_record_structure",
+    over("fx_kb fx_fields", f"responses AS ({Q9_SQL})")
+    + """, firsts AS (SELECT collection, min(kb_id) AS kb_id FROM fx_kb GROUP BY ALL),
+         cells AS (SELECT collection, kb_id, 'kb_id' AS field, CAST(kb_id AS VARCHAR) AS value FROM fx_kb
+           UNION ALL SELECT collection, kb_id, 'subject', subject FROM fx_kb
+           UNION ALL SELECT collection, kb_id, 'email_body', email_body FROM fx_kb
+           UNION ALL SELECT r.collection, r.kb_id, r.field, r.response FROM responses r
+             JOIN fx_fields f ON f.collection = r.collection AND f.field = r.field)
+       SELECT c.collection, c.field, CASE WHEN length(value) > 100 THEN substring(value, 1, 100) || '...' ELSE value END AS value
+       FROM cells c JOIN firsts k ON k.collection = c.collection AND k.kb_id = c.kb_id""",
+)
+def c8_structure(fx):
+    path = scratch_path(fx.spark, "kb")
+    writers.write_collections(fx.kb_rows, path)
+    stored = fx.spark.read.schema("kb_id bigint, subject string, email_body string, fields map<string, string>, collection string").parquet(path)
+    return catalog.record_structure(stored)
+
+
 @query(
     "v9_rescored_hits",
     _text_hits_sql(BOTH_TEXTS, 1)

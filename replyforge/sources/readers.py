@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from replyforge.functions.text import as_text, names_of, sanitize_name, similar_names
@@ -52,14 +52,37 @@ def decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def _order(df: DataFrame, order: str | None) -> Column:
-    """The order column, else the read position: ascending within a file, which one task reads as a whole."""
-    return F.col(f"`{order}`").cast("bigint") if order else F.monotonically_increasing_id()
+# Bits of a row number inside one task.
+POSITION_BITS = 33
 
 
-def read_tickets(spark: SparkSession, path: str | Sequence[str], order: str | None = None) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str | Sequence[str], order: str | None, multi_line: bool) -> tuple[DataFrame, Column]:
+    """CSV rows and their order: the order column, else file name and position in the file.
+
+    With ``multi_line`` cells may hold line breaks and one task reads a file. Without it large files are
+    split, and since a split does not know its place an order column is needed.
+    """
+    if not (order or multi_line):
+        raise ValueError("files that are split need an order column")
+    raw = spark.read.csv(path, header=True, **{**CSV_OPTIONS, "multiLine": multi_line})
+    if order:
+        return raw, F.col(f"`{order}`").cast("bigint")
+    columns = raw.columns
+    placed = raw.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.monotonically_increasing_id().bitwiseAND((1 << POSITION_BITS) - 1).alias("_at"),
+    )
+    # One row per file.
+    ranked = placed.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")).cast("bigint") - 1)
+    numbered = lookup_join(placed, ranked, ["_file"], ["_at"])
+    position = F.shiftleft("_rank", POSITION_BITS) + F.col("_at")
+    return numbered.select(position.alias("_position"), *[F.col("_row").getField(c).alias(c) for c in columns]), F.col("_position")
+
+
+def read_tickets(spark: SparkSession, path: str | Sequence[str], order: str | None = None, multi_line: bool = True) -> DataFrame:
     """Ticket CSV with all values as text; absent columns are NULL, or '' where '' has a meaning of its own."""
-    raw = spark.read.csv(path, header=True, **CSV_OPTIONS)
+    raw, position = _read_csv(spark, path, order, multi_line)
     blank_when_absent = ("lr_status", "category_raw")
     columns = [
         known(F.col(f"`{header}`")).alias(name)
@@ -67,14 +90,17 @@ def read_tickets(spark: SparkSession, path: str | Sequence[str], order: str | No
         else F.lit("" if name in blank_when_absent else None).cast("string").alias(name)
         for header, name in TICKET_COLUMNS.items()
     ]
-    return raw.select(_order(raw, order).alias("src_order"), *columns)
+    return raw.select(position.alias("src_order"), *columns)
 
 
-def read_batch(spark: SparkSession, path: str | Sequence[str], order: str | None = None, head: int | None = None) -> DataFrame:
+def read_batch(
+    spark: SparkSession, path: str | Sequence[str], order: str | None = None, head: int | None = None, multi_line: bool = True
+) -> DataFrame:
     """Email CSV: ticket, src_order, subject, email_body. Without its columns it is an error of the whole batch."""
-    raw = require_columns(rename_columns(spark.read.csv(path, header=True, **CSV_OPTIONS)), BATCH_COLUMNS)
+    raw, position = _read_csv(spark, path, order, multi_line)
+    raw = require_columns(rename_columns(raw), BATCH_COLUMNS)
     batch = raw.select(
-        F.col("ticket"), _order(raw, order).alias("src_order"), *[as_text(F.col(c)).alias(c) for c in ("subject", "email_body")]
+        F.col("ticket"), position.alias("src_order"), *[as_text(F.col(c)).alias(c) for c in ("subject", "email_body")]
     )
     return batch if head is None else batch.orderBy("src_order").limit(head)
 

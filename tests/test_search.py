@@ -172,11 +172,17 @@ def test_fuzzy_field_prefers_schema_order(spark):
     assert df.select(search.resolve_field(F.col("w"), F.col("f"))).first()[0] == "Status"
 
 
-def test_envelopes_are_ordered_by_rank(spark):
-    schema = "query_id long, collection string, query_subject string, query_body string, status_field string, top_k int, rank int, id string, distance double, status string, fields map<string,string>"
-    rows = [(1, "c", "s", "b", "f", 3, r, str(r), 1.0 / r, "x", {"f": "x"}) for r in (3, 1, 2)]
-    envelope = search.envelopes(spark.createDataFrame(rows, schema)).first()
-    assert envelope.metadata.results_count == 3 and [r.rank for r in envelope.results] == [1, 2, 3]
+def test_envelopes_for_every_query(spark):
+    asked = spark.createDataFrame(
+        [(1, "c", "s", "b", "f", 3, None), (2, "c", "s", "b", "f", 3, "failed"), (3, "c", "s", "b", "f", 3, None)],
+        "query_id long, collection string, query_subject string, query_body string, status_field string, top_k int, error string",
+    )
+    schema = "query_id long, rank int, id string, distance double, status string, fields map<string,string>"
+    hits = spark.createDataFrame([(q, r, str(r), 1.0 / r, "x", {"f": "x"}) for q in (1, 2) for r in (3, 1, 2)], schema)
+    found = {e.query_id: e for e in search.envelopes(asked, hits, F.lit("now")).collect()}
+    assert found[1].metadata.results_count == 3 and [r.rank for r in found[1].results] == [1, 2, 3] and found[1].error is None
+    assert found[2].error == "failed" and found[2].results is None and found[2].metadata.timestamp == "now"
+    assert found[3].error == "No matching records found in collection 'c' for field 'f'." and found[3].metadata.results_count == 0
 
 
 def test_top_status_is_null_when_empty(spark):

@@ -206,3 +206,17 @@ def test_streamed_replies(spark, tmp_path):
     run()
     run()
     assert [a[:3] for a in answers()] == [("1", 1, "search"), ("5", 3, "not_found")]
+
+
+def test_order_by_file_name_and_position(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Ticket ID,subject,email_body\n1,a,x\n2,b,y\n")
+    (tmp_path / "b.csv").write_text("Ticket ID,subject,email_body\n" + "".join(f"{i},{'long ' * 9},z\n" for i in range(3, 60)))
+    read = readers.read_batch(spark, str(tmp_path)).orderBy("src_order").collect()
+    assert [r.ticket for r in read] == [str(i) for i in range(1, 60)]
+
+
+def test_split_files_need_an_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Ticket ID,subject,email_body,n\n1,a,x,7\n")
+    with pytest.raises(ValueError, match="order column"):
+        readers.read_batch(spark, str(tmp_path), multi_line=False)
+    assert readers.read_batch(spark, str(tmp_path), order="n", multi_line=False).first().src_order == 7
