@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from replyforge.llm.common import chosen
-from replyforge.llm.words import WordTable, portions, text_bytes
+from replyforge.llm.words import WordTable, laid_out, portions, text_bytes
 from replyforge.operators.joins import fetch_rows
 from replyforge.session import materialise
 
@@ -145,13 +145,6 @@ def lowered(text: bytes, marks: list[bytes]) -> bytes:
     return low if composed else text
 
 
-def laid_out(ids: np.ndarray, begins: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches of ``ids`` that ``order`` numbers, one after the other, and where each ends."""
-    own = lengths[order]
-    ends = np.cumsum(own)
-    return ids[np.repeat(begins[order] - (ends - own), own) + np.arange(ends[-1])], ends
-
-
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """The encoder of a Python worker: its tasks share what it has learned, at most ``MOST_CACHED`` parts and those of a batch."""

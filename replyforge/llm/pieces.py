@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyforge.llm.common import chosen
-from replyforge.llm.words import mix, portions
+from replyforge.llm.words import laid_out, mix, portions
 
 # Fixed values of the model format: the blank's stand-in, piece kinds, and the penalty of an unknown character.
 BLANK = "▁"
@@ -22,7 +23,9 @@ UNKNOWN_PENALTY = 10.0
 # A word begins with its blanks; no piece of the model crosses from a character to a blank after it.
 WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MOST_CACHED = 500_000
+MOST_CACHED = 300_000
+# Characters of text taken at once: each word of them is a string of its own.
+BATCH_CHARACTERS = 2_000_000
 MOST_CELLS = 500_000
 SEEN_BITS = 20
 
@@ -162,11 +165,30 @@ def _with_unknown(table: PieceTable, word: str, ids: np.ndarray) -> np.ndarray:
 
 
 class Codec:
-    """Encodes and decodes texts; distinct words are segmented once as long as the cache holds them."""
+    """Encodes and decodes texts; distinct words are segmented once as long as the cache holds them.
+
+    Known words are numbers; their ids lie in one array, at ``begins``.
+    """
 
     def __init__(self, table: PieceTable):
         self.table = table
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.begins = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
+        found = viterbi(self.table, words)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.begins = np.append(self.begins, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.ids = np.append(self.ids, np.concatenate(found).astype(np.int32))
 
     def _words(self, text: str) -> list[str]:
         if not text:
@@ -176,27 +198,19 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > MOST_CACHED:
-            self.known.clear()
+            self._forget()
         split = [self._words(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.empty(counts.sum(), dtype=object)
-        at = 0
-        for words in split:
-            flat[at : at + len(words)] = words
-            at += len(words)
+        flat = np.fromiter(chain.from_iterable(split), object, int(counts.sum()))
+        del split
+        if not len(flat):
+            return [np.zeros(0, np.int32) for _ in texts]
         codes, distinct = pd.factorize(flat)
-        new = [w for w in distinct if w not in self.known]
-        for word, ids in zip(new, viterbi(self.table, new), strict=True):
-            self.known[word] = ids
-        own = [self.known[w] for w in distinct]
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        pool = np.concatenate(own) if own else np.zeros(0, np.int64)
-        begins = np.cumsum(lengths) - lengths
-        size = lengths[codes] if len(own) else np.zeros(0, np.int64)
-        ends = np.concatenate(([0], np.cumsum(size)))
-        gather = np.repeat(begins[codes] - ends[:-1], size) + np.arange(ends[-1]) if len(own) else np.zeros(0, np.int64)
-        ids = pool[gather].astype(np.int32)
-        edges = ends[np.concatenate(([0], np.cumsum(counts)))]
+        del flat
+        self._learn([w for w in distinct if w not in self.known])
+        own = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        ids, ends = laid_out(self.ids, self.begins, self.lengths, own[codes])
+        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -212,6 +226,17 @@ def _shared(spark: SparkSession, model: str | None) -> Broadcast:
     return spark.sparkContext.broadcast(PieceTable(model or default_model()))
 
 
+_worker: dict = {}
+
+
+def _codec(shared: Broadcast) -> Codec:
+    """The codec of this Python worker for a table: its tasks share the words that are segmented."""
+    table = shared.value
+    if _worker.get("table") is not table:
+        _worker.update(table=table, codec=Codec(table))
+    return _worker["codec"]
+
+
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, text, ids), ``ids`` an array of piece ids.
 
@@ -225,8 +250,8 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     shared = _shared(docs.sparkSession, model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value)
-        for part in portions(frames):
+        codec = _codec(shared)
+        for part in portions(frames, most=BATCH_CHARACTERS):
             ids = codec.encode([t if isinstance(t, str) else "" for t in part["text"]])
             ids = [a if isinstance(t, str) else None for a, t in zip(ids, part["text"], strict=True)]
             yield pd.DataFrame({"doc_id": part["doc_id"], "text": part["text"], "ids": ids})
