@@ -215,7 +215,9 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> str:
         pieces = self.table.decoded
-        raw = b"".join([pieces[i] if 0 <= i < len(pieces) else b"" for i in ids])
+        ids = np.asarray(ids)
+        known = ids[(ids >= 0) & (ids < len(pieces))]
+        raw = b"".join(map(pieces.__getitem__, known.tolist()))
         if self.table.add_blank and raw.startswith(b" "):
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
