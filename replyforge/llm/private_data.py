@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from replyforge.llm.common import chosen, with_per_document
+from replyforge.llm.common import SPACE_CHARACTERS, chosen, with_per_document
 from replyforge.session import materialise
 
 # The four base patterns of the contract, written so that they cannot backtrack far: a possessive
@@ -88,17 +88,24 @@ def _base(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), spans).otherwise(none)
 
 
+def _left(before: Column) -> Column:
+    """The last word of ``before``, in lower case, with only letters and the marks of a label.
+
+    Lines and columns end words as blanks do, so that a label at the start of a line is the word.
+    """
+    # Only the end of what stands before is looked at, however long it is.
+    near = F.translate(F.right(F.rtrim(before, F.lit(SPACE_CHARACTERS)), F.lit(200)), SPACE_CHARACTERS, " " * len(SPACE_CHARACTERS))
+    return F.regexp_replace(F.lower(F.substring_index(near, " ", -1)), r"[^\p{L}:=#]+", "")
+
+
 def _contexts(text: Column) -> Column:
     """Array of (start, end, value, left): identifier-like runs and the word before each, in lower case."""
 
     def trimmed(s: Column) -> Column:
         head = F.char_length(F.regexp_extract(s["match"], r"^[^\p{L}\p{N}+(]*", 0))
         body = F.regexp_replace(F.substr(s["match"], head + 1), r"[^\p{L}\p{N}]+$", "")
-        # Only the end of what stands before is looked at, however long it is.
-        near = F.rtrim(F.right(s["before"], F.lit(200)))
-        left = F.regexp_replace(F.lower(F.substring_index(near, " ", -1)), r"[^\p{L}:=#]+", "")
         start = s["start"] + head
-        return F.struct(start.alias("start"), (start + F.char_length(body)).alias("end"), body.alias("value"), left.alias("left"))
+        return F.struct(start.alias("start"), (start + F.char_length(body)).alias("end"), body.alias("value"), _left(s["before"]).alias("left"))
 
     found = F.transform(_located(text, CANDIDATE), trimmed)
     none = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")

@@ -205,6 +205,14 @@ def test_learned_contexts(spark):
     assert out[100] == ("phone:14:22",) and out[101] == ("",) and out[102] == ("",)
 
 
+def test_labels_after_line_breaks_and_tabs(spark):
+    names = ["Bob", "Ann", "Eve", "Max", "Zoe", "Kim", "Lea", "Tom", "Ida"]
+    seeds = [(i, f"Hi {n}\nTel:{' ' if i % 2 else chr(9)}+1 (555) 010-{1000 + i}\nbye") for i, n in enumerate(names)]
+    unseen = [(100, "Hi Una\nTel: 555-0101\nbye"), (101, "name\tTel:\t555-0102"), (102, "a\r\nTel:" + " " * 300 + "555-0103"), (103, "Hi\nRoom: 555-0104")]
+    out = by_id(private_data.digest(private_data.find(spark.createDataFrame(seeds + unseen, "doc_id long, text string"))), "spans")
+    assert [out[i][0] for i in range(100, 104)] == ["phone:12:20", "phone:10:18", "phone:307:315", ""]
+
+
 def test_language(spark):
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
     out = language.identify(rows).join(rows.select("doc_id", "lang"), "doc_id").where("held_out").collect()
