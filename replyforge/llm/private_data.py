@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from replyforge.llm.common import SPACE_CHARACTERS, chosen, with_per_document
+from replyforge.llm.common import SPACE_CHARACTERS, chosen, let, with_per_document
 from replyforge.session import materialise
 
 # The four base patterns of the contract, written so that they cannot backtrack far: a possessive
@@ -30,6 +30,10 @@ SHAPES = {
     "card": r"^(?=(?:[^0-9]*[0-9]){12,19}[^0-9]*$)[0-9](?:[\x20.-]?[0-9])+$",
     "phone": r"^(?=(?:[^0-9]*[0-9]){6,15}[^0-9]*$)[+(0-9][\x20()./0-9-]*[0-9]$",
 }
+# No shape holds more digits than a card, and each token of a run has a digit or is a mail address.
+MOST_TOKENS = 19
+# Punctuation from the last word or blank to the end.
+OPENING = r"(?<![^\p{L}\p{N}:=#\x20\x09-\x0D])[^\p{L}\p{N}:=#\x20\x09-\x0D]++$"
 ROUNDS = 3
 CONFIDENCE = 0.8
 MIN_SEEDS = 5
@@ -98,49 +102,155 @@ def _left(before: Column) -> Column:
     return F.regexp_replace(F.lower(F.substring_index(near, " ", -1)), r"[^\p{L}:=#]+", "")
 
 
-def _contexts(text: Column) -> Column:
-    """Array of (start, end, value, left): identifier-like runs and the word before each, in lower case."""
+def _trimmed(run: Column) -> tuple[Column, Column]:
+    """Characters before the value in ``run``, and the value: without the punctuation around it."""
+    head = F.char_length(F.regexp_extract(run, r"^[^\p{L}\p{N}+(]*", 0))
+    return head, F.regexp_replace(F.substr(run, head + 1), r"[^\p{L}\p{N}]+$", "")
 
-    def trimmed(s: Column) -> Column:
-        head = F.char_length(F.regexp_extract(s["match"], r"^[^\p{L}\p{N}+(]*", 0))
-        body = F.regexp_replace(F.substr(s["match"], head + 1), r"[^\p{L}\p{N}]+$", "")
-        start = s["start"] + head
-        return F.struct(start.alias("start"), (start + F.char_length(body)).alias("end"), body.alias("value"), _left(s["before"]).alias("left"))
 
-    found = F.transform(_located(text, CANDIDATE), trimmed)
-    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
-    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
+def _regions(base: Column) -> Column:
+    """The base matches by start as (start, kind, end, value); overlapping ones are one, under the first kind."""
+    by_start = F.sort_array(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), b["value"].alias("value"))))
+    kind = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        first = F.when(s["kind"] < last["kind"], s).otherwise(last)
+        both = F.struct(last["start"].alias("start"), first["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"), first["value"].alias("value"))
+        inside = (F.size(done) > 0) & (s["start"] < last["end"])
+        return F.when(inside, F.array_append(F.slice(done, 1, F.size(done) - 1), both)).otherwise(F.array_append(done, s)).cast(kind)
+
+    return F.aggregate(by_start, F.array().cast(kind), step)
+
+
+def _parted(text: Column, base: Column) -> Column:
+    """(seeds, runs): base matches as (left, value, seed), and identifier-like runs beside them as (start, run, left).
+
+    Runs are looked for in what lies between the base matches, so that none holds part of one.
+    """
+
+    def between(regions: Column) -> Column:
+        def segment(i: Column) -> Column:
+            start = F.when(i > 0, F.get(regions, i - 1)["end"]).otherwise(F.lit(0))
+            whole = F.size(regions) == 0
+            body = F.when(whole, text).otherwise(F.substr(text, start + 1, F.coalesce(F.get(regions, i)["start"], F.char_length(text)) - start))
+            return F.struct(start.alias("start"), body.alias("body"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(regions)), segment)
+
+    def seed(segments: Column, region: Column, i: Column) -> Column:
+        # An opening bracket or quote at the match is not a word.
+        before = F.regexp_replace(F.get(segments, i)["body"], OPENING, "")
+        return F.struct(_left(before).alias("left"), region["value"].alias("value"), region["kind"].alias("seed"))
+
+    def runs(segment: Column) -> Column:
+        return F.transform(
+            _located(segment["body"], CANDIDATE),
+            lambda s: F.struct((segment["start"] + s["start"]).alias("start"), s["match"].alias("run"), _left(s["before"]).alias("left")),
+        )
+
+    def parts(regions: Column) -> Column:
+        return let(
+            between(regions),
+            lambda segments: F.struct(
+                F.transform(regions, lambda r, i: seed(segments, r, i)).alias("seeds"),
+                F.flatten(F.transform(segments, runs)).alias("runs"),
+            ),
+        )
+
+    none = F.lit(None).cast("struct<seeds:array<struct<left:string,value:string,seed:int>>,runs:array<struct<start:int,run:string,left:string>>>")
+    return F.when(text.rlike("[0-9@]"), let(let(base, _regions), parts)).otherwise(none)
+
+
+def _looks(value: Column) -> Column:
+    """The kinds whose shape ``value`` has."""
+    return F.array_compact(F.array(*[F.when(value.rlike(SHAPES[k]), F.lit(i)) for i, k in enumerate(KINDS)]))
+
+
+def _readings(runs: DataFrame) -> DataFrame:
+    """A row for each token of each run: (doc_id, fp, left, other, readings).
+
+    ``readings`` are the values that begin at the token and look like an identifier, shorter ones
+    first, as (start, end, value, kinds); ``other`` is what stands there if nothing does.
+    """
+
+    def places(tokens: Column) -> Column:
+        def place(t: Column, i: Column) -> Column:
+            left = F.when(i == 0, F.col("left")).otherwise(_left(F.get(tokens, i - 1)["match"]))
+            words = F.transform(F.slice(tokens, i + 1, MOST_TOKENS), lambda x: x["match"])
+            other = F.when(i == 0, F.col("run")).otherwise(t["match"])
+            return F.struct((F.col("start") + t["start"]).alias("at"), left.alias("left"), other.alias("other"), words.alias("words"))
+
+        return F.transform(tokens, place)
+
+    def reading(k: Column) -> Column:
+        run = F.array_join(F.slice("words", 1, k), " ")
+
+        def of(run: Column) -> Column:
+            head, value = _trimmed(run)
+            return let(
+                value,
+                lambda v: F.struct(
+                    (F.col("at") + head).alias("start"), (F.col("at") + head + F.char_length(v)).alias("end"), v.alias("value"), _looks(v).alias("kinds")
+                ),
+            )
+
+        return let(run, of)
+
+    placed = runs.select("doc_id", "fp", F.explode(let(_located(F.col("run"), r"[^\x20]+"), places)).alias("p")).select("doc_id", "fp", "p.*")
+    readings = F.transform(F.sequence(F.lit(1), F.size("words")), reading)
+    return placed.select(
+        "doc_id", "fp", "left", _trimmed(F.col("other"))[1].alias("other"), F.filter(readings, lambda r: F.size(r["kinds"]) > 0).alias("readings")
+    )
+
+
+def _instances(readings: DataFrame) -> DataFrame:
+    """(left, value, kind, main): what each place says about the word before it.
+
+    A place counts once, by its longest reading (``main``, without a kind); for each kind its
+    longest reading of that kind is the value that may be one.
+    """
+    longest = lambda rs: F.get(rs, F.size(rs) - 1)["value"]
+    entry = lambda value, kind, main: F.struct(value.alias("value"), F.lit(kind).cast("int").alias("kind"), F.lit(main).alias("main"))
+    main = entry(F.coalesce(longest(F.col("readings")), F.col("other")), None, True)
+    like = lambda i: F.filter("readings", lambda r: F.array_contains(r["kinds"], i))
+    of_kind = [entry(longest(like(i)), i, False) for i in range(len(KINDS))]
+    return (
+        readings.where(F.col("left") != "")
+        .select("left", F.explode(F.filter(F.array(main, *of_kind), lambda e: e["value"].isNotNull())).alias("e"))
+        .select("left", "e.*")
+    )
 
 
 def learned_values(instances: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(value, kind) of the identifiers that contexts learned from the seeds point to.
 
-    ``instances`` has (value, left, seed): a value, the word before it, and the kind if it is a base
-    match. Values and contexts form a graph. In each round a context's confidence for a kind is the
+    ``instances`` has (left, value, seed, kind, main): the word before a value, the value, the kind if
+    it is a base match, the kind it may be one of, and whether it counts among the values of the
+    context, see :func:`_instances`. Values and contexts form a graph. In each round a context's confidence for a kind is the
     mean score of its distinct values, with one unknown value added; a value's score for a kind it
     looks like is the best confidence among its contexts. Contexts with few distinct seeds say
     nothing. A context or value with many rows shrinks to its distinct edges before any join.
     """
     edges = materialise(
-        instances.where((F.col("left") != "") & (F.col("value") != "")).groupBy("left", "value").agg(F.max("seed").alias("seed")),
+        instances.where((F.col("left") != "") & (F.col("value") != ""))
+        .groupBy("left", "value")
+        .agg(F.max("seed").alias("seed"), F.max("main").alias("main"), F.collect_set("kind").alias("kinds")),
         "pii-edges",
     )
-    seeds = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    scores = seeds.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-    looks = F.array_compact(F.array(*[F.when(F.col("value").rlike(SHAPES[k]), F.lit(i)) for i, k in enumerate(KINDS)]))
-    unseen = seeds.where("seed is null").select("value", F.explode(looks).alias("kind"))
-    sizes = edges.groupBy("left").agg(F.count(F.lit(1)).alias("n"))
-    known = seeds.where("seed is not null").select("value", "seed")
+    counted = edges.where("main")
+    known = edges.where("seed is not null").groupBy("value").agg(F.max("seed").alias("seed"))
+    scores = known.select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
+    unseen = edges.select("left", "value", F.explode("kinds").alias("kind")).join(known, "value", "left_anti")
+    sizes = counted.groupBy("left").agg(F.count(F.lit(1)).alias("n"))
     support = (
-        edges.select("left", "value").join(known, "value").groupBy("left", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"))
+        counted.select("left", "value").join(known, "value").groupBy("left", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"))
     ).where(F.col("seeds") >= min_seeds)
     support = materialise(support.join(sizes, "left"), "pii-contexts")
     # Values that share a context with enough seeds; all others keep no score.
-    reach = materialise(
-        edges.select("left", "value").join(unseen, "value").join(support.select("left", "kind"), ["left", "kind"]), "pii-reach"
-    )
+    reach = materialise(unseen.join(support.select("left", "kind"), ["left", "kind"]), "pii-reach")
     for i in range(rounds):
-        gained = edges.select("left", "value").join(scores, "value").groupBy("left", "kind").agg(F.sum("score").alias("sum"))
+        gained = counted.select("left", "value").join(scores, "value").groupBy("left", "kind").agg(F.sum("score").alias("sum"))
         contexts = support.join(gained, ["left", "kind"]).select("left", "kind", (F.col("sum") / (F.col("n") + 1)).alias("confidence"))
         better = reach.join(contexts, ["left", "kind"]).groupBy("value", "kind").agg(F.max("confidence").alias("score"))
         first = known.select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
@@ -155,29 +265,28 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
     ``base`` holds the matches of the fixed patterns, by kind (index into ``KINDS``) and start. ``spans``
     holds these and the identifiers found by bootstrapping: base matches are the seeds, words before
-    them the patterns, see :func:`learned_values`. A found identifier never overlaps a base match.
+    them the patterns, see :func:`learned_values`. A found identifier never overlaps a base match: a
+    run of tokens is split around its base matches, and any tokens side by side in the rest may be one.
 
     A null text counts as empty and has no spans; nor has a text without digits and at signs.
     Repeated rows have equal results. An empty table gives no rows. Further columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = chosen(docs, id_col=id_col, text_col=text_col).select(
-        "doc_id", "fp", F.concat(*[_base(text, k) for k in KINDS]).alias("base"), _contexts(text).alias("contexts")
-    )
-    rows = materialise(rows, "pii-base")
-    overlap = F.filter("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
-    seen = rows.where(F.size("contexts") > 0).select("doc_id", "fp", "base", F.explode("contexts").alias("c"))
-    seen = seen.withColumn("hit", overlap).select("doc_id", "fp", "c.*", "hit")
-    # A candidate that holds a base match is a seed under the value of that match.
-    instances = seen.select(
-        "left",
-        F.when(F.size("hit") > 0, F.get("hit", F.lit(0))["value"]).otherwise(F.col("value")).alias("value"),
-        F.get("hit", F.lit(0))["kind"].alias("seed"),
-    )
+    both = let(F.concat(*[_base(text, k) for k in KINDS]), lambda b: F.struct(b.alias("base"), _parted(text, b).alias("parted")))
+    rows = chosen(docs, id_col=id_col, text_col=text_col).select("doc_id", "fp", both.alias("both"))
+    rows = materialise(rows.select("doc_id", "fp", "both.base", "both.parted.*"), "pii-base")
+    runs = rows.where(F.size("runs") > 0).select("doc_id", "fp", F.explode("runs").alias("r")).select("doc_id", "fp", "r.*")
+    readings = materialise(_readings(runs), "pii-readings")
+    seeds = rows.where(F.size("seeds") > 0).select(F.explode("seeds").alias("s")).select("s.*")
+    instances = _instances(readings).unionByName(seeds.withColumn("main", F.lit(True)), allowMissingColumns=True)
     learned = learned_values(instances, rounds, confidence, min_seeds)
+    hits = readings.select("doc_id", "fp", F.explode("readings").alias("r")).select("doc_id", "fp", "r.start", "r.end", "r.value")
+    # Of readings inside one another the outermost stays.
+    before = Window.partitionBy("doc_id", "fp").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     extra = (
-        seen.where(F.size("hit") == 0)
-        .join(learned, "value")
+        hits.join(learned, "value")
+        .withColumn("reached", F.max("end").over(before))
+        .where(F.col("reached").isNull() | (F.col("end") > F.col("reached")))
         .groupBy("doc_id", "fp")
         .agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("extra"))
     )

@@ -213,6 +213,26 @@ def test_labels_after_line_breaks_and_tabs(spark):
     assert [out[i][0] for i in range(100, 104)] == ["phone:12:20", "phone:10:18", "phone:307:315", ""]
 
 
+def test_runs_split_around_base_matches(spark):
+    seeds = [(i, f"please phone: +1 (555) 010-{1000 + i} soon") for i in range(9)]
+    texts = [
+        "please phone: 555-0101 soon", "please phone: 555 0102 soon", "mail: a@b.de 555-0101", "10.0.0.1 555-0101, x", "12 555-0101", "12 555 0102 x9 555-0101",
+        "phone: 555-0103 4711 0815 4711", "555-0103", "10.0.0.1 555-0101, a@b.de 555 0102 +1 555 010 1000", "555-0109", "5 phone2: 555-0104 a1",
+    ]
+    rows = spark.createDataFrame(seeds + list(enumerate(texts, 100)), "doc_id long, text string")
+    found = by_id(private_data.digest(private_data.find(rows)), "spans")
+    text = dict(rows.collect())
+    got = {i: [(k, text[i][int(a) : int(b)]) for k, a, b in (s.split(":") for s in found[i][0].split(",") if s)] for i in range(100, 111)}
+    one, two = ("phone", "555-0101"), ("phone", "555 0102")
+    assert got[100] == got[104] == [one] and got[101] == [two]
+    assert got[102] == [("email", "a@b.de"), one] and got[103] == [("ip", "10.0.0.1"), one]
+    assert got[105] == [two, one] and got[109] == []
+    assert sorted(got[108]) == sorted([("email", "a@b.de"), ("ip", "10.0.0.1"), ("phone", "+1 555 010 1000"), one, two])
+    assert got[106] == [("phone", "555-0103 4711 0815")] and got[110] == [("phone", "555-0104")]
+    redacted = by_id(private_data.redact(rows), "text")
+    assert redacted[102] == ("mail: <EMAIL> <PHONE>",) and redacted[104] == ("12 <PHONE>",)
+
+
 def test_language(spark):
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
     out = language.identify(rows).join(rows.select("doc_id", "lang"), "doc_id").where("held_out").collect()
