@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,10 @@ SHAPES = {
 MOST_TOKENS = 19
 # Punctuation from the last word or blank to the end.
 OPENING = r"(?<![^\p{L}\p{N}:=#\x20\x09-\x0D])[^\p{L}\p{N}:=#\x20\x09-\x0D]++$"
-ROUNDS = 3
 CONFIDENCE = 0.8
 MIN_SEEDS = 5
+# A rise that is only rounding.
+SETTLED = 1e-9
 
 
 def _digits(match: Column) -> Column:
@@ -222,15 +225,24 @@ def _instances(readings: DataFrame) -> DataFrame:
     )
 
 
-def learned_values(instances: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def learned_values(instances: DataFrame, confidence: float = CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(value, kind) of the identifiers that contexts learned from the seeds point to.
 
     ``instances`` has (left, value, seed, kind, main): the word before a value, the value, the kind if
     it is a base match, the kind it may be one of, and whether it counts among the values of the
-    context, see :func:`_instances`. Values and contexts form a graph. In each round a context's confidence for a kind is the
-    mean score of its distinct values, with one unknown value added; a value's score for a kind it
-    looks like is the best confidence among its contexts. Contexts with few distinct seeds say
-    nothing. A context or value with many rows shrinks to its distinct edges before any join.
+    context, see :func:`_instances`. Values and contexts form a graph. A context's confidence for a
+    kind is the mean score of its distinct values, with one unknown value added; a value's score for
+    a kind it looks like is the best confidence among its contexts. Contexts with few distinct seeds
+    say nothing. A context or value with many rows shrinks to its distinct edges before any join.
+
+    Both are taken at their limit, not after some rounds. A value whose best context is the one in
+    question has that context's own confidence x, so with S seeds, n values, ``own`` such values and
+    ``sum`` as the better scores of the others, x = (S + sum) / (n + 1 - own). Scores only rise, and a
+    context waits only for better ones, so the rounds end by themselves: when none rises.
+
+    The guard against drift: learned values never become seeds, x is S / (S + 1 + others) where
+    no better context helps, and values of another shape are among the others. With the default
+    ``confidence`` such a context needs four seeds for each of the others and four besides, and ``min_seeds`` at least.
     """
     edges = materialise(
         instances.where((F.col("left") != "") & (F.col("value") != ""))
@@ -240,7 +252,6 @@ def learned_values(instances: DataFrame, rounds: int = ROUNDS, confidence: float
     )
     counted = edges.where("main")
     known = edges.where("seed is not null").groupBy("value").agg(F.max("seed").alias("seed"))
-    scores = known.select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
     unseen = edges.select("left", "value", F.explode("kinds").alias("kind")).join(known, "value", "left_anti")
     sizes = counted.groupBy("left").agg(F.count(F.lit(1)).alias("n"))
     support = (
@@ -249,17 +260,34 @@ def learned_values(instances: DataFrame, rounds: int = ROUNDS, confidence: float
     support = materialise(support.join(sizes, "left"), "pii-contexts")
     # Values that share a context with enough seeds; all others keep no score.
     reach = materialise(unseen.join(support.select("left", "kind"), ["left", "kind"]), "pii-reach")
-    for i in range(rounds):
-        gained = counted.select("left", "value").join(scores, "value").groupBy("left", "kind").agg(F.sum("score").alias("sum"))
-        contexts = support.join(gained, ["left", "kind"]).select("left", "kind", (F.col("sum") / (F.col("n") + 1)).alias("confidence"))
-        better = reach.join(contexts, ["left", "kind"]).groupBy("value", "kind").agg(F.max("confidence").alias("score"))
-        first = known.select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-        scores = materialise(first.unionByName(better), f"pii-scores{i}")
-    fresh = scores.join(known.select("value"), "value", "left_anti").where(F.col("score") >= confidence)
+    # Before any exchange a context knows its seeds and the values that follow it alone.
+    own = reach.groupBy("left", "kind").agg(F.count(F.lit(1)).alias("own"))
+    start = F.round(F.col("seeds") / (F.col("n") + 1 - F.col("own")), 12)
+    contexts = materialise(support.join(own, ["left", "kind"]).withColumn("confidence", start).drop("own"), "pii-scores0")
+    for i in count(1):
+        scores = reach.join(contexts.select("left", "kind", "confidence"), ["left", "kind"])
+        scores = scores.groupBy("value", "kind").agg(F.max("confidence").alias("score"))
+        better = F.col("score") > F.col("confidence")
+        gained = (
+            reach.join(scores, ["value", "kind"])
+            .join(contexts.select("left", "kind", "confidence"), ["left", "kind"])
+            .groupBy("left", "kind")
+            .agg(F.sum(F.when(better, F.col("score")).otherwise(0.0)).alias("sum"), F.count(F.when(~better, 1)).alias("own"))
+        )
+        limit = F.round((F.col("seeds") + F.col("sum")) / (F.col("n") + 1 - F.col("own")), 12)
+        risen = contexts.join(gained, ["left", "kind"]).select(
+            "left", "kind", "seeds", "n", F.greatest("confidence", limit).alias("confidence"), (limit > F.col("confidence") + SETTLED).alias("risen")
+        )
+        risen = materialise(risen, f"pii-scores{i}")
+        contexts = risen.drop("risen")
+        if risen.where("risen").isEmpty():
+            break
+    scores = reach.join(contexts.select("left", "kind", "confidence"), ["left", "kind"])
+    fresh = scores.groupBy("value", "kind").agg(F.max("confidence").alias("score")).where(F.col("score") >= confidence)
     return fresh.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE,
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = CONFIDENCE,
          min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(doc_id, fp, base, spans) for each row of ``docs``; both are arrays of (kind, start, end).
 
@@ -279,7 +307,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     readings = materialise(_readings(runs), "pii-readings")
     seeds = rows.where(F.size("seeds") > 0).select(F.explode("seeds").alias("s")).select("s.*")
     instances = _instances(readings).unionByName(seeds.withColumn("main", F.lit(True)), allowMissingColumns=True)
-    learned = learned_values(instances, rounds, confidence, min_seeds)
+    learned = learned_values(instances, confidence, min_seeds)
     hits = readings.select("doc_id", "fp", F.explode("readings").alias("r")).select("doc_id", "fp", "r.start", "r.end", "r.value")
     # Of readings inside one another the outermost stays.
     before = Window.partitionBy("doc_id", "fp").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)

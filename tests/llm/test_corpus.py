@@ -233,6 +233,20 @@ def test_runs_split_around_base_matches(spark):
     assert redacted[102] == ("mail: <EMAIL> <PHONE>",) and redacted[104] == ("12 <PHONE>",)
 
 
+def test_scores_settle(spark):
+    def instances(left, seeds, unseen, other=0):
+        rows = [(left, f"+1 555 {left} {i}", 3, None, True) for i in range(seeds)] + [(left, f"other {left} {i}", None, None, True) for i in range(other)]
+        return rows + [(left, v, None, kind, main) for v in unseen for kind, main in ((None, True), (3, False))]
+
+    numbers = lambda start, n: [f"555-{start + i}" for i in range(n)]
+    rows = instances("a", 20, numbers(1000, 30)) + instances("b", 5, numbers(2000, 300)) + instances("c", 6, numbers(3000, 40), 3)
+    # The context d is sure only through the values it shares with a.
+    rows += instances("d", 6, numbers(1000, 9) + numbers(4000, 5), 2) + instances("e", 4, numbers(5000, 5))
+    table = spark.createDataFrame(rows, "left string, value string, seed int, kind int, main boolean")
+    learned = {r["value"]: r["kind"] for r in private_data.learned_values(table).collect()}
+    assert learned == dict.fromkeys(numbers(1000, 30) + numbers(2000, 300) + numbers(4000, 5), 3)
+
+
 def test_language(spark):
     rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
     out = language.identify(rows).join(rows.select("doc_id", "lang"), "doc_id").where("held_out").collect()
