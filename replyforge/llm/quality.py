@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["x1", "x2", "x3", "x4"]
 # Standard deviations that no estimate falls below: differences of this size are never unusual.
 FLOORS = {"x1": 0.05, "x2": 0.04, "x3": 0.08, "x4": 0.05}
-SUBSET = 0.75
-STEPS = 3
+# The least share that cannot be mostly junk while junk is under half.
+SUBSET = 0.5
+# A step goes on only from where the logarithm of the determinant fell by more than this.
+FALL = 1e-6
 CUTOFF = 150.0
 MIN_GROUP = 200
 GRID = 0.001
@@ -96,8 +99,8 @@ def _transformed() -> dict[str, Column]:
     }
 
 
-def _grid_quantile(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    """(keys, q): the quantile of ``value`` on a grid of ``GRID``, exact there.
+def _grid_quantile(rows: DataFrame, keys: list[str], value: str, share: float, more: float = 0) -> DataFrame:
+    """(keys, q): the quantile of ``value`` on a grid of ``GRID``, exact there; ``more`` rows are added to the share.
 
     Values are counted by grid cell before any shuffle, so a key with a third of all rows is no more
     than its cells; the cells are few because the value has a bounded range.
@@ -107,7 +110,7 @@ def _grid_quantile(rows: DataFrame, keys: list[str], value: str, share: float) -
     below = F.sum("n").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
     return (
         cells.select(*keys, "cell", below.alias("below"), F.sum("n").over(w).alias("all"))
-        .where(F.col("below") >= F.col("all") * share)
+        .where(F.col("below") >= F.least(F.col("all") * share + more, F.col("all")))
         .groupBy(*keys)
         .agg(((F.min("cell") + 1) * GRID).alias("q"))
     )
@@ -156,22 +159,47 @@ def _distance() -> Column:
 
 
 def _estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """(key, m_*, l**): mean and Cholesky factor of the covariance of ``rows`` by key."""
+    """(key, start, m_*, l**, det): mean and Cholesky factor of the covariance of ``rows`` by key and start.
+
+    ``det`` is the logarithm of the determinant, rounded so that equal estimates tie.
+    """
     pairs = [(b, a) for i, a in enumerate(FEATURES) for b in FEATURES[: i + 1]]
-    out = rows.groupBy("key").agg(
+    out = rows.groupBy("key", "start").agg(
         *[F.avg(f).alias("m_" + f) for f in FEATURES],
         *[(F.covar_pop(b, a) * factor).alias(f"c_{b}_{a}") for b, a in pairs],
     )
     for name, column in _factor({(b, a): F.col(f"c_{b}_{a}") for b, a in pairs}):
         out = out.withColumn(name, column)
-    return out.drop(*[f"c_{b}_{a}" for b, a in pairs])
+    det = sum((2 * F.log(f"l{i}{i}") for i in range(1, len(FEATURES))), 2 * F.log("l00"))
+    return out.drop(*[f"c_{b}_{a}" for b, a in pairs]).withColumn("det", F.round(det, 9))
+
+
+def _parent(key: Column) -> Column:
+    """The next coarser group, of (language, source) the language and of a language all; null for all."""
+    language = F.concat(F.substring_index(key, "\x01", 1), F.lit("\x01"))
+    return F.when(key == "", F.lit(None)).when(key == language, F.lit("")).otherwise(language)
+
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """(key, start, m_*, l**): first estimates without covariances, several for each group.
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and scaled median deviations as the first estimate, without covariances."""
+    They are the medians of the group with its median deviations (0) and with the floors alone (1),
+    and medians and deviations of the next coarser group (2) and of all documents (3).
+    """
     medians = _feature_quantiles(rows, {f: F.col(f) for f in FEATURES}, "m_")
     away = _feature_quantiles(rows.join(medians, "key"), {f: F.abs(F.col(f) - F.col("m_" + f)) for f in FEATURES}, "s_")
-    out = medians.join(away, "key")
+    both = materialise(medians.join(away, "key"), "quality-medians")
+    numbers = [c for c in both.columns if c != "key"]
+    every = both.select("key", F.lit(0).alias("start"), *numbers).unionByName(
+        both.select("key", F.lit(1).alias("start"), *["m_" + f for f in FEATURES], *[F.lit(0.0).alias("s_" + f) for f in FEATURES])
+    )
+    of_all = both.where(F.col("key") == "").drop("key")
+    # A language with too few documents has no estimate; then those of all are used.
+    coarser = both.withColumnRenamed("key", "parent")
+    children = both.select("key", _parent(F.col("key")).alias("parent"))
+    every = every.unionByName(children.join(coarser, "parent").select("key", F.lit(2).alias("start"), *numbers))
+    finest = children.where(F.col("parent") != "").select("key", F.lit(3).alias("start"))
+    out = every.unionByName(finest.crossJoin(of_all).select("key", "start", *numbers))
     for i, f in enumerate(FEATURES):
         for j in range(i + 1):
             out = out.withColumn(
@@ -180,6 +208,13 @@ def _start(rows: DataFrame) -> DataFrame:
     return out.drop(*["s_" + f for f in FEATURES])
 
 
+def _nearest(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The (n + 5) / 2 rows of each group that are nearest to each of its estimates."""
+    away = rows.join(found, "key").withColumn("away", F.log1p(_distance()))
+    limit = _grid_quantile(away, ["key", "start"], "away", SUBSET, 2.5)
+    return away.join(limit, ["key", "start"]).where(F.col("away") <= F.col("q")).select("key", "start", *FEATURES)
+
+
 def _keys() -> Column:
     """The document's three possible groups, finest first."""
     lang, source = F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02"))
@@ -190,20 +225,33 @@ def covariances(stats: DataFrame, min_group: int = MIN_GROUP) -> tuple[DataFrame
     """Estimates by group, and the groups in use, from the documents that pass the base rules.
 
     Each (language, source) with ``min_group`` such documents is a group of its own; others use
-    their language, and languages with fewer use all documents. From a start by medians, each of
-    ``STEPS`` steps keeps the nearest ``SUBSET`` of every group and takes mean and covariance anew,
-    which lowers the determinant. Each step is one aggregation that is combined in the tasks.
+    their language, and languages with fewer use all documents. From several starts, each step keeps
+    the nearest (n + 5) / 2 of every group and takes mean and covariance anew, which lowers the
+    determinant, until it falls no more; the estimate with the lowest determinant is the group's.
+    Starts that have met go on as one. Each step is one aggregation that is combined in the tasks.
     """
     good = stats.where(~F.col("base_failed"))
     sizes = good.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     usable = materialise(sizes.where((F.col("n") >= min_group) | (F.col("key") == "")).select("key"), "quality-groups")
     rows = good.select(F.explode("keys").alias("key"), *FEATURES).join(usable, "key")
-    found = materialise(_start(rows), "quality-start")
-    for step in range(STEPS):
-        away = rows.join(found, "key").withColumn("away", F.log1p(_distance()))
-        limit = _grid_quantile(away, ["key"], "away", SUBSET)
-        nearest = away.join(limit, "key").where(F.col("away") <= F.col("q"))
-        found = materialise(_estimate(nearest, _consistency(SUBSET)), f"quality-step{step}")
+    factor = _consistency(SUBSET)
+    active = materialise(_estimate(_nearest(rows, materialise(_starts(rows), "quality-start")), factor), "quality-step0")
+    best = active
+    columns = active.columns
+    for step in count(1):
+        active = active.dropDuplicates(["key", "det"])
+        after = _estimate(_nearest(rows, active.drop("det")), factor)
+        old = active.select("key", "start", F.col("det").alias("before"))
+        lower = after.join(old, ["key", "start"]).where(F.col("det") < F.col("before") - FALL)
+        active = materialise(lower.select(*columns), f"quality-step{step}")
+        if active.isEmpty():
+            break
+        numbers = [c for c in columns if c != "key"]
+        lowest = best.unionByName(active).groupBy("key").agg(F.min_by(F.struct(*numbers), F.struct("det", "start")).alias("b"))
+        best = materialise(lowest.select("key", "b.*"), f"quality-best{step}")
+    numbers = [c for c in columns if c not in ("key", "det", "start")]
+    found = best.groupBy("key").agg(F.min_by(F.struct(*numbers), F.struct("det", "start")).alias("b")).select("key", "b.*")
+    found = materialise(found, "quality-found")
     return found, usable
 
 

@@ -175,6 +175,21 @@ def test_quality_outliers(spark):
     assert kept.count() >= 295
 
 
+def test_quality_with_two_fifths_junk(spark):
+    draw = random.Random(7)
+    usual = lambda: " ".join("abcdefgh"[: draw.randint(2, 8)] for _ in range(150))
+    odd = lambda: " ".join(f"w{draw.randint(0, 999)}" + "".join(draw.choices("*%#$", k=3)) for _ in range(150))
+    rows = [(i, usual(), "en", "clean") for i in range(300)]
+    rows += [(1000 + i, odd() if i % 5 < 2 else usual(), "en", "mixed") for i in range(300)]
+    # A source of another language, and junk that is copies of one text.
+    copied = odd()
+    rows += [(2000 + i, copied if i % 5 < 2 else usual(), "de", "copies") for i in range(300)]
+    kept = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=50)
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert not [i for i in ids if i >= 1000 and i % 5 < 2]
+    assert len(ids) >= 0.98 * (300 + 180 + 180)
+
+
 def test_consistency_factor():
     draws = (np.random.default_rng(3).standard_normal((200_000, 4)) ** 2).sum(axis=1)
     nearest = np.sort(draws)[: int(len(draws) * 0.75)]
