@@ -6,21 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyforge.llm import exact_dedup, language, line_dedup, near_dedup, packing, pieces, private_data, quality, substring_dedup, suffix_dedup
-from replyforge.llm.common import documents
+from replyforge.llm import conversation_repair, exact_dedup, language, line_dedup, near_dedup, packing, pieces, private_data, quality, substring_dedup, suffix_dedup
 from replyforge.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query over the documents."""
+def query(name: str, sql: str | None = None, table: str = "documents"):
+    """Register a query over one table."""
 
     def register(build: Callable[[DataFrame], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
-            return build(documents(spark, sf_dir))
+            return build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         QUERIES[name] = run
         if sql is not None:
@@ -78,3 +77,8 @@ def op10_suffix_dedup(docs: DataFrame) -> DataFrame:
 @query("op3_near_dedup")
 def op3_near_dedup(docs: DataFrame) -> DataFrame:
     return near_dedup.near_groups(docs, near_dedup.Likeness(words=2, percent=80)).drop("fp")
+
+
+@query("op11_conversation_repair", conversation_repair.SQL, table="conversations")
+def op11_conversation_repair(conversations: DataFrame) -> DataFrame:
+    return conversation_repair.digest(conversations)
