@@ -60,4 +60,4 @@ def without_space(text: Column) -> Column:
 
 def sql_words(text: str) -> str:
     """The words of a text in the checking SQL."""
-    return rf"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), w -> w <> '')"
+    return rf"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"

@@ -9,7 +9,7 @@ from functools import lru_cache
 from itertools import groupby
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from replyforge.llm.common import WORD
@@ -187,12 +187,12 @@ CELL = "costs array<bigint>, audits array<string>"
 PIECE = f"conv string, piece int, roles string, illegal bigint, {CELL}"
 
 
-def _streamed(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+def streamed(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
 
 
-def _batched(rows: Iterable[tuple], schema, size: int = 1000) -> Iterator[pa.RecordBatch]:
+def written(rows: Iterable[tuple], schema, size: int = 1000) -> Iterator[pa.RecordBatch]:
     import pyarrow as pa
 
     names, held = schema.names, []
@@ -209,22 +209,22 @@ def _cell_columns(cell: Cell) -> tuple[list, list]:
     return [e and e[0] for e in cell], [e and e[1] for e in cell]
 
 
-def _arrow(ddl_frame: DataFrame):
+def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(ddl_frame.schema)
+    return to_arrow_schema(spark.createDataFrame([], ddl).schema)
 
 
 def _parse_pieces(schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces():
-            rows = _streamed(batches, ["conv", "piece", "code"])
+            rows = streamed(batches, ["conv", "piece", "code"])
             for (conv, piece), own in groupby(rows, key=lambda r: r[:2]):
                 codes = "".join(r[2] for r in own)
                 roles = initials(codes)
                 yield conv, piece, roles[0] + roles[-1], illegal_pairs(roles), *_cell_columns(parse(codes))
 
-        return _batched(pieces(), schema)
+        return written(pieces(), schema)
 
     return run
 
@@ -232,14 +232,14 @@ def _parse_pieces(schema):
 def _join_pieces(schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole():
-            for conv, pieces in _streamed(batches, ["conv", "pieces"]):
+            for conv, pieces in streamed(batches, ["conv", "pieces"]):
                 cells = [
                     tuple(None if c is None else (c, a) for c, a in zip(p["costs"], p["audits"], strict=True)) for p in pieces
                 ]
                 seams = sum(a["roles"][1] + b["roles"][0] not in LEGAL for a, b in zip(pieces, pieces[1:], strict=False))
                 yield conv, sum(p["illegal"] for p in pieces) + seams, *answer(reduced(cells))
 
-        return _batched(whole(), schema)
+        return written(whole(), schema)
 
     return run
 
@@ -254,12 +254,12 @@ def parse_conversations(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     placed = rows.repartitionByRange("conv", *ORDER).sortWithinPartitions("conv", *ORDER)
     placed = placed.select("conv", F.spark_partition_id().alias("piece"), "code")
-    pieces = placed.mapInArrow(_parse_pieces(_arrow(spark.createDataFrame([], PIECE))), PIECE)
+    pieces = placed.mapInArrow(_parse_pieces(arrow_schema(spark, PIECE)), PIECE)
     held = F.array_sort(F.collect_list(F.struct("piece", "roles", "illegal", "costs", "audits")))
     schema = "conv string, illegal bigint, cost bigint, audit string"
     return (
         pieces.groupBy("conv").agg(held.alias("pieces"))
-        .mapInArrow(_join_pieces(_arrow(spark.createDataFrame([], schema))), schema)
+        .mapInArrow(_join_pieces(arrow_schema(spark, schema)), schema)
     )
 
 
@@ -282,7 +282,7 @@ def _edited(schema):
     """Over (conv, kind, audit, role, text) with the audit of a conversation before its rows."""
 
     def turns(batches):
-        for conv, own in groupby(_streamed(batches, ["conv", "audit", "role", "text"]), key=lambda r: r[0]):
+        for conv, own in groupby(streamed(batches, ["conv", "audit", "role", "text"]), key=lambda r: r[0]):
             _, audit, _, _ = next(own)
             place, before = 0, None
             for edit in audit:
@@ -300,7 +300,7 @@ def _edited(schema):
                 yield conv, place, role, text, edit
                 place += 1
 
-    return lambda batches: _batched(turns(batches), schema)
+    return lambda batches: written(turns(batches), schema)
 
 
 def repaired_turns(turns: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def repaired_turns(turns: DataFrame, parsed: DataFrame) -> DataFrame:
     )
     rows = turns.select("conv", F.lit(1).alias("kind"), "turn", "role", "key", "text", none.alias("audit"))
     stream = heads.unionByName(rows).repartition("conv").sortWithinPartitions("conv", "kind", *ORDER)
-    return stream.select("conv", "audit", "role", "text").mapInArrow(_edited(_arrow(spark.createDataFrame([], TURN))), TURN)
+    return stream.select("conv", "audit", "role", "text").mapInArrow(_edited(arrow_schema(spark, TURN)), TURN)
 
 
 @dataclass
@@ -371,13 +371,13 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 def _hashed(schema):
     def digests(batches):
-        for conv, own in groupby(_streamed(batches, ["conv", "role", "text"]), key=lambda r: r[0]):
+        for conv, own in groupby(streamed(batches, ["conv", "role", "text"]), key=lambda r: r[0]):
             total = hashlib.sha256()
             for i, (_, role, text) in enumerate(own):
                 total.update((("\n" if i else "") + role + ":" + text).encode("utf-8", "surrogatepass"))
             yield conv, total.hexdigest()
 
-    return lambda batches: _batched(digests(batches), schema)
+    return lambda batches: written(digests(batches), schema)
 
 
 def digest(conversations: DataFrame) -> DataFrame:
@@ -386,7 +386,7 @@ def digest(conversations: DataFrame) -> DataFrame:
     repaired = repair(damaged(conversations))
     schema = "conv string, repaired_sha256 string"
     # The turns of a conversation come together and in order out of each task.
-    hashed = repaired.turns.mapInArrow(_hashed(_arrow(spark.createDataFrame([], schema))), schema)
+    hashed = repaired.turns.mapInArrow(_hashed(arrow_schema(spark, schema)), schema)
     every = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct()
     numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     report = repaired.report.select("conv", *numbers, "audit")
@@ -402,11 +402,16 @@ def digest(conversations: DataFrame) -> DataFrame:
 
 
 # Checksum of a text in the checking SQL, byte by byte; a different way to parse: from the left, one state a role seen last.
-def _sql_crc(text: str) -> str:
+def sql_crc(text: str) -> str:
     step = "lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1])"
     return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
 
 
+SQL_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce(range(8)::BIGINT[], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT) ORDER BY i) AS t
+  FROM range(256) x(i))"""
+
+
 def _sql_least(*options: str) -> str:
     return f"list_min([{', '.join(options)}])"
 
@@ -449,10 +454,8 @@ def _sql_inserted(p: str) -> str:
 _SQL_NONE = "{'c': NULL::BIGINT, 'a': NULL::VARCHAR}"
 _SQL_START = f"{{'code': '', 'e': {{'c': 0::BIGINT, 'a': ''}}, 's': {_SQL_NONE}, 'u': {_SQL_NONE}, 'a': {_SQL_NONE}}}"
 
-SQL = rf"""WITH crc_table AS (
-  SELECT list(list_reduce(range(8)::BIGINT[], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT) ORDER BY i) AS t
-  FROM range(256) x(i)),
-fates AS (SELECT c.*, {_sql_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate FROM conversations c, crc_table),
+SQL = rf"""WITH {SQL_CRC_TABLE},
+fates AS (SELECT c.*, {sql_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate FROM conversations c, crc_table),
 damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
     CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM fates WHERE fate <> 0),
