@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replyforge.llm import conversation_repair, conversation_trie, exact_dedup, language, line_dedup, near_dedup, packing, pieces, private_data, quality, substring_dedup, suffix_dedup
+from replyforge.llm import conversation_repair, conversation_trie, exact_dedup, fingerprints, language, line_dedup, near_dedup, packing, pieces, private_data, quality, substring_dedup, suffix_dedup
 from replyforge.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op11_conversation_repair(conversations: DataFrame) -> DataFrame:
 @query("op13_conversation_trie", conversation_trie.SQL, table="conversations")
 def op13_conversation_trie(conversations: DataFrame) -> DataFrame:
     return conversation_trie.digest(conversations)
+
+
+@query("op12_fingerprints")
+def op12_fingerprints(docs: DataFrame) -> DataFrame:
+    return fingerprints.fingerprint_pairs(docs)
