@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
-from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from replyforge.llm.common import chosen
@@ -23,20 +21,38 @@ LOW = 0xFFFFFFFF
 NO_SAMPLE = LOW
 
 
-@cache
-def gamma_values() -> list[float]:
-    """Gamma(2, 1) at the middles of equal shares of its distribution, 1 - (1 + x) exp(-x), found by halving."""
-    values, shares = [], 1 << GAMMA_BITS
-    for i in range(shares):
-        low, high = 0.0, 64.0
-        for _ in range(60):
-            middle = (low + high) / 2
-            low, high = (middle, high) if 1 - (1 + middle) * math.exp(-middle) < (i + 0.5) / shares else (low, middle)
-        values.append((low + high) / 2)
-    return values
+@dataclass
+class GammaTable:
+    """``values``: Gamma(2, 1) at the middles of equal shares of its distribution; ``logs`` of them. Columns of one array each.
+
+    Each is a scalar subquery: computed once a query, and no part of the text of the plan.
+    """
+
+    values: Column
+    logs: Column
+
+
+def gamma_table(spark: SparkSession) -> GammaTable:
+    shares = 1 << GAMMA_BITS
+    share = (F.col("id") + 0.5) / shares
+
+    def halved(bounds: Column, _: Column) -> Column:
+        middle = (bounds["low"] + bounds["high"]) / 2
+        below = 1 - (1 + middle) * F.exp(-middle) < F.col("share")
+        return F.struct(F.when(below, middle).otherwise(bounds["low"]).alias("low"), F.when(below, bounds["high"]).otherwise(middle).alias("high"))
+
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(64.0).alias("high"))
+    rows = spark.range(0, shares, 1, 1).select("id", share.alias("share"))
+    rows = rows.select("id", F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halved)["low"].alias("value"))
+
+    def column(value: Column) -> Column:
+        held = F.array_sort(F.collect_list(F.struct("id", value.alias("value"))))
+        return rows.agg(F.transform(held, lambda x: x["value"]).alias("held")).scalar()
+
+    return GammaTable(column(F.col("value")), column(F.log("value")))
 
 
-def _sample(group: Column, number: int) -> Column:
+def _sample(gamma: GammaTable, group: Column, number: int) -> Column:
     """The drawn value of one term in one sample: its key ln(a) in the high half, the name of (term, t) in the low half.
 
     With r and c gamma distributed and b uniform, all by hash of term and sample: t = floor(ln(w) / r + b) and
@@ -44,9 +60,8 @@ def _sample(group: Column, number: int) -> Column:
     with the chance min(w, w') / max(w, w') of its weights, summed over the terms.
     """
     h = F.xxhash64("term", group, F.lit(number))
-    values = gamma_values()
-    r = F.get(F.lit(values), F.shiftrightunsigned(h, 64 - GAMMA_BITS).cast("int"))
-    log_c = F.get(F.lit([math.log(x) for x in values]), F.shiftrightunsigned(h, FRACTION_BITS).bitwiseAND((1 << GAMMA_BITS) - 1).cast("int"))
+    r = F.get(gamma.values, F.shiftrightunsigned(h, 64 - GAMMA_BITS).cast("int"))
+    log_c = F.get(gamma.logs, F.shiftrightunsigned(h, FRACTION_BITS).bitwiseAND((1 << GAMMA_BITS) - 1).cast("int"))
     b = h.bitwiseAND((1 << FRACTION_BITS) - 1).cast("double") / float(1 << FRACTION_BITS)
     t = F.floor(F.col("log_weight") / r + b)
     # r stays under 14 and ln(w) under 44, so ln(a) lies within (-64, 64).
@@ -63,8 +78,9 @@ def signatures(words: DataFrame, keys: list[str], which: str) -> DataFrame:
     of = [*keys, which]
     terms = words.groupBy(*of, F.xxhash64("word").alias("term")).agg(F.count(F.nullif("word", F.lit(""))).alias("weight"))
     terms = terms.withColumn("log_weight", F.when(F.col("weight") > 0, F.log(F.col("weight").cast("double"))))
+    gamma = gamma_table(words.sparkSession)
     spread = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SAMPLE_GROUPS - 1))))
-    least = spread.groupBy(*of, "part").agg(*[F.min(_sample(F.col("part"), i)).alias(f"s{i}") for i in range(GROUP_SAMPLES)])
+    least = spread.groupBy(*of, "part").agg(*[F.min(_sample(gamma, F.col("part"), i)).alias(f"s{i}") for i in range(GROUP_SAMPLES)])
     drawn = F.array(*[F.coalesce(F.col(f"s{i}").bitwiseAND(LOW), F.lit(NO_SAMPLE)) for i in range(GROUP_SAMPLES)])
     parts = least.select(*of, "part", drawn.alias("drawn"))
     held = F.array_sort(F.collect_list(F.struct(which, "part", "drawn")))
