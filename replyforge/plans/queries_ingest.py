@@ -23,36 +23,55 @@ def _by_kind(build) -> Column:
     return F.coalesce(*[F.when(C("kind") == kind, build(kind)) for kind in STATUS_FIELDS])
 
 
-def write_sheets(fx) -> str:
-    """Sheets as CSV files with a title line and a header line.
+# Hard sheets by source: an open quote, a body of many commas, blank and twin headers, many columns, line breaks
+# in headers, no body column, two headers of one name.
+OPEN, COMMAS, TWINS, BROAD, BROKEN, BODILESS, CLASHING = (f"src{n}" for n in range(13, 20))
+BAD = f"('{OPEN}', '{BODILESS}', '{CLASHING}')"
+MORE_COLUMNS, MORE_COMMAS = 400, 5000
+MORE_NAMES = [f"c_{i:03d}" for i in range(MORE_COLUMNS)]
+
 
-    Sheets of src18 lack the body column and sheets of src19 have two headers of one name.
-    """
+def write_sheets(fx) -> str:
+    """Sheets as CSV files with a title line and a header line, some of them hard to read (see above)."""
     number = F.substring("collection", 4, 3).cast("int")
     rows = fx.kb.withColumn("kind", number % 3).withColumn(
         "sheet", F.concat(C("collection"), F.lit(" Sheet "), F.floor(C("kb_id") / SHEET_IDS).cast("string"))
     )
+    body = F.coalesce("email_body", F.lit(""))
+    rows = rows.withColumn("email_body", F.when(C("collection") == COMMAS, F.concat(body, F.repeat(F.lit(","), F.lit(MORE_COMMAS)))).otherwise(body))
 
     def cells(kind: int) -> Column:
         texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("subject", "email_body", *STATUS_FIELDS[kind])]
         return F.to_csv(F.struct(*texts), QUOTED)
 
+    own_id = C("kb_id").cast("string")
+    more = F.transform(F.sequence(F.lit(0), F.lit(MORE_COLUMNS - 1)), lambda i: F.concat(F.lit(",v"), i.cast("string"), F.lit(" "), own_id))
+    more_cells = F.when(C("collection") == BROAD, F.array_join(more, "")).when(C("collection") == TWINS, F.concat(F.lit(",blank "), own_id, F.lit(",one,two")))
+    line = F.concat(_by_kind(cells), F.coalesce(more_cells, F.lit("")))
+
     def header(kind: int) -> Column:
         names = ["Subject", " Email  Body ", *[f.replace("_", " ").upper() for f in STATUS_FIELDS[kind]]]
         text = F.lit(",".join(f'"{n}"' for n in names))
         return (
-            F.when(C("collection") == "src18", F.replace(text, F.lit(" Email  Body "), F.lit("Mail")))
-            .when(C("collection") == "src19", F.replace(text, F.lit(" Email  Body "), F.lit("subject!")))
+            F.when(C("collection") == BODILESS, F.replace(text, F.lit(" Email  Body "), F.lit("Mail")))
+            .when(C("collection") == CLASHING, F.replace(text, F.lit(" Email  Body "), F.lit("subject!")))
+            .when(C("collection") == BROKEN, F.replace(text, F.lit(" "), F.lit("\n")))
+            .when(C("collection") == TWINS, F.concat(text, F.lit(',,"Reply","Reply"')))
+            .when(C("collection") == BROAD, F.concat(text, F.lit("," + ",".join(n.upper().replace("_", " ") for n in MORE_NAMES))))
             .otherwise(text)
         )
 
-    lines = rows.select("sheet", (C("kb_id") + 2).alias("at"), _by_kind(cells).alias("line"))
+    lines = rows.select("sheet", (C("kb_id") + 2).alias("at"), line.alias("line"))
     heads = rows.select("sheet", "collection", "kind").distinct()
-    first = heads.select("sheet", F.lit(0).cast("bigint").alias("at"), F.concat(F.lit('"'), C("sheet"), F.lit('"')).alias("line"))
-    second = heads.select("sheet", F.lit(1).cast("bigint").alias("at"), _by_kind(header).alias("line"))
+
+    def added(at: int, text: Column) -> DataFrame:
+        return heads.select("sheet", F.lit(at).cast("bigint").alias("at"), text.alias("line"))
+
+    first = added(0, F.concat(F.lit('"'), C("sheet"), F.lit('"')))
+    last = added((1 << 63) - 1, F.lit('never closed,"open')).where(C("sheet").startswith(f"{OPEN} "))
     path = scratch_path(fx.spark, "sheets")
     (
-        first.unionByName(second).unionByName(lines)
+        first.unionByName(added(1, _by_kind(header))).unionByName(lines).unionByName(last)
         .repartition("sheet").sortWithinPartitions("sheet", "at")
         .select("line", "sheet").write.partitionBy("sheet").text(path)
     )
@@ -71,13 +90,20 @@ def _own_cells_sql() -> str:
         pairs = sorted((f.replace("__", "_"), f) for f in STATUS_FIELDS[kind])
         return " || ';' || ".join(f"'{name}=' || {column}" for name, column in pairs)
 
-    return "CASE CAST(substring(collection, 4, 3) AS INT) % 3 " + " ".join(f"WHEN {k} THEN {flat(k)}" for k in STATUS_FIELDS) + " END"
+    own = "CASE CAST(substring(collection, 4, 3) AS INT) % 3 " + " ".join(f"WHEN {k} THEN {flat(k)}" for k in STATUS_FIELDS) + " END"
+    more = f"list_transform(range({MORE_COLUMNS}), lambda i: 'c_' || lpad(i::VARCHAR, 3, '0') || '=v' || i || ' ' || kb_id || ';')"
+    return (
+        f"CASE WHEN collection = '{BROAD}' THEN array_to_string({more}, '') ELSE '' END || {own} || "
+        f"CASE WHEN collection = '{TWINS}' THEN ';reply=one;reply_1=two;unnamed_8=blank ' || kb_id ELSE '' END"
+    )
 
 
 SHEETS_SQL = f"""sheets AS (SELECT *, collection || '_sheet_' || CAST(kb_id // {SHEET_IDS} AS VARCHAR) AS sheet FROM fx_kb)"""
 ROWS_SQL = f"""SELECT sheet AS collection, row_number() OVER (PARTITION BY sheet ORDER BY kb_id) AS kb_id, subject,
-       coalesce(email_body, '') AS email_body, {_own_cells_sql()} AS cells
-     FROM sheets WHERE collection NOT IN ('src18', 'src19')"""
+       coalesce(email_body, '') || CASE WHEN collection = '{COMMAS}' THEN repeat(',', {MORE_COMMAS}) ELSE '' END AS email_body, {_own_cells_sql()} AS cells
+     FROM sheets WHERE collection NOT IN {BAD}"""
+# Fields after those of the kind, by source.
+MORE_FIELDS = {BROAD: MORE_NAMES, TWINS: ["unnamed_8", "reply", "reply_1"]}
 
 
 @query("s1_sheet_folder", over("fx_kb", SHEETS_SQL) + ROWS_SQL)
@@ -89,11 +115,17 @@ def s1(fx) -> DataFrame:
 
 @query(
     "s2_sheet_headers",
-    over("fx_kb", SHEETS_SQL, "names AS (SELECT DISTINCT sheet, CAST(substring(collection, 4, 3) AS INT) % 3 AS kind FROM sheets WHERE collection NOT IN ('src18', 'src19'))")
+    over("fx_kb", SHEETS_SQL, f"names AS (SELECT DISTINCT sheet, collection AS source, CAST(substring(collection, 4, 3) AS INT) % 3 AS kind FROM sheets WHERE collection NOT IN {BAD})")
     + " UNION ALL ".join(
-        f"SELECT sheet AS collection, '{f.replace('__', '_')}' AS field, {i} AS ordinal FROM names WHERE kind = {kind}"
-        for kind, own in STATUS_FIELDS.items()
-        for i, f in enumerate(["id", "embedding", "subject", "email_body", *own])
+        [
+            f"SELECT sheet AS collection, '{f.replace('__', '_')}' AS field, {i} AS ordinal FROM names WHERE kind = {kind}"
+            for kind, own in STATUS_FIELDS.items()
+            for i, f in enumerate(["id", "embedding", "subject", "email_body", *own])
+        ]
+        + [
+            f"SELECT sheet, field, CAST(9 + ordinal AS INT) FROM names, (SELECT unnest({own}) AS field, generate_subscripts({own}, 1) AS ordinal) WHERE source = '{source}'"
+            for source, own in MORE_FIELDS.items()
+        ]
     ),
 )
 def s2(fx):
@@ -103,8 +135,9 @@ def s2(fx):
 @query(
     "q5_required_columns",
     over("fx_kb", SHEETS_SQL)
-    + """SELECT DISTINCT sheet AS collection, CASE WHEN collection = 'src18' THEN 'missing columns: email_body'
-           WHEN collection = 'src19' THEN 'two columns have the same name' ELSE 'ok' END AS state FROM sheets""",
+    + f"""SELECT DISTINCT sheet AS collection, CASE collection WHEN '{BODILESS}' THEN 'missing columns: email_body'
+           WHEN '{CLASHING}' THEN 'two columns have the same name' WHEN '{OPEN}' THEN 'unreadable: a quote is not closed'
+           ELSE 'ok' END AS state FROM sheets""",
 )
 def q5(fx):
     return readers.read_sheets(fx.spark, write_sheets(fx), name_pattern=SHEET_NAME).report.select("collection", "state")
@@ -113,9 +146,9 @@ def q5(fx):
 @query(
     "q12_ingest_report",
     over("fx_kb", SHEETS_SQL)
-    + """SELECT sheet AS collection, collection NOT IN ('src18', 'src19') AS good, count(*) AS expected,
-           CASE WHEN collection NOT IN ('src18', 'src19') THEN count(*) END AS stored,
-           CASE WHEN collection NOT IN ('src18', 'src19') THEN TRUE END AS complete FROM sheets GROUP BY sheet, collection""",
+    + f"""SELECT sheet AS collection, collection NOT IN {BAD} AS good, count(*) AS expected,
+           CASE WHEN collection NOT IN {BAD} THEN count(*) END AS stored,
+           CASE WHEN collection NOT IN {BAD} THEN TRUE END AS complete FROM sheets GROUP BY sheet, collection""",
 )
 def q12(fx):
     """A whole ingest: one bad sheet does not stop the others."""
@@ -136,8 +169,9 @@ def _stored(fx, dropped: list[str] | None):
 @query(
     "s8_drop_collection",
     over("fx_kb", SHEETS_SQL)
-    + """SELECT sheet AS collection, count(*) AS "rows", CAST(10 AS BIGINT) AS fields, 'ok' AS state FROM sheets
-         WHERE collection NOT IN ('src18', 'src19') AND sheet NOT IN ('src3_sheet_0', 'src5_sheet_0') GROUP BY ALL""",
+    + f"""SELECT sheet AS collection, count(*) AS "rows",
+           CAST(10 + CASE collection WHEN '{BROAD}' THEN {MORE_COLUMNS} WHEN '{TWINS}' THEN 3 ELSE 0 END AS BIGINT) AS fields, 'ok' AS state FROM sheets
+         WHERE collection NOT IN {BAD} AND sheet NOT IN ('src3_sheet_0', 'src5_sheet_0') GROUP BY sheet, collection""",
 )
 def s8(fx):
     kb, fields, report = _stored(fx, ["src3_sheet_0", "src5_sheet_0", "not stored"])

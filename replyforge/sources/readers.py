@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from replyforge.functions.text import as_text, names_of, sanitize_name, similar_names
 from replyforge.operators.joins import lookup_join
 from replyforge.session import materialise
+from replyforge.sources.records import listed_files, read_records
 from replyforge.sources.schemas import BATCH_COLUMNS, ENVELOPE, MISSING_WORDS, RESULTS, SHEET_COLUMNS, TICKET_COLUMNS
 
 # Delivered header -> column name.
@@ -137,16 +138,6 @@ class Sheets:
     report: DataFrame
 
 
-def _leading_lines(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, int]:
-    """(file, skipped): whether the reader leaves out an empty first line; and the columns of the widest line."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    commas = F.char_length("value") - F.char_length(F.replace("value", F.lit(","), F.lit("")))
-    lines = spark.read.text(path).select(decoded(F.col("_metadata.file_path")).alias("file"), "value", place.alias("place"), commas.alias("commas"))
-    files = materialise(lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), F.max("commas").alias("commas")), "sheet-files")
-    widest = files.agg(F.max("commas")).first()[0] or 0
-    return files.select("file", (F.trim(F.replace("first", F.lit("\r"), F.lit(""))) == "").cast("int").alias("skipped")), widest + 1
-
-
 def _delivered_names(cells: Column, width: Column) -> Column:
     """The header cells over the whole width; a column without one is named after its position."""
     every = F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1)
@@ -162,49 +153,39 @@ def _numbered_twin(names: Column, name: Column, i: Column) -> Column:
 def read_sheets(
     spark: SparkSession, path: str | Sequence[str], name_pattern: str = r"([^/]+)\.csv$"
 ) -> Sheets:
-    """A folder of sheets as CSV: line 1 a title, line 2 the header, one collection per file.
+    """A folder of sheets as CSV: record 1 a title, record 2 the header, one collection per file.
 
-    All files are one scan into as many text columns as the widest line of any file has. A column
-    without a header is named after its position, equal headers are numbered, and an empty first
-    line counts as the title. A sheet is bad when a required column is missing or when two different
-    headers have the same name in collection form; it is reported and left out.
+    Records are cut with quotes honoured, so headers and cells may hold line breaks, and each sheet has its own
+    width. A column without a header is named after its position, equal headers are numbered, and an
+    empty first line counts as the title. A sheet is bad when it cannot be read, has no header, lacks a required
+    column or has two different headers with the same name in collection form; it is reported and left out.
     """
-    path_text = decoded(F.col("_metadata.file_path"))
-    lead, width = _leading_lines(spark, path)
-    places = [f"_c{i}" for i in range(width)]
-    schema = ", ".join(f"{p} string" for p in places)
-    raw = spark.read.schema(schema).csv(path, header=False, enforceSchema=True, maxColumns=width + 1, **CSV_OPTIONS)
-    used = F.array_max(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1)))
-    # Written once: the checks, the header and the rows all read it, and the positions stay as they are.
-    lines = materialise(
-        raw.select(
-            sanitize_name(F.regexp_extract(path_text, name_pattern, 1)).alias("collection"),
-            path_text.alias("file"),
-            F.monotonically_increasing_id().alias("position"),
-            F.array(*places).alias("cells"),
-        ).withColumn("cells", F.slice("cells", 1, F.coalesce(used, F.lit(0)))),
-        "sheets",
-    )
-    # A file is read by one task, so its positions are consecutive from its first line on.
-    starts = lines.groupBy("file").agg(F.min("position").alias("start"))
-    starts = starts.join(lead, "file").withColumn("start", F.col("start") - F.col("skipped")).drop("skipped")
-    numbered = lookup_join(lines, starts, ["file"], ["position"]).withColumn("line", F.col("position") - F.col("start"))
-    widths = numbered.where(F.col("line") > 0).groupBy("file").agg(F.max(F.size("cells")).alias("width"))
+    name = decoded(F.col("_metadata.file_path"))
+    collection = sanitize_name(F.regexp_extract("file", name_pattern, 1))
+    # Written once: the checks, the header and the rows all read it.
+    numbered = materialise(read_records(spark, path, name), "sheets")
+    whole = numbered.where(F.col("line") >= 0)
+    unread = numbered.where(F.col("line") < 0).select("file", "problem")
+    widths = whole.where(F.col("line") > 0).groupBy("file").agg(F.max(F.size("cells")).alias("width"))
     # One row per file; written, so that the checks read names and do not derive them again.
-    headers = materialise(
-        numbered.where(F.col("line") == 1)
+    named = (
+        whole.where(F.col("line") == 1)
         .join(widths, "file")
         .withColumn("delivered", _delivered_names(F.col("cells"), F.col("width")))
         .withColumn("delivered", F.transform("delivered", lambda x, i: _numbered_twin(F.col("delivered"), x, i)))
         .withColumn("header", F.transform("delivered", lambda x, i: F.struct(sanitize_name(x).alias("name"), i.alias("at"))))
-        .select("file", "collection", "header")
-        .withColumn("titles", F.transform("header", lambda h: h["name"])),
-        "headers",
+        .select("file", "header")
+        .withColumn("titles", F.transform("header", lambda h: h["name"]))
     )
+    files = listed_files(spark, path).select(decoded(F.col("path")).alias("file"))
+    files = files.join(named, "file", "left").join(unread, "file", "left")
+    headers = materialise(files.select("file", collection.alias("collection"), "header", "titles", F.col("problem").alias("unread")), "headers")
     titles = F.col("titles")
     absent = F.array_except(names_of(SHEET_COLUMNS), titles)
     problem = (
-        F.when(F.size(F.array_distinct(titles)) < F.size(titles), "two columns have the same name")
+        F.when(F.col("unread").isNotNull(), F.col("unread"))
+        .when(titles.isNull(), "no header line")
+        .when(F.size(F.array_distinct(titles)) < F.size(titles), "two columns have the same name")
         .when(F.size(absent) > 0, F.concat(F.lit("missing columns: "), F.array_join(absent, ", ")))
     )
     hints = F.array_join(F.flatten(F.transform(absent, lambda w: similar_names(w, titles))), ", ")
@@ -214,8 +195,8 @@ def read_sheets(
     state = checked.join(winner.withColumn("kept", F.lit(True)), ["collection", "file"], "left").withColumn(
         "problem", F.coalesce("problem", F.when(F.col("kept").isNull(), "replaced by a later file"))
     )
-    good = state.where(F.col("problem").isNull()).select("file", "header", "titles")
-    data = lookup_join(numbered.where(F.col("line") > 1), good, ["file"], ["position"]).where(F.col("header").isNotNull())
+    good = state.where(F.col("problem").isNull()).select("file", "collection", "header", "titles")
+    data = lookup_join(whole.where(F.col("line") > 1), good, ["file"], ["line"]).where(F.col("header").isNotNull())
     cells = F.transform("header", lambda h: F.coalesce(known(F.get("cells", h["at"])), F.lit("")))
     everything = data.select("collection", (F.col("line") - 1).alias("kb_id"), F.map_from_arrays("titles", cells).alias("all"))
     rows = everything.select(
@@ -226,9 +207,9 @@ def read_sheets(
     schema_names = F.concat(names_of(["id", "embedding"]), F.col("titles"))
     kept = state.where(F.col("problem").isNull())
     fields = kept.select("collection", F.posexplode(schema_names).alias("ordinal", "field")).select("collection", "field", "ordinal")
-    delivered = numbered.where(F.col("line") > 1).groupBy("file").agg(F.count(F.lit(1)).alias("delivered"))
+    delivered = whole.where(F.col("line") > 1).groupBy("file").agg(F.count(F.lit(1)).alias("delivered"))
     report = state.join(delivered, "file", "left").select(
-        "collection", "file", F.coalesce("problem", F.lit("ok")).alias("state"), "similar",
+        "collection", "file", F.coalesce("problem", F.lit("ok")).alias("state"), F.coalesce("similar", F.lit("")).alias("similar"),
         F.coalesce("delivered", F.lit(0)).alias("expected"),
     )
     return Sheets(rows, fields, report)

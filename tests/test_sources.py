@@ -125,6 +125,44 @@ def test_sheets_as_they_come(spark, tmp_path):
     assert rows["broad"][2] == {f"c{i}": f"v{i}" for i in range(400)}
 
 
+def test_hard_sheets(spark, tmp_path):
+    (tmp_path / "Broken Headers.csv").write_text('t\nSubject,"Email\nBody",Im Closed,"Im\nRejected"\na,"b\r\nc",1,2\n\nd,"say ""x"", y",3\n')
+    (tmp_path / "Commas.csv").write_text('t\nSubject,Email Body,X\na,"' + "," * 5000 + '",c\n')
+    (tmp_path / "Open.csv").write_text('t\nSubject,Email Body\na,b\nc,"never closed\nd,e\n')
+    (tmp_path / "Bytes.csv").write_bytes(b"t\nSubject,Email Body\na,\xff\xfe\n")
+    (tmp_path / "Nothing.csv").write_text("")
+    (tmp_path / "Title.csv").write_text("only a title\n")
+    (tmp_path / "Mark.csv").write_bytes(b"\xef\xbb\xbf\nSubject,Email Body\nx,y\n")
+    (tmp_path / "Literal.csv").write_text('t\nSubject,Email Body,Size\na,b,5" pipe\nc,d,"6"" pipe"\n')
+    read = readers.read_sheets(spark, str(tmp_path))
+    rows = sorted((r.collection, r.kb_id, r.subject, r.email_body, r.fields) for r in read.rows.collect())
+    assert rows == [
+        ("broken_headers", 1, "a", "b\nc", {"im_closed": "1", "im_rejected": "2"}),
+        ("broken_headers", 2, "d", 'say "x", y', {"im_closed": "3", "im_rejected": ""}),
+        ("commas", 1, "a", "," * 5000, {"x": "c"}),
+        ("literal", 1, "a", "b", {"size": '5" pipe'}),
+        ("literal", 2, "c", "d", {"size": '6" pipe'}),
+        ("mark", 1, "x", "y", {}),
+    ]
+    assert {r.collection: r.state for r in read.report.collect() if r.state != "ok"} == {
+        "open": "unreadable: a quote is not closed",
+        "bytes": "unreadable: not UTF-8 text",
+        "nothing": "no header line",
+        "title": "no header line",
+    }
+
+
+def test_a_sheet_in_many_splits(spark, tmp_path):
+    lines = "".join(f'{i},"body {i}\nsecond line, {"x" * (i % 90)}",{i}\n' for i in range(500))
+    (tmp_path / "Long.csv").write_text("t\nSubject,Email Body,N\n" + lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = sorted((r.kb_id, r.subject, r.email_body, r.fields["n"]) for r in readers.read_sheets(spark, str(tmp_path)).rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [(i + 1, str(i), f"body {i}\nsecond line, {'x' * (i % 90)}", str(i)) for i in range(500)]
+
+
 def test_sheets_are_read_in_one_scan(spark, sheets):
     read = readers.read_sheets(spark, sheets)
     rows = sorted((r.collection, r.kb_id, r.subject, r.email_body, tuple(sorted(r.fields.items()))) for r in read.rows.collect())
