@@ -16,6 +16,7 @@ from replyforge.session import materialise
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 1_000_000
+HOT_BYTES = 32 << 20
 MOST_NAMES = 500
 SKETCHES = 64
 HOT_KEYS_PER_SKETCH = 64
@@ -23,12 +24,17 @@ TRACKED_KEYS_PER_SKETCH = 512
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Count the rows and characters of ``df`` in one pass that moves no rows, and tell whether it is small."""
+    """Whether ``df`` is small. No more than ``max_rows`` + 1 of its rows are counted and measured."""
     width = F.length(F.to_json(F.struct("*")))
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The size the optimizer expects, without a job. An estimate: it may choose a plan but prove no bound."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
@@ -66,8 +72,11 @@ def salted_left_join(
     hash and not a random number, so a retried task puts every row where it was.
     The right row of a hot key is copied once per part: at most one copy for every
     ``hot_rows`` rows of the left side. The short list of hot keys is written, since both
-    sides read it; without any this is a plain join.
+    sides read it; without any this is a plain join. So it is where the left side is expected to be
+    too small for hot keys.
     """
+    if hot_rows == HOT_ROWS and planned_bytes(left) < HOT_BYTES:
+        return left.join(right, list(keys), how)
     hot = materialise(hot_keys(left, keys, hot_rows), "hot-keys")
     if hot.isEmpty():
         return left.join(right, list(keys), how)
