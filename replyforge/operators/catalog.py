@@ -98,6 +98,35 @@ def verify_ingest(kb: DataFrame, sheets: DataFrame) -> DataFrame:
     )
 
 
+def content_fingerprint(rows: DataFrame) -> DataFrame:
+    """``collection``, ``rows`` and ``fingerprint`` of its rows in any order.
+
+    ``rows``: collection, kb_id, subject, email_body, fields (map). Each row is hashed with its cells in name
+    order; sums of the two halves of the hashes are kept beside their exclusive or, so that neither equal pairs nor a
+    changed cell cancel out. Adds up in the tasks.
+    """
+    cells = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("\x00"), F.coalesce(e["value"], F.lit("\x01"))))
+    row = F.xxhash64("kb_id", F.coalesce("subject", F.lit("\x01")), F.coalesce("email_body", F.lit("\x01")), F.array_join(cells, "\x02"))
+    return rows.select("collection", row.alias("h")).groupBy("collection").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.concat_ws(
+            ":",
+            F.hex(F.bit_xor("h")),
+            F.sum(F.shiftrightunsigned("h", 32)).cast("string"),
+            F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).cast("string"),
+        ).alias("fingerprint"),
+    )
+
+
+def verify_content(stored: DataFrame, delivered: DataFrame, sheets: DataFrame) -> DataFrame:
+    """``verify_ingest`` with ``intact``: whether the stored rows are the delivered ones, cell by cell."""
+    found = content_fingerprint(stored).select("collection", F.col("fingerprint").alias("found"))
+    sent = content_fingerprint(delivered).select("collection", F.col("fingerprint").alias("sent"))
+    counted = verify_ingest(stored, sheets)
+    both = counted.join(found, "collection", "left").join(sent, "collection", "left")
+    return both.withColumn("intact", F.col("found").eqNullSafe(F.col("sent"))).drop("found", "sent")
+
+
 def record_structure(kb: DataFrame, limit: int = 100) -> DataFrame:
     """Read-back of the first row of each collection: (collection, field, value) with long texts cut for display."""
     named = [c for c, t in kb.dtypes if c not in ("collection", "fields")]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from replyforge.operators import catalog
 from replyforge.plans import ingest
 from replyforge.plans.fixtures import STATUS_FIELDS
 from replyforge.plans.registry import over, query
 from replyforge.session import scratch_path
-from replyforge.sources import readers, writers
+from replyforge.sources import readers, store
 
 C = F.col
 
@@ -31,10 +32,10 @@ MORE_COLUMNS, MORE_COMMAS = 400, 5000
 MORE_NAMES = [f"c_{i:03d}" for i in range(MORE_COLUMNS)]
 
 
-def write_sheets(fx) -> str:
+def write_sheets(fx, kb: DataFrame | None = None) -> str:
     """Sheets as CSV files with a title line and a header line, some of them hard to read (see above)."""
     number = F.substring("collection", 4, 3).cast("int")
-    rows = fx.kb.withColumn("kind", number % 3).withColumn(
+    rows = (fx.kb if kb is None else kb).withColumn("kind", number % 3).withColumn(
         "sheet", F.concat(C("collection"), F.lit(" Sheet "), F.floor(C("kb_id") / SHEET_IDS).cast("string"))
     )
     body = F.coalesce("email_body", F.lit(""))
@@ -148,22 +149,56 @@ def q5(fx):
     over("fx_kb", SHEETS_SQL)
     + f"""SELECT sheet AS collection, collection NOT IN {BAD} AS good, count(*) AS expected,
            CASE WHEN collection NOT IN {BAD} THEN count(*) END AS stored,
-           CASE WHEN collection NOT IN {BAD} THEN TRUE END AS complete FROM sheets GROUP BY sheet, collection""",
+           CASE WHEN collection NOT IN {BAD} THEN TRUE END AS complete,
+           CASE WHEN collection NOT IN {BAD} THEN TRUE END AS intact FROM sheets GROUP BY sheet, collection""",
 )
 def q12(fx):
     """A whole ingest: one bad sheet does not stop the others."""
     target = scratch_path(fx.spark, "ingest")
     report = ingest.ingest_sheets(fx.spark, write_sheets(fx), target, name_pattern=SHEET_NAME).report
-    return report.select("collection", (C("state") == "ok").alias("good"), "expected", "stored", "complete")
+    return report.select("collection", (C("state") == "ok").alias("good"), "expected", "stored", "complete", "intact")
 
 
 def _stored(fx, dropped: list[str] | None):
     """Knowledge base, fields and report of a whole ingest after a drop."""
-    store = scratch_path(fx.spark, "ingest")
-    ingest.ingest_sheets(fx.spark, write_sheets(fx), store, name_pattern=SHEET_NAME)
-    writers.drop_ingested(fx.spark, store, dropped)
-    fields = fx.spark.read.schema("field string, ordinal int, collection string").parquet(f"{store}/fields")
-    return ingest.read_knowledge(fx.spark, f"{store}/kb"), fields, fx.spark.read.parquet(f"{store}/report")
+    path = scratch_path(fx.spark, "ingest")
+    ingest.ingest_sheets(fx.spark, write_sheets(fx), path, name_pattern=SHEET_NAME)
+    store.drop(fx.spark, path, dropped)
+    left = ingest.read_store(fx.spark, path)
+    return left.rows, left.fields, left.report
+
+
+@query(
+    "s7_replace_ingested",
+    over("fx_kb", SHEETS_SQL)
+    + f"""SELECT sheet AS collection, CASE WHEN collection IN ('src3', 'src4') THEN 'again ' ELSE '' END || subject AS subject,
+           row_number() OVER (PARTITION BY sheet ORDER BY kb_id) AS kb_id FROM sheets WHERE collection NOT IN {BAD}""",
+)
+def s7_replace(fx):
+    """A second ingest of two sources replaces their collections as a whole and leaves the others (S7)."""
+    path = scratch_path(fx.spark, "ingest")
+    sheets = write_sheets(fx)
+    ingest.ingest_sheets(fx.spark, sheets, path, name_pattern=SHEET_NAME)
+    two = fx.kb.where(C("collection").isin("src3", "src4")).withColumn("subject", F.concat(F.lit("again "), C("subject")))
+    ingest.ingest_sheets(fx.spark, write_sheets(fx, two), path, name_pattern=SHEET_NAME)
+    return ingest.read_store(fx.spark, path).rows.select("collection", "subject", "kb_id")
+
+
+@query(
+    "c8_content_check",
+    over("fx_kb", SHEETS_SQL)
+    + f"""SELECT sheet AS collection, count(*) AS expected, count(*) AS stored, TRUE AS complete,
+           max(CASE WHEN kb_id % 997 = 5 THEN 1 ELSE 0 END) = 0 AS intact FROM sheets WHERE collection NOT IN {BAD} GROUP BY sheet""",
+)
+def c8_content(fx):
+    """Stored rows compared with the delivered ones cell by cell: one altered cell in a collection is reported (C8)."""
+    sheets = readers.read_sheets(fx.spark, write_sheets(fx), name_pattern=SHEET_NAME)
+    # The same table again with one cell of some rows changed, as a faulty write would leave it.
+    own = C("subject").rlike(r" Entry \d+$") & (F.regexp_extract("subject", r"(\d+)$", 1).cast("bigint") % 997 == 5)
+    some = F.element_at(F.map_keys("fields"), 1)
+    changed = F.transform_values("fields", lambda k, v: F.when(k == some, F.concat(v, F.lit("!"))).otherwise(v))
+    stored = sheets.rows.withColumn("fields", F.when(own, changed).otherwise(C("fields")))
+    return catalog.verify_content(stored, sheets.rows, sheets.report.where("state = 'ok'").select("collection", "expected"))
 
 
 @query(

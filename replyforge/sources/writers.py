@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replyforge.session import materialise
 from replyforge.sources.schemas import RESULTS
 
 
@@ -41,27 +37,6 @@ def drop_all_collections(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def drop_ingested(spark: SparkSession, store: str, collections: Sequence[str] | None = None) -> None:
-    """Drop collections, or all of them, from the tables that ``ingest_sheets`` wrote under ``store``.
-
-    Only the folders of these collections are removed; no row of another collection is read. A name
-    that is not stored is passed over.
-    """
-    wanted = None if collections is None else set(collections)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for table in ("kb", "fields"):
-        root = hadoop.Path(f"{store}/{table}")
-        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        for entry in files.listStatus(root):
-            column, _, name = entry.getPath().getName().partition("=")
-            if column == "collection" and (wanted is None or unquote(name) in wanted):
-                files.delete(entry.getPath(), True)
-    report = spark.read.parquet(f"{store}/report")
-    kept = report.where(F.lit(False) if wanted is None else ~F.col("collection").isin(list(wanted)))
-    # One row per sheet; written aside, since it replaces what it reads.
-    materialise(kept, "report").write.mode("overwrite").parquet(f"{store}/report")
-
-
 def append_results(results: DataFrame, path: str) -> None:
     """Add one batch of result rows to the table."""
     results.to(results.sparkSession.createDataFrame([], RESULTS).schema).write.mode("append").parquet(path)
