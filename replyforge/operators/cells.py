@@ -1,149 +1,250 @@
-"""Cell index for similarity search: rows grouped around centres, queries probing the nearest cells.
+"""Cell index for similarity search: the rows of each collection grouped around centres of their own.
 
-``nprobe`` alone gives the usual approximate answer. With ``exact`` a second pass
-visits every cell that could still hold a better row, by an angle bound, so the
-answer equals the full search.
+``nprobe`` cells alone give the usual approximate answer; how many a collection needs for a wanted recall is
+measured when the index is built. With ``exact`` a second pass visits every cell that could still hold a
+better row, by an angle bound, so the answer equals the full search.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replyforge.functions.vectors import norm
-from replyforge.operators.joins import lookup_join
-from replyforge.operators.search import BLOCK_ROWS, SCORE_DIGITS, _matrix, _unit_rows, candidates, rank_hits
+from replyforge.operators.joins import fetch_rows, lookup_join
+from replyforge.operators.search import BLOCK_ROWS, SCORE_DIGITS, _fitted, _matrix, _unit_rows, candidates, exact_topk, rank_hits
 from replyforge.session import materialise
+from replyforge.sources import store
+from replyforge.sources.writers import write_collections
 
 if TYPE_CHECKING:
     import pyarrow as pa
 
-# Index and search setting.
-NLIST = 128
-NPROBE = 10
-
-
-def train_centres(kb: DataFrame, nlist: int = NLIST, seed: int = 7) -> np.ndarray:
-    """Centres as unit rows: ``nlist`` x dimensions, a fixed size whatever the data. All rows train them."""
-    usable = kb.where(norm(F.col("vector")) > 0)
-    features = usable.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", maxIter=10).fit(features)
-    return _unit_rows(np.asarray(model.clusterCenters()))
+# A collection has about the square root of its rows in cells. Its centres are trained on no more than
+# MOST_CELLS * TRAINED_ROWS of its rows, chosen by hash; every row is indexed.
+MOST_CELLS = 1024
+TRAINED_ROWS = 32
+ROUNDS = 10
+# Centres up to this size are sent to the tasks; larger ones meet their rows in a shuffle.
+CENTRE_BYTES = 64 << 20
+# Rows per collection, by hash, whose full answer sets the number of probed cells.
+TUNING_ROWS = 128
+RECALL = 0.95
+TUNED_K = 10
+SPREAD = 1 << 30
 
 
 @dataclass
 class CellIndex:
-    """``rows``: collection, cell, kb_id, vector. ``cells``: per collection its cells with their reach."""
+    """``rows``: collection, cell, kb_id, vector. ``cells``: collection, cell, centre, reach, members, nprobe.
+
+    ``reach`` is the least similarity of a row to its centre, ``nprobe`` the cells that a search of the collection visits.
+    """
 
-    centres: np.ndarray
     rows: DataFrame
     cells: DataFrame
 
 
-def build_index(kb: DataFrame, nlist: int = NLIST, seed: int = 7) -> CellIndex:
-    """Index over ``kb`` (collection, kb_id, vector)."""
-    centres = train_centres(kb, nlist, seed)
+def _by_hash(most: Column, rows: Column) -> Column:
+    """Whether a row is among about ``most`` of the ``rows`` rows of its collection, by a hash of its id."""
+    return F.pmod(F.xxhash64("kb_id"), F.lit(SPREAD)) < F.least(F.lit(1.0), most / rows) * SPREAD
+
+
+def kmeans(unit: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
+    """At most ``cells`` unit centres of unit rows by cosine; an empty cell takes the row that lies farthest out."""
+    rng = np.random.default_rng(seed)
+    centres = unit[np.sort(rng.choice(len(unit), min(cells, len(unit)), replace=False))]
+    for _ in range(ROUNDS):
+        similarity = unit @ centres.T
+        cell = similarity.argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, cell, unit)
+        empty = np.flatnonzero(np.bincount(cell, minlength=len(centres)) == 0)
+        if len(empty):
+            sums[empty] = unit[np.argsort(similarity[np.arange(len(unit)), cell], kind="stable")[: len(empty)]]
+        centres = _unit_rows(sums)
+    return centres
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _train(seed: int):
+    def train(sample: pa.Table) -> pa.Table:
         import pyarrow as pa
 
-        for batch in batches:
-            unit = _unit_rows(_matrix(pa.chunked_array([batch["vector"]])))
-            similarity = unit @ centres.T
-            cell = similarity.argmax(axis=1)
-            near = similarity[np.arange(len(cell)), cell]
-            # A zero vector has no direction: a reach of -1 keeps its cell in every search.
-            near = np.where((unit * unit).sum(axis=1) > 0, near, -1.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch["collection"], pa.array(cell, pa.int32()), batch["kb_id"], batch["vector"], pa.array(near)],
-                names=["collection", "cell", "kb_id", "vector", "near"],
-            )
+        sample = sample.sort_by("kb_id")
+        unit = _unit_rows(_matrix(sample["vector"]))
+        directed = unit[(unit * unit).sum(axis=1) > 0]
+        # Rows without a direction alone make one cell with a zero centre.
+        centres = kmeans(directed, sample["wanted"][0].as_py(), seed) if len(directed) else unit[:1]
+        n = len(centres)
+        return pa.table(
+            {"collection": pa.repeat(sample["collection"][0], n), "cell": pa.array(range(n), pa.int32()), "centre": list(centres.astype(np.float32))}
+        )
 
-    plain = kb.select("collection", "kb_id", F.col("vector").cast("array<float>").alias("vector"))
-    schema = T.StructType(
-        [
-            plain.schema["collection"],
-            T.StructField("cell", T.IntegerType()),
-            plain.schema["kb_id"],
-            plain.schema["vector"],
-            T.StructField("near", T.DoubleType()),
-        ]
+    return train
+
+
+def _with_cells(rows: DataFrame, row_id: str, cells: DataFrame, columns: list[str], work: Callable, schema: T.StructType) -> DataFrame:
+    """``work`` over rows and the cells of their collection, as Arrow tables of one collection at a time.
+
+    The cells are sent to the tasks when their size allows it, and meet salted parts of the rows in a shuffle otherwise.
+    """
+    spark = rows.sparkSession
+    asked = cells.select("collection", *columns)
+    width = sum(8 * (F.size(c) if isinstance(asked.schema[c].dataType, T.ArrayType) else F.lit(1)) for c in columns)
+    size = asked.agg(F.sum(width)).first()[0] or 0
+    if size <= CENTRE_BYTES:
+        shared = spark.sparkContext.broadcast(asked.toArrow())
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            table = shared.value
+            known = {c: table.filter(pc.equal(table["collection"], c)) for c in table["collection"].unique().to_pylist()}
+            for batch in batches:
+                part = pa.Table.from_batches([batch])
+                for collection in part["collection"].unique().to_pylist():
+                    if collection in known:
+                        yield from work(part.filter(pc.equal(part["collection"], collection)), known[collection]).to_batches()
+
+        return rows.mapInArrow(scan, schema)
+    counts = rows.groupBy("collection").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_parts"))
+    counts = materialise(counts, "parts")
+    salted = lookup_join(rows, counts, ["collection"], [row_id]).withColumn("_part", F.pmod(F.xxhash64(row_id), F.col("_parts")).cast("int"))
+    copied = asked.join(counts, "collection").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def meet(part: pa.Table, own: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        if part.num_rows == 0 or own.num_rows == 0:
+            return to_arrow_schema(schema).empty_table()
+        return work(part.drop_columns(["_parts", "_part"]), own.drop_columns(["_part"]))
+
+    return salted.groupBy("collection", "_part").cogroup(copied.groupBy("collection", "_part")).applyInArrow(meet, schema)
+
+
+def _centre_rows(cells: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    cells = cells.sort_by("cell")
+    return cells, _matrix(cells["centre"])
+
+
+def _assigned(part: pa.Table, cells: pa.Table) -> pa.Table:
+    import pyarrow as pa
+
+    cells, centres = _centre_rows(cells)
+    unit = _fitted(_unit_rows(_matrix(part["vector"])), centres.shape[1])
+    similarity = unit @ centres.T
+    cell = similarity.argmax(axis=1)
+    near = similarity[np.arange(len(cell)), cell]
+    # A zero vector has no direction: a reach of -1 keeps its cell in every search.
+    near = np.where((unit * unit).sum(axis=1) > 0, near, -1.0)
+    return pa.table(
+        {"collection": part["collection"], "cell": cells["cell"].take(pa.array(cell)), "kb_id": part["kb_id"], "vector": part["vector"], "near": near}
     )
-    assigned = materialise(plain.mapInArrow(assign, schema), "cells")
-    reach = assigned.groupBy("collection", "cell").agg(F.min("near").alias("reach"))
-    # At most ``nlist`` entries per collection.
-    cells = reach.groupBy("collection").agg(F.collect_list(F.struct("cell", "reach")).alias("cells"))
-    return CellIndex(centres, assigned.drop("near"), materialise(cells, "reach"))
 
 
-def _plan_probes(queries: DataFrame, index: CellIndex, nprobe: int) -> DataFrame:
-    """Queries with ``probes``: each cell of the collection, whether it is probed, and its best possible score."""
-    centres = index.centres
+def build_index(kb: DataFrame, nlist: int | None = None, seed: int = 7, recall: float | None = RECALL, block_rows: int = BLOCK_ROWS) -> CellIndex:
+    """Index over ``kb`` (collection, kb_id, vector).
 
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
+    ``nlist`` cells per collection, by default the square root of its rows. All collections are trained in one
+    grouped job, each from a bounded sample of its rows; then every row is put into the cell of its nearest centre.
+    With ``recall`` the cells to probe are measured, see ``tuned_probes``; without it all are probed.
+    """
+    plain = kb.select("collection", "kb_id", F.col("vector").cast("array<float>").alias("vector"))
+    counts = plain.groupBy("collection").agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = F.floor(F.sqrt("_rows")) if nlist is None else F.lit(nlist)
+    counts = materialise(counts.withColumn("wanted", F.greatest(F.lit(1), F.least(F.lit(MOST_CELLS), wanted)).cast("int")), "cell-counts")
+    counted = lookup_join(plain, counts, ["collection"], ["kb_id"])
+    sample = counted.where(_by_hash(F.col("wanted") * TRAINED_ROWS, F.col("_rows"))).drop("_rows")
+    collection = plain.schema["collection"]
+    trained = T.StructType([collection, T.StructField("cell", T.IntegerType()), T.StructField("centre", T.ArrayType(T.FloatType()))])
+    centres = materialise(sample.groupBy("collection").applyInArrow(_train(seed), trained), "centres")
+    schema = T.StructType([collection, T.StructField("cell", T.IntegerType()), *plain.schema.fields[1:], T.StructField("near", T.DoubleType())])
+    placed = materialise(_with_cells(plain, "kb_id", centres, ["cell", "centre"], _assigned, schema), "cells")
+    reach = placed.groupBy("collection", "cell").agg(F.min("near").alias("reach"), F.count(F.lit(1)).alias("members"))
+    every = F.count(F.lit(1)).alias("nprobe")
+    cells = centres.join(reach, ["collection", "cell"])
+    cells = materialise(cells.join(cells.groupBy("collection").agg(every), "collection"), "reach")
+    index = CellIndex(placed.drop("near"), cells)
+    if recall is None:
+        return index
+    probes = tuned_probes(plain, counts, index, recall, block_rows=block_rows)
+    tuned = cells.withColumnRenamed("nprobe", "_all").join(probes, "collection", "left")
+    return CellIndex(index.rows, materialise(tuned.withColumn("nprobe", F.coalesce("nprobe", "_all")).drop("_all"), "reach"))
+
+
+def tuned_probes(kb: DataFrame, counts: DataFrame, index: CellIndex, recall: float = RECALL, k: int = TUNED_K, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(collection, nprobe): the nearest cells that hold ``recall`` of the best ``k`` rows of sample queries.
+
+    The sample is about TUNING_ROWS rows of each collection, chosen by hash and asked about against all rows.
+    """
+    chosen = _by_hash(F.lit(TUNING_ROWS), F.col("_rows"))
+    asked = lookup_join(kb, counts, ["collection"], ["kb_id"]).where(chosen).select("collection", F.col("kb_id").cast("string").alias("query_id"), "vector")
+    asked = materialise(asked, "tuning")
+    hits = exact_topk(asked, kb, k, block_rows, prune=False).select("collection", "query_id", "kb_id")
+    held = fetch_rows(hits, index.rows.select("collection", "kb_id", "cell"), ["collection", "kb_id"], ["query_id"])
+    places = _planned(asked, index, None).select("collection", "query_id", F.posexplode("probes").alias("place", "p"))
+    places = places.select("collection", "query_id", "place", F.col("p.cell").alias("cell"))
+    found = held.join(places, ["collection", "query_id", "cell"])
+    return found.groupBy("collection").agg((F.ceil(F.percentile("place", F.lit(recall))) + 1).cast("bigint").alias("nprobe"))
+
+
+def _probes_of(part: pa.Table, cells: pa.Table) -> pa.Table:
+    """Queries with all cells of their collection, nearest first, and the best score each could hold."""
+    import pyarrow as pa
+
+    cells, centres = _centre_rows(cells)
+    unit = _fitted(_unit_rows(_matrix(part["vector"])), centres.shape[1])
+    similarity, reach = unit @ centres.T, cells["reach"].to_numpy()
+    directed = (unit * unit).sum(axis=1) > 0
+    apart = np.arccos(np.clip(similarity, -1, 1)) - np.arccos(np.clip(reach, -1, 1))
+    bound = np.where(directed[:, None], np.cos(np.maximum(apart, 0.0)), 1.0)
+    nearest_first = np.argsort(-similarity, axis=1, kind="stable")
+    n, m = similarity.shape
+    cell = np.broadcast_to(cells["cell"].to_numpy(), (n, m))
+    flat = [np.take_along_axis(x, nearest_first, axis=1).ravel() for x in (cell, bound)]
+    entries = pa.StructArray.from_arrays([pa.array(flat[0], pa.int32()), pa.array(flat[1])], names=["cell", "bound"])
+    probes = pa.ListArray.from_arrays(pa.array(np.arange(0, n * m + 1, m), pa.int32()), entries)
+    return pa.table(
+        {"collection": part["collection"], "query_id": part["query_id"], "vector": part["vector"], "probes": probes, "nprobe": pa.repeat(cells["nprobe"][0], n)}
+    )
 
-        for batch in batches:
-            unit = _unit_rows(_matrix(pa.chunked_array([batch["vector"]])))
-            similarity = unit @ centres.T
-            directed = (unit * unit).sum(axis=1) > 0
-            # All cells of all queries of the batch as flat arrays, one entry per query and cell.
-            lists = batch["cells"]
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten()
-            cell, reach = flat.field("cell").to_numpy(), flat.field("reach").to_numpy()
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            own = similarity[row, cell]
-            apart = np.arccos(np.clip(own, -1, 1)) - np.arccos(np.clip(reach, -1, 1))
-            bound = np.where(directed[row], np.cos(np.maximum(apart, 0.0)), 1.0)
-            nearest_first = np.lexsort((cell, -own, row))
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            place = np.empty(len(row), dtype=np.int64)
-            place[nearest_first] = np.arange(len(row)) - starts[row]
-            entries = pa.StructArray.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(place < nprobe), pa.array(bound)], names=["cell", "probed", "bound"]
-            )
-            probes = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), entries)
-            yield pa.RecordBatch.from_arrays(
-                [batch["collection"], batch["query_id"], batch["vector"], probes],
-                names=["collection", "query_id", "vector", "probes"],
-            )
 
+def _planned(queries: DataFrame, index: CellIndex, nprobe: int | None) -> DataFrame:
+    """Queries (collection, query_id, vector) with ``probes`` (cell, bound), nearest first, and ``nprobe``."""
     asked = queries.select("collection", "query_id", F.col("vector").cast("array<float>").alias("vector"))
-    known = lookup_join(asked, index.cells, ["collection"], ["query_id"]).where(F.col("cells").isNotNull())
-    schema = T.StructType(
-        [*asked.schema.fields, T.StructField("probes", T.ArrayType(T.StructType([
-            T.StructField("cell", T.IntegerType()), T.StructField("probed", T.BooleanType()), T.StructField("bound", T.DoubleType()),
-        ])))]
-    )
-    ordered = known.select("collection", "query_id", "vector", "cells")
-    return ordered.mapInArrow(plan, schema)
+    probe = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("bound", T.DoubleType())])
+    schema = T.StructType([*asked.schema.fields, T.StructField("probes", T.ArrayType(probe)), T.StructField("nprobe", T.LongType())])
+    planned = _with_cells(asked, "query_id", index.cells, ["cell", "centre", "reach", "nprobe"], _probes_of, schema)
+    return planned if nprobe is None else planned.withColumn("nprobe", F.lit(nprobe).cast("bigint"))
 
 
 def cell_topk(
     queries: DataFrame,
     index: CellIndex,
     k: int = 1,
-    nprobe: int = NPROBE,
+    nprobe: int | None = None,
     exact: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Top ``k`` rows by cosine inside each query's collection, from the ``nprobe`` nearest cells.
 
-    Returns collection, query_id, kb_id, score, rank like the full search.
+    Without ``nprobe`` each collection's own number counts. Returns collection, query_id, kb_id, score, rank like
+    the full search.
     """
     keys = ["collection", "cell"]
-    planned = materialise(_plan_probes(queries, index, nprobe), "probes")
-    entries = planned.select("collection", "query_id", "vector", F.explode("probes").alias("p"))
-    first_cells = entries.where("p.probed").select("collection", F.col("p.cell").alias("cell"), "query_id", "vector")
+    planned = materialise(_planned(queries, index, nprobe), "probes")
+
+    def visiting(df: DataFrame, probes: Column) -> DataFrame:
+        opened = df.select("collection", "query_id", "vector", F.explode(probes).alias("p"))
+        return opened.select("collection", F.col("p.cell").alias("cell"), "query_id", "vector")
+
+    first_cells = visiting(planned, F.slice("probes", F.lit(1), F.col("nprobe").cast("int")))
     first = rank_hits(candidates(first_cells, index.rows, k, keys, block_rows), k)
     if not exact:
         return first
@@ -153,29 +254,42 @@ def cell_topk(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("floor")
     )
     slack = 10.0**-SCORE_DIGITS
-    open_cells = F.filter(
-        "probes", lambda p: ~p["probed"] & (p["bound"] + slack >= F.coalesce(F.col("floor"), F.lit(-2.0)))
-    )
-    rest = (
-        planned.join(beaten, ["collection", "query_id"], "left")
-        .select("collection", "query_id", "vector", F.explode(open_cells).alias("p"))
-        .select("collection", F.col("p.cell").alias("cell"), "query_id", "vector")
-    )
+    later = F.slice("probes", F.col("nprobe").cast("int") + 1, F.size("probes"))
+    open_cells = F.filter(later, lambda p: p["bound"] + slack >= F.coalesce(F.col("floor"), F.lit(-2.0)))
+    rest = visiting(planned.join(beaten, ["collection", "query_id"], "left"), open_cells)
     second = candidates(rest, index.rows, k, keys, block_rows)
     return rank_hits(first.drop("rank").unionByName(second.drop("cell")), k)
 
 
+# --- stored indexes -------------------------------------------------------------------
+
+STORED_ROWS = "cell int, kb_id bigint, vector array<float>, collection string"
+STORED_CELLS = "cell int, centre array<float>, reach double, members bigint, nprobe bigint, collection string"
+
+
 def save_index(index: CellIndex, path: str) -> None:
-    """Index as tables under ``path``: rows by collection, cells, centres."""
-    index.rows.hint("rebalance", "collection", "cell").write.mode("overwrite").partitionBy("collection").parquet(f"{path}/rows")
-    index.cells.write.mode("overwrite").parquet(f"{path}/cells")
+    """Store the index; the collections it holds replace those of an earlier one, all at once."""
     spark = index.rows.sparkSession
-    centres = [(i, c.tolist()) for i, c in enumerate(index.centres)]
-    spark.createDataFrame(centres, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+    before = store.read_state(spark, path)
+    folder = store.new_folder()
+    index.rows.hint("rebalance", "collection", "cell").write.partitionBy("collection").parquet(f"{path}/{folder}/rows")
+    write_collections(index.cells, f"{path}/{folder}/cells")
+    names = sorted(r[0] for r in index.cells.select("collection").distinct().collect())
+    kept = before.without(names)
+    store.publish(spark, path, store.State(before.version, [*kept, store.Part(folder, names)], None, []))
 
 
 def load_index(spark: SparkSession, path: str) -> CellIndex:
-    rows = spark.read.schema("cell int, kb_id bigint, vector array<float>, collection string").parquet(f"{path}/rows")
-    # As many rows as the index has cells.
-    centres = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
-    return CellIndex(np.array([c["centre"] for c in centres]), rows, spark.read.parquet(f"{path}/cells"))
+    state = store.read_state(spark, path)
+    return CellIndex(store.read_table(spark, path, "rows", STORED_ROWS, state), store.read_table(spark, path, "cells", STORED_CELLS, state))
+
+
+def pruned_topk(queries: DataFrame, kb: DataFrame, k: int, nlist: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows among which are the ``k`` best for two large sides: rows in cells of about a block, each query visiting
+    those its bound leaves open.
+
+    With as many cells as there are blocks, a query is copied as often as a grid of blocks would copy it when the bound
+    leaves all of them open, and less where it does not.
+    """
+    index = build_index(kb, min(MOST_CELLS, nlist), recall=None)
+    return cell_topk(queries, index, k, nprobe=1, exact=True, block_rows=block_rows).drop("rank")

@@ -173,7 +173,7 @@ def _search_small_queries(small, keys: Sequence[str], k: int):
 
 
 def candidates(
-    queries: DataFrame, kb: DataFrame, k: int, keys: Sequence[str] = ("collection",), block_rows: int = BLOCK_ROWS
+    queries: DataFrame, kb: DataFrame, k: int, keys: Sequence[str] = ("collection",), block_rows: int = BLOCK_ROWS, prune: bool = False
 ) -> DataFrame:
     """Rows among which are the ``k`` best of every query within its group (``keys``).
 
@@ -183,7 +183,8 @@ def candidates(
     side is scanned where it lies, without a shuffle. Otherwise each side of a group is
     cut by id hash into blocks of about ``block_rows`` rows, and every query block meets
     every row block in one task. Either way a task multiplies matrices of at most a
-    block, however large the group is; pairs are never written as rows.
+    block, however large the group is; pairs are never written as rows. With ``prune`` two large
+    sides are searched by cells instead, see ``cells.pruned_topk``.
     """
     keys = list(keys)
     spark = queries.sparkSession
@@ -222,6 +223,12 @@ def candidates(
         scanned = dealt(right.select(*stored_side), row_count, "kb_id")
         return scanned.mapInArrow(_search_small_queries(small, keys, k), schema)
 
+    if prune:
+        from replyforge.operators.cells import pruned_topk
+
+        largest = grid.agg(F.max("_rows")).first()[0]
+        return pruned_topk(left.select(*asked_side), right.select(*stored_side), k, -(-largest // block_rows), block_rows)
+
     def place(df: DataFrame, row_id: str, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
         """Own block by id hash, once for each block of the other side."""
 
@@ -250,13 +257,14 @@ def rank_hits(found: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def exact_topk(queries: DataFrame, kb: DataFrame, k: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_topk(queries: DataFrame, kb: DataFrame, k: int = 1, block_rows: int = BLOCK_ROWS, prune: bool = True) -> DataFrame:
     """Exact top ``k`` rows by cosine inside each query's collection.
 
     ``queries``: collection, query_id, vector. ``kb``: collection, kb_id, vector.
-    Returns collection, query_id, kb_id, score, rank.
+    Returns collection, query_id, kb_id, score, rank. When both sides are large, queries only visit the blocks of rows
+    that can still hold a better one; ``prune=False`` makes every block of one side meet every block of the other.
     """
-    return rank_hits(candidates(queries, kb, k, ("collection",), block_rows), k)
+    return rank_hits(candidates(queries, kb, k, ("collection",), block_rows, prune), k)
 
 
 def searchable(kb: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from replyforge.functions.text import body_or_subject, escape_text, kb_text, query_text
 from replyforge.functions.vectors import Embedder, embed_hashed
 from replyforge.operators import replies, search, tickets
-from replyforge.operators.cells import NPROBE, CellIndex, cell_topk
+from replyforge.operators.cells import CellIndex, cell_topk
 from replyforge.operators.joins import fetch_rows, in_named_partitions, salted_anti_join, salted_left_join
 from replyforge.session import materialise
 
@@ -26,7 +26,8 @@ class Knowledge:
     ``fields``: collection, field, ordinal. ``templates``: collection, html.
     ``category_map``: raw, collection; None for the fixed map.
     ``index``: cell index over the rows; without it the search is a full one. With
-    ``nprobe`` cells alone the answer is approximate, unless ``exact_cells`` is set.
+    ``nprobe`` cells alone (by default as many as the index has measured) the answer is approximate, unless
+    ``exact_cells`` is set.
     """
 
     rows: DataFrame
@@ -34,7 +35,7 @@ class Knowledge:
     templates: DataFrame
     category_map: DataFrame | None = None
     index: CellIndex | None = None
-    nprobe: int = NPROBE
+    nprobe: int | None = None
     exact_cells: bool = True
 
 

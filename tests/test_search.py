@@ -117,17 +117,68 @@ def test_all_cells_probed_is_exact(sides):
     assert collected(cells.cell_topk(asked, index, 5, nprobe=12)) == brute_force(rows, queries, 5)
 
 
-def test_recall_of_few_cells(sides):
+def clustered(collections, seed=5, dim=16, tight=0.05):
+    """Rows around a few directions, and queries near them."""
+    rng = np.random.default_rng(seed)
+    rows, queries = [], []
+    for name, n in collections.items():
+        middles = rng.normal(size=(12, dim))
+        near = lambda i: (middles[i % 12] + tight * rng.normal(size=dim)).astype("float32").tolist()  # noqa: B023, E731
+        rows += [(name, i, near(i)) for i in range(n)]
+        queries += [(name, f"{name}{i}", near(i)) for i in range(n // 3)]
+    return rows, queries
+
+
+def test_every_collection_has_cells_of_its_own(spark):
+    rows, queries = clustered({"large": 900, "small": 40, "one": 1})
+    rows += [("zero", i, [0.0] * 16) for i in range(3)]
+    queries += [("zero", "z", [1.0] * 16), ("one", "o", [0.0] * 16)]
+    kb, asked = spark.createDataFrame(rows, ROWS), spark.createDataFrame(queries, QUERIES)
+    index = cells.build_index(kb)
+    sizes = {r["collection"]: r["n"] for r in index.cells.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes == {"large": 30, "small": 6, "one": 1, "zero": 1}
+    probes = {r["collection"]: r["nprobe"] for r in index.cells.collect()}
+    assert probes["large"] < 10
+    assert {(r["collection"], r["kb_id"]) for r in index.rows.collect()} == {r[:2] for r in rows}
+    got, want = collected(cells.cell_topk(asked, index, 10)), brute_force(rows, queries, 10)
+    assert len({x[:3] for x in got} & {x[:3] for x in want}) / len(want) >= 0.9
+    assert collected(cells.cell_topk(asked, index, 10, nprobe=30)) == want
+
+
+def test_centres_too_large_to_send(spark, sides, monkeypatch):
     rows, queries, kb, asked = sides
-    got = collected(cells.cell_topk(asked, cells.build_index(kb, nlist=12), 10, nprobe=4))
-    want = {x[:3] for x in brute_force(rows, queries, 10)}
-    assert len({x[:3] for x in got} & want) / len(want) > 0.6
+    monkeypatch.setattr(cells, "CENTRE_BYTES", 0)
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 50)
+    index = cells.build_index(kb, nlist=9)
+    assert collected(cells.cell_topk(asked, index, 4, nprobe=2, exact=True)) == brute_force(rows, queries, 4)
+
+
+def test_two_large_sides_visit_few_cells(spark, monkeypatch):
+    """With blocks forced, queries meet the rows of few cells, and the answer is the full one."""
+    rows, queries = clustered({"a": 600, "b": 300})
+    kb, asked = spark.createDataFrame(rows, ROWS), spark.createDataFrame(queries, QUERIES)
+    visits = []
+    real = cells.candidates
+
+    def counted(entries, index_rows, *rest):
+        sizes = index_rows.groupBy("collection", "cell").agg(F.count(F.lit(1)).alias("n"))
+        visits.append(entries.join(sizes, ["collection", "cell"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        return real(entries, index_rows, *rest)
+
+    monkeypatch.setattr(cells, "candidates", counted)
+    assert collected(search.exact_topk(asked, kb, 5, block_rows=25)) == brute_force(rows, queries, 5)
+    grid = sum(len([r for r in rows if r[0] == c]) * len([q for q in queries if q[0] == c]) for c in "ab")
+    assert 0 < sum(visits) < grid / 3
 
 
 def test_index_round_trip(spark, sides, tmp_path):
     rows, queries, kb, asked = sides
-    cells.save_index(cells.build_index(kb, nlist=6), str(tmp_path / "index"))
-    index = cells.load_index(spark, str(tmp_path / "index"))
+    path = str(tmp_path / "index")
+    cells.save_index(cells.build_index(kb, nlist=6), path)
+    # A later index of one collection replaces that one alone.
+    cells.save_index(cells.build_index(kb.where("collection = 'hot'"), nlist=4), path)
+    index = cells.load_index(spark, path)
+    assert index.cells.groupBy("collection").count().where("count = 4 AND collection = 'hot'").count() == 1
     assert collected(cells.cell_topk(asked, index, 3, nprobe=1, exact=True)) == brute_force(rows, queries, 3)
 
 
