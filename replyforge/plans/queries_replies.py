@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from replyforge.functions import status as st
 from replyforge.functions import text as tx
-from replyforge.operators import replies, tickets
+from replyforge.operators import catalog, replies, tickets
 from replyforge.plans import batch
 from replyforge.plans.queries_search import (
     BOTH_TEXTS,
@@ -29,7 +29,7 @@ from replyforge.plans.registry import (
     sql_hits,
     sql_query_text,
 )
-from replyforge.session import scratch_path, spread_small
+from replyforge.session import materialise, scratch_path, spread_small
 from replyforge.sources import readers, writers
 from replyforge.operators.search import missing_collection_error, missing_field_error
 
@@ -381,6 +381,51 @@ def s3_order(fx):
     return tickets.first_per_ticket(readers.read_tickets(fx.spark, path), ["data_from", "loan_status"])
 
 
+def _in_small_splits(fx, read):
+    """``read()`` with splits far below the size of the files; read at once, while the setting holds."""
+    sizes = {"spark.sql.files.maxPartitionBytes": "65536", "spark.sql.files.openCostInBytes": "1024"}
+    before = {key: fx.spark.conf.get(key) for key in sizes}
+    for key, value in sizes.items():
+        fx.spark.conf.set(key, value)
+    try:
+        return materialise(read(), "split-read")
+    finally:
+        for key, value in before.items():
+            fx.spark.conf.set(key, value)
+
+
+@query(
+    "s3_split_order",
+    """SELECT CAST(o_custkey AS VARCHAR) AS ticket, arg_min(o_orderpriority, o_orderkey) AS data_from,
+         arg_min(o_orderstatus, o_orderkey) AS loan_status FROM orders GROUP BY ALL""",
+)
+def s3_split(fx):
+    """First row per ticket (T3) over split files without an order column: their order is file, split and place in it."""
+    path = scratch_path(fx.spark, "tickets")
+    delivered = fx.table("orders").select(C("o_custkey").alias("Ticket ID"), C("o_orderpriority").alias("data_from"), C("o_orderstatus").alias("Loan Status"), "o_orderkey")
+    delivered.repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").write.csv(path, header=True)
+    rows = _in_small_splits(fx, lambda: readers.read_tickets(fx.spark, path, multi_line=False))
+    return tickets.first_per_ticket(rows, ["data_from", "loan_status"])
+
+
+@query(
+    "s4_split_order",
+    over("fx_emails")
+    + """SELECT ticket, replace(replace(subject, chr(13), ' '), chr(10), ' ') AS subject,
+           replace(replace(email_body, chr(13), ' '), chr(10), ' ') AS email_body,
+           row_number() OVER (ORDER BY src_order) AS place FROM fx_emails""",
+)
+def s4_split(fx):
+    """The emails of split files in the order they were delivered (S4), on one line each."""
+    path = scratch_path(fx.spark, "emails")
+    flat = fx.emails.withColumns({c: F.translate(c, "\r\n", "  ") for c in ("subject", "email_body")})
+    flat.withColumnRenamed("ticket", "Ticket ID").repartitionByRange(3, "src_order").sortWithinPartitions("src_order").write.csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    rows = _in_small_splits(fx, lambda: readers.read_batch(fx.spark, path, multi_line=False))
+    return catalog.number_rows(rows, "src_order").select("ticket", "subject", "email_body", C("number").cast("bigint").alias("place"))
+
+
 @query("s4_batch_scan", over("fx_emails") + "SELECT ticket, src_order, subject, email_body FROM fx_emails")
 def s4(fx):
     path = scratch_path(fx.spark, "emails")

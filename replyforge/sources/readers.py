@@ -60,11 +60,9 @@ POSITION_BITS = 33
 def _read_csv(spark: SparkSession, path: str | Sequence[str], order: str | None, multi_line: bool) -> tuple[DataFrame, Column]:
     """CSV rows and their order: the order column, else file name and position in the file.
 
-    With ``multi_line`` cells may hold line breaks and one task reads a file. Without it large files are
-    split, and since a split does not know its place an order column is needed.
+    With ``multi_line`` cells may hold line breaks and one task reads a file. Without it files are split, and a
+    row's position is the start of its split in the file and its place in the split.
     """
-    if not (order or multi_line):
-        raise ValueError("files that are split need an order column")
     raw = spark.read.csv(path, header=True, **{**CSV_OPTIONS, "multiLine": multi_line})
     if order:
         return raw, F.col(f"`{order}`").cast("bigint")
@@ -72,11 +70,14 @@ def _read_csv(spark: SparkSession, path: str | Sequence[str], order: str | None,
     placed = raw.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
         F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        # Rows of one split are numbered in order, whichever other splits share their task.
         F.monotonically_increasing_id().bitwiseAND((1 << POSITION_BITS) - 1).alias("_at"),
     )
-    # One row per file.
-    ranked = placed.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")).cast("bigint") - 1)
-    numbered = lookup_join(placed, ranked, ["_file"], ["_at"])
+    # One row per split: a file of some hundred megabytes.
+    splits = placed.select("_file", "_block").distinct()
+    ranked = splits.withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_block")).cast("bigint") - 1)
+    numbered = lookup_join(placed, ranked, ["_file", "_block"], ["_at"])
     position = F.shiftleft("_rank", POSITION_BITS) + F.col("_at")
     return numbered.select(position.alias("_position"), *[F.col("_row").getField(c).alias(c) for c in columns]), F.col("_position")
 

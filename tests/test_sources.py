@@ -253,8 +253,19 @@ def test_order_by_file_name_and_position(spark, tmp_path):
     assert [r.ticket for r in read] == [str(i) for i in range(1, 60)]
 
 
-def test_split_files_need_an_order(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("Ticket ID,subject,email_body,n\n1,a,x,7\n")
-    with pytest.raises(ValueError, match="order column"):
-        readers.read_batch(spark, str(tmp_path), multi_line=False)
-    assert readers.read_batch(spark, str(tmp_path), order="n", multi_line=False).first().src_order == 7
+def test_split_files_keep_their_order(spark, tmp_path):
+    for name, ids in (("a", range(0, 400)), ("b", range(400, 403)), ("c", range(403, 900))):
+        (tmp_path / f"{name}.csv").write_text("Ticket ID,subject,email_body,n\n" + "".join(f"{i},{'s' * (i % 40)},b,{i}\n" for i in ids))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        read = readers.read_batch(spark, str(tmp_path), multi_line=False)
+        assert read.rdd.getNumPartitions() > 5
+        rows = read.orderBy("src_order").collect()
+        first = readers.read_batch(spark, str(tmp_path), head=7, multi_line=False).collect()
+        ordered = readers.read_batch(spark, str(tmp_path), order="n", multi_line=False).where("src_order = 7").first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.ticket for r in rows] == [str(i) for i in range(900)]
+    assert [r.ticket for r in first] == [str(i) for i in range(7)] and ordered.ticket == "7"
