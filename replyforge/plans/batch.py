@@ -12,6 +12,7 @@ from replyforge.functions.text import body_or_subject, escape_text, kb_text, que
 from replyforge.functions.vectors import Embedder, embed_hashed
 from replyforge.operators import replies, search, tickets
 from replyforge.operators.cells import CellIndex, cell_topk
+from replyforge.operators.embeddings import with_stored_vectors
 from replyforge.operators.joins import fetch_rows, in_named_partitions, salted_anti_join, salted_left_join
 from replyforge.session import materialise
 
@@ -28,6 +29,7 @@ class Knowledge:
     ``index``: cell index over the rows; without it the search is a full one. With
     ``nprobe`` cells alone (by default as many as the index has measured) the answer is approximate, unless
     ``exact_cells`` is set.
+    ``vectors``: folder of vectors by text; texts that have one there are not embedded again.
     """
 
     rows: DataFrame
@@ -37,6 +39,7 @@ class Knowledge:
     index: CellIndex | None = None
     nprobe: int | None = None
     exact_cells: bool = True
+    vectors: str | None = None
 
 
 def best_rows(queries: DataFrame, knowledge: Knowledge, embed: Embedder = embed_hashed, k: int = 1) -> DataFrame:
@@ -46,15 +49,17 @@ def best_rows(queries: DataFrame, knowledge: Knowledge, embed: Embedder = embed_
     if "vector" in knowledge.rows.columns:
         vectors = search.searchable(knowledge.rows).select("collection", "kb_id", "vector")
     else:
-        vectors = embed_rows(knowledge.rows, embed)
+        vectors = embed_rows(knowledge.rows, embed, knowledge.vectors)
     return search.exact_topk(queries, vectors, k)
 
 
-def embed_rows(rows: DataFrame, embed: Embedder = embed_hashed) -> DataFrame:
-    """Knowledge-base vectors: collection, kb_id, vector."""
+def embed_rows(rows: DataFrame, embed: Embedder = embed_hashed, stored: str | None = None) -> DataFrame:
+    """Knowledge-base vectors: collection, kb_id, vector; from the folder ``stored`` where their text was embedded before."""
     text = search.searchable(rows).select(
         "collection", "kb_id", kb_text(F.col("subject"), F.col("email_body")).alias("_text")
     )
+    if stored is not None:
+        return with_stored_vectors(text, "_text", stored, ["kb_id"], embed).select("collection", "kb_id", "vector")
     return embed(text, "_text", "vector").select("collection", "kb_id", "vector")
 
 
@@ -98,7 +103,11 @@ def find_answers(asked: DataFrame, knowledge: Knowledge, embed: Embedder = embed
         ),
         "texts",
     )
-    queries = embed(texts.select("collection", F.col("text_id").alias("query_id"), "query_text"), "query_text", "vector")
+    queries = texts.select("collection", F.col("text_id").alias("query_id"), "query_text")
+    if knowledge.vectors is not None:
+        queries = with_stored_vectors(queries, "query_text", knowledge.vectors, ["query_id"], embed)
+    else:
+        queries = embed(queries, "query_text", "vector")
     hits = best_rows(queries.drop("query_text"), knowledge, embed).select(
         "collection", F.col("query_id").alias("text_id"), "kb_id", "score"
     )

@@ -1,9 +1,12 @@
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 from test_status import SCHEMA as TICKETS
 from test_status import ticket
 
-from replyforge.operators import cells, joins, replies
+from replyforge.functions.vectors import embed_hashed
+from replyforge.operators import cells, embeddings, joins, replies
 from replyforge.plans import batch
 
 EMAILS = "ticket string, src_order long, subject string, email_body string"
@@ -82,6 +85,31 @@ def test_the_cell_index_gives_the_same_replies(world):
     assert outcomes(batch.reply_to_batch(emails, tickets, indexed)) == WANTED
 
 
+def test_a_text_is_embedded_once(spark, world, tmp_path):
+    emails, tickets, k = world
+    stored = dataclasses.replace(k, vectors=str(tmp_path / "vectors"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def embed(df, text, out):
+        def counted(batches):
+            for batch_rows in batches:
+                asked.add(len(batch_rows))
+                yield batch_rows
+
+        return embed_hashed(df.mapInPandas(counted, df.schema), text, out)
+
+    assert outcomes(batch.reply_to_batch(emails, tickets, stored, embed=embed)) == WANTED
+    texts = embeddings.read_vectors(spark, stored.vectors)
+    first = asked.value
+    assert texts.count() == texts.select("text_key").distinct().count() == first
+    assert outcomes(batch.reply_to_batch(emails, tickets, stored, embed=embed)) == WANTED
+    assert asked.value == first
+    more = k.rows.unionByName(spark.createDataFrame([("loans", 9, "new", "row", {"imclosed": "N"})], k.rows.schema))
+    again = dataclasses.replace(stored, rows=more)
+    assert outcomes(batch.reply_to_batch(emails, tickets, again, embed=embed)) == WANTED
+    assert asked.value == first + 1
+
+
 def test_generator_errors_stay_in_their_row(world):
     def echo():
         def answer(prompt):
