@@ -5,15 +5,16 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from replyforge.functions.text import clean_reply, is_blank
 from replyforge.operators.joins import lookup_join, salted_left_join
-from replyforge.session import materialise
+from replyforge.session import materialise, scratch_path
 
 # Texts and labels of a reply.
 GENERIC_REPLY = (
@@ -204,31 +205,34 @@ def ticket_prompt(
 Generator = Callable[[str], str]
 
 
-def generate(
-    df: DataFrame,
-    open_generator: Callable[[], Generator],
-    spread: list[str],
-    retries: int = 5,
-    delay: float = 5.0,
-    retry_on: tuple[type[BaseException], ...] = (Exception,),
-    in_flight: int = CALLS_IN_FLIGHT,
-) -> DataFrame:
-    """``df`` (with ``prompt``) plus ``generated`` and ``generation_error``.
+class _Pace:
+    """Lets one call start every ``gap`` seconds, whichever thread makes it."""
+
+    def __init__(self, gap: float):
+        self.gap, self.lock, self.due = gap, Lock(), 0.0
+
+    def wait(self) -> None:
+        if self.gap > 0:
+            with self.lock:
+                now = time.monotonic()
+                start = max(now, self.due)
+                self.due = start + self.gap
+            time.sleep(start - now)
 
-    ``open_generator`` runs once per partition. A prompt is generated once however
-    many rows ask for it, tried ``retries`` times with a doubling delay, and a
-    failure is a value of its row. A partition keeps up to ``in_flight`` calls going, so one
-    that waits does not hold up the others; set 1 for a generator that cannot be shared by threads.
-    The prompts are written first, so that their joins run once, and the answers before they
-    are joined, so a lost executor cannot mix two answers to one prompt.
-    """
+
+ANSWERS = "_prompt_id string, generated string, generation_error string"
+
+
+def _asking(open_generator: Callable[[], Generator], retries: int, delay: float, retry_on: tuple, in_flight: int, gap: float):
+    """Over frames of (_prompt_id, prompt): ANSWERS."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = open_generator()
+        ask, pace = open_generator(), _Pace(gap)
 
         def attempt(prompt: str) -> tuple[str | None, str | None]:
             wait = delay
             for turn in range(retries):
+                pace.wait()
                 try:
                     return ask(prompt), None
                 except retry_on as problem:
@@ -251,13 +255,76 @@ def generate(
                     }
                 )
 
+    return run
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """One row per prompt asked so far: its answer, or the error where it has none."""
+    try:
+        told = spark.read.schema(ANSWERS).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ANSWERS)
+    error = F.when(F.max("generated").isNull(), F.max("generation_error"))
+    return told.groupBy("_prompt_id").agg(F.max("generated").alias("generated"), error.alias("generation_error"))
+
+
+def _ask_in_chunks(prompts: DataFrame, run, path: str, chunk: int) -> DataFrame:
+    """Answers of ``prompts`` (_prompt_id, prompt), added to the folder ``path`` one chunk after the other.
+
+    Prompts that have an answer there are not asked. A run that stops keeps the chunks it has written; the prompts of
+    the chunk it was in are asked again.
+    """
+    spark = prompts.sparkSession
+    answered = read_answers(spark, path).where(F.col("generated").isNotNull()).select("_prompt_id")
+    due = materialise(prompts.join(answered, "_prompt_id", "left_anti"), "due-prompts")
+    chunks = max(1, -(-due.count() // chunk))
+    folder = scratch_path(spark, "prompt-chunks")
+    due.withColumn("_chunk", F.pmod(F.xxhash64("_prompt_id"), F.lit(chunks))).write.partitionBy("_chunk").parquet(folder)
+    dealt = spark.read.schema("_prompt_id string, prompt string, _chunk bigint").parquet(folder)
+    for i in range(chunks):
+        own = dealt.where(F.col("_chunk") == i).select("_prompt_id", "prompt")
+        own = own.repartition(spark.sparkContext.defaultParallelism, "_prompt_id")
+        own.mapInPandas(run, ANSWERS).write.mode("append").parquet(path)
+    return read_answers(spark, path)
+
+
+def generate(
+    df: DataFrame,
+    open_generator: Callable[[], Generator],
+    spread: list[str],
+    retries: int = 5,
+    delay: float = 5.0,
+    retry_on: tuple[type[BaseException], ...] = (Exception,),
+    in_flight: int = CALLS_IN_FLIGHT,
+    answers: str | None = None,
+    chunk: int | None = None,
+    per_second: float | None = None,
+) -> DataFrame:
+    """``df`` (with ``prompt``) plus ``generated`` and ``generation_error``.
+
+    ``open_generator`` runs once per partition. A prompt is generated once however
+    many rows ask for it, tried ``retries`` times with a doubling delay, and a
+    failure is a value of its row. A partition keeps up to ``in_flight`` calls going, so one
+    that waits does not hold up the others; set 1 for a generator that cannot be shared by threads.
+    The prompts are written first, so that their joins run once, and the answers before they
+    are joined, so a lost executor cannot mix two answers to one prompt.
+
+    With the folder ``answers`` they are kept by the digest of their prompt and written in chunks of about ``chunk``
+    prompts (by default four rounds of calls on all cores): a later run asks open prompts only, and one that stops
+    loses one chunk at most. ``per_second`` is the rate of calls of the whole job, of which each core gets its share.
+    """
+    context = df.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    run = _asking(open_generator, retries, delay, retry_on, in_flight, cores / per_second if per_second else 0.0)
     keyed = materialise(df.withColumn("_prompt_id", F.sha2("prompt", 256)), "prompts")
-    schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in ("_prompt_id", "generated", "generation_error")]
-    )
     distinct = keyed.where(F.col("prompt").isNotNull()).groupBy("_prompt_id").agg(F.first("prompt").alias("prompt"))
-    answers = materialise(distinct.mapInPandas(run, schema), "answers")
-    return salted_left_join(keyed, answers, ["_prompt_id"], spread).drop("_prompt_id")
+    if answers is None:
+        told = materialise(distinct.mapInPandas(run, ANSWERS), "answers")
+    else:
+        told = _ask_in_chunks(distinct, run, answers, chunk or 4 * cores * in_flight)
+    return salted_left_join(keyed, told, ["_prompt_id"], spread).drop("_prompt_id")
 
 
 # --- reply texts ----------------------------------------------------------------------

@@ -264,6 +264,28 @@ def r10(fx):
     return answered.select("src_order", "generated", "generation_error")
 
 
+def open_tagged(tag: str):
+    def opened():
+        return lambda prompt: f"{tag}: {len(prompt)}"
+
+    return opened
+
+
+@query(
+    "r10_resumed_answers",
+    over("fx_emails", "early AS (SELECT DISTINCT subject FROM fx_emails WHERE src_order % 3 = 0)")
+    + """SELECT src_order, CASE WHEN subject IN (SELECT subject FROM early) THEN 'first: ' ELSE 'second: ' END || length(subject) AS generated,
+           CAST(NULL AS VARCHAR) AS generation_error FROM fx_emails""",
+)
+def r10_resumed(fx):
+    """A run over some of the emails, then one over all: a prompt that has an answer is not asked again."""
+    prompts = fx.emails.select("src_order", C("subject").alias("prompt"))
+    path = scratch_path(fx.spark, "answers")
+    replies.generate(prompts.where("src_order % 3 = 0"), open_tagged("first"), ["src_order"], answers=path)
+    answered = replies.generate(prompts, open_tagged("second"), ["src_order"], answers=path, chunk=20_000)
+    return answered.select("src_order", "generated", "generation_error")
+
+
 @query(
     "r11_clean_reply",
     "SELECT doc_id, trim(text, ' ' || chr(10)) AS reply FROM documents",

@@ -1,4 +1,5 @@
 import dataclasses
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,55 @@ def test_generator_errors_stay_in_their_row(world):
     assert {k: got[k] for k in (5, 6, 7, 10)} == {k: WANTED[k] for k in (5, 6, 7, 10)}
 
 
+def test_a_stopped_run_is_resumed(spark, tmp_path):
+    """The second chunk fails before it asks; the next run asks the rest, and no prompt twice."""
+    path, log, stop = str(tmp_path / "answers"), tmp_path / "log", tmp_path / "stop"
+    prompts = spark.createDataFrame([(i, f"p{i % 40}") for i in range(80)], "src_order long, prompt string")
+
+    def opened():
+        def answer(prompt):
+            with open(log, "a") as f:
+                f.write(prompt + "\n")
+            if prompt == "p7" and stop.exists():
+                raise ValueError("not now")
+            return prompt.upper()
+
+        if stop.exists() and log.exists() and log.stat().st_size and sum(1 for _ in open(log)) >= 10:
+            raise RuntimeError("the service is gone")
+        return answer
+
+    stop.touch()
+    with pytest.raises(Exception, match="the service is gone"):
+        replies.generate(prompts, opened, ["src_order"], retries=1, answers=path, chunk=10)
+    kept = replies.read_answers(spark, path).where("generated IS NOT NULL").count()
+    assert 0 < kept < 40
+    stop.unlink()
+    done = replies.generate(prompts, opened, ["src_order"], retries=1, answers=path, chunk=10).collect()
+    assert sorted((r.src_order, r.generated, r.generation_error) for r in done) == [(i, f"P{i % 40}", None) for i in range(80)]
+    asked = log.read_text().split()
+    assert sorted(set(asked)) == sorted(f"p{i}" for i in range(40))
+    assert len(asked) - len(set(asked)) <= 1 and all(p == "p7" for p in asked if asked.count(p) > 1)
+
+
+def test_calls_keep_the_rate(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def opened():
+        def answer(prompt):
+            with open(log, "a") as f:
+                f.write(f"{time.time()}\n")
+            return prompt
+
+        return answer
+
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "src_order long, prompt string")
+    replies.generate(prompts, opened, ["src_order"], answers=str(tmp_path / "a"), per_second=20.0, chunk=40).collect()
+    times = sorted(float(x) for x in open(log).read().split())
+    assert len(times) == 40
+    # A core starts a call every 8 / 20 seconds; some cores have more than 40 / 8 of the prompts.
+    assert max(sum(t <= x < t + 1 for x in times) for t in times) <= 30 and times[-1] - times[0] > 1.2
+
+
 def test_prompts_are_generated_once_and_retried(spark, tmp_path):
     log = str(tmp_path / "log")
 
