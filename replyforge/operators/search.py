@@ -103,8 +103,9 @@ class _Groups:
         table, code = table.take(pa.array(order)), code[order]
         vectors, row_ids = _unit_rows(_matrix(table["vector"])), table[row_id].combine_chunks()
         starts = np.flatnonzero(np.diff(code, prepend=-1))
+        ends = np.append(starts[1:], len(code))[: len(starts)]
         self.members = {}
-        for start, end in zip(starts, np.append(starts[1:], len(code)), strict=True):
+        for start, end in zip(starts, ends, strict=True):
             group = {key: table[key][int(start)] for key in keys}
             name = tuple(value.as_py() for value in group.values())
             self.members[name] = group, row_ids.slice(start, end - start), vectors[start:end]

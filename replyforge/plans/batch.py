@@ -13,8 +13,9 @@ from replyforge.functions.vectors import Embedder, embed_hashed
 from replyforge.operators import replies, search, tickets
 from replyforge.operators.cells import CellIndex, cell_topk
 from replyforge.operators.embeddings import with_stored_vectors
-from replyforge.operators.joins import fetch_rows, in_named_partitions, salted_anti_join, salted_left_join
+from replyforge.operators.joins import fetch_rows, in_named_partitions, lookup_join, salted_anti_join, salted_left_join
 from replyforge.session import materialise
+from replyforge.sources.writers import ticket_key
 
 RESULT_COLUMNS = ["ticket", "src_order", "subject", "email_body", "response_generated", "template_referred", "outcome", "error"]
 
@@ -214,10 +215,17 @@ def not_done(emails: DataFrame, earlier: DataFrame, retry_errors: bool = False)
     """Emails whose ticket has no result row yet; with ``retry_errors`` failed ones count as open.
 
     A missing ticket id is an id like any other: emails without one are done once a result without one is there.
+    Where ``earlier`` has a ``ticket_key`` it is taken for a table that ``append_bucketed`` wrote: the tickets
+    asked for, each once, go to its buckets, and its rows stay where they lie.
     """
     done = earlier.where(F.col("outcome") != "error") if retry_errors else earlier
-    named = lambda df: df.withColumn("_ticket", F.coalesce(F.concat(F.lit("="), F.col("ticket").cast("string")), F.lit("")))
-    return salted_anti_join(named(emails), named(done), ["_ticket"], ["src_order"]).drop("_ticket")
+    keyed = emails.withColumn("ticket_key", ticket_key(F.col("ticket")))
+    if "ticket_key" in earlier.columns:
+        tickets_asked = keyed.select("ticket_key").distinct()
+        fresh = tickets_asked.join(done.select("ticket_key").hint("merge"), "ticket_key", "left_anti").withColumn("_open", F.lit(True))
+        return lookup_join(keyed, fresh, ["ticket_key"], ["src_order"]).where("_open").select(*emails.columns)
+    named = done.withColumn("ticket_key", ticket_key(F.col("ticket")))
+    return salted_anti_join(keyed, named, ["ticket_key"], ["src_order"]).select(*emails.columns)
 
 
 def append_results(earlier: DataFrame, new: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -221,13 +222,12 @@ def _prompt_sql(heading: str, material: str, source: str) -> str:
 
 @query(
     "r8_prompts",
-    over("fx_templates")
-    + f"""SELECT collection, {_prompt_sql('Relevant Information (Template)', 'html', 'template')} AS template_prompt,
-            {_prompt_sql('Relevant Information', 'html', 'search results')} AS search_prompt FROM fx_templates""",
+    f"""SELECT page_id, {_prompt_sql('Relevant Information (Template)', 'html', 'template')} AS template_prompt,
+            {_prompt_sql('Relevant Information', 'html', 'search results')} AS search_prompt FROM pages""",
 )
 def r8(fx):
-    return fx.templates.select(
-        "collection",
+    return fx.table("pages").select(
+        "page_id",
         replies.template_prompt(C("html")).alias("template_prompt"),
         replies.search_prompt(C("html")).alias("search_prompt"),
     )
@@ -353,6 +353,22 @@ def p2(fx):
     return joined.select("ticket", "src_order", F.coalesce("untouched", F.lit(False)).alias("untouched"))
 
 
+@query(
+    "p2_bucketed_resume",
+    over("fx_emails", EARLIER_SQL)
+    + "SELECT ticket, src_order FROM fx_emails WHERE ticket NOT IN (SELECT ticket FROM earlier WHERE outcome <> 'error')",
+)
+def p2_bucketed(fx):
+    """The resume against results dealt out by ticket, which are read where they lie."""
+    table = f"results_{uuid.uuid4().hex}"
+    rest = [F.lit(None).cast("string").alias(c) for c in ("template_referred", "error")]
+    writers.append_bucketed(_earlier(fx).select("*", *rest), table, buckets=16)
+    try:
+        return materialise(batch.not_done(fx.emails.select("ticket", "src_order"), fx.spark.table(table), retry_errors=True), "open")
+    finally:
+        fx.spark.sql(f"DROP TABLE {table}")
+
+
 @query(
     "p3_append",
     over("fx_emails", EARLIER_SQL)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replyforge.sources.schemas import RESULTS
 
+RESULT_BUCKETS = 256
+
+
+def ticket_key(ticket: Column) -> Column:
+    """A ticket id as a key that is never null: one for all missing ids, and other than any id."""
+    return F.coalesce(F.concat(F.lit("="), ticket.cast("string")), F.lit(""))
+
 
 def write_collections(kb: DataFrame, path: str) -> None:
     """Replace the collections that ``kb`` holds and leave the others as they are.
@@ -42,6 +49,16 @@ def append_results(results: DataFrame, path: str) -> None:
     results.to(results.sparkSession.createDataFrame([], RESULTS).schema).write.mode("append").parquet(path)
 
 
+def append_bucketed(results: DataFrame, table: str, buckets: int = RESULT_BUCKETS) -> None:
+    """Add one batch of result rows to a catalog table dealt out by ticket, which a resume reads without moving it.
+
+    ``ticket_key`` stands for the ticket, also for a missing one.
+    """
+    rows = results.to(results.sparkSession.createDataFrame([], RESULTS).schema).withColumn("ticket_key", ticket_key(F.col("ticket")))
+    rows = rows.repartition(buckets, "ticket_key")
+    rows.write.mode("append").format("parquet").bucketBy(buckets, "ticket_key").sortBy("ticket_key").saveAsTable(table)
+
+
 def export_csv(results: DataFrame, path: str) -> None:
     """Result rows as CSV, one file per task."""
     results.write.mode("overwrite").csv(

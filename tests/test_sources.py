@@ -235,15 +235,62 @@ def test_streamed_replies(spark, tmp_path):
         query.awaitTermination()
 
     def answers():
-        return sorted((r.ticket, r.src_order, r.outcome, r.response_generated) for r in readers.read_results(spark, str(results)).collect())
+        told = [(r.ticket, r.src_order, r.outcome, r.response_generated) for r in readers.read_results(spark, str(results)).collect()]
+        return sorted(told, key=lambda r: r[1])
 
     (inbox / "1.csv").write_text("ticket,src_order,subject,email_body\n1,1,close,it\n")
     run()
     assert answers() == [("1", 1, "search", "Closed.")]
-    (inbox / "2.csv").write_text("ticket,src_order,subject,email_body\n1,2,again,it\n5,3,lost,x\n")
+    (inbox / "2.csv").write_text("ticket,src_order,subject,email_body\n1,2,again,it\n5,3,lost,x\n,4,none,y\n,5,none,z\n")
     run()
     run()
-    assert [a[:3] for a in answers()] == [("1", 1, "search"), ("5", 3, "not_found")]
+    assert sorted((a[1], a[2]) for a in answers()) == [(1, "search"), (3, "not_found"), (4, "not_found"), (5, "not_found")]
+    (inbox / "3.csv").write_text("ticket,src_order,subject,email_body\n,6,none,y\n6,7,lost,x\n")
+    run()
+    assert sorted(a[1] for a in answers()) == [1, 3, 4, 5, 7]
+
+
+def test_streamed_replies_know_results_of_other_runs(spark, tmp_path):
+    inbox, other, results, checkpoint = (tmp_path / n for n in ("inbox", "other", "results", "checkpoint"))
+    inbox.mkdir()
+    tickets = spark.createDataFrame([], "ticket string, alt_ticket string, src_order long, data_from string, loan_status string, repayment_status string, lr_status string, category_raw string")
+    rows = spark.createDataFrame([], "collection string, kb_id long, subject string, email_body string, fields map<string,string>")
+    fields = spark.createDataFrame([], "collection string, field string, ordinal int")
+    known = batch.Knowledge(rows, fields, spark.createDataFrame([], "collection string, html string"))
+    writers.append_results(spark.createDataFrame([("8", *RESULT[1:])], readers.RESULTS), str(other))
+
+    def run():
+        emails, earlier = stream.read_email_stream(spark, str(inbox)), stream.read_result_stream(spark, str(other))
+        stream.start_replies(emails, tickets, lambda: known, str(results), str(checkpoint), earlier=earlier).awaitTermination()
+        return sorted(r.ticket for r in readers.read_results(spark, str(results)).collect())
+
+    (inbox / "1.csv").write_text("ticket,src_order,subject,email_body\n8,1,a,b\n9,2,a,b\n10,3,a,b\n")
+    assert run() == ["10", "9"]
+    writers.append_results(spark.createDataFrame([("11", *RESULT[1:])], readers.RESULTS), str(other))
+    (inbox / "2.csv").write_text("ticket,src_order,subject,email_body\n8,4,a,b\n11,5,a,b\n12,6,a,b\n")
+    assert run() == ["10", "12", "9"]
+
+
+def test_a_resume_leaves_earlier_results_where_they_lie(spark, tmp_path, capsys):
+    spark.sql(f"CREATE DATABASE resume LOCATION '{tmp_path}/db'")
+    try:
+        done = [(str(i), i, "s", "b", "r", "l", "error" if i % 5 == 0 else "search", None) for i in range(0, 60, 2)] + [(None, *RESULT[1:])]
+        writers.append_bucketed(spark.createDataFrame(done[:20], readers.RESULTS), "resume.results", 8)
+        writers.append_bucketed(spark.createDataFrame(done[20:], readers.RESULTS), "resume.results", 8)
+        emails = spark.createDataFrame([(str(i % 70), i) for i in range(140)] + [(None, 900)], "ticket string, src_order long")
+        earlier = spark.table("resume.results")
+        for retry in (False, True):
+            left = {r.src_order for r in batch.not_done(emails, earlier, retry).collect()}
+            assert left == {i for i in range(140) if (i % 70) % 2 or i % 70 >= 60 or (retry and (i % 70) % 5 == 0)}
+        asked = emails.withColumn("ticket_key", writers.ticket_key(F.col("ticket"))).select("ticket_key").distinct()
+        asked.join(earlier.select("ticket_key").hint("merge"), "ticket_key", "left_anti").explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan
+        # The last exchange lies above the emails, which come before the results under the join.
+        below = plan[plan.rindex("Exchange") :]
+        assert below.index("ExistingRDD") < below.index("FileScan") and "Bucketed: true" in below
+    finally:
+        spark.sql("DROP DATABASE resume CASCADE")
 
 
 def test_order_by_file_name_and_position(spark, tmp_path):
