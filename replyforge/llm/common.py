@@ -43,6 +43,15 @@ def with_per_document(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(right, on, "left").drop("_id", "_fp")
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many leading underscores as it takes to be none of the columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    head = "_"
+    while any(head + n in taken for n in names):
+        head += "_"
+    return [head + n for n in names]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once.
 

@@ -1,17 +1,16 @@
-"""Line dedup: content-defined chunks of lines; chunks repeated anywhere in the corpus are removed."""
+"""Line dedup: chunks of lines around content-defined boundaries; those that occur before in the corpus are removed."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from replyforge.llm.common import chosen, let, with_per_document
+from replyforge.llm.common import chosen, free_names, let, with_per_document
 from replyforge.session import materialise
 
 # Fixed values of the boundary rule; the checking SQL has the same.
 MULTIPLIER = 1_000_003
 MODULUS = 2_147_483_647
-WINDOW_LINES = 2
 DIVISOR = 3
 
 
@@ -19,120 +18,114 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _ends(lines: Column, divisor: int) -> Column:
-    """Numbers, from 1, of the lines that end a chunk."""
+def _pairs(lines: Column, divisor: int) -> Column:
+    """Array of (at, boundary, body) of every two neighbouring lines; ``at`` is the number of the first, from 1.
 
+    There is a boundary where the rolling hash over the hashes of the two lines is no multiple of ``divisor``:
+    at two of three places with the default, wherever in a text the lines stand.
+    """
     # Eight hexadecimal digits of a digest: the same number in every engine.
     hashed = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"))
 
-    def ends(hashes: Column) -> Column:
-        def end(h: Column, i: Column) -> Column:
-            rolling = F.pmod(F.get(hashes, i - 1) * MULTIPLIER + h, F.lit(MODULUS))
-            cut = (i + 1 >= WINDOW_LINES) & (F.pmod(rolling, F.lit(divisor)) == 0)
-            return F.when((i + 1 == F.size(hashes)) | cut, i + 1)
+    def of(lines: Column, hashes: Column) -> Column:
+        def pair(i: Column) -> Column:
+            rolling = F.pmod(F.get(hashes, i - 1) * MULTIPLIER + F.get(hashes, i), F.lit(MODULUS))
+            return F.struct(
+                i.alias("at"),
+                (F.pmod(rolling, F.lit(divisor)) != 0).alias("boundary"),
+                F.concat_ws("\n", F.get(lines, i - 1), F.get(lines, i)).alias("body"),
+            )
 
-        return F.array_compact(F.transform(hashes, end))
+        return F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(1), F.size(lines) - 1), pair))
 
-    return let(hashed, ends)
+    return let(lines, lambda ls: let(hashed, lambda hs: of(ls, hs)))
 
 
-def _chunks(lines: Column, divisor: int, bodies: bool) -> Column:
-    """Array of (idx, first, last, body) over an array of lines; lines count from 1.
+def repeated_runs(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """(doc_id, fp, runs): the stretches (first, last) of lines of each document that are removed, in order.
 
-    A chunk ends after a line where the rolling hash of it and the line before falls on a multiple
-    of ``divisor``, and at the end of the text: an inserted line moves only the boundaries beside it.
+    A chunk is the two lines around a boundary, grown line by line. Pairs of lines are counted by hash first, on
+    narrow rows; only pairs with a repeated hash are shuffled with their bytes, and a pair counts as a repeat
+    where the bytes are equal, not only the hash. The first occurrence (smallest doc_id, a missing one last, then
+    place) stays. Neighbouring repeats make one run, and a run goes if it has a boundary inside.
     """
+    body = F.col("pair.body")
+    pairs = (
+        docs.select("doc_id", "fp", F.explode(_pairs(_lines(F.col("text")), divisor)).alias("pair"))
+        .where(F.trim(F.replace(body, F.lit("\n"), F.lit(""))) != "")
+        .select("doc_id", "fp", F.col("pair.at").alias("at"), F.col("pair.boundary").alias("boundary"), F.xxhash64(body).alias("hash"), body.alias("body"))
+    )
+    twice = pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    # Written, so that a join with a very common pair can be split before the grouping.
+    candidates = materialise(pairs.join(twice, "hash"), "line-candidates")
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("fp").alias("c"), F.col("at").alias("d"))
+    # Grouping by the body itself is the comparison of bytes; a common pair shrinks to one row in each task.
+    groups = candidates.groupBy("hash", "body").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Rows equal in id and text are one document.
+    again = candidates.join(groups, ["hash", "body"]).where(place != F.col("keep")).select("doc_id", "fp", "at", "boundary").distinct()
+    by_place = Window.partitionBy("doc_id", "fp").orderBy("at")
+    runs = again.withColumn("run", F.col("at") - F.row_number().over(by_place)).groupBy("doc_id", "fp", "run").agg(
+        F.min("at").alias("first"), (F.max("at") + 1).alias("last"), F.bool_or("boundary").alias("boundary")
+    )
+    return runs.where("boundary").groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
-    def of(lines: Column, ends: Column) -> Column:
-        def chunk(end: Column, k: Column) -> Column:
-            first = F.when(k == 0, F.lit(1)).otherwise(F.get(ends, k - 1) + 1)
-            fields = [k.cast("int").alias("idx"), first.alias("first"), end.alias("last")]
-            if bodies:
-                fields.append(F.array_join(F.slice(lines, first, end - first + 1), "\n").alias("body"))
-            return F.struct(*fields)
 
-        return F.transform(ends, chunk)
+def _removed(runs: Column) -> Column:
+    return F.aggregate(runs, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
 
-    return let(lines, lambda ls: let(_ends(ls, divisor), lambda es: of(ls, es)))
 
+def _kept(lines: Column, runs: Column) -> Column:
+    """The text of the lines outside ``runs``: one slice between each two of them."""
 
-def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = 2) -> DataFrame:
-    """(doc_id, fp, idxs): the chunks of each document that are removed.
+    def between(k: Column) -> Column:
+        first = F.when(k == 0, F.lit(1)).otherwise(F.get(runs, k - 1)["last"] + 1)
+        last = F.when(k == F.size(runs), F.size(lines)).otherwise(F.get(runs, k)["first"] - 1)
+        return F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
 
-    Chunk hashes are counted first, on narrow rows; only chunks with a repeated hash are shuffled
-    with their bytes, and a chunk counts as a repeat where the bytes are equal, not only the hash.
-    The first occurrence (smallest doc_id, a missing one last, then position) stays.
-    """
-    body = F.col("chunk.body")
-    chunks = (
-        docs.select("doc_id", "fp", F.explode(_chunks(_lines(F.col("text")), divisor, True)).alias("chunk"))
-        .where((F.col("chunk.last") - F.col("chunk.first") + 1 >= min_lines) & (F.trim(F.replace(body, F.lit("\n"), F.lit(""))) != ""))
-        .select("doc_id", "fp", F.col("chunk.idx").alias("idx"), F.xxhash64(body).alias("hash"), body.alias("body"))
-    )
-    twice = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    # Written, so that a join with a very common chunk can be split before the grouping.
-    candidates = materialise(chunks.join(twice, "hash"), "line-candidates")
-    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("fp").alias("c"), F.col("idx").alias("d"))
-    # Grouping by the body itself is the comparison of bytes; a common chunk shrinks to one row in each task.
-    groups = candidates.groupBy("hash", "body").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (
-        candidates.join(groups, ["hash", "body"])
-        .where(place != F.col("keep"))
-        .groupBy("doc_id", "fp")
-        .agg(F.collect_set("idx").alias("idxs"))
-    )
+    return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), between)), "\n")
 
 
-def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: (doc_id, text, n_lines, n_chunks, n_removed_lines, kept_text).
+def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: (doc_id, text, n_lines, n_runs, n_removed_lines, kept_text).
 
-    Lines are split at "\\n" and grouped into content-defined chunks. A chunk of ``min_lines`` or more
-    lines, not all blank, that occurs before in the corpus is removed; shorter ones always stay.
+    Lines are split at "\\n". Runs of two or more lines of which every two neighbours, not both blank, occur before in the
+    corpus are removed when one of their places is a boundary; so of a run of two lines two of three go, of one
+    of three lines eight of nine. The first occurrence of any line stays.
 
     A null text has no lines and stays null; an empty text is one empty line. Rows equal in id and
-    text are one document, so they keep the same chunks. A missing id counts as the largest. An
+    text are one document, so they keep the same lines. A missing id counts as the largest. An
     empty table gives no rows. Further columns are not read.
     """
     rows = chosen(docs, id_col=id_col, text_col=text_col)
-    lines = _lines(F.col("text"))
-    joined = with_per_document(rows, repeated_chunks(rows, divisor, min_lines))
-    gone = F.filter("chunks", lambda c: F.array_contains("idxs", c["idx"]))
-    kept = F.filter("chunks", lambda c: ~F.array_contains("idxs", c["idx"]))
-    kept_text = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice("lines", c["first"], c["last"] - c["first"] + 1))), "\n")
-    return joined.withColumns({"lines": lines, "chunks": _chunks(lines, divisor, False)}).select(
+    joined = with_per_document(rows, repeated_runs(rows, divisor)).withColumn("lines", _lines(F.col("text")))
+    return joined.select(
         "doc_id",
         "text",
         F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("chunks"), F.lit(0)).cast("bigint").alias("n_chunks"),
-        F.when(F.col("idxs").isNull(), F.lit(0))
-        .otherwise(F.aggregate(gone, F.lit(0), lambda n, c: n + c["last"] - c["first"] + 1))
-        .cast("bigint")
-        .alias("n_removed_lines"),
-        F.when(F.col("idxs").isNull(), F.col("text")).otherwise(kept_text).alias("kept_text"),
+        F.coalesce(F.size("runs"), F.lit(0)).cast("bigint").alias("n_runs"),
+        F.coalesce(_removed(F.col("runs")), F.lit(0)).cast("bigint").alias("n_removed_lines"),
+        F.when(F.col("runs").isNull(), F.col("text")).otherwise(_kept(F.col("lines"), F.col("runs"))).alias("kept_text"),
     )
 
 
-def remove_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text that :func:`dedup_lines` leaves; other columns as they are.
+def remove_lines(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the text that :func:`dedup_lines` leaves; other columns as they are, whatever their names.
 
     A document that loses all its lines goes, since nothing of it is left; one that was empty before stays.
     """
-    rows = chosen(docs, id_col=id_col, text_col=text_col)
-    gone = repeated_chunks(rows, divisor, min_lines).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("idxs").alias("_idxs"))
-    on = docs[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_fp"))
+    i, f, r, new = free_names(docs, "id", "fp", "runs", "new")
+    gone = repeated_runs(chosen(docs, id_col=id_col, text_col=text_col), divisor).toDF(i, f, r)
+    on = docs[id_col].cast("bigint").eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(f))
     lines = _lines(docs[text_col])
-    chunks = F.filter(_chunks(lines, divisor, True), lambda c: ~F.array_contains("_idxs", c["idx"]))
-    left = let(chunks, lambda cs: F.when(F.size(cs) > 0, F.array_join(F.transform(cs, lambda c: c["body"]), "\n")))
-    changed = F.col("_idxs").isNotNull()
-    new = F.when(changed, left).otherwise(docs[text_col])
-    joined = docs.join(gone, on, "left").withColumn("_new", new).where(~changed | F.col("_new").isNotNull())
-    return joined.select(*[F.col("_new").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    left = F.when(_removed(F.col(r)) < F.size(lines), _kept(lines, F.col(r)))
+    changed = F.col(r).isNotNull()
+    joined = docs.join(gone, on, "left").withColumn(new, F.when(changed, left).otherwise(docs[text_col]))
+    joined = joined.where(~changed | F.col(new).isNotNull())
+    return joined.select(*[F.col(new).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def digest(deduped: DataFrame) -> DataFrame:
-    return deduped.select(
-        "doc_id", "n_lines", "n_chunks", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
-    )
+    return deduped.select("doc_id", "n_lines", "n_runs", "n_removed_lines", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = f"""
@@ -140,20 +133,18 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL),
 hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
-ended AS (
-  SELECT *, CASE WHEN lead(i) OVER w IS NULL THEN 1
-                 WHEN i >= {WINDOW_LINES} AND (lag(h) OVER w * {MULTIPLIER} + h) % {MODULUS} % {DIVISOR} = 0 THEN 1 ELSE 0 END AS is_end
+pairs AS (
+  SELECT doc_id, i, lead(i) OVER w AS after, line || chr(10) || lead(line) OVER w AS body,
+         (h * {MULTIPLIER} + lead(h) OVER w) % {MODULUS} % {DIVISOR} <> 0 AS boundary
   FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (
-  SELECT *, coalesce(sum(is_end) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idx
-  FROM ended),
-chunks AS (SELECT doc_id, idx, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY ALL),
-judged AS (
-  SELECT *, n >= 2 AND trim(replace(body, chr(10), '')) <> ''
-            AND row_number() OVER (PARTITION BY body, n >= 2 ORDER BY doc_id, idx) > 1 AS gone
-  FROM chunks)
-SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines, count(idx) AS n_chunks,
-       CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
-       sha256(coalesce(string_agg(body, chr(10) ORDER BY idx) FILTER (NOT gone), '')) AS kept_sha256
-FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+again AS (
+  SELECT doc_id, i, boundary FROM pairs WHERE after IS NOT NULL AND trim(replace(body, chr(10), '')) <> ''
+  QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM again),
+runs AS (SELECT doc_id, min(i) AS first, max(i) + 1 AS last FROM islands GROUP BY doc_id, run HAVING bool_or(boundary)),
+counted AS (SELECT doc_id, count(*) AS n_runs FROM runs GROUP BY doc_id),
+judged AS (SELECT l.*, r.doc_id IS NOT NULL AS gone FROM lines l LEFT JOIN runs r ON r.doc_id = l.doc_id AND l.i BETWEEN r.first AND r.last)
+SELECT d.doc_id, count(j.i) AS n_lines, coalesce(max(n_runs), 0) AS n_runs, count(*) FILTER (gone) AS n_removed_lines,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY j.i) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id LEFT JOIN counted c ON c.doc_id = d.doc_id GROUP BY d.doc_id
 """

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from replyforge.llm.common import free_names
 from replyforge.llm.components import connected_components
 from replyforge.llm.repeats import LAST_ID, keyed
 from replyforge.llm.words import WordTable, mix, portions, text_bytes
@@ -373,11 +374,12 @@ def keep_one(docs: DataFrame, like: Likeness | None = None, id_col: str = "doc_i
     Rows without words all stay.
     """
     grouped = _grouped(docs, like or Likeness(), id_col, text_col)
-    stay = grouped.where(F.struct("id", "fp") == F.col("first")).select(F.col("id").alias("_id"), F.col("fp").alias("_fp"), F.col("n").alias("_n"))
-    stay = stay.dropDuplicates(["_id", "_fp"])
-    keys = docs.withColumns({"_k_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)), "_k_fp": F.xxhash64(text_col)})
-    kept = keys.join(stay, (F.col("_k_id") == F.col("_id")) & (F.col("_k_fp") == F.col("_fp")))
+    i, f, n, key_id, key_fp = free_names(docs, "id", "fp", "n", "key_id", "key_fp")
+    stay = grouped.where(F.struct("id", "fp") == F.col("first")).select(F.col("id").alias(i), F.col("fp").alias(f), F.col("n").alias(n))
+    stay = stay.dropDuplicates([i, f])
+    keys = docs.withColumns({key_id: F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)), key_fp: F.xxhash64(text_col)})
+    kept = keys.join(stay, (F.col(key_id) == F.col(i)) & (F.col(key_fp) == F.col(f)))
     # Of rows with words that share id and text one stays; dropDuplicates leaves the others alone.
-    bare = kept.where("_n = 0")
-    worded = kept.where("_n > 0").dropDuplicates(["_k_id", "_k_fp"])
+    bare = kept.where(F.col(n) == 0)
+    worded = kept.where(F.col(n) > 0).dropDuplicates([key_id, key_fp])
     return worded.unionByName(bare).select(*[F.col(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from replyforge.llm.common import SPACE_CHARACTERS, chosen, let, with_per_document
+from replyforge.llm.common import SPACE_CHARACTERS, chosen, free_names, let, with_per_document
 from replyforge.session import materialise
 
 # The four base patterns of the contract, written so that they cannot backtrack far: a possessive
@@ -342,12 +342,14 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with each span in its text replaced by the kind in angle brackets; other columns as they are.
 
-    Overlapping spans are replaced together, under the kind of the first.
+    Overlapping spans are replaced together, under the kind of the first. A null text stays null, and so does every row;
+    repeated rows are redacted alike. Other columns may have any name.
     """
     found = find(docs, id_col, text_col, **options)
     # Repeated rows share one result, so that each row of the input comes out once.
-    found = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "fp"]).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("spans").alias("_spans"))
-    on = docs[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_fp"))
+    i, f, spans = free_names(docs, "id", "fp", "spans")
+    found = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "fp"]).select(F.col("doc_id").alias(i), F.col("fp").alias(f), F.col("spans").alias(spans))
+    on = docs[id_col].cast("bigint").eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(f))
     text = docs[text_col]
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
@@ -358,12 +360,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
         )
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], piece).alias("out"))
 
-    by_start = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     replaced = F.aggregate(
         by_start,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         step,
         lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)),
     )
-    new = F.when(F.col("_spans").isNull(), text).otherwise(replaced).alias(text_col)
+    new = F.when(F.col(spans).isNull(), text).otherwise(replaced).alias(text_col)
     return docs.join(found, on, "left").select(*[new if c == text_col else docs[c] for c in docs.columns])

@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from replyforge.llm.common import WORD, chosen, let
+from replyforge.llm.common import WORD, chosen, free_names, let
 from replyforge.session import materialise
 
 # Fixed by the contract of the base rules.
@@ -294,6 +294,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, i
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they are. ``options``: those of :func:`judge`."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    verdict = judge(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
-    on = docs[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_fp"))
+    i, f = free_names(docs, "id", "fp")
+    verdict = judge(docs, **options).where("kept").select(F.col("doc_id").alias(i), F.col("fp").alias(f))
+    on = docs[id_col].cast("bigint").eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(f))
     return docs.join(verdict, on, "left_semi")

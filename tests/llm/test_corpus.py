@@ -1,5 +1,6 @@
 """Corpus operators against plain Python, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import hashlib
 import math
 import os
 import random
@@ -7,6 +8,7 @@ import sys
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -320,14 +322,71 @@ def test_pieces(docs):
         assert math.isclose(sum(score[table.pieces[i]] for i in ids), best(word))
 
 
-def test_lines(docs):
-    out = line_dedup.dedup_lines(docs).collect()
-    for r in out:
-        assert (r["kept_text"] is None) == (r["text"] is None)
-        assert r["n_lines"] == (0 if r["text"] is None else r["text"].count("\n") + 1)
-    left = [r["n_lines"] - r["n_removed_lines"] for r in out]
-    assert min(left) >= 0 and sum(r["n_removed_lines"] for r in out) > 0
-    assert line_dedup.remove_lines(docs).columns == docs.columns
+def removed_runs(rows):
+    """{(id, text): (n_lines, n_runs, n_removed, kept)} by the rule, in plain Python."""
+    seen, out = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        if t is None:
+            out[i, t] = (0, 0, 0, None)
+            continue
+        lines = t.split("\n")
+        number = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        again, now = [], set()
+        for k in range(len(lines) - 1):
+            pair = (lines[k], lines[k + 1])
+            if "".join(pair).strip(" "):
+                if pair in seen or pair in now:
+                    again.append((k, (number[k] * line_dedup.MULTIPLIER + number[k + 1]) % line_dedup.MODULUS % line_dedup.DIVISOR != 0))
+                now.add(pair)
+        seen |= now
+        runs = []
+        for k, boundary in again:
+            if runs and runs[-1][1] == k:
+                runs[-1][1], runs[-1][2] = k + 1, runs[-1][2] or boundary
+            else:
+                runs.append([k, k + 1, boundary])
+        gone = {k for first, last, boundary in runs if boundary for k in range(first, last + 1)}
+        out[i, t] = (len(lines), sum(r[2] for r in runs), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_lines(spark):
+    draw = random.Random(4)
+    vocabulary = ["".join(draw.choices("abc", k=2)) for _ in range(400)] + ["", " "]
+    shared = [draw.choices(vocabulary, k=draw.randint(2, 9)) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        lines = draw.choices(vocabulary, k=draw.randint(1, 6))
+        for _ in range(draw.randint(0, 2)):
+            at = draw.randint(0, len(lines))
+            lines[at:at] = draw.choice(shared)
+        texts.append("\n".join(lines))
+    long = "\n".join(f"line {k} {draw.random()}" for k in range(5000))
+    rows = [*enumerate(texts), (500, texts[3]), (500, texts[3]), (501, None), (502, ""), (503, "\n\n"), (504, long), (505, long), (None, long), (506, "x\n" * 40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "clash", "clash", 7, "clash") for i, t in rows], COLUMNS).repartition(5)
+    want = removed_runs(rows)
+    found = line_dedup.dedup_lines(docs).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r["n_lines"], r["n_runs"], r["n_removed_lines"], r["kept_text"]) == want[r["doc_id"], r["text"]]
+    # A copy goes as a whole.
+    assert want[505, long][2] == want[None, long][2] == 5000
+    left = {(r["doc_id"], r["text"]) for r in line_dedup.remove_lines(docs).collect()}
+    assert left == {(i, w[3]) for (i, t), w in want.items() if t is None or w[2] < w[0]}
+
+
+def test_most_repeated_lines_go():
+    """Of lines in runs of two or more that occur before, at least nine tenths go."""
+    source = duckdb.sql(f"SELECT doc_id, text FROM '{SF_DIR.replace('0.001', '0.01')}/documents.parquet'").fetchall()
+    seen, due = set(), 0
+    for _, t in sorted(source):
+        lines = (t or "").split("\n")
+        pairs = list(zip(lines, lines[1:], strict=False))
+        own = [k for k, p in enumerate(pairs) if p in seen and "".join(p).strip(" ")]
+        due += len({x for k in own for x in (k, k + 1)})
+        seen.update(pairs)
+    gone = sum(w[2] for w in removed_runs(source).values())
+    assert due > 500 and gone / due >= 0.9
 
 
 def test_exact(spark, docs):
@@ -350,6 +409,22 @@ def test_empty_tables(docs):
     assert [f(none).count() for f in made_of] == [0] * len(made_of)
 
 
+def test_columns_of_any_name(spark):
+    """Names that the operators use inside are no harm in the documents, and all rows come out of empty tables."""
+    text = "one two three four five six seven eight nine ten eleven a@b.de"
+    names = ["_id", "_fp", "_n", "_runs", "_new", "_spans", "_key_id", "_key_fp", "__id", "hash", "place", "pair"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, t, "en", "s", *["x"] * len(names)) for i, t in [(1, text), (2, text), (3, None), (4, "other words " * 30), (1, text)]]
+    docs = spark.createDataFrame(rows, schema)
+    for f in (line_dedup.remove_lines, private_data.redact, quality.keep_good, near_dedup.keep_one):
+        out = f(docs)
+        assert out.columns == docs.columns and 0 < out.count() <= 5
+        assert {r[5] for r in out.collect()} == {"x"}
+        assert f(docs.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == [1, 3, 4]
+    assert [r["text"] for r in private_data.redact(docs).collect()].count(text.replace("a@b.de", "<EMAIL>")) == 3
+
+
 def test_pipeline(spark):
     source = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     state, texts = source, {}
