@@ -180,31 +180,42 @@ def _sketcher(scheme: Scheme):
     return sketch
 
 
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    """Sum of sketches of one block, still with all counts above one as one number."""
+def _merged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of one block seen once and seen more often, over all parts of it."""
     once = np.frombuffer(b"".join(frame["once"]), np.uint32)
     more = np.unique(np.frombuffer(b"".join(frame["more"]), np.uint32))
     met, counts = np.unique(once, return_counts=True)
     more = np.union1d(more, met[counts > 1])
-    only = np.setdiff1d(met[counts == 1], more, assume_unique=True)
-    return pd.DataFrame({"block": frame["block"].iloc[:1], "once": [only.tobytes()], "more": [more.tobytes()]})
+    return np.setdiff1d(met[counts == 1], more, assume_unique=True), more
+
+
+def _merge(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sum of sketches of one block, still with all counts above one as one number."""
+    once, more = _merged(frame)
+    return pd.DataFrame({"block": frame["block"].iloc[:1], "once": [once.tobytes()], "more": [more.tobytes()]})
+
+
+def _bits(frame: pd.DataFrame) -> pd.DataFrame:
+    """The block's cells above one as one bit a cell."""
+    bits = np.zeros(1 << BLOCK_BITS, np.uint8)
+    bits[_merged(frame)[1]] = 1
+    return pd.DataFrame({"block": frame["block"].iloc[:1], "bits": [zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]})
 
 
 class Sketch:
     """Which cells of the merged sketch are above one: a bit each, 32 MB whatever the data."""
 
     def __init__(self, rows: list):
-        bits = np.zeros((ROWS << CELL_BITS) >> 3, np.uint8)
-        for r in rows:
-            at = np.frombuffer(bytes(r["more"]), np.uint32).astype(np.int64) + (r["block"] << BLOCK_BITS)
-            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        self.packed = zlib.compress(bits.tobytes(), 1)
+        self.packed = {r["block"]: bytes(r["bits"]) for r in rows}
         self._bits: np.ndarray | None = None
 
     def maybe_repeated(self, grams: np.ndarray) -> np.ndarray:
         """False only for a hash that occurs once: the smallest of its counts is one."""
         if self._bits is None:
-            self._bits = np.frombuffer(zlib.decompress(self.packed), np.uint8)
+            size = (1 << BLOCK_BITS) >> 3
+            self._bits = np.zeros((ROWS << CELL_BITS) >> 3, np.uint8)
+            for block, packed in self.packed.items():
+                self._bits[block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
         hits = [(self._bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in cells(grams)]
         return reduce(np.logical_and, hits, np.ones(len(grams), bool))
 
@@ -216,15 +227,15 @@ def count_min(rows: DataFrame, scheme: Scheme) -> Broadcast:
     """Count-min sketch of all anchors of ``rows``, merged from the sketches of the partitions.
 
     Sketches are merged by block of cells and in two steps, so that no task sees those of all
-    partitions. The driver gets the cells above one, at most the bits of the whole sketch.
+    partitions. The driver gets the bits of the cells above one by block of cells, 32 MB at most.
     """
     merged = "block int, once binary, more binary"
     parts = rows.select("text").mapInPandas(_sketcher(scheme), merged)
     share = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
     parts = parts.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(share)))
     first = parts.groupBy("block", "share").applyInPandas(_merge, merged)
-    last = first.groupBy("block").applyInPandas(_merge, merged)
-    return rows.sparkSession.sparkContext.broadcast(Sketch(last.select("block", "more").where(F.length("more") > 0).collect()))
+    last = first.groupBy("block").applyInPandas(_bits, "block int, bits binary")
+    return rows.sparkSession.sparkContext.broadcast(Sketch(last.collect()))
 
 
 # --- blocks, classes ------------------------------------------------------------------
@@ -263,19 +274,25 @@ def place(*columns: str) -> Column:
 
 
 def block_classes(blocks: DataFrame) -> DataFrame:
-    """Classes of equal blocks: (gram, x1, x2, n, first, last, classes, single).
+    """Classes of equal blocks: (gram, x1, x2, n, first, last).
 
     ``first`` and ``last`` are the smallest and largest place (id, fp, low), the same for a block that
-    stands once; ``classes`` counts the classes of the anchor and ``single`` those that stand once.
+    stands once.
     """
     where = place("id", "fp", "low")
     classes = blocks.groupBy("gram", "x1", "x2").agg(F.max("n").alias("n"), F.min(where).alias("first"), F.max(where).alias("last"))
-    classes = materialise(classes, "repeat-classes")
-    single = F.col("first") == F.col("last")
-    grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.count(F.when(single, 1)).alias("single"))
-    # Anchors with one block that stands once are of no use and were let through by the sketch alone.
-    grams = grams.where((F.col("classes") > 1) | (F.col("single") == 0))
-    return materialise(classes.join(grams, "gram"), "repeat-ranked")
+    return materialise(classes, "repeat-classes")
+
+
+def mixed_classes(classes: DataFrame) -> DataFrame:
+    """``classes`` whose anchor has several, with their number and how many of them stand once (``single``).
+
+    Written without the hashes; anchors with one class need nothing more.
+    """
+    once = F.col("first") == F.col("last")
+    grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"), F.count(F.when(once, 1)).alias("single"))
+    found = classes.join(grams.where("classes > 1"), "gram")
+    return materialise(found.select("gram", "n", "first", "classes", "single"), "repeat-mixed")
 
 
 def repeated_blocks(blocks: DataFrame, classes: DataFrame, but_first: bool) -> DataFrame:

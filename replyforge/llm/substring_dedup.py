@@ -15,6 +15,7 @@ from replyforge.llm.repeats import (
     candidate_blocks,
     covered,
     keyed,
+    mixed_classes,
     per_document,
     repeated_blocks,
     repeated_windows,
@@ -63,7 +64,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int =
     blocks = candidate_blocks(rows, scheme)
     classes = block_classes(blocks)
     # Where an anchor has blocks of several classes, one of each is opened.
-    mixed = classes.where("classes > 1").select("first.*", "n")
+    mixed = mixed_classes(classes).select("first.*", "n")
     gone = repeated_blocks(blocks, classes, True).unionByName(repeated_windows(rows, mixed, scheme, True))
     joined = rows.join(per_document(gone), ["id", "fp"], "left")
     out = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ranges").mapInPandas(_cutter(window), KEPT)

@@ -17,6 +17,7 @@ from replyforge.llm.repeats import (
     candidate_blocks,
     covered,
     keyed,
+    mixed_classes,
     per_document,
     repeated_blocks,
     repeated_windows,
@@ -173,7 +174,7 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW_BYTES, anchor: int = AN
     rows = keyed(docs, id_col, text_col)
     blocks = candidate_blocks(rows, scheme)
     classes = block_classes(blocks)
-    mixed = classes.where("classes > 1 and single > 0").select("gram", "classes", "first.*", "n")
+    mixed = mixed_classes(classes).where("single > 0").select("gram", "classes", "first.*", "n")
     few = mixed.where(F.col("classes") <= MOST_CLASSES)
     many = materialise(mixed.where(F.col("classes") > MOST_CLASSES).select("id", "fp", "low", "n"), "suffix-hot")
     stretches = rows.select("id", "fp", "text").join(per_document(few, "gram"), ["id", "fp"]).mapInPandas(_cut_out(window), STRETCHES)
