@@ -23,9 +23,9 @@ UNKNOWN_PENALTY = 10.0
 # A word begins with its blanks; no piece of the model crosses from a character to a blank after it.
 WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MOST_CACHED = 300_000
+MOST_CACHED = 200_000
 # Characters of text taken at once: each word of them is a string of its own.
-BATCH_CHARACTERS = 2_000_000
+BATCH_CHARACTERS = 1_000_000
 MOST_CELLS = 500_000
 SEEN_BITS = 20
 

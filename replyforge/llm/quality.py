@@ -12,7 +12,8 @@ from replyforge.llm.common import WORD, chosen, free_names, let
 from replyforge.session import materialise
 
 # Fixed by the contract of the base rules.
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOL_CHARACTERS = "#*$%&|<>"
+SYMBOLS = f"[{SYMBOL_CHARACTERS}]"
 MIN_WORDS = 10
 WINDOW_WORDS = 5
 MOST_REPEATED_PERCENT = 20
@@ -20,13 +21,16 @@ MOST_REPEATED_PERCENT = 20
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["x1", "x2", "x3", "x4"]
 # Standard deviations that no estimate falls below: differences of this size are never unusual.
-FLOORS = {"x1": 0.05, "x2": 0.04, "x3": 0.08, "x4": 0.05}
+FLOORS = {"x1": 0.1, "x2": 0.04, "x3": 0.08, "x4": 0.05}
 # The least share that cannot be mostly junk while junk is under half.
 SUBSET = 0.5
 # A step goes on only from where the logarithm of the determinant fell by more than this.
 FALL = 1e-6
-CUTOFF = 150.0
+# Of documents of a group whose vectors are normal, one in ten thousand lies beyond the cutoff.
+TAIL = 1e-4
 MIN_GROUP = 200
+# Tables with a row for each group and start are sent to the tasks up to so many groups, some 200 bytes a row.
+MOST_SENT_GROUPS = 10_000
 GRID = 0.001
 
 
@@ -58,7 +62,10 @@ def _repeated_words(words: Column) -> Column:
 
 
 def base_statistics(rows: DataFrame) -> DataFrame:
-    """``rows`` (with a text) with the five counts, ``n_lower`` and ``base_failed``; without the text."""
+    """``rows`` (with a text) with the five counts, ``n_lower``, ``n_marks`` and ``base_failed``; without the text.
+
+    ``n_marks`` counts the words that are one symbol alone, as between the cells of a table.
+    """
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
@@ -69,6 +76,7 @@ def base_statistics(rows: DataFrame) -> DataFrame:
             F.size(w).cast("bigint").alias("n_words"),
             F.char_length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
             _repeated_words(w).cast("bigint").alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: x.isin(*SYMBOL_CHARACTERS))).cast("bigint").alias("n_marks"),
         ),
     )
     kept_length = lambda pattern: F.char_length(F.regexp_replace(text, pattern, ""))
@@ -88,14 +96,17 @@ def base_statistics(rows: DataFrame) -> DataFrame:
 def _transformed() -> dict[str, Column]:
     """The statistic vector: shares on a scale with even variance, shrunk where a text is short.
 
-    The constants added are a prior of some fifty usual words, so that short clean texts are not far out.
+    The constants added are a prior of some fifty usual words, so that short clean texts are not far out. Symbols
+    that stand alone are no words, as far as they are no more than the other words: a table is judged by its cells,
+    and a text of symbols by its symbols.
     """
-    words, chars = F.col("n_words"), F.col("word_chars")
+    marks = F.least("n_marks", F.floor(F.col("n_words") / 2))
+    words, chars = F.col("n_words") - marks, F.col("word_chars") - marks
     return {
         "x1": F.log((chars + 250) / (words + 50)),
-        "x2": F.sqrt(F.col("n_symbols") / (chars + 250)),
+        "x2": F.sqrt((F.col("n_symbols") - marks) / (chars + 250)),
         "x3": F.sqrt(F.col("n_repeat_words") / (words + 50)),
-        "x4": F.sqrt((chars - F.least("n_lower", "word_chars")) / (chars + 250)),
+        "x4": F.sqrt((chars - F.least(F.col("n_lower"), chars)) / (chars + 250)),
     }
 
 
@@ -124,15 +135,19 @@ def _feature_quantiles(rows: DataFrame, values: dict[str, Column], prefix: str)
     return medians.groupBy("key").agg(*[F.max(F.when(F.col("f") == f, F.col("q"))).alias(prefix + f) for f in values])
 
 
+def chi_square_quantile(share: float) -> float:
+    """Quantile of the chi-square distribution with four degrees, by halving."""
+    low, high = 0.0, 200.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if 1 - math.exp(-middle / 2) * (1 + middle / 2) < share else (low, middle)
+    return low
+
+
 def _consistency(share: float) -> float:
     """Factor that makes the covariance of the ``share`` nearest of four normal variables unbiased."""
-    cdf4 = lambda x: 1 - math.exp(-x / 2) * (1 + x / 2)
-    cdf6 = lambda x: 1 - math.exp(-x / 2) * (1 + x / 2 + x * x / 8)
-    low, high = 0.0, 100.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if cdf4(middle) < share else (low, middle)
-    return share / cdf6(low)
+    x = chi_square_quantile(share)
+    return share / (1 - math.exp(-x / 2) * (1 + x / 2 + x * x / 8))
 
 
 def _factor(cov: dict[tuple[str, str], Column]) -> list[Column]:
@@ -199,7 +214,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     children = both.select("key", _parent(F.col("key")).alias("parent"))
     every = every.unionByName(children.join(coarser, "parent").select("key", F.lit(2).alias("start"), *numbers))
     finest = children.where(F.col("parent") != "").select("key", F.lit(3).alias("start"))
-    out = every.unionByName(finest.crossJoin(of_all).select("key", "start", *numbers))
+    out = every.unionByName(finest.join(F.broadcast(of_all), F.lit(True)).select("key", "start", *numbers))
     for i, f in enumerate(FEATURES):
         for j in range(i + 1):
             out = out.withColumn(
@@ -208,11 +223,17 @@ def _starts(rows: DataFrame) -> DataFrame:
     return out.drop(*["s_" + f for f in FEATURES])
 
 
-def _nearest(rows: DataFrame, found: DataFrame) -> DataFrame:
+def _sender(groups: DataFrame):
+    """``F.broadcast`` where the groups are few, so that a group with most documents is not gathered for a join; else nothing."""
+    few = groups.limit(MOST_SENT_GROUPS + 1).count() <= MOST_SENT_GROUPS
+    return F.broadcast if few else lambda table: table
+
+
+def _nearest(rows: DataFrame, found: DataFrame, send) -> DataFrame:
     """The (n + 5) / 2 rows of each group that are nearest to each of its estimates."""
-    away = rows.join(found, "key").withColumn("away", F.log1p(_distance()))
+    away = rows.join(send(found), "key").withColumn("away", F.log1p(_distance()))
     limit = _grid_quantile(away, ["key", "start"], "away", SUBSET, 2.5)
-    return away.join(limit, ["key", "start"]).where(F.col("away") <= F.col("q")).select("key", "start", *FEATURES)
+    return away.join(send(limit), ["key", "start"]).where(F.col("away") <= F.col("q")).select("key", "start", *FEATURES)
 
 
 def _keys() -> Column:
@@ -233,14 +254,15 @@ def covariances(stats: DataFrame, min_group: int = MIN_GROUP) -> tuple[DataFrame
     good = stats.where(~F.col("base_failed"))
     sizes = good.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     usable = materialise(sizes.where((F.col("n") >= min_group) | (F.col("key") == "")).select("key"), "quality-groups")
-    rows = good.select(F.explode("keys").alias("key"), *FEATURES).join(usable, "key")
+    send = _sender(usable)
+    rows = good.select(F.explode("keys").alias("key"), *FEATURES).join(send(usable), "key")
     factor = _consistency(SUBSET)
-    active = materialise(_estimate(_nearest(rows, materialise(_starts(rows), "quality-start")), factor), "quality-step0")
+    active = materialise(_estimate(_nearest(rows, materialise(_starts(rows), "quality-start"), send), factor), "quality-step0")
     best = active
     columns = active.columns
     for step in count(1):
         active = active.dropDuplicates(["key", "det"])
-        after = _estimate(_nearest(rows, active.drop("det")), factor)
+        after = _estimate(_nearest(rows, active.drop("det"), send), factor)
         old = active.select("key", "start", F.col("det").alias("before"))
         lower = after.join(old, ["key", "start"]).where(F.col("det") < F.col("before") - FALL)
         active = materialise(lower.select(*columns), f"quality-step{step}")
@@ -255,14 +277,15 @@ def covariances(stats: DataFrame, min_group: int = MIN_GROUP) -> tuple[DataFrame
     return found, usable
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, id_col: str = "doc_id", text_col: str = "text",
+def judge(docs: DataFrame, tail: float = TAIL, min_group: int = MIN_GROUP, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: (doc_id, fp, five counts, base_failed, distance, kept).
 
     A document goes if it fails the base rules, or if its statistic vector (word length, symbols,
-    repeated words, characters that are not lower-case letters) has a squared robust Mahalanobis
-    distance over ``cutoff`` from the documents of its language and source. The cutoff lies far
-    beyond what a normal distribution gives, since clean text must stay.
+    repeated words, characters that are not lower-case letters) lies too far from the documents of its language
+    and source. ``distance`` is the squared robust Mahalanobis distance, divided by the median distance of the group
+    over that of a normal distribution where this is more than one; the cutoff is the value that a share of
+    ``tail`` of a normal distribution exceeds.
 
     A null or empty text has no words and fails the base rules. A null language or source is a
     group like any other. Repeated rows are judged alike. With no document that passes the base
@@ -270,7 +293,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, i
     """
     rows = chosen(docs, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), id_col=id_col, text_col=text_col)
     stats = base_statistics(rows).withColumns(_transformed()).withColumn("keys", _keys())
-    stats = materialise(stats.drop("lang", "source", "n_lower"), "quality-stats")
+    stats = materialise(stats.drop("lang", "source", "n_lower", "n_marks"), "quality-stats")
     found, usable = covariances(stats, min_group)
     # The finest usable group of each document; the groups are few, the documents of one may be a third of all.
     chains = stats.select("keys").distinct()
@@ -280,14 +303,19 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, i
         .groupBy("keys")
         .agg(F.min_by("key", "level").alias("key"))
     )
-    away = F.round(_distance(), 6)
-    return stats.join(finest, "keys", "left").join(found, "key", "left").select(
+    send = _sender(usable)
+    measured = stats.join(send(finest), "keys", "left").join(send(found), "key", "left").withColumn("away", F.round(_distance(), 6))
+    logs = measured.where(~F.col("base_failed") & F.col("away").isNotNull()).select("key", F.log1p("away").alias("away"))
+    medians = _grid_quantile(logs, ["key"], "away", 0.5)
+    scales = materialise(medians.select("key", F.greatest(F.lit(1.0), F.expm1("q") / chi_square_quantile(0.5)).alias("scale")), "quality-scales")
+    away = F.round(F.col("away") / F.coalesce("scale", F.lit(1.0)), 6)
+    return measured.join(send(scales), "key", "left").select(
         "doc_id",
         "fp",
         *BASE,
         "base_failed",
         away.alias("distance"),
-        (~F.col("base_failed") & F.coalesce(away <= cutoff, F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & F.coalesce(away <= chi_square_quantile(1 - tail), F.lit(True))).alias("kept"),
     )
 
 

@@ -177,6 +177,60 @@ def test_quality_outliers(spark):
     assert kept.count() >= 295
 
 
+def test_short_junk_goes_and_tables_stay(spark):
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choices("etaoinshrdlu", k=draw.choice([2, 3, 3, 4, 5, 6, 7, 9])))
+    prose = lambda n: " ".join(word() + draw.choice(["", "", "", "", ",", "."]) for _ in range(n))
+    usual = [prose(draw.randint(20, 300)) for _ in range(500)]
+    tables = [" | ".join(prose(draw.randint(15, 300)).split()) for _ in range(25)]
+    digits = [" ".join(str(draw.randint(10**3, 10**6)) for _ in range(n)) for n in (15, 25, 60, 150)]
+    capitals = [prose(n).upper() for n in (15, 25, 60, 150)]
+    glued = [" ".join(w + draw.choice(["###", "***", "$$$"]) for w in prose(n).split()) for n in (15, 25, 60, 150)]
+    alone = [" ".join(draw.choice("#*$%&<>") for _ in range(n)) for n in (40, 150)]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*usual, *tables, *digits, *capitals, *glued, *alone])]
+    found = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), "base_failed", "kept")
+    passed = [[found[i][1] for i, t, *_ in rows if t in kind and not found[i][0]] for kind in (usual, tables, digits + capitals + glued + alone)]
+    assert sum(passed[0]) / len(passed[0]) >= 0.99 and sum(passed[1]) / len(passed[1]) >= 0.9
+    assert len(passed[2]) >= 12 and not any(passed[2])
+
+
+def plain_mcd(x, rng, share=0.5):
+    """The lowest log-determinant over many random starts, in numpy: mean and covariance of the nearest (n + 5) / 2."""
+    h = min(len(x), int(np.ceil(share * len(x) + 2.5)))
+    floors = np.diag([quality.FLOORS[f] ** 2 for f in quality.FEATURES])
+    factor, best = quality._consistency(share), None
+    for _ in range(60):
+        own = x[rng.choice(len(x), 6, replace=False)]
+        mean, cov, before = own.mean(0), np.cov(own.T, bias=True) + floors, np.inf
+        while True:
+            away = np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov), x - mean)
+            near = x[np.argsort(away, kind="stable")[:h]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) * factor + floors
+            det = np.linalg.slogdet(cov)[1]
+            if det > before - 1e-6:
+                break
+            before = det
+        if best is None or before < best[0]:
+            best = (before, mean, cov)
+    return best
+
+
+def test_estimates_against_plain_mcd(spark):
+    rng = np.random.default_rng(6)
+    shape = rng.normal(size=(4, 4)) * 0.3
+    x = np.vstack([rng.normal(size=(400, 4)) @ shape, 6 + rng.normal(size=(220, 4)) * 0.2])
+    rows = [(["a\x01b", "a\x01", ""], False, *map(float, r)) for r in x] + [(["a\x01b", "a\x01", ""], True, 99.0, 99.0, 99.0, 99.0)]
+    stats = spark.createDataFrame(rows, "keys array<string>, base_failed boolean, x1 double, x2 double, x3 double, x4 double")
+    found = {r["key"]: r for r in quality.covariances(stats, min_group=50)[0].collect()}
+    det, mean, cov = plain_mcd(x, rng)
+    for r in found.values():
+        low = np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        assert np.linalg.slogdet(low @ low.T)[1] <= det + 0.1
+        assert np.abs(np.array([r["m_" + f] for f in quality.FEATURES]) - mean).max() < 0.05
+        assert np.abs(low @ low.T - cov).max() < 0.1
+    assert set(found) == {"a\x01b", "a\x01", ""}
+
+
 def test_quality_with_two_fifths_junk(spark):
     draw = random.Random(7)
     usual = lambda: " ".join("abcdefgh"[: draw.randint(2, 8)] for _ in range(150))
