@@ -60,6 +60,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+SCAN_CHUNK = 256
+
+
+def scanned(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an integer array, ``zero`` combined with all elements before it.
+
+    An array grows by copying, so the scan goes in chunks: their totals first, then each chunk from its own start.
+    """
+
+    def fold(part: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda state, x: F.struct(combine(state["at"], x).alias("at"), F.array_append(state["out"], state["at"]).alias("out"))
+        return F.aggregate(part, begin, step, lambda state: state["out"])
+
+    def of(values: Column) -> Column:
+        chunk = lambda c: F.slice(values, c * SCAN_CHUNK + 1, F.lit(SCAN_CHUNK))
+        chunks = F.sequence(F.lit(0), F.ceil(F.size(values) / SCAN_CHUNK).cast("int") - 1)
+        totals = F.transform(chunks, lambda c: F.aggregate(chunk(c), zero, combine))
+        starts = let(totals, lambda t: fold(t, zero))
+        whole = let(starts, lambda s: F.flatten(F.transform(chunks, lambda c: fold(chunk(c), F.get(s, c)))))
+        return F.when(F.size(values) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+    return let(values, of)
+
+
 def without_space(text: Column) -> Column:
     """``text`` without its ASCII white space; six literal replacements are cheaper than one pattern."""
     for c in SPACE_CHARACTERS:

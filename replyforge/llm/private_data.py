@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from replyforge.llm.common import SPACE_CHARACTERS, chosen, free_names, let, with_per_document
+from replyforge.llm.common import SPACE_CHARACTERS, chosen, free_names, let, scanned, with_per_document
 from replyforge.session import materialise
 
 # The four base patterns of the contract, written so that they cannot backtrack far: a possessive
@@ -76,16 +76,19 @@ def _located(text: Column, pattern: str) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda before, match: F.struct(before.alias("before"), match.alias("match")),
     )
-    span = "struct<start:int,end:int,before:string,match:string>"
+    sizes = lambda ps: F.transform(ps, lambda p: F.char_length(p["before"]) + F.char_length(p["match"]))
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.char_length(part["before"])
-        end = start + F.char_length(part["match"])
-        found = F.struct(start.alias("start"), end.alias("end"), part["before"].alias("before"), part["match"].alias("match"))
-        return F.struct(end.alias("at"), F.array_append(state["found"], found).alias("found"))
+    def placed(parts: Column) -> Column:
+        def place(begins: Column) -> Column:
+            def span(p: Column, i: Column) -> Column:
+                start = F.get(begins, i) + F.char_length(p["before"])
+                return F.struct(start.alias("start"), (start + F.char_length(p["match"])).alias("end"), p["before"].alias("before"), p["match"].alias("match"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("found"))
-    return F.aggregate(F.filter(parts, lambda p: p["match"].isNotNull()), begin, step, lambda s: s["found"])
+            return F.transform(parts, span)
+
+        return let(scanned(sizes(parts), F.lit(0), lambda a, b: a + b), place)
+
+    return let(F.filter(parts, lambda p: p["match"].isNotNull()), placed)
 
 
 def _base(text: Column, kind: str) -> Column:
@@ -114,16 +117,29 @@ def _trimmed(run: Column) -> tuple[Column, Column]:
 def _regions(base: Column) -> Column:
     """The base matches by start as (start, kind, end, value); overlapping ones are one, under the first kind."""
     by_start = F.sort_array(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), b["value"].alias("value"))))
-    kind = "array<struct<start:int,kind:int,end:int,value:string>>"
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        first = F.when(s["kind"] < last["kind"], s).otherwise(last)
-        both = F.struct(last["start"].alias("start"), first["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"), first["value"].alias("value"))
-        inside = (F.size(done) > 0) & (s["start"] < last["end"])
-        return F.when(inside, F.array_append(F.slice(done, 1, F.size(done) - 1), both)).otherwise(F.array_append(done, s)).cast(kind)
+    def merged(spans: Column) -> Column:
+        def from_reached(reached: Column) -> Column:
+            heads = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] >= F.get(reached, i))
+
+            def regions(heads: Column) -> Column:
+                def region(h: Column, k: Column) -> Column:
+                    own = F.slice(spans, h + 1, F.coalesce(F.get(heads, k + 1), F.size(spans)) - h)
+                    first = F.array_min(F.transform(own, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["value"].alias("value"))))
+                    return F.struct(
+                        F.get(spans, h)["start"].alias("start"), first["kind"].alias("kind"),
+                        F.array_max(F.transform(own, lambda s: s["end"])).alias("end"), first["value"].alias("value"),
+                    )
+
+                return F.transform(heads, region)
+
+            return let(heads, regions)
 
-    return F.aggregate(by_start, F.array().cast(kind), step)
+        # How far the matches before reach.
+        return let(scanned(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b)), from_reached)
+
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    return let(by_start, lambda spans: F.when(F.size(spans) > 0, merged(spans)).otherwise(none))
 
 
 def _parted(text: Column, base: Column) -> Column:
@@ -353,19 +369,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     text = docs[text_col]
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
-    def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        piece = F.when(inside, F.lit("")).otherwise(
-            F.concat(F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), F.get(tags, s["kind"]))
-        )
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], piece).alias("out"))
+    def replaced(by_start: Column) -> Column:
+        def pieces(reached: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                at = F.get(reached, i)
+                own = F.concat(F.substr(text, at + 1, F.greatest(s["start"] - at, F.lit(0))), F.get(tags, s["kind"]))
+                return F.when(s["start"] < at, F.lit("")).otherwise(own)
+
+            last = F.array_max(F.transform(by_start, lambda s: s["end"]))
+            return F.concat(F.array_join(F.transform(by_start, piece), ""), F.substr(text, last + 1))
+
+        return let(scanned(F.transform(by_start, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b)), pieces)
 
     by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    replaced = F.aggregate(
-        by_start,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)),
-    )
-    new = F.when(F.col(spans).isNull(), text).otherwise(replaced).alias(text_col)
+    new = F.when(F.col(spans).isNull(), text).otherwise(let(by_start, replaced)).alias(text_col)
     return docs.join(found, on, "left").select(*[new if c == text_col else docs[c] for c in docs.columns])

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -30,6 +31,7 @@ from replyforge.llm import (  # noqa: E402
     substring_dedup,
     suffix_dedup,
 )
+from replyforge.llm.common import scanned  # noqa: E402
 from replyforge.llm.components import connected_components  # noqa: E402
 from replyforge.llm.repeats import sliding_minimum  # noqa: E402
 
@@ -493,3 +495,25 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF_DIR)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == ids
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_many_numbers_in_one_text(spark):
+    """The work on a text grows with its matches, not with their square."""
+    numbers = " ".join(str(1_000_000 + 37 * i) for i in range(100_000))
+    mails = "\n".join(f"x{i}@mail.example and 10.0.{i % 250}.7" for i in range(2_000))
+    docs = spark.createDataFrame([(1, numbers), (2, mails), (3, "tel: +49 30 1234567")], "doc_id long, text string")
+    start = time.time()
+    found = by_id(private_data.digest(private_data.find(docs)), "n_email", "n_ip", "n_phone")
+    assert found == {1: (0, 0, 0), 2: (2000, 2000, 0), 3: (0, 0, 1)}
+    left = {r["doc_id"]: r["text"] for r in private_data.redact(docs).collect()}
+    assert left == {1: numbers, 2: "\n".join("<EMAIL> and <IP>" for _ in range(2_000)), 3: "tel: <PHONE>"}
+    assert time.time() - start < 120
+
+
+def test_scan_in_chunks(spark):
+    values = [draw for draw in np.random.default_rng(1).integers(0, 50, 1000).tolist()]
+    rows = spark.createDataFrame([(values[:n],) for n in (0, 1, 255, 256, 257, 1000)], "x array<int>")
+    out = rows.select("x", scanned(F.col("x"), F.lit(0), lambda a, b: a + b).alias("sums"), scanned(F.col("x"), F.lit(0), lambda a, b: F.greatest(a, b)).alias("tops")).collect()
+    for r in out:
+        assert r["sums"] == [sum(r["x"][:i]) for i in range(len(r["x"]))]
+        assert r["tops"] == [max(r["x"][:i], default=0) for i in range(len(r["x"]))]
