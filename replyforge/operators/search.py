@@ -24,6 +24,7 @@ if TYPE_CHECKING:
 
 SCORE_DIGITS = 6
 BLOCK_ROWS = 32_768
+BLOCK_BYTES = 64 << 20
 SCORES_AT_ONCE = 4 << 20
 SPREAD_ROWS = 1_000_000
 
@@ -214,6 +215,10 @@ def candidates(
         """Rows few enough to lie in one file, and so in one task, are dealt out to all cores."""
         return df.repartition(spark.sparkContext.defaultParallelism, row_id) if count < SPREAD_ROWS else df
 
+    # Wide vectors make blocks of fewer rows: a block is never more than about BLOCK_BYTES of single-precision numbers.
+    width = kb.select(F.size("vector").alias("n")).first()
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // (4 * max(1, width["n"] if width and width["n"] else 1))))
+
     # Of two small sides the smaller one is sent.
     if row_count <= min(block_rows, query_count):
         small = spark.sparkContext.broadcast(right.select(*stored_side).toArrow())
