@@ -1,6 +1,7 @@
 """Plain Python versions of the corpus operators."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -102,3 +103,52 @@ def _valid(kind, match):
 
 def personal(text):
     return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if _valid(k, m.group())]
+
+
+def naive_bayes(labelled, texts, orders, buckets, smoothing, scramble):
+    """{text: (language, score)} by counting every n-gram in plain Python. ``scramble`` mixes a 64-bit number."""
+    letters = re.compile(r"[^\W\d_]+")
+
+    def grams(text):
+        for word in letters.findall(text.lower()):
+            padded = f" {word} "
+            for n in orders:
+                for i in range(len(padded) - n + 1):
+                    if n > 1 or padded[i] != " ":
+                        code = 0
+                        for c in padded[i : i + n]:
+                            code = (code * 1_114_129 + ord(c)) % 2**64
+                        yield scramble((code + n) % 2**64) % buckets
+
+    counts, rows = defaultdict(Counter), Counter(lang for _, lang in labelled)
+    for text, lang in labelled:
+        counts[lang].update(grams(text))
+    total = {lang: sum(counts[lang].values()) + smoothing * buckets for lang in rows}
+    out = {}
+    for text in texts:
+        if not text or not letters.search(text.lower()):
+            continue
+        own = Counter(grams(text))
+        scores = {
+            lang: math.log(rows[lang] / len(labelled)) + sum(k * math.log((counts[lang][g] + smoothing) / total[lang]) for g, k in own.items())
+            for lang in sorted(rows)
+        }
+        best = max(scores, key=lambda x: scores[x])
+        out[text] = (best, 1 / sum(math.exp(s - scores[best]) for s in scores.values()))
+    return out
+
+
+def best_pieces(word, score, longest, unknown):
+    """The pieces of one word with the highest sum of scores, character by character; of equal ones the longest last."""
+    best, back = [0.0] + [-math.inf] * len(word), [0] * (len(word) + 1)
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - longest), end):
+            piece = word[start:end]
+            gain = score.get(piece, unknown if end - start == 1 else -math.inf)
+            if best[start] + gain > best[end]:
+                best[end], back[end] = best[start] + gain, start
+    out, end = [], len(word)
+    while end:
+        out.append(word[back[end] : end])
+        end = back[end]
+    return out[::-1]

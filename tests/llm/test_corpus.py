@@ -34,6 +34,7 @@ from replyforge.llm import (  # noqa: E402
 from replyforge.llm.common import scanned  # noqa: E402
 from replyforge.llm.components import connected_components  # noqa: E402
 from replyforge.llm.repeats import sliding_minimum  # noqa: E402
+from replyforge.llm.words import mix  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, fp string, id string, n int, kept string"
@@ -329,6 +330,28 @@ def test_language(spark):
     assert got[1] == got[2] == got[4] == ("und",) and got[10**9] == ("en",)
 
 
+def test_language_against_plain_counts(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(900_001, "Ünïcode 12 ÅB", None), (900_002, "x", None), (900_003, "", None), (900_004, None, None), (900_005, "x", None)]
+    source = rows.unionByName(spark.createDataFrame(odd, rows.schema))
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in source.collect()}
+    texts = {r["doc_id"]: (r["text"], r["lang"]) for r in source.collect()}
+    labelled = [tl for i, tl in texts.items() if not held[i] and None not in tl]
+
+    def scramble(x):
+        return int(mix(np.array([x], np.uint64))[0])
+
+    asked = [t for i, (t, _) in texts.items() if t and (held[i] or i > 900_000)]
+    want = brute.naive_bayes(labelled, asked, language.ORDERS, language.BUCKETS, language.SMOOTHING, scramble)
+    out = {r["doc_id"]: r for r in language.identify(source).collect()}
+    assert set(out) == set(texts) and all(out[i]["held_out"] == held[i] for i in texts)
+    for i, (t, _) in texts.items():
+        if t in want:
+            assert out[i]["lang_pred"] == want[t][0] and math.isclose(out[i]["score"], want[t][1], rel_tol=1e-6)
+        elif not t:
+            assert (out[i]["lang_pred"], out[i]["score"]) == ("und", 0.0)
+
+
 def test_packing(docs):
     tokenizer = packing.Encoder(packing.default_tokenizer()).tokenizer
     out = packing.pack(docs).collect()
@@ -378,6 +401,33 @@ def test_pieces(docs):
         assert math.isclose(sum(score[table.pieces[i]] for i in ids), best(word))
 
 
+def test_pieces_of_whole_texts(spark):
+    """Every text's ids against a plain search over its words, odd characters and long texts included."""
+    table = pieces.PieceTable(pieces.default_model())
+    score = dict(zip((table.pieces[i] for i in table.ids), table.scores.tolist(), strict=True))
+    number = {p: i for i, p in enumerate(table.pieces)}
+    source = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    source += [(900_001, "  two  blanks 漢字 \U0001f600\tx"), (900_002, ""), (900_003, None), (900_004, "z" * 3000), (900_005, "a\u0301 ﬁ")]
+    docs = spark.createDataFrame(source, "doc_id long, text string").repartition(8)
+    known = {}
+
+    def ids(text):
+        marked = pieces.BLANK + text.replace(" ", pieces.BLANK) if table.add_blank else text.replace(" ", pieces.BLANK)
+        out = []
+        for word in pieces.WORDS.findall(marked) if text else []:
+            if word not in known:
+                known[word] = [
+                    i
+                    for p in brute.best_pieces(word, score, table.longest, table.unknown_score)
+                    for i in ([number[p]] if p in score else [number[f"<0x{b:02X}>"] for b in p.encode()])
+                ]
+            out += known[word]
+        return out
+
+    for r in pieces.encode(docs).collect():
+        assert r["ids"] == (None if r["text"] is None else ids(r["text"]))
+
+
 def removed_runs(rows):
     """{(id, text): (n_lines, n_runs, n_removed, kept)} by the rule, in plain Python."""
     seen, out = set(), {}
