@@ -17,7 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replyforge.operators.joins import fetch_rows, lookup_join
-from replyforge.operators.search import BLOCK_ROWS, SCORE_DIGITS, _fitted, _matrix, _unit_rows, candidates, exact_topk, rank_hits
+from replyforge.operators.search import (
+    BLOCK_BYTES,
+    BLOCK_ROWS,
+    SCORE_DIGITS,
+    SCORES_AT_ONCE,
+    _fitted,
+    _matrix,
+    _unit_rows,
+    candidates,
+    exact_topk,
+    rank_hits,
+)
 from replyforge.session import materialise
 from replyforge.sources import store
 from replyforge.sources.writers import write_collections
@@ -224,6 +235,82 @@ def _planned(queries: DataFrame, index: CellIndex, nprobe: int | None) -> DataFr
     return planned if nprobe is None else planned.withColumn("nprobe", F.lit(nprobe).cast("bigint"))
 
 
+NOT_SEEN = -2 * 10**SCORE_DIGITS
+
+
+def _best_of_cells(queries: np.ndarray, rows: np.ndarray, cells: pa.Table, members: list[np.ndarray], k: int, nprobe: int | None, exact: bool):
+    """(query, row, score) of the ``k`` best rows of each query among the cells it visits; rows in id order.
+
+    Only products of queries with the rows of visited cells are made; scores are whole numbers of the last kept digit.
+    """
+    cells, centres = _centre_rows(cells)
+    directed = (queries * queries).sum(axis=1) > 0
+    similarity = _fitted(queries, centres.shape[1]) @ centres.T
+    n, m = len(queries), len(rows)
+    visits = min(len(centres), nprobe or int(cells["nprobe"][0].as_py()))
+    place = np.argsort(np.argsort(-similarity, axis=1, kind="stable"), axis=1, kind="stable")
+    units = np.full((n, m), NOT_SEEN, np.int64)
+
+    def visit(open_: np.ndarray) -> None:
+        for c in np.flatnonzero(open_.any(axis=0)):
+            asked = np.flatnonzero(open_[:, c])
+            units[np.ix_(asked, members[c])] = np.rint(queries[asked] @ rows[members[c]].T * 10**SCORE_DIGITS)
+
+    def best() -> tuple[np.ndarray, np.ndarray]:
+        take = min(k, m)
+        at = np.argpartition(np.arange(m) - units * m, take - 1, axis=1)[:, :take]
+        return at, np.take_along_axis(units, at, axis=1)
+
+    seen = place < visits
+    visit(seen)
+    at, scores = best()
+    if exact:
+        floor = np.where((scores > NOT_SEEN).sum(axis=1) >= k, scores.min(axis=1) / 10**SCORE_DIGITS, -2.0)
+        apart = np.arccos(np.clip(similarity, -1, 1)) - np.arccos(np.clip(cells["reach"].to_numpy(), -1, 1))
+        bound = np.where(directed[:, None], np.cos(np.maximum(apart, 0.0)), 1.0)
+        visit(~seen & (bound + 10.0**-SCORE_DIGITS >= floor[:, None]))
+        at, scores = best()
+    query, column = np.nonzero(scores > NOT_SEEN)
+    return query, at[query, column], scores[query, column]
+
+
+def _search_small_index(small_rows, small_cells, k: int, nprobe: int | None, exact: bool):
+    """Over partitions of queries, with the whole index at hand."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table, cells = small_rows.value, small_cells.value
+        known = {}
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            for collection in part["collection"].unique().to_pylist():
+                if collection not in known:
+                    own = table.filter(pc.equal(table["collection"], collection)).sort_by("kb_id")
+                    ours = cells.filter(pc.equal(cells["collection"], collection)).sort_by("cell")
+                    cell = own["cell"].to_numpy()
+                    members = [np.flatnonzero(cell == c) for c in ours["cell"].to_pylist()]
+                    known[collection] = own["kb_id"].to_numpy(), _unit_rows(_matrix(own["vector"])) if own.num_rows else None, ours, members
+                ids, rows, ours, members = known[collection]
+                if rows is None:
+                    continue
+                asked = part.filter(pc.equal(part["collection"], collection)).combine_chunks()
+                unit = _fitted(_unit_rows(_matrix(asked["vector"])), rows.shape[1])
+                step = max(1, SCORES_AT_ONCE // len(rows))
+                for start in range(0, len(unit), step):
+                    query, row, score = _best_of_cells(unit[start : start + step], rows, ours, members, k, nprobe, exact)
+                    chosen = asked.slice(start, step).take(pa.array(query))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "collection": chosen["collection"].combine_chunks(), "query_id": chosen["query_id"].combine_chunks(),
+                            "kb_id": pa.array(ids[row]), "score": pa.array(score / 10**SCORE_DIGITS),
+                        }
+                    )
+
+    return search
+
+
 def cell_topk(
     queries: DataFrame,
     index: CellIndex,
@@ -238,6 +325,15 @@ def cell_topk(
     the full search.
     """
     keys = ["collection", "cell"]
+    spark = queries.sparkSession
+    members, width = index.cells.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.max(F.size("centre")), F.lit(1))).first()
+    if members <= min(block_rows, BLOCK_BYTES // (4 * max(1, width))):
+        # The index tells how many rows it has, so a small one is sent to the queries without a count.
+        small = [spark.sparkContext.broadcast(df.toArrow()) for df in (index.rows.select(*keys, "kb_id", "vector"), index.cells)]
+        asked = queries.select("collection", "query_id", F.col("vector").cast("array<float>").alias("vector"))
+        schema = T.StructType([*asked.schema.fields[:2], index.rows.schema["kb_id"], T.StructField("score", T.DoubleType())])
+        dealt = asked.repartition(spark.sparkContext.defaultParallelism, "query_id")
+        return rank_hits(dealt.mapInArrow(_search_small_index(*small, k, nprobe, exact), schema), k)
     planned = materialise(_planned(queries, index, nprobe), "probes")
 
     def visiting(df: DataFrame, probes: Column) -> DataFrame:

@@ -143,6 +143,9 @@ def test_every_collection_has_cells_of_its_own(spark):
     got, want = collected(cells.cell_topk(asked, index, 10)), brute_force(rows, queries, 10)
     assert len({x[:3] for x in got} & {x[:3] for x in want}) / len(want) >= 0.9
     assert collected(cells.cell_topk(asked, index, 10, nprobe=30)) == want
+    # Cells met in a shuffle give what a sent index gives, with and without the bound.
+    assert collected(cells.cell_topk(asked, index, 10, block_rows=60)) == got
+    assert collected(cells.cell_topk(asked, index, 10, nprobe=2, exact=True)) == want
 
 
 def test_centres_too_large_to_send(spark, sides, monkeypatch):
