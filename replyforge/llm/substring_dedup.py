@@ -22,6 +22,7 @@ from replyforge.llm.repeats import (
     word_symbols,
 )
 from replyforge.llm.words import portions, text_bytes
+from replyforge.session import materialise
 
 WINDOW_WORDS = 20
 ANCHOR_WORDS = 8
@@ -66,7 +67,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int =
     # Where an anchor has blocks of several classes, one of each is opened.
     mixed = mixed_classes(classes).select("first.*", "n")
     gone = repeated_blocks(blocks, classes, True).unionByName(repeated_windows(rows, mixed, scheme, True))
-    joined = rows.join(per_document(gone), ["id", "fp"], "left")
+    # Written, so that the shuffles that found them are gone before the texts are shuffled.
+    gone = materialise(per_document(gone), "substring-gone")
+    joined = rows.join(gone, ["id", "fp"], "left")
     out = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ranges").mapInPandas(_cutter(window), KEPT)
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 

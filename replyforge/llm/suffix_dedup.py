@@ -184,7 +184,9 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW_BYTES, anchor: int = AN
     gone = repeated_blocks(blocks, classes, False).unionByName(ranked)
     if many.limit(1).count():
         gone = gone.unionByName(repeated_windows(rows, many, scheme, False))
-    joined = rows.join(per_document(gone), ["id", "fp"], "left")
+    # Written, so that the shuffles that found them are gone before the texts are shuffled.
+    gone = materialise(per_document(gone), "suffix-gone")
+    joined = rows.join(gone, ["id", "fp"], "left")
     out = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ranges").mapInPandas(_remover(window), KEPT)
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
