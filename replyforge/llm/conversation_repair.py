@@ -424,26 +424,21 @@ def _sql_edit(state: str, cost: str, letter: str, condition: str | None = None)
 def _sql_step() -> str:
     """Fold of one row ``r`` into the states of ``p``: nothing yet (e), system (s), user (u), assistant (a) last."""
     may, extra = "r.code NOT IN ('0', '1', '2', '3')", "(CASE WHEN r.code = upper(r.code) THEN 5 ELSE 0 END)"
-    def kept(state, role):
-        return _sql_edit(state, extra, "K", f"{may} AND lower(r.code) = '{role}'")
-    def given(state):
-        return _sql_edit(state, f"1 + {extra}", "R", may)
-    def gone(state):
-        return _sql_edit(state, "2", "D")
-    before_u, before_a = ("q.e", "q.s", "q.a"), ("q.u",)
-    states = {
-        "e": [gone("q.e")],
-        "s": [gone("q.s"), kept("q.e", "s")],
-        "u": [gone("q.u"), *[f(x, "u") if f is kept else f(x) for x in before_u for f in (kept, given)]],
-        "a": [gone("q.a"), *[f(x, "a") if f is kept else f(x) for x in before_a for f in (kept, given)]],
-    }
+    befores = {"e": "", "s": "e", "u": "esa", "a": "u"}
+    states = {state: [_sql_edit(f"q.{state}", "2", "D")] for state in befores}
+    for state, before in befores.items():
+        for x in before:
+            states[state].append(_sql_edit(f"q.{x}", extra, "K", f"{may} AND lower(r.code) = '{state}'"))
+            if state != "s":
+                states[state].append(_sql_edit(f"q.{x}", f"1 + {extra}", "R", may))
     fields = ", ".join(f"'{k}': {_sql_least(*v)}" for k, v in states.items())
     return f"list_transform([{_sql_inserted('p')}], lambda q: {{'code': r.code, {fields}}})[1]"
 
 
 def _sql_inserted(p: str) -> str:
     """The states of ``p`` with inserted turns after them."""
-    def once(x):
+
+    def once(x: str) -> str:
         u = _sql_least(f"{x}.u", *[_sql_edit(f"{x}.{k}", "5", "I") for k in "esa"])
         a = _sql_least(f"{x}.a", _sql_edit(f"{x}.u", "5", "I"))
         return f"{{'code': {x}.code, 'e': {x}.e, 's': {x}.s, 'u': {u}, 'a': {a}}}"

@@ -23,7 +23,7 @@ if TYPE_CHECKING:
 TURN = 16
 # Turns of a splitter: a longer one is cut to a prefix, which splits as well.
 SPLITTER_TURNS = 256
-SAMPLE_PER_SHARD = 64
+SAMPLE_PER_SHARD = 20
 MOST_SHARDS = 2_000
 LEAST_ID = -(1 << 63)
 
