@@ -367,12 +367,12 @@ def save_index(index: CellIndex, path: str) -> None:
     """Store the index; the collections it holds replace those of an earlier one, all at once."""
     spark = index.rows.sparkSession
     before = store.read_state(spark, path)
-    folder = store.new_folder()
-    index.rows.hint("rebalance", "collection", "cell").write.partitionBy("collection").parquet(f"{path}/{folder}/rows")
-    write_collections(index.cells, f"{path}/{folder}/cells")
+    part = store.new_part()
+    index.rows.hint("rebalance", "collection", "cell").write.partitionBy("collection").parquet(store.folder(path, "rows", part))
+    write_collections(index.cells, store.folder(path, "cells", part))
     names = sorted(r[0] for r in index.cells.select("collection").distinct().collect())
     kept = before.without(names)
-    store.publish(spark, path, store.State(before.version, [*kept, store.Part(folder, names)], None, []))
+    store.publish(spark, path, store.State(before.version, [*kept, store.Part(part, names)], None, []))
 
 
 def load_index(spark: SparkSession, path: str) -> CellIndex:

@@ -38,21 +38,21 @@ def ingest_sheets(
     before = store.read_state(spark, target)
     sheets = read_sheets(spark, source, **reading)
     good = sheets.report.where(F.col("state") == "ok")
-    folder = store.new_folder()
+    part = store.new_part()
     written = with_placeholders(embed_sheet_rows(sheets.rows, embed), good.select("collection"), dim)
-    write_collections(written, f"{target}/{folder}/kb")
-    write_collections(sheets.fields, f"{target}/{folder}/fields")
-    kb = spark.read.schema(STORED_KB).parquet(f"{target}/{folder}/kb")
+    write_collections(written, store.folder(target, "kb", part))
+    write_collections(sheets.fields, store.folder(target, "fields", part))
+    kb = spark.read.schema(STORED_KB).parquet(store.folder(target, "kb", part))
     verified = verify_content(kb.where(~F.col("is_placeholder")), sheets.rows, good.select("collection", "expected"))
     report = sheets.report.join(verified.select("collection", "stored", "complete", "intact"), "collection", "left")
     for check in ("stored", "complete", "intact"):
         report = report.withColumn(check, F.when(F.col("state") == "ok", F.col(check)))
-    report.write.parquet(f"{target}/{folder}/report")
+    report.write.parquet(store.folder(target, "report", part))
     # One name a collection; the state of the store lists them all.
     delivered = [r[0] for r in good.select("collection").collect()]
     kept = before.without(delivered)
-    added = [store.Part(folder, sorted(delivered))] if delivered else []
-    store.publish(spark, target, store.State(before.version, [*kept, *added], folder, []))
+    added = [store.Part(part, sorted(delivered))] if delivered else []
+    store.publish(spark, target, store.State(before.version, [*kept, *added], part, []))
     return read_store(spark, target)
 
 

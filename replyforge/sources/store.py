@@ -10,6 +10,8 @@ import json
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +21,15 @@ POINTER = "CURRENT"
 
 @dataclass
 class Part:
-    """One written folder, and which of its collections still count."""
+    """One write, and which of its collections still count."""
 
-    folder: str
+    name: str
     collections: list[str]
 
 
 @dataclass
 class State:
-    """What a store holds. ``report``: folder of the last write; ``dropped``: collections taken out since then."""
+    """What a store holds. ``report``: the last write; ``dropped``: collections taken out since then."""
 
     version: int = 0
     parts: list[Part] = field(default_factory=list)
@@ -36,7 +38,7 @@ class State:
 
     def without(self, collections: Iterable[str]) -> list[Part]:
         gone = set(collections)
-        kept = [Part(p.folder, [c for c in p.collections if c not in gone]) for p in self.parts]
+        kept = [Part(p.name, [c for c in p.collections if c not in gone]) for p in self.parts]
         return [p for p in kept if p.collections]
 
     def names(self) -> list[str]:
@@ -69,7 +71,7 @@ def publish(spark: SparkSession, root: str, state: State) -> None:
         raise RuntimeError(f"{root} was changed by another write; nothing was published")
     raw = {
         "version": state.version + 1,
-        "parts": [{"folder": p.folder, "collections": p.collections} for p in state.parts],
+        "parts": [{"name": p.name, "collections": p.collections} for p in state.parts],
         "report": state.report,
         "dropped": state.dropped,
     }
@@ -86,20 +88,23 @@ def publish(spark: SparkSession, root: str, state: State) -> None:
     context.rename(files.makeQualified(aside), files.makeQualified(fs.Path(f"{root}/{POINTER}")), options)
 
 
-def new_folder() -> str:
-    return f"data/{uuid.uuid4().hex}"
+def new_part() -> str:
+    return uuid.uuid4().hex
 
 
-def read_table(spark: SparkSession, root: str, name: str, schema: str, state: State | None = None) -> DataFrame:
-    """The rows of table ``name`` that count, from every part; only folders of live collections are read."""
+def folder(root: str, table: str, part: str) -> str:
+    """Where a write puts its rows of ``table``: beside those of other writes, so that one scan reads them all."""
+    return f"{root}/{table}/part={part}"
+
+
+def read_table(spark: SparkSession, root: str, table: str, schema: str, state: State | None = None) -> DataFrame:
+    """The rows of ``table`` that count, from every part, in one scan; only folders of live collections are read."""
     state = read_state(spark, root) if state is None else state
-    tables = [
-        spark.read.schema(schema).parquet(f"{root}/{p.folder}/{name}").where(F.col("collection").isin(p.collections)) for p in state.parts
-    ]
-    whole = tables[0] if tables else spark.createDataFrame([], schema)
-    for more in tables[1:]:
-        whole = whole.unionByName(more)
-    return whole
+    if not state.parts:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, part string").parquet(f"{root}/{table}")
+    live = [(F.col("part") == p.name) & F.col("collection").isin(p.collections) for p in state.parts]
+    return rows.where(reduce(or_, live)).drop("part")
 
 
 def read_report(spark: SparkSession, root: str, schema: str, state: State | None = None) -> DataFrame:
@@ -107,7 +112,7 @@ def read_report(spark: SparkSession, root: str, schema: str, state: State | None
     state = read_state(spark, root) if state is None else state
     if state.report is None:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).parquet(f"{root}/{state.report}/report")
+    rows = spark.read.schema(schema).parquet(folder(root, "report", state.report))
     return rows.where(~F.coalesce(F.col("collection"), F.lit("")).isin(state.dropped)) if state.dropped else rows
 
 
@@ -127,5 +132,5 @@ def drop(spark: SparkSession, root: str, collections: Sequence[str] | None = Non
     for part in before:
         for c in set(part.collections) & gone:
             for table in ("kb", "fields"):
-                files, path = _file_system(spark, f"{root}/{part.folder}/{table}/collection={names.escapePathName(c)}")
+                files, path = _file_system(spark, f"{folder(root, table, part.name)}/collection={names.escapePathName(c)}")
                 files.delete(path, True)
