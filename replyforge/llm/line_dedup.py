@@ -18,8 +18,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _body(lines: Column, at: Column) -> Column:
+    """The two lines from number ``at`` on."""
+    return F.concat_ws("\n", F.get(lines, at - 1), F.get(lines, at))
+
+
 def _pairs(lines: Column, divisor: int) -> Column:
-    """Array of (at, boundary, body) of every two neighbouring lines; ``at`` is the number of the first, from 1.
+    """Array of (at, boundary, hash) of every two neighbouring lines, not both blank; ``at`` is the number of the first, from 1.
 
     There is a boundary where the rolling hash over the hashes of the two lines is no multiple of ``divisor``:
     at two of three places with the default, wherever in a text the lines stand.
@@ -30,13 +35,12 @@ def _pairs(lines: Column, divisor: int) -> Column:
     def of(lines: Column, hashes: Column) -> Column:
         def pair(i: Column) -> Column:
             rolling = F.pmod(F.get(hashes, i - 1) * MULTIPLIER + F.get(hashes, i), F.lit(MODULUS))
-            return F.struct(
-                i.alias("at"),
-                (F.pmod(rolling, F.lit(divisor)) != 0).alias("boundary"),
-                F.concat_ws("\n", F.get(lines, i - 1), F.get(lines, i)).alias("body"),
+            blank = (F.trim(F.get(lines, i - 1)) == "") & (F.trim(F.get(lines, i)) == "")
+            return F.when(
+                ~blank, F.struct(i.alias("at"), (F.pmod(rolling, F.lit(divisor)) != 0).alias("boundary"), F.xxhash64(_body(lines, i)).alias("hash"))
             )
 
-        return F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(1), F.size(lines) - 1), pair))
+        return F.when(F.size(lines) > 1, F.array_compact(F.transform(F.sequence(F.lit(1), F.size(lines) - 1), pair)))
 
     return let(lines, lambda ls: let(hashed, lambda hs: of(ls, hs)))
 
@@ -45,19 +49,18 @@ def repeated_runs(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """(doc_id, fp, runs): the stretches (first, last) of lines of each document that are removed, in order.
 
     A chunk is the two lines around a boundary, grown line by line. Pairs of lines are counted by hash first, on
-    narrow rows; only pairs with a repeated hash are shuffled with their bytes, and a pair counts as a repeat
+    narrow rows; only pairs with a repeated hash are cut out of the texts, and a pair counts as a repeat
     where the bytes are equal, not only the hash. The first occurrence (smallest doc_id, a missing one last, then
     place) stays. Neighbouring repeats make one run, and a run goes if it has a boundary inside.
     """
-    body = F.col("pair.body")
-    pairs = (
-        docs.select("doc_id", "fp", F.explode(_pairs(_lines(F.col("text")), divisor)).alias("pair"))
-        .where(F.trim(F.replace(body, F.lit("\n"), F.lit(""))) != "")
-        .select("doc_id", "fp", F.col("pair.at").alias("at"), F.col("pair.boundary").alias("boundary"), F.xxhash64(body).alias("hash"), body.alias("body"))
-    )
+    pairs = docs.select("doc_id", "fp", F.explode(_pairs(_lines(F.col("text")), divisor)).alias("pair")).select("doc_id", "fp", "pair.*")
     twice = pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    # Written, so that a join with a very common pair can be split before the grouping.
-    candidates = materialise(pairs.join(twice, "hash"), "line-candidates")
+    places = F.collect_set(F.struct("at", "boundary", "hash")).alias("places")
+    # Written, here and below, so that no more than one shuffle of texts is there at a time.
+    maybe = materialise(pairs.join(twice, "hash").groupBy("doc_id", "fp").agg(places), "line-places")
+    texts = with_per_document(docs, maybe).where(F.col("places").isNotNull())
+    opened = texts.select("doc_id", "fp", _lines(F.col("text")).alias("lines"), F.explode("places").alias("p"))
+    candidates = materialise(opened.select("doc_id", "fp", "p.*", _body(F.col("lines"), F.col("p.at")).alias("body")), "line-candidates")
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("fp").alias("c"), F.col("at").alias("d"))
     # Grouping by the body itself is the comparison of bytes; a common pair shrinks to one row in each task.
     groups = candidates.groupBy("hash", "body").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -67,7 +70,8 @@ def repeated_runs(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     runs = again.withColumn("run", F.col("at") - F.row_number().over(by_place)).groupBy("doc_id", "fp", "run").agg(
         F.min("at").alias("first"), (F.max("at") + 1).alias("last"), F.bool_or("boundary").alias("boundary")
     )
-    return runs.where("boundary").groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    runs = runs.where("boundary").groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    return materialise(runs, "line-runs")
 
 
 def _removed(runs: Column) -> Column:
