@@ -305,8 +305,12 @@ def repeated_blocks(blocks: DataFrame, classes: DataFrame, but_first: bool) -> D
 
 
 def per_document(ranges: DataFrame, *more: str) -> DataFrame:
-    """(id, fp, ranges): the distinct (low, n, further columns) of each document, as many as its length allows."""
-    return ranges.groupBy("id", "fp").agg(F.collect_set(F.struct("low", "n", *more)).alias("ranges"))
+    """(id, fp, low, n, further columns): the distinct rows of each document as one array a column, as many as its length allows.
+
+    Plain arrays of numbers reach Python as numpy arrays; an array of rows would be an object a row.
+    """
+    held = ranges.groupBy("id", "fp").agg(F.collect_set(F.struct("low", "n", *more)).alias("ranges"))
+    return held.select("id", "fp", *[F.col(f"ranges.{c}").alias(c) for c in ("low", "n", *more)])
 
 
 # --- single windows -------------------------------------------------------------------
@@ -319,10 +323,8 @@ def _windows(scheme: Scheme):
         for part in portions(frames, most=SYMBOL_BATCH):
             first, second, starts = scheme.symbols([text_bytes(t) for t in part["text"]])
             one, two = Rolling(first, 0), Rolling(second, 1)
-            sizes = [len(r) for r in part["ranges"]]
-            doc = np.repeat(np.arange(len(part)), sizes)
-            low = np.array([r["low"] for rs in part["ranges"] for r in rs], np.int64)
-            n = np.array([r["n"] for rs in part["ranges"] for r in rs], np.int64)
+            doc = np.repeat(np.arange(len(part)), part["low"].map(len))
+            low, n = (np.concatenate(part[c].to_list()).astype(np.int64) for c in ("low", "n"))
             # All windows of all ranges, each once.
             at = np.unique(np.repeat(starts[doc] + low - np.cumsum(n) + n, n) + np.arange(n.sum()))
             doc = np.searchsorted(starts, at, "right") - 1
@@ -355,13 +357,11 @@ def repeated_windows(rows: DataFrame, ranges: DataFrame, scheme: Scheme, but_fir
     return found.select("id", "fp", "low", F.lit(1).alias("n"))
 
 
-def covered(ranges, window: int, length: int) -> np.ndarray:
-    """Whether each symbol of a text lies in a window of ``ranges``."""
-    if ranges is None or len(ranges) == 0:
+def covered(low: np.ndarray | None, n: np.ndarray | None, window: int, length: int) -> np.ndarray:
+    """Whether each symbol of a text lies in a window of the ranges of ``n`` windows from ``low`` on."""
+    if low is None or len(low) == 0:
         return np.zeros(length, bool)
-    low = np.array([r["low"] for r in ranges], np.int64)
-    n = np.array([r["n"] for r in ranges], np.int64)
     edges = np.zeros(length + 1, np.int64)
     np.add.at(edges, low, 1)
-    np.add.at(edges, low + n + window - 1, -1)
+    np.add.at(edges, low.astype(np.int64) + n + window - 1, -1)
     return np.cumsum(edges[:-1]) > 0

@@ -34,9 +34,9 @@ def _cutter(window: int):
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in portions(frames):
             rows = []
-            for doc_id, text, ranges in zip(part["doc_id"], part["text"], part["ranges"], strict=True):
+            for doc_id, text, low, n in zip(part["doc_id"], part["text"], part["low"], part["n"], strict=True):
                 words = text_bytes(text).split()
-                gone = covered(ranges, window, len(words))
+                gone = covered(low, n, window, len(words))
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
                 rows.append((doc_id, len(words), int(gone.sum()), b" ".join(kept).decode("utf-8", "replace")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept"])
@@ -70,7 +70,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW_WORDS, anchor: int =
     # Written, so that the shuffles that found them are gone before the texts are shuffled.
     gone = materialise(per_document(gone), "substring-gone")
     joined = rows.join(gone, ["id", "fp"], "left")
-    out = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ranges").mapInPandas(_cutter(window), KEPT)
+    out = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "low", "n").mapInPandas(_cutter(window), KEPT)
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 

@@ -41,9 +41,9 @@ def _cut_out(window: int):
         """The bytes of all windows of each range."""
         for part in portions(frames):
             rows = []
-            for id_, fp, text, ranges in zip(part["id"], part["fp"], part["text"], part["ranges"], strict=True):
+            for id_, fp, text, *ranges in zip(*[part[c] for c in ("id", "fp", "text", "gram", "low", "n")], strict=True):
                 raw = text_bytes(text)
-                rows.extend((r["gram"], id_, fp, r["low"], r["n"], raw[r["low"] : r["low"] + r["n"] + window - 1]) for r in ranges)
+                rows.extend((gram, id_, fp, low, n, raw[low : low + n + window - 1]) for gram, low, n in zip(*ranges, strict=True))
             yield pd.DataFrame(rows, columns=["gram", "id", "fp", "low", "n", "bytes"])
 
     return cut
@@ -139,9 +139,9 @@ def _remover(window: int):
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in portions(frames):
             rows = []
-            for doc_id, text, ranges in zip(part["doc_id"], part["text"], part["ranges"], strict=True):
+            for doc_id, text, low, n in zip(part["doc_id"], part["text"], part["low"], part["n"], strict=True):
                 raw = text_bytes(text)
-                gone = covered(ranges, window, len(raw))
+                gone = covered(low, n, window, len(raw))
                 if gone.any():
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
@@ -187,7 +187,7 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW_BYTES, anchor: int = AN
     # Written, so that the shuffles that found them are gone before the texts are shuffled.
     gone = materialise(per_document(gone), "suffix-gone")
     joined = rows.join(gone, ["id", "fp"], "left")
-    out = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "ranges").mapInPandas(_remover(window), KEPT)
+    out = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "low", "n").mapInPandas(_remover(window), KEPT)
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
