@@ -58,7 +58,8 @@ def repeated_runs(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     places = F.collect_set(F.struct("at", "boundary", "hash")).alias("places")
     # Written, here and below, so that no more than one shuffle of texts is there at a time.
     maybe = materialise(pairs.join(twice, "hash").groupBy("doc_id", "fp").agg(places), "line-places")
-    texts = with_per_document(docs, maybe).where(F.col("places").isNotNull())
+    # One row a document at most, of a number that grows with the corpus: not to be broadcast by a guess at its size.
+    texts = with_per_document(docs, maybe.hint("merge")).where(F.col("places").isNotNull())
     opened = texts.select("doc_id", "fp", _lines(F.col("text")).alias("lines"), F.explode("places").alias("p"))
     candidates = materialise(opened.select("doc_id", "fp", "p.*", _body(F.col("lines"), F.col("p.at")).alias("body")), "line-candidates")
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("fp").alias("c"), F.col("at").alias("d"))
@@ -71,7 +72,7 @@ def repeated_runs(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
         F.min("at").alias("first"), (F.max("at") + 1).alias("last"), F.bool_or("boundary").alias("boundary")
     )
     runs = runs.where("boundary").groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    return materialise(runs, "line-runs")
+    return materialise(runs, "line-runs").hint("merge")
 
 
 def _removed(runs: Column) -> Column:
