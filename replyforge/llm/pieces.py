@@ -25,7 +25,7 @@ WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MOST_CACHED = 300_000
 # Characters of text taken at once: each word of them is a string of its own.
-BATCH_CHARACTERS = 1_000_000
+BATCH_CHARACTERS = 1_500_000
 MOST_CELLS = 500_000
 SEEN_BITS = 20
 
