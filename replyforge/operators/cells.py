@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replyforge.operators.joins import fetch_rows, lookup_join
+from replyforge.operators.joins import fetch_rows, in_named_partitions, lookup_join
 from replyforge.operators.search import (
     BLOCK_BYTES,
     BLOCK_ROWS,
@@ -311,6 +311,144 @@ def _search_small_index(small_rows, small_cells, k: int, nprobe: int | None, exa
     return search
 
 
+# What a query needs to know of the cells of its collection.
+SHELVED = ["cell", "centre", "reach", "nprobe", "shelf"]
+
+
+def _on_shelves(cells: DataFrame, shelf_rows: int) -> DataFrame:
+    """``cells`` with ``shelf``: neighbours by number that hold about ``shelf_rows`` rows; a larger cell has its own."""
+    before = Window.partitionBy("collection").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    held = cells.withColumn("_before", F.floor(F.coalesce(F.sum("members").over(before), F.lit(0)) / shelf_rows))
+    return held.withColumn("shelf", (F.dense_rank().over(Window.partitionBy("collection").orderBy("_before")) - 1).cast("int")).drop("_before")
+
+
+def _opened_schema(asked: DataFrame) -> T.StructType:
+    """Queries with the cells they visit, as a list where it is short and as bits by cell number, and the shelves of these."""
+    numbers = T.ArrayType(T.IntegerType())
+    return T.StructType([*asked.schema.fields, T.StructField("cells", numbers), T.StructField("open", T.BinaryType()), T.StructField("shelves", numbers)])
+
+
+def _lists(mask: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """For each row the ``values`` of its true columns."""
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum(mask.sum(axis=1))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[np.nonzero(mask)[1]], pa.int32()))
+
+
+def _opened(part: pa.Table, cells: pa.Table, mask: np.ndarray, listed: bool) -> pa.Table:
+    import pyarrow as pa
+
+    number, shelf = cells["cell"].to_numpy(), cells["shelf"].to_numpy()
+    bits = np.zeros((len(mask), int(number.max(initial=0)) + 1), bool)
+    bits[:, number] = mask
+    shelves, at = np.unique(shelf, return_inverse=True)
+    touched = np.zeros((len(mask), len(shelves)), bool)
+    for i in range(len(shelves)):
+        touched[:, i] = mask[:, at == i].any(axis=1)
+    return pa.table(
+        {
+            "collection": part["collection"], "query_id": part["query_id"], "vector": part["vector"],
+            "cells": _lists(mask, number) if listed else pa.nulls(len(mask), pa.list_(pa.int32())),
+            "open": pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary()), "shelves": _lists(touched, shelves),
+        }
+    )
+
+
+def _nearest(nprobe: int | None):
+    """Queries with their nearest cells."""
+
+    def nearest(part: pa.Table, cells: pa.Table) -> pa.Table:
+        cells, centres = _centre_rows(cells)
+        similarity = _fitted(_unit_rows(_matrix(part["vector"])), centres.shape[1]) @ centres.T
+        visits = min(len(centres), nprobe or int(cells["nprobe"][0].as_py()))
+        mask = np.zeros(similarity.shape, bool)
+        np.put_along_axis(mask, np.argsort(-similarity, axis=1, kind="stable")[:, :visits], True, axis=1)
+        return _opened(part, cells, mask, visits <= len(np.unique(cells["shelf"].to_numpy())))
+
+    return nearest
+
+
+def _visited(part: pa.Table, numbers: np.ndarray) -> np.ndarray:
+    """For each query whether it visits the cells ``numbers``."""
+    bits = part["open"].combine_chunks().to_pylist()
+    width = max(map(len, bits))
+    packed = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), width)
+    return np.unpackbits(packed, axis=1)[:, numbers].astype(bool)
+
+
+def _left_open(part: pa.Table, cells: pa.Table) -> pa.Table:
+    """Queries with the cells not yet visited (``open``) that could hold a row at least as good as ``floor``."""
+    cells, centres = _centre_rows(cells)
+    unit = _fitted(_unit_rows(_matrix(part["vector"])), centres.shape[1])
+    apart = np.arccos(np.clip(unit @ centres.T, -1, 1)) - np.arccos(np.clip(cells["reach"].to_numpy(), -1, 1))
+    bound = np.where((unit * unit).sum(axis=1)[:, None] > 0, np.cos(np.maximum(apart, 0.0)), 1.0)
+    floor = part["floor"].fill_null(-2.0).to_numpy()
+    mask = ~_visited(part, cells["cell"].to_numpy()) & (bound + 10.0**-SCORE_DIGITS >= floor[:, None])
+    return _opened(part, cells, mask, False)
+
+
+def _best_of_shelf(k: int):
+    """For one block of queries and one shelf: the ``k`` best rows of each query among the cells it visits."""
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        import pyarrow as pa
+
+        kinds = {"collection": asked.schema.field("collection").type, "query_id": asked.schema.field("query_id").type,
+                 "kb_id": rows.schema.field("kb_id").type, "score": pa.float64()}
+        if asked.num_rows == 0 or rows.num_rows == 0:
+            return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
+        rows = rows.sort_by([("cell", "ascending"), ("kb_id", "ascending")])
+        ids, unit = rows["kb_id"].to_numpy(), _unit_rows(_matrix(rows["vector"]))
+        numbers, starts = np.unique(rows["cell"].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(ids))
+        # On equal scores the lower id wins; one integer per pair orders by score, then by id.
+        place, m, take = np.argsort(np.argsort(ids, kind="stable"), kind="stable"), len(ids), min(k, len(ids))
+        queries, visits = _fitted(_unit_rows(_matrix(asked["vector"])), unit.shape[1]), _visited(asked, numbers)
+        found, step = [], max(1, SCORES_AT_ONCE // m)
+        for start in range(0, len(queries), step):
+            strip, visited = queries[start : start + step], visits[start : start + step]
+            units = np.full((len(strip), m), NOT_SEEN, np.int64)
+            for c in np.flatnonzero(visited.any(axis=0)):
+                at = np.flatnonzero(visited[:, c])
+                at = slice(None) if len(at) == len(strip) else at
+                units[at, starts[c] : ends[c]] = np.rint(strip[at] @ unit[starts[c] : ends[c]].T * 10**SCORE_DIGITS)
+            best = np.argpartition(place - units * m, take - 1, axis=1)[:, :take]
+            scores = np.take_along_axis(units, best, axis=1)
+            query, column = np.nonzero(scores > NOT_SEEN)
+            found.append((query + start, best[query, column], scores[query, column]))
+        query, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        chosen = asked.select(["collection", "query_id"]).take(pa.array(query))
+        return chosen.append_column("kb_id", pa.array(ids[row], kinds["kb_id"])).append_column("score", pa.array(score / 10**SCORE_DIGITS))
+
+    return best
+
+
+def _search_shelves(opened: DataFrame, rows: DataFrame, shelved: DataFrame, k: int, shelf_rows: int) -> DataFrame:
+    """Rows among which are the ``k`` best of the cells that each query visits.
+
+    A query is copied once for each shelf with such a cell, a row once for each block of queries of its collection; a
+    task holds one shelf and one block. A shelf that a large cell makes too big is cut by id hash.
+    """
+    asked = materialise(opened.groupBy("collection").agg(F.ceil(F.count(F.lit(1)) / max(1, shelf_rows // 4)).cast("int").alias("_blocks")), "asked")
+    shelves = shelved.groupBy("collection", "shelf").agg(F.ceil(F.sum("members") / (2 * shelf_rows)).cast("int").alias("_parts"))
+    shelves = materialise(shelves.join(asked, "collection"), "grid")
+    cells = shelved.select("collection", "cell", "shelf").join(shelves, ["collection", "shelf"])
+    once = opened.select("collection", "query_id", "vector", "open", F.explode("shelves").alias("shelf"))
+    left = lookup_join(once, shelves, ["collection", "shelf"], ["query_id"]).select(
+        "collection", "shelf", "query_id", "vector", "open",
+        F.pmod(F.xxhash64("query_id"), "_blocks").cast("int").alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
+    )
+    stored = lookup_join(in_named_partitions(rows, asked, "collection"), cells, ["collection", "cell"], ["kb_id"]).where(F.col("_blocks").isNotNull())
+    right = stored.select(
+        *[F.col(c).alias(c) for c in ("collection", "shelf", "cell", "kb_id", "vector")],
+        F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.pmod(F.xxhash64("kb_id"), "_parts").cast("int").alias("_part"),
+    )
+    schema = T.StructType([left.schema["collection"], left.schema["query_id"], right.schema["kb_id"], T.StructField("score", T.DoubleType())])
+    groups = ["collection", "shelf", "_part", "_block"]
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(_best_of_shelf(k), schema)
+
+
 def cell_topk(
     queries: DataFrame,
     index: CellIndex,
@@ -334,14 +472,18 @@ def cell_topk(
         schema = T.StructType([*asked.schema.fields[:2], index.rows.schema["kb_id"], T.StructField("score", T.DoubleType())])
         dealt = asked.repartition(spark.sparkContext.defaultParallelism, "query_id")
         return rank_hits(dealt.mapInArrow(_search_small_index(*small, k, nprobe, exact), schema), k)
-    planned = materialise(_planned(queries, index, nprobe), "probes")
-
-    def visiting(df: DataFrame, probes: Column) -> DataFrame:
-        opened = df.select("collection", "query_id", "vector", F.explode(probes).alias("p"))
-        return opened.select("collection", F.col("p.cell").alias("cell"), "query_id", "vector")
-
-    first_cells = visiting(planned, F.slice("probes", F.lit(1), F.col("nprobe").cast("int")))
-    first = rank_hits(candidates(first_cells, index.rows, k, keys, block_rows), k)
+    asked = queries.select("collection", "query_id", F.col("vector").cast("array<float>").alias("vector"))
+    shelf_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (4 * max(1, width))))
+    shelved = materialise(_on_shelves(index.cells, shelf_rows), "shelves")
+    probed = materialise(_with_cells(asked, "query_id", shelved, SHELVED, _nearest(nprobe), _opened_schema(asked)), "probes")
+    # A query goes once to a shelf and not once to a cell, where it visits more cells than there are shelves.
+    own = F.max("nprobe") if nprobe is None else F.lit(nprobe)
+    sizes = shelved.groupBy("collection").agg((F.max("shelf") + 1).alias("shelves"), F.least(F.count("cell"), own).alias("visits"))
+    if sizes.where("visits > shelves").isEmpty():
+        found = candidates(probed.select("collection", F.explode("cells").alias("cell"), "query_id", "vector"), index.rows, k, keys, block_rows)
+    else:
+        found = _search_shelves(probed, index.rows, shelved, k, shelf_rows)
+    first = rank_hits(found, k)
     if not exact:
         return first
     first = materialise(first, "first")
@@ -349,12 +491,10 @@ def cell_topk(
     beaten = first.groupBy("collection", "query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(-2.0)).alias("floor")
     )
-    slack = 10.0**-SCORE_DIGITS
-    later = F.slice("probes", F.col("nprobe").cast("int") + 1, F.size("probes"))
-    open_cells = F.filter(later, lambda p: p["bound"] + slack >= F.coalesce(F.col("floor"), F.lit(-2.0)))
-    rest = visiting(planned.join(beaten, ["collection", "query_id"], "left"), open_cells)
-    second = candidates(rest, index.rows, k, keys, block_rows)
-    return rank_hits(first.drop("rank").unionByName(second.drop("cell")), k)
+    unbeaten = probed.select("collection", "query_id", "vector", "open").join(beaten, ["collection", "query_id"], "left")
+    opened = _with_cells(unbeaten, "query_id", shelved, SHELVED, _left_open, _opened_schema(asked))
+    second = _search_shelves(opened, index.rows, shelved, k, shelf_rows)
+    return rank_hits(first.drop("rank").unionByName(second), k)
 
 
 # --- stored indexes -------------------------------------------------------------------

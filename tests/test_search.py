@@ -174,6 +174,18 @@ def test_two_large_sides_visit_few_cells(spark, monkeypatch):
     assert 0 < sum(visits) < grid / 3
 
 
+@pytest.mark.parametrize(("exact", "nprobe", "shelf"), [(False, 12, 32768), (True, 5, 32768), (True, 5, 60), (False, 12, 20)])
+def test_a_query_goes_once_to_a_shelf_of_cells(sides, monkeypatch, exact, nprobe, shelf):
+    """Not once to each cell that it visits; shelves of many cells, of a few and of parts of a large cell."""
+    rows, queries, kb, asked = sides
+    index = cells.build_index(kb, nlist=12, recall=None)
+    monkeypatch.setattr(cells, "BLOCK_ROWS", shelf)
+    copies, real = [], cells.candidates
+    monkeypatch.setattr(cells, "candidates", lambda entries, *rest: (copies.append(entries.count()), real(entries, *rest))[1])
+    assert collected(cells.cell_topk(asked, index, 5, nprobe=nprobe, exact=exact, block_rows=40)) == brute_force(rows, queries, 5)
+    assert sum(copies) <= len(queries)
+
+
 def test_index_round_trip(spark, sides, tmp_path):
     rows, queries, kb, asked = sides
     path = str(tmp_path / "index")
