@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from replyforge.functions.text import kb_text
 from replyforge.functions.vectors import DIM, Embedder, embed_hashed
 from replyforge.operators.catalog import verify_content, with_placeholders
+from replyforge.session import folders_listed
 from replyforge.sources import store
 from replyforge.sources.readers import Sheets, read_sheets
 from replyforge.sources.schemas import KB
@@ -42,7 +43,8 @@ def ingest_sheets(
     written = with_placeholders(embed_sheet_rows(sheets.rows, embed), good.select("collection"), dim)
     write_collections(written, store.folder(target, "kb", part))
     write_collections(sheets.fields, store.folder(target, "fields", part))
-    kb = spark.read.schema(STORED_KB).parquet(store.folder(target, "kb", part))
+    with folders_listed(spark):
+        kb = spark.read.schema(STORED_KB).parquet(store.folder(target, "kb", part))
     verified = verify_content(kb.where(~F.col("is_placeholder")), sheets.rows, good.select("collection", "expected"))
     report = sheets.report.join(verified.select("collection", "stored", "complete", "intact"), "collection", "left")
     for check in ("stored", "complete", "intact"):

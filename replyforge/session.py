@@ -51,20 +51,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+COALESCED = "spark.sql.adaptive.coalescePartitions.enabled"
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside remove their shuffle files when they end, not when the driver next collects garbage."""
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+def configured(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Queries that run and files that are listed inside see ``value``."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(CLEAN_UP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(CLEAN_UP, before)
+            spark.conf.set(key, before)
+
+
+def shuffles_removed(spark: SparkSession):
+    """Queries that run inside remove their shuffle files when they end, not when the driver next collects garbage."""
+    return configured(spark, CLEAN_UP, "true")
+
+
+def folders_listed(spark: SparkSession):
+    """Many small folders are listed by a few tasks for each core and not by a task for each folder."""
+    return configured(spark, LISTING_TASKS, str(4 * spark.sparkContext.defaultParallelism))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

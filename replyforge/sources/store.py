@@ -15,6 +15,10 @@ from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from replyforge.operators.joins import MOST_NAMES
+from replyforge.session import folders_listed
 
 POINTER = "CURRENT"
 
@@ -102,9 +106,15 @@ def read_table(spark: SparkSession, root: str, table: str, schema: str, state: S
     state = read_state(spark, root) if state is None else state
     if not state.parts:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, part string").parquet(f"{root}/{table}")
+    columns = T.StructType.fromDDL(schema).names
+    with folders_listed(spark):
+        rows = spark.read.schema(f"{schema}, part string").parquet(f"{root}/{table}")
+    if len(state.names()) > MOST_NAMES:
+        # A long list as a table: the join prunes partitions too, and no plan holds the names.
+        named = spark.createDataFrame([(p.name, c) for p in state.parts for c in p.collections], "part string, collection string")
+        return rows.join(F.broadcast(named), ["part", "collection"], "left_semi").select(*columns)
     live = [(F.col("part") == p.name) & F.col("collection").isin(p.collections) for p in state.parts]
-    return rows.where(reduce(or_, live)).drop("part")
+    return rows.where(reduce(or_, live)).select(*columns)
 
 
 def read_report(spark: SparkSession, root: str, schema: str, state: State | None = None) -> DataFrame:
@@ -113,6 +123,8 @@ def read_report(spark: SparkSession, root: str, schema: str, state: State | None
     if state.report is None:
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).parquet(folder(root, "report", state.report))
+    if len(state.dropped) > MOST_NAMES:
+        return rows.join(F.broadcast(spark.createDataFrame([(c,) for c in state.dropped], "collection string")), "collection", "left_anti")
     return rows.where(~F.coalesce(F.col("collection"), F.lit("")).isin(state.dropped)) if state.dropped else rows
 
 
@@ -130,7 +142,11 @@ def drop(spark: SparkSession, root: str, collections: Sequence[str] | None = Non
         published()
     names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
     for part in before:
-        for c in set(part.collections) & gone:
-            for table in ("kb", "fields"):
-                files, path = _file_system(spark, f"{folder(root, table, part.name)}/collection={names.escapePathName(c)}")
-                files.delete(path, True)
+        dropped = set(part.collections) & gone
+        for table in ("kb", "fields"):
+            own = folder(root, table, part.name)
+            # A part that lost all its collections goes as a whole.
+            paths = [own] if len(dropped) == len(part.collections) else [f"{own}/collection={names.escapePathName(c)}" for c in dropped]
+            for path in paths:
+                files, where = _file_system(spark, path)
+                files.delete(where, True)

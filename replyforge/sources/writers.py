@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from replyforge.session import COALESCED, configured
 from replyforge.sources.schemas import RESULTS
 
 RESULT_BUCKETS = 256
@@ -19,15 +20,18 @@ def write_collections(kb: DataFrame, path: str) -> None:
     """Replace the collections that ``kb`` holds and leave the others as they are.
 
     The rebalance hint gathers a collection's rows into few files and lets the
-    adaptive planner split a collection that is too big for one task.
+    adaptive planner split a collection that is too big for one task. Small
+    partitions stay apart: a file is work however few its bytes are, and one task
+    would write those of all small collections.
     """
-    (
-        kb.hint("rebalance", "collection")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("collection")
-        .parquet(path)
-    )
+    with configured(kb.sparkSession, COALESCED, "false"):
+        (
+            kb.hint("rebalance", "collection")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("collection")
+            .parquet(path)
+        )
 
 
 def save_collections(kb: DataFrame, table: str) -> None:

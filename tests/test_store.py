@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from replyforge.operators import catalog
 from replyforge.plans import ingest
-from replyforge.sources import store
+from replyforge.sources import store, writers
 
 
 def sheet(folder, name, *lines):
@@ -94,3 +94,26 @@ def test_content_check_sees_one_cell(spark):
     once = stored.dropDuplicates(["collection", "kb_id"])
     found = {r.collection: (r.complete, r.intact) for r in catalog.verify_content(once, sent, sheets).collect()}
     assert found["c"] == (False, False) and found["b"] == (True, True)
+
+
+def test_a_long_list_of_collections_is_no_literal(spark, stored, tmp_path, monkeypatch):
+    """Its names are joined: the plan stays small, and replaced and dropped collections stay away."""
+    sheet(tmp_path / "more", "A", "new,b,9")
+    ingest.ingest_sheets(spark, str(tmp_path / "more"), stored)
+    before = seen(spark, stored)
+    monkeypatch.setattr(store, "MOST_NAMES", 1)
+    kb = store.read_table(spark, stored, "kb", ingest.STORED_KB)
+    assert "b_c" not in kb._jdf.queryExecution().analyzed().toString()
+    assert kb.columns == spark.createDataFrame([], ingest.STORED_KB).columns
+    assert seen(spark, stored) == before and before[0] == [("a", 1, "new", "9"), ("b_c", 1, "e", "3")]
+    store.drop(spark, stored, ["a", "never there"])
+    assert seen(spark, stored) == ([("b_c", 1, "e", "3")], [f for f in before[1] if f[0] == "b_c"], [])
+
+
+def test_small_collections_are_written_by_many_tasks(spark, tmp_path):
+    """One file each is much work for few bytes: one task wrote all of them."""
+    rows = spark.range(400).select(F.col("id").alias("kb_id"), F.concat(F.lit("c"), (F.col("id") % 40).cast("string")).alias("collection"))
+    writers.write_collections(rows, str(tmp_path / "kb"))
+    back = spark.read.parquet(str(tmp_path / "kb"))
+    tasks = back.select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).distinct().count()
+    assert back.count() == 400 and len(back.inputFiles()) == 40 and tasks > 1
