@@ -11,6 +11,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from replyforge.session import folders_listed
+
 if TYPE_CHECKING:
     import pyarrow as pa
 
@@ -20,6 +22,8 @@ MOST_CHARACTERS = 64 << 20
 # Fed after the last line: it comes back as a record of its own unless a quote is still open.
 END = "\x00end\n"
 BATCH_CELLS = 100_000
+BATCH_CHARACTERS = 4 << 20
+LINES_AT_ONCE = 256
 
 
 class Unreadable(Exception):
@@ -62,17 +66,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import pyarrow as pa
 
     kinds = pa.schema([("file", pa.string()), ("line", pa.int64()), ("cells", pa.list_(pa.string())), ("problem", pa.string())])
-    stream = (row for b in batches for row in zip(b.column("file").to_pylist(), b.column("value").to_pylist(), strict=True))
+    # A few lines at a time, and records go out by their number of cells and of characters: long lines do not add up.
+    parts = (b.slice(start, LINES_AT_ONCE) for b in batches for start in range(0, b.num_rows, LINES_AT_ONCE))
+    stream = (row for b in parts for row in zip(b.column("file").to_pylist(), b.column("value").to_pylist(), strict=True))
     out: list[dict] = []
-    size = 0
+    size = characters = 0
     for file, own in groupby(stream, key=lambda r: r[0]):
         try:
             for number, cells in file_records(value for _, value in own):
                 out.append({"file": file, "line": number, "cells": cells, "problem": None})
                 size += len(cells) + 1
-                if size > BATCH_CELLS:
+                characters += sum(map(len, cells))
+                if size > BATCH_CELLS or characters > BATCH_CHARACTERS:
                     yield pa.RecordBatch.from_pylist(out, kinds)
-                    out, size = [], 0
+                    out, size, characters = [], 0, 0
         except Unreadable as why:
             out.append({"file": file, "line": -1, "cells": None, "problem": f"unreadable: {why}"})
     if out:
@@ -86,7 +93,9 @@ def read_records(spark: SparkSession, path: str | Sequence[str], name: Column) -
     order in one task, which holds one record at a time. Cells may hold line breaks, and every record has as
     many cells as it was delivered with. One unreadable file does not stop the others.
     """
-    lines = spark.read.text(path).select(
+    with folders_listed(spark):
+        found = spark.read.text(path)
+    lines = found.select(
         name.alias("file"),
         F.col("value").cast("binary").alias("value"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -101,5 +110,7 @@ def listed_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     The session lists the files for any read of them.
     """
-    listed = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "path string")
+    with folders_listed(spark):
+        files = spark.read.text(path).inputFiles()
+    listed = spark.createDataFrame([(f,) for f in files], "path string")
     return listed.select(F.regexp_replace("path", "^([^:/]+):///", "$1:/").alias("path"))

@@ -1,11 +1,12 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from replyforge.operators import catalog
 from replyforge.plans import batch, ingest
-from replyforge.sources import readers, writers
+from replyforge.sources import readers, records, writers
 from replyforge.streaming import replies as stream
 
 
@@ -316,3 +317,12 @@ def test_split_files_keep_their_order(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [r.ticket for r in rows] == [str(i) for i in range(900)]
     assert [r.ticket for r in first] == [str(i) for i in range(7)] and ordered.ticket == "7"
+
+
+def test_records_of_long_lines_leave_in_small_batches():
+    """Batches are bounded by characters as well as by cells."""
+    lines = [b"x" * 50_000 + b",1"] * 2_000
+    sent = [pa.RecordBatch.from_pydict({"file": ["f"] * len(lines), "value": pa.array(lines, pa.binary())})]
+    got = list(records._cut(iter(sent)))
+    assert sum(b.num_rows for b in got) == 2_000 and max(b.nbytes for b in got) < 3 * records.BATCH_CHARACTERS
+    assert [n for b in got for n in b.column("line").to_pylist()] == list(range(2_000))
