@@ -22,6 +22,7 @@ from replyforge.operators.search import (
     BLOCK_ROWS,
     SCORE_DIGITS,
     SCORES_AT_ONCE,
+    _best_rows,
     _fitted,
     _matrix,
     _unit_rows,
@@ -405,9 +406,14 @@ def _best_of_shelf(k: int):
         # On equal scores the lower id wins; one integer per pair orders by score, then by id.
         place, m, take = np.argsort(np.argsort(ids, kind="stable"), kind="stable"), len(ids), min(k, len(ids))
         queries, visits = _fitted(_unit_rows(_matrix(asked["vector"])), unit.shape[1]), _visited(asked, numbers)
-        found, step = [], max(1, SCORES_AT_ONCE // m)
-        for start in range(0, len(queries), step):
-            strip, visited = queries[start : start + step], visits[start : start + step]
+        step = max(1, SCORES_AT_ONCE // m)
+        everywhere = np.flatnonzero(visits.all(axis=1))
+        at, scores = _best_rows(queries[everywhere], unit, k, place)
+        found = [(np.repeat(everywhere, take), at.ravel(), scores.ravel())]
+        some = np.flatnonzero(~visits.all(axis=1))
+        for start in range(0, len(some), step):
+            asked_now = some[start : start + step]
+            strip, visited = queries[asked_now], visits[asked_now]
             units = np.full((len(strip), m), NOT_SEEN, np.int64)
             for c in np.flatnonzero(visited.any(axis=0)):
                 at = np.flatnonzero(visited[:, c])
@@ -416,7 +422,7 @@ def _best_of_shelf(k: int):
             best = np.argpartition(place - units * m, take - 1, axis=1)[:, :take]
             scores = np.take_along_axis(units, best, axis=1)
             query, column = np.nonzero(scores > NOT_SEEN)
-            found.append((query + start, best[query, column], scores[query, column]))
+            found.append((asked_now[query], best[query, column], scores[query, column]))
         query, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
         chosen = asked.select(["collection", "query_id"]).take(pa.array(query))
         return chosen.append_column("kb_id", pa.array(ids[row], kinds["kb_id"])).append_column("score", pa.array(score / 10**SCORE_DIGITS))
@@ -478,13 +484,17 @@ def cell_topk(
     probed = materialise(_with_cells(asked, "query_id", shelved, SHELVED, _nearest(nprobe), _opened_schema(asked)), "probes")
     # A query goes once to a shelf and not once to a cell, where it visits more cells than there are shelves.
     own = F.max("nprobe") if nprobe is None else F.lit(nprobe)
-    sizes = shelved.groupBy("collection").agg((F.max("shelf") + 1).alias("shelves"), F.least(F.count("cell"), own).alias("visits"))
-    if sizes.where("visits > shelves").isEmpty():
+    sizes = shelved.groupBy("collection").agg(
+        F.count("cell").alias("cells"), (F.max("shelf") + 1).alias("shelves"), F.least(F.count("cell"), own).alias("visits")
+    )
+    copied, unseen = sizes.agg(F.bool_or(F.expr("visits > shelves")), F.bool_or(F.expr("visits < cells"))).first()
+    if not copied:
         found = candidates(probed.select("collection", F.explode("cells").alias("cell"), "query_id", "vector"), index.rows, k, keys, block_rows)
     else:
         found = _search_shelves(probed, index.rows, shelved, k, shelf_rows)
     first = rank_hits(found, k)
-    if not exact:
+    # No second pass where the first saw every cell.
+    if not (exact and unseen):
         return first
     first = materialise(first, "first")
     # The score to beat; a query with fewer than k rows so far has none.

@@ -53,27 +53,59 @@ def _fitted(queries: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; a zero row stays zero and scores 0 against all."""
-    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+    """Rows scaled to length one, in place; a zero row stays zero and scores 0 against all."""
+    length = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+    np.divide(m, length, out=m, where=length > 0)
+    m[~(length[:, 0] > 0)] = 0.0
+    return m
 
 
-def _best_rows(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and scores of the ``k`` best rows of each query; on equal scores the first row wins.
+def _scored(queries: np.ndarray, rows: np.ndarray, take: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_best_rows`` for few queries, all products in full."""
+    units = np.rint(queries @ rows.T * 10**SCORE_DIGITS).astype(np.int64)
+    # One integer per pair orders by score, then by place: no ties left.
+    at = np.argpartition(place - units * len(rows), take - 1, axis=1)[:, :take]
+    return at, np.take_along_axis(units, at, axis=1)
 
-    Both sides are unit rows. Scores are whole numbers of the last kept digit. The
-    product is made in strips, so that no strip has more than ``SCORES_AT_ONCE`` entries.
+
+def _best_rows(queries: np.ndarray, rows: np.ndarray, k: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and scores of the ``k`` best rows of each query; on equal scores the first row, or that of least ``place``, wins.
+
+    Both sides are unit rows. Scores are whole numbers of the last kept digit. The product is made in strips, so that
+    no strip has more than ``SCORES_AT_ONCE`` entries: in single precision first, then in full for the rows that are
+    no further from the k-th than its error. Queries with many such rows get all products in full.
     """
     queries = _fitted(queries, rows.shape[1])
-    n, m = len(queries), len(rows)
+    n, (m, width) = len(queries), rows.shape
     take, step = min(k, m), max(1, SCORES_AT_ONCE // m)
+    place = np.arange(m) if place is None else place
     best, scores = np.empty((n, take), dtype=np.int64), np.empty((n, take), dtype=np.int64)
+    # Twice the largest error of a single-precision product of unit rows, and one step of the last kept digit.
+    slack = 2 * (width + 4) * 2.0**-23 + 2 * 10.0**-SCORE_DIGITS
+    most = 4 * take + 8
+    rough = rows.astype(np.float32) if m > 2 * most and n >= 4 else None
     for start in range(0, n, step):
-        strip = slice(start, start + step)
-        units = np.rint(queries[strip] @ rows.T * 10**SCORE_DIGITS).astype(np.int64)
-        # One integer per pair orders by score, then by position: no ties left.
-        at = np.argpartition(np.arange(m) - units * m, take - 1, axis=1)[:, :take]
-        best[strip], scores[strip] = at, np.take_along_axis(units, at, axis=1)
+        strip = queries[start : start + step]
+        full = np.arange(len(strip))
+        if rough is not None:
+            near = strip.astype(np.float32) @ rough.T
+            floor = np.partition(near, m - take, axis=1)[:, m - take] - np.float32(slack)
+            query, row = np.nonzero(near >= floor[:, None])
+            counts = np.bincount(query, minlength=len(strip))
+            few = (counts >= take) & (counts <= most)
+            full = np.flatnonzero(~few)
+            query, row = query[few[query]], row[few[query]]
+            units, pairs = np.empty(len(query), np.int64), max(1, SCORES_AT_ONCE // width)
+            for at in range(0, len(query), pairs):
+                some = slice(at, at + pairs)
+                units[some] = np.rint(np.einsum("ij,ij->i", strip[query[some]], rows[row[some]]) * 10**SCORE_DIGITS)
+            order = np.lexsort((place[row], -units, query))
+            counts = counts[few]
+            chosen = order[(np.cumsum(counts) - counts)[:, None] + np.arange(take)]
+            best[start + np.flatnonzero(few)], scores[start + np.flatnonzero(few)] = row[chosen], units[chosen]
+        # Of many queries with ties no more are scored at once than a strip holds.
+        if len(full):
+            best[start + full], scores[start + full] = _scored(strip[full], rows, take, place)
     return best, scores
 
 

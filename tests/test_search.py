@@ -186,6 +186,30 @@ def test_a_query_goes_once_to_a_shelf_of_cells(sides, monkeypatch, exact, nprobe
     assert sum(copies) <= len(queries)
 
 
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_few_products_are_made_in_full(monkeypatch, k):
+    """Single precision finds the rows near the k-th score; ties, zero vectors and values that are no numbers included."""
+    rng = np.random.default_rng(4)
+    unit = lambda m: search._unit_rows(m.copy())
+    rows, queries = rng.normal(size=(3000, 48)), rng.normal(size=(90, 48))
+    rows[200:400] = rows[7]
+    rows[500:503] = rows[11]
+    rows[900], queries[4] = 0.0, 0.0
+    queries[5], queries[6] = rows[7], rows[11]
+    queries[7] = rows[11] + 1e-7
+    rows, queries = unit(rows), unit(queries)
+    in_full, real = [], search._scored
+    monkeypatch.setattr(search, "_scored", lambda q, *rest: (in_full.append(len(q)), real(q, *rest))[1])
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 3000 * 20)
+    at, scores = search._best_rows(queries, rows, k)
+    units = np.rint(queries @ rows.T * 10**search.SCORE_DIGITS).astype(np.int64)
+    want = np.lexsort((np.broadcast_to(np.arange(3000), units.shape), -units), axis=1)[:, :k]
+    for i in range(90):
+        assert set(at[i]) == set(want[i]) and sorted(scores[i]) == sorted(units[i, want[i]])
+    # The zero query and the one with two hundred equal rows.
+    assert sum(in_full) == 2
+
+
 def test_index_round_trip(spark, sides, tmp_path):
     rows, queries, kb, asked = sides
     path = str(tmp_path / "index")
