@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from replyforge.llm.common import chosen
 from replyforge.llm.words import WordTable, mix, portions, text_bytes
-from replyforge.session import materialise
+from replyforge.session import materialise, small_batches
 
 # Odd multipliers of the two polynomial hashes and their inverses modulo 2**64.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 INVERSES = tuple(pow(m, -1, 1 << 64) for m in MULTIPLIERS)
 LAST_ID = (1 << 63) - 1
-# Characters at once: each symbol takes about 100 bytes while blocks are found.
-SYMBOL_BATCH = 1_000_000
+# Characters at once: each symbol takes up to 200 bytes while blocks are found.
+SYMBOL_BATCH = 250_000
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -265,8 +265,9 @@ def _finder(scheme: Scheme, sketch: Broadcast):
 
 def candidate_blocks(rows: DataFrame, scheme: Scheme) -> DataFrame:
     """Blocks of ``rows`` (id, fp, text) whose anchor the sketch counts more than once; loses none that is repeated."""
-    found = rows.select("id", "fp", "text").mapInPandas(_finder(scheme, count_min(rows, scheme)), BLOCK_ROWS)
-    return materialise(found, "repeat-blocks")
+    with small_batches(rows.sparkSession):
+        found = rows.select("id", "fp", "text").mapInPandas(_finder(scheme, count_min(rows, scheme)), BLOCK_ROWS)
+        return materialise(found, "repeat-blocks")
 
 
 def place(*columns: str) -> Column:
@@ -348,7 +349,8 @@ def repeated_windows(rows: DataFrame, ranges: DataFrame, scheme: Scheme, but_fir
     tasks first; a window that a third of the corpus holds is one row of each task.
     """
     wanted = rows.select("id", "fp", "text").join(per_document(ranges), ["id", "fp"])
-    windows = materialise(wanted.mapInPandas(_windows(scheme), WINDOW_ROWS), "repeat-windows")
+    with small_batches(rows.sparkSession):
+        windows = materialise(wanted.mapInPandas(_windows(scheme), WINDOW_ROWS), "repeat-windows")
     where = place("id", "fp", "low")
     groups = windows.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last"))
     found = windows.join(groups.where(F.col("first") != F.col("last")), ["h1", "h2"])

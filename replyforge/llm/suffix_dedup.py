@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from replyforge.llm.repeats import (
+    BYTE_CODES,
+    SYMBOL_BATCH,
     Rolling,
     Scheme,
     block_classes,
@@ -23,14 +25,15 @@ from replyforge.llm.repeats import (
     repeated_windows,
 )
 from replyforge.llm.words import mix, portions, text_bytes
-from replyforge.session import materialise
+from replyforge.session import materialise, small_batches
 
 WINDOW_BYTES = 200
 ANCHOR_BYTES = 32
 FIRST_BYTES = 25
 # Anchors with more classes than this are ranked over all tasks, the others each in one.
 MOST_CLASSES = 3_000
-MOST_POSITIONS = 1_000_000
+# Positions ranked at once, at up to 200 bytes each; an anchor with more of them is ranked alone.
+MOST_POSITIONS = 400_000
 
 STRETCHES = "gram bigint, id bigint, fp bigint, low int, n int, bytes binary"
 KEPT = "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -39,7 +42,7 @@ KEPT = "doc_id string, n_bytes bigint, n_removed bigint, n_spans bigint, kept bi
 def _cut_out(window: int):
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The bytes of all windows of each range."""
-        for part in portions(frames):
+        for part in portions(frames, most=SYMBOL_BATCH):
             rows = []
             for id_, fp, text, *ranges in zip(*[part[c] for c in ("id", "fp", "text", "gram", "low", "n")], strict=True):
                 raw = text_bytes(text)
@@ -57,13 +60,13 @@ def double(raw: list[bytes], grams: np.ndarray, window: int) -> np.ndarray:
     ``FIRST_BYTES`` bytes, then by pairs of ranks at growing offsets, which doubles the length that a
     rank stands for. A position whose rank is its own alone is out for good.
     """
-    first, _, starts = byte_symbols(raw)
-    total = int(starts[-1])
-    owner = np.repeat(np.arange(len(raw)), np.diff(starts))
-    end = starts[1:][owner]
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    end = np.repeat(np.cumsum(lengths), lengths)
+    total = len(end)
     size = min(FIRST_BYTES, window)
     at = np.flatnonzero(np.arange(total) + size <= end)
-    at, rank = _rerank(at, mix(Rolling(first).of(at, size) ^ mix(grams[owner[at]])), total)
+    first = Rolling(BYTE_CODES[0][np.frombuffer(b"".join(raw), np.uint8)]).of(at, size)
+    at, rank = _rerank(at, mix(first ^ np.repeat(mix(grams), lengths)[at]), total)
     while size < window:
         step = min(size, window - size)
         at = at[at + step + size <= end[at]]
@@ -90,6 +93,28 @@ def _rerank(at: np.ndarray, keys: np.ndarray, total: int) -> tuple[np.ndarray, n
     return np.sort(places), rank
 
 
+def whole_anchors(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``frames``, sorted by anchor, in pieces of whole anchors with ``most`` bytes at most; a longer anchor is a piece of its own."""
+    kept = pd.DataFrame()
+    for frame in frames:
+        if len(frame) == 0:
+            continue
+        kept = pd.concat([kept, frame], ignore_index=True) if len(kept) else frame
+        gram = kept["gram"].to_numpy()
+        size = np.fromiter(map(len, kept["bytes"]), np.int64, len(kept)).cumsum()
+        # The last anchor may go on in the next frame.
+        ends = np.flatnonzero(gram[1:] != gram[:-1]) + 1
+        start = 0
+        while len(ends):
+            floor = size[start - 1] if start else 0
+            fit = max(1, int(np.searchsorted(size[ends - 1], floor + most, "right")))
+            yield kept.iloc[start : ends[fit - 1]].reset_index(drop=True)
+            start, ends = ends[fit - 1], ends[fit:]
+        kept = kept.iloc[start:]
+    if len(kept):
+        yield kept.reset_index(drop=True)
+
+
 def _doubler(window: int):
     def of(gram: np.ndarray, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         raw = list(frame["bytes"])
@@ -113,23 +138,7 @@ def _doubler(window: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Stretches come sorted by anchor; whole anchors are ranked together, many at a time."""
-        kept: list[pd.DataFrame] = []
-        size = 0
-        for frame in frames:
-            kept.append(frame)
-            size += int(frame["bytes"].str.len().sum()) if len(frame) else 0
-            if size > MOST_POSITIONS:
-                whole = pd.concat(kept, ignore_index=True)
-                # The last anchor may go on in the next batch.
-                open_ = whole["gram"] == whole["gram"].iloc[-1]
-                if not open_.all():
-                    done, rest = whole[~open_].reset_index(drop=True), whole[open_]
-                    yield from of(done["gram"].to_numpy().view(np.uint64), done)
-                    kept, size = [rest], int(rest["bytes"].str.len().sum())
-                else:
-                    kept = [whole]
-        if kept and sum(map(len, kept)):
-            whole = pd.concat(kept, ignore_index=True)
+        for whole in whole_anchors(frames, MOST_POSITIONS):
             yield from of(whole["gram"].to_numpy().view(np.uint64), whole)
 
     return run
@@ -185,7 +194,8 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW_BYTES, anchor: int = AN
     if many.limit(1).count():
         gone = gone.unionByName(repeated_windows(rows, many, scheme, False))
     # Written, so that the shuffles that found them are gone before the texts are shuffled.
-    gone = materialise(per_document(gone), "suffix-gone")
+    with small_batches(docs.sparkSession):
+        gone = materialise(per_document(gone), "suffix-gone")
     joined = rows.join(gone, ["id", "fp"], "left")
     out = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "low", "n").mapInPandas(_remover(window), KEPT)
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))

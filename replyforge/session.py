@@ -52,6 +52,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 COALESCED = "spark.sql.adaptive.coalescePartitions.enabled"
 
 
@@ -79,6 +80,11 @@ def folders_listed(spark: SparkSession):
     return configured(spark, LISTING_TASKS, str(4 * spark.sparkContext.defaultParallelism))
 
 
+def small_batches(spark: SparkSession):
+    """Batches of rows go to Python by 8 MB, not by Spark's 64: each is held there several times, as Arrow, as objects and in work."""
+    return configured(spark, BATCH_BYTES, "8m")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 

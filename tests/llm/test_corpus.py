@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,24 @@ def test_doubling():
     assert hit.tolist() == [often[s] > 1 for s in strings]
 
 
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_anchors_ranked_in_pieces(monkeypatch, batch):
+    """However large a batch is, no more bytes are ranked at once than the bound allows, or one anchor has."""
+    draw = random.Random(3)
+    stretches = [2] * 30 + [9] + [2] * 30
+    rows = [(g, i, g, 0, 101, bytes(draw.choices(b"ab", k=101)) + b"c" * 29) for g, n in enumerate(stretches) for i in range(n)]
+    frame = pd.DataFrame(rows, columns=["gram", "id", "fp", "low", "n", "bytes"])
+    double, window = suffix_dedup.double, 30
+    hit = iter(double(list(frame["bytes"]), frame["gram"].to_numpy().view(np.uint64), window))
+    expected = {(g, i, p) for g, i, _, _, _, raw in rows for p in range(len(raw)) if next(hit)}
+    ranked = []
+    monkeypatch.setattr(suffix_dedup, "MOST_POSITIONS", 1000)
+    monkeypatch.setattr(suffix_dedup, "double", lambda raw, *more: ranked.append(sum(map(len, raw))) or double(raw, *more))
+    out = pd.concat(list(suffix_dedup._doubler(window)(frame[i : i + batch].reset_index(drop=True) for i in range(0, len(frame), batch))))
+    assert expected and {(r.fp, r.id, r.low + k) for r in out.itertuples() for k in range(r.n)} == expected
+    assert sum(ranked) == 130 * len(rows) and {r for r in ranked if r > 1000} == {9 * 130}
+
+
 def test_sliding_minimum():
     values = np.random.default_rng(1).integers(0, 99, 50)
     for width in (1, 2, 3, 7, 8, 50):
