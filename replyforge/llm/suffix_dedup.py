@@ -94,12 +94,16 @@ def _rerank(at: np.ndarray, keys: np.ndarray, total: int) -> tuple[np.ndarray, n
 
 
 def whole_anchors(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """The rows of ``frames``, sorted by anchor, in pieces of whole anchors with ``most`` bytes at most; a longer anchor is a piece of its own."""
+    """The rows of ``frames``, sorted by anchor, in pieces of whole anchors with ``most`` bytes at most; a longer anchor is a piece of its own.
+
+    A stretch that comes twice, from rows equal in id and text, is taken once.
+    """
     kept = pd.DataFrame()
     for frame in frames:
         if len(frame) == 0:
             continue
-        kept = pd.concat([kept, frame], ignore_index=True) if len(kept) else frame
+        kept = pd.concat([kept, frame]) if len(kept) else frame
+        kept = kept.drop_duplicates(["gram", "id", "fp", "low"], ignore_index=True)
         gram = kept["gram"].to_numpy()
         size = np.fromiter(map(len, kept["bytes"]), np.int64, len(kept)).cumsum()
         # The last anchor may go on in the next frame.

@@ -90,6 +90,16 @@ def test_suffixes(docs, monkeypatch, most):
     assert {k: (*v[:3], bytes(v[3])) for k, v in by_id(out, "n_bytes", "n_removed", "n_spans", "kept").items()} == brute.suffix(items(), 200)
 
 
+def test_equal_rows_do_not_remove_each_other(spark):
+    """One document twice, beside another that shares an anchor with it but no window."""
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choices("abcdefghij ", k=n))
+    shared = text(120)
+    one, two = (text(300) + shared + text(300) for _ in range(2))
+    rows = spark.createDataFrame([(1, one), (1, one), (2, two)], "doc_id long, text string")
+    assert {(r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup_suffixes(rows).collect()} == {(720, 0)}
+
+
 def test_doubling():
     raw = [b"abcabcabcabc" * 5, b"xabcabcabcabcy" * 3]
     window = 30
